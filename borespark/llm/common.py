@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,22 @@ def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatc
     return df.mapInArrow(run, schema)
 
 
+def map_counts(df: DataFrame, function: Callable[[pa.RecordBatch], np.ndarray], names: list[str], column: str = "text") -> DataFrame:
+    """Adds up, in each task, the integer rows [len(names), cells] of its slices; (cell, names...) where not all 0."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            for part in slices(batch, column):
+                own = function(part)
+                total = own if total is None else total + own
+        if total is not None:
+            at = np.flatnonzero(total.any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))] + [pa.array(row[at].astype(np.int64)) for row in total], ["cell", *names])
+
+    return df.mapInArrow(run, "cell long, " + ", ".join(f"{x} long" for x in names))
+
+
 def word_list(text: Column) -> Column:
     """The words of a text, JVM-side; an empty array for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

@@ -249,18 +249,26 @@ def base_statistics(t: Texts, window: int = 5) -> dict[str, np.ndarray]:
 
 
 def gram_buckets(t: Texts, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-byte windows within each text: bucket and text of each."""
+    """Hashed n-byte windows within each text (n up to 4): buckets in order, and where each text's begin."""
     data, size = t.data, len(t.data)
+    inside = np.maximum(np.diff(t.bounds) - n + 1, 0)
+    bounds = np.concatenate([[0], np.cumsum(inside)])
     if size < n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), bounds
     count = size - n + 1
-    code = np.zeros(count, np.uint64)
+    code = np.zeros(count, np.uint32)
     for k in range(n):
-        code <<= U64(8)
+        code <<= np.uint32(8)
         code |= data[k : k + count]
-    bucket = (code * U64(0x9E3779B97F4A7C15)) >> U64(64 - bits)
-    lengths = np.diff(t.bounds)
-    doc = np.repeat(np.arange(t.n), lengths)[:count]
-    fits = np.arange(count) + n <= t.bounds[1:][doc]
-    return bucket[fits].astype(np.int64), doc[fits]
-
+    code ^= code >> np.uint32(15)
+    code *= np.uint32(0x9E3779B1)
+    code >>= np.uint32(32 - bits)
+    fits = np.ones(count, bool)
+    for k in range(1, n):  # windows that would leave their text
+        at = t.bounds[1:] - k
+        at = at[(at >= 0) & (at < count) & (np.diff(t.bounds) >= 0)]
+        fits[at] = False
+    if int(fits.sum()) != int(bounds[-1]):  # texts shorter than a window: mark by text
+        doc = np.searchsorted(t.bounds, np.arange(count), side="right") - 1
+        fits = np.arange(count) + n <= t.bounds[1:][doc]
+    return code[fits].view(np.int32), bounds

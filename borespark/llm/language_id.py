@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from borespark.llm.common import Scratch, map_slices
+from borespark.llm.common import Scratch, map_counts, map_slices
 from borespark.llm.kernels import Texts, gram_buckets
 
 #: Byte windows and hash buckets of the text model, and its additive smoothing.
@@ -51,18 +51,14 @@ def text_model(texts: DataFrame, scratch: Scratch | None = None) -> tuple[list[s
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     number = {x: i for i, x in enumerate(languages)}
 
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        bucket, doc = gram_buckets(Texts(part.column("text"), lower=True), GRAM, BITS)
+    def run(part: pa.RecordBatch) -> np.ndarray:
+        bucket, bounds = gram_buckets(Texts(part.column("text"), lower=True), GRAM, BITS)
         own = np.array([number[x] for x in part.column("lang").to_pylist()], np.int64)
-        cell = own[doc] << BITS | bucket
-        at = np.arange(len(number) << BITS)
-        counts = np.bincount(cell, minlength=len(at))
-        at = at[counts > 0]
-        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at].astype(np.int64))], ["cell", "n"])
+        return np.bincount(np.repeat(own << BITS, np.diff(bounds)) + bucket, minlength=len(number) << BITS)[None, :]
 
     counts = np.zeros(len(languages) << BITS)
     if languages:
-        rows = map_slices(labelled, run, "cell long, n long", limit=16 << 20).groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        rows = map_counts(labelled, run, ["n"]).groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
         counts[rows["cell"]] = rows["n"]
     counts = counts.reshape(len(languages), 1 << BITS) + SMOOTHING
     return languages, np.log(counts / counts.sum(axis=1, keepdims=True))
@@ -70,17 +66,18 @@ def text_model(texts: DataFrame, scratch: Scratch | None = None) -> tuple[list[s
 
 def text_likelihoods(rows: DataFrame, languages: list[str], table: np.ndarray) -> DataFrame:
     """rows with text replaced by ``ll``: ln p(text | language) per language, scaled to EVIDENCE windows."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table.T))
+    shared = rows.sparkSession.sparkContext.broadcast(table)
     others = [c for c in rows.columns if c != "text"]
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = Texts(part.column("text"), lower=True)
-        bucket, doc = gram_buckets(texts, GRAM, BITS)
-        n = np.bincount(doc, minlength=texts.n)
+        bucket, bounds = gram_buckets(texts, GRAM, BITS)
+        n = np.diff(bounds)
         total = np.zeros((texts.n, len(languages)))
-        if len(bucket):
-            at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-            total[doc[at]] = np.add.reduceat(shared.value[bucket], at)
+        filled = np.flatnonzero(n)
+        for k in range(len(languages)):
+            if len(filled):
+                total[filled, k] = np.add.reduceat(shared.value[k][bucket], bounds[:-1][filled])
         total *= np.minimum(1, EVIDENCE / np.maximum(n, 1))[:, None]
         lists = pa.ListArray.from_arrays(pa.array(np.arange(texts.n + 1, dtype=np.int32) * len(languages)), pa.array(total.ravel()))
         return pa.RecordBatch.from_arrays([part.column(c) for c in others] + [lists], [*others, "ll"])

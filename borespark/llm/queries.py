@@ -19,10 +19,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trusted are the documents labelled as good; their ids are joined without moving the texts' copies."""
-    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
-    docs = documents(spark, sf_dir).select("doc_id", "text").join(good, F.col("doc_id") == F.col("good_id"), "left")
-    return quality_rules.quality_rules(docs, F.col("good_id").isNotNull())
+    """Trusted are the documents labelled as good."""
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    return quality_rules.quality_rules(documents(spark, sf_dir), good)
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
