@@ -1 +1 @@
-
+"""Workloads and the operator registry."""
