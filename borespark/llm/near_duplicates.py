@@ -14,8 +14,28 @@ from borespark.llm.sketch import band_keys, prob_minhash
 
 #: Buckets of up to so many different texts are compared in full; larger ones by leaders first.
 SMALL_BUCKET = 16
-#: Leaders that every member of a larger bucket is compared with at first.
-LEADERS = 4
+#: Random leaders that every member of a larger bucket meets at first, besides two central ones.
+LEADERS = 2
+#: Registers, and low bits of each, that screen the pairs that are left in larger buckets.
+SCREEN, PLANES = 2048, 2
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def _screen(shingle: int):
+    """Bit planes of many registers of the plain (unweighted) sets: a sharp estimate of their similarity."""
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = Texts(part.column("text"))
+        element, doc = texts.shingles(shingle)
+        doc, element, _ = distinct_in(doc, element)
+        registers = prob_minhash(doc, element, np.ones(len(doc)), texts.n, SCREEN, seed=3)
+        planes = [np.packbits((registers >> np.uint64(p)).astype(np.uint8) & 1, axis=1).view(np.int64) for p in range(PLANES)]
+        return pa.RecordBatch.from_arrays([part.column("node"), _lists(np.concatenate(planes, axis=1))], ["node", "bits"])
+
+    return run
 
 
 def _sketch(bands: int, rows: int, shingle: int):
@@ -27,19 +47,13 @@ def _sketch(bands: int, rows: int, shingle: int):
         doc, element, count = distinct_in(doc, element)
         registers = prob_minhash(doc, element, 1 + np.log(count), texts.n, bands * rows)
         keys = band_keys(registers, bands, rows).view(np.int64)
-        packed = np.zeros((texts.n, (bands * rows + 63) // 64 * 64), np.uint8)
-        packed[:, : bands * rows] = (registers & np.uint64(1)).astype(np.uint8)
-        bits = np.packbits(packed, axis=1).view(np.int64)
         size = np.bincount(doc, minlength=texts.n)
 
-        def lists(x):
-            return pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-
         doc_id = part.column("doc_id").to_pandas()
         low = doc_id.groupby(back).min().reindex(range(len(first)))
         return pa.RecordBatch.from_arrays(
-            [pa.array(node[first]), pa.array(low.astype("Int64"), pa.int64(), from_pandas=True), pa.array(np.bincount(back, minlength=len(first)).astype(np.int64)), pa.array(size.astype(np.int64)), lists(bits), lists(keys)],
-            ["node", "low", "copies", "size", "bits", "bands"],
+            [pa.array(node[first]), pa.array(low.astype("Int64"), pa.int64(), from_pandas=True), pa.array(np.bincount(back, minlength=len(first)).astype(np.int64)), pa.array(size.astype(np.int64)), _lists(keys)],
+            ["node", "low", "copies", "size", "bands"],
         )
 
     return run
@@ -82,10 +96,10 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, shingle: int
     components are the classes.  A pair at similarity 0.8 is missed by all bands with probability 6e-5.
 
     Pairs never grow with the square of a bucket: buckets of up to ``SMALL_BUCKET`` texts are compared in
-    full; in a larger one each member meets ``LEADERS`` leaders, and only members that are not in one
-    component after that are compared further, screened by one-bit agreement of their registers
-    (bound: 4 standard deviations below the threshold), so no verified link between components is lost
-    by size.
+    full; in a larger one each member meets a few leaders (two central members and ``LEADERS`` random
+    ones), and only members that are not in one component after that are compared further, screened by
+    a sketch of ``SCREEN`` registers (bound: 4 standard deviations below the
+    threshold), so no link between components is lost by the size of a bucket.
 
     class_id is the smallest doc_id of the class, class_size its number of rows.  A null text counts as
     empty; texts without words are alike only if equal.  Texts of 1 to 4 words have one shingle.  Repeated
@@ -96,8 +110,8 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, shingle: int
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "near")
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    sketched = map_slices(keyed, _sketch(bands, rows, shingle), "node long, low long, copies long, size long, bits array<long>, bands array<long>")
-    nodes = scratch.keep(sketched.groupBy("node").agg(F.min("low").alias("low"), F.sum("copies").alias("copies"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "nodes")
+    sketched = map_slices(keyed, _sketch(bands, rows, shingle), "node long, low long, copies long, size long, bands array<long>")
+    nodes = scratch.keep(sketched.groupBy("node").agg(F.min("low").alias("low"), F.sum("copies").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
 
     banded = nodes.where("size > 0").select("node", F.explode("bands").alias("key"))
     buckets = scratch.keep(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1"), "buckets")
@@ -106,9 +120,15 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, shingle: int
     small = members.where(F.col("n") <= SMALL_BUCKET).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
     small = small.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.*")
     large = members.where(F.col("n") > SMALL_BUCKET)
-    order = [F.xxhash64("node", "key", F.lit(k)) for k in range(LEADERS)]
-    leaders = large.groupBy("key").agg(*[F.min(F.struct(order[k].alias("h"), F.col("node").alias("x")))["x"].alias(f"l{k}") for k in range(LEADERS)])
-    led = large.join(leaders, "key").select("node", F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(LEADERS)]))).alias("l")).where("node <> l").select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b"))
+    # a member that stands in the most company is central: the original of a group of copies, say
+    company = large.groupBy("node").agg(F.sum("n").alias("company"))
+    large = scratch.keep(large.join(company, "node"), "large")
+    half = F.pmod(F.xxhash64("node", F.lit(-1)), F.lit(2))
+    chosen = [F.max(F.when(half == h, F.struct("company", F.col("node").alias("x"))))["x"] for h in (0, 1)]
+    chosen += [F.min(F.struct(F.xxhash64("node", "key", F.lit(k)).alias("h"), F.col("node").alias("x")))["x"] for k in range(LEADERS)]
+    leaders = large.groupBy("key").agg(*[c.alias(f"l{k}") for k, c in enumerate(chosen)])
+    led = large.join(leaders, "key").select("node", F.explode(F.array_distinct(F.array_compact(F.array(*[f"l{k}" for k in range(len(chosen))])))).alias("l"))
+    led = led.where("node <> l").select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b"))
     pairs = scratch.keep(pairs.union(small).union(led).distinct(), "pairs")
 
     links = _verified(keyed, nodes, pairs, threshold, shingle, scratch)
@@ -117,16 +137,25 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, shingle: int
     # larger buckets that still hold several components: only pairs across components are left to compare
     big = large.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = big.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = big.join(mixed, "key").join(nodes.select("node", "bits", "bands", "size"), "node")
-    rest = scratch.keep(rest, "rest")
+    rest = scratch.keep(big.join(mixed, "key"), "rest")
     if not rest.isEmpty():
-        agree = bands * rows
-        p = (1 + threshold) / 2
-        slack = int(agree * (1 - p) + 4 * (agree * p * (1 - p)) ** 0.5)
+        need = rest.select("node").distinct().join(nodes.select("node", "low", "size", "bands"), "node")
+        bits = map_slices(_texts_of(keyed, need), _screen(shingle), "node long, bits array<long>", limit=256 << 10)
+        bits = bits.groupBy("node").agg(F.first("bits").alias("bits"))
+        rest = rest.join(need.join(bits, "node").select("node", "size", "bands", "bits"), "node")
+        rest = rest.withColumn("earlier", F.slice("bands", F.lit(1), (F.array_position("bands", F.col("key")) - 1).cast("int"))).drop("bands")
+        p = threshold + (1 - threshold) / 2**PLANES
+        slack = int(SCREEN * (1 - p) + 4 * (SCREEN * p * (1 - p)) ** 0.5)
+        rest = scratch.keep(rest, "screen")
         x, y = rest.select([F.col(c).alias(f"x_{c}") for c in rest.columns]), rest.select([F.col(c).alias(f"y_{c}") for c in rest.columns])
-        unequal = F.aggregate(F.zip_with("x_bits", "y_bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-        first = F.element_at(F.filter(F.zip_with("x_bands", "y_bands", lambda p, q: F.when(p == q, p)), lambda v: v.isNotNull()), 1)
-        across = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_component") < F.col("y_component")) & (F.least("x_size", "y_size") >= threshold * F.greatest("x_size", "y_size") - 1e-9) & (unequal <= slack) & (first == F.col("x_key")))
+        words = SCREEN // 64
+        differ = F.zip_with("x_bits", "y_bits", lambda p, q: p.bitwiseXOR(q))
+        for k in range(1, PLANES):
+            differ = F.zip_with(F.slice(differ, 1, words), F.slice(differ, k * words + 1, words), lambda p, q: p.bitwiseOR(q))
+        unequal = F.aggregate(differ, F.lit(0), lambda total, w: total + F.bit_count(w))
+        new = ~F.arrays_overlap("x_earlier", "y_earlier")  # the pair's first common bucket alone compares it
+        sized = F.least("x_size", "y_size") >= threshold * F.greatest("x_size", "y_size") - 1e-9
+        across = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_component") < F.col("y_component")) & sized & new & (unequal <= slack))
         more = across.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
         more = scratch.keep(more.distinct().join(pairs, ["a", "b"], "left_anti"), "more")
         links = links.union(_verified(keyed, nodes, more, threshold, shingle, scratch))
@@ -145,13 +174,18 @@ def _verified(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: f
     pairs = pairs.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("node").alias("b"), F.col("size").alias("sb")), "b")
     pairs = scratch.keep(pairs.where(F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9).select("a", "b"), "sized")
     need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "low"), "node")
-    texts = keyed.join(need.withColumnRenamed("node", "n"), (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("low"))).select("node", "text")
-    sets = map_slices(texts, _sets(shingle), "node long, elements binary")
+    sets = map_slices(_texts_of(keyed, need), _sets(shingle), "node long, elements binary")
     sets = scratch.keep(sets.groupBy("node").agg(F.first("elements").alias("elements")), "sets")
     ready = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b")
     return scratch.keep(ready.mapInArrow(_verify(threshold), "a long, b long"), "links")
 
 
+def _texts_of(keyed: DataFrame, need: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in need (node, low): the text of the document with the smallest id of each."""
+    ids = need.select(F.col("node").alias("n"), "low")
+    return keyed.join(ids, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("low"))).select("node", "text")
+
+
 def keep_one_of_each(docs: DataFrame, scratch: Scratch | None = None, **options) -> DataFrame:
     """The rows of docs, with all their columns, that represent their class: one row of each class.
 
