@@ -22,6 +22,7 @@ class Interface:
 
     def __init__(self, *columns: C):
         self.vp1, self.vs1, self.rho1, self.vp2, self.vs2, self.rho2 = (col(c) for c in (columns or NAMES))
+        self.vp1, self.vp2 = (F.nullif(v, F.lit(0.0)) for v in (self.vp1, self.vp2))
         self.vp, self.vs, self.rho = (0.5 * (a + b) for a, b in ((self.vp1, self.vp2), (self.vs1, self.vs2), (self.rho1, self.rho2)))
         # relative contrasts
         self.p, self.s, self.r = (self.vp2 - self.vp1) / self.vp, (self.vs2 - self.vs1) / self.vs, (self.rho2 - self.rho1) / self.rho
@@ -104,7 +105,7 @@ def zoeppritz_real(i: Interface, angle: Column) -> Column:
     p2 = p * p
     t2, f1, f2 = _asin(p * i.vp2), _asin(p * i.vs1), _asin(p * i.vs2)
     one, two = F.cos(a) / i.vp1, F.cos(t2) / i.vp2
-    sone, stwo = F.cos(f1) / i.vs1, F.cos(f2) / i.vs2
+    sone, stwo = F.try_divide(F.cos(f1), i.vs1), F.try_divide(F.cos(f2), i.vs2)
     w1, w2 = i.rho1 * (1.0 - 2.0 * _sin2(f1)), i.rho2 * (1.0 - 2.0 * _sin2(f2))
     ka, kb, kc = w2 - w1, w2 + 2.0 * i.rho1 * _sin2(f1), w1 + 2.0 * i.rho2 * _sin2(f2)
     kd = 2.0 * (i.rho2 * i.vs2 * i.vs2 - i.rho1 * i.vs1 * i.vs1)

@@ -20,5 +20,5 @@ def derive(stream: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
 
 def window_summary(stream: DataFrame, keys: list[str], time: str, value: str, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """Count, mean, least and greatest value per key and event-time window; rows later than ``late`` are left out."""
-    rows = stream.withWatermark(time, late).groupBy(F.window(time, window), *keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+    rows = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window), *keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("greatest"))
     return rows.select(*keys, F.col("window.start").alias("start"), "n", "mean", "least", "greatest")
