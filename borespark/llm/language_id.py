@@ -23,7 +23,7 @@ NONE = ""
 
 def visible_text(html: Column) -> Column:
     """A page's text without scripts, styles, comments and tags."""
-    return F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>", " ")
+    return F.trim(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>", " "))
 
 
 def host_of(url: Column) -> Column:

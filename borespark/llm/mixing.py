@@ -22,7 +22,7 @@ def water_fill(children: DataFrame, parent: list[str], order: list[str]) -> Data
     lack altogether uses less than its budget.  Ties go by ``order``.
     """
     # children in the order in which they run dry as the water rises
-    rising = Window.partitionBy(*parent).orderBy((F.col("cap") / F.col("weight")).asc_nulls_last(), *order)
+    rising = Window.partitionBy(*parent).orderBy(F.try_divide(F.col("cap"), F.col("weight")).asc_nulls_last(), *order)
     before, rest = rising.rowsBetween(Window.unboundedPreceding, -1), rising.rowsBetween(0, Window.unboundedFollowing)
     c = children.withColumn("cap", F.when(F.col("weight") > 0, F.col("cap")).otherwise(0))
     c = c.withColumns({"__c": F.coalesce(F.sum("cap").over(before), F.lit(0)), "__w": F.sum("weight").over(rest)})
