@@ -85,6 +85,28 @@ def porosity_fraction(phi: C, unit: str | None = None) -> Column:
     return F.when((phi >= 0) & (value <= 1.0), value)
 
 
+def velocity_by_unit(v: C, unit: str | None) -> Column:
+    """m/s by unit alone: feet or kilometres per second, else as given."""
+    v, name = finite(col(v)), (unit or "").strip().lower().replace(" ", "")
+    if "ft/s" in name:
+        return v * 0.3048
+    return v * 1000.0 if "km/s" in name else v
+
+
+def slowness_by_unit(s: C, unit: str | None) -> Column:
+    """As ``slowness_to_velocity``, but a unit of microseconds per metre or foot decides first."""
+    s, name = finite(col(s)), (unit or "").strip().lower().replace(" ", "")
+    if "us/m" in name or "us/ft" in name:
+        return F.when(s > 0, (1e6 if "us/m" in name else 304800.0) / s)
+    return slowness_to_velocity(s)
+
+
+def density_by_unit(rho: C, unit: str | None) -> Column:
+    """g/cc by unit, else as given."""
+    rho, name = finite(col(rho)), (unit or "").strip().lower().replace(" ", "")
+    return rho / 1000.0 if "kg/m3" in name or "kg/m^3" in name else rho
+
+
 def index_in_metres(x: C, unit: str) -> Column:
     factor = {"M": 1.0, "FT": 0.3048, ".1IN": 0.00254}
     return col(x) * factor[unit.strip().upper()]

@@ -85,6 +85,15 @@ def profile(x: Column, knots: Column, values: Column, how: str = "linear") -> Co
     return F.get(values, F.greatest(at, F.lit(0)))
 
 
+def map_depth(xs: Column, ys: Column, x: Column) -> Column:
+    """Linear map between two rising arrays that carries on beyond their ends; one pair gives its value."""
+    n = F.size(xs)
+    k = F.greatest(F.lit(0), F.least(n - 2, F.size(F.filter(xs, lambda v: v < x)) - 1))
+    x0, x1, y0, y1 = F.get(xs, k), F.get(xs, k + 1), F.get(ys, k), F.get(ys, k + 1)
+    line = F.when(x1 == x0, y0).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
+    return F.when(n == 0, x).when(n == 1, F.get(ys, F.lit(0))).otherwise(line)
+
+
 def blend(control: Column, tendency: Column, weight: float) -> Column:
     if not 0 <= weight <= 1:
         raise ValueError("the weight is in [0, 1]")

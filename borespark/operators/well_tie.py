@@ -42,6 +42,41 @@ def best_shift(pairs: DataFrame, keys: Sequence[str], synthetic: str, trace: str
     return best.select(*keys, (-F.col("b.l")).alias("lag"), F.col("b.correlation").alias("correlation"))
 
 
+def section_at_well(px: Column, py: Column, origin: tuple, inline: tuple, xline: tuple, n_il: int, n_xl: int) -> Column:
+    """struct(axis, section, trace, spacing): the section through a well's surface location.
+
+    The section runs along the line with the smaller trace spacing; numbers are rounded, below 0 there is
+    none, beyond the end the last one counts.
+    """
+    det = inline[0] * xline[1] - inline[1] * xline[0]
+    kind = "struct<axis:string,section:bigint,trace:bigint,spacing:double>"
+    if abs(det) <= 2.220446049250313e-16:
+        return F.lit(None).cast(kind)
+    dx, dy = px - origin[0], py - origin[1]
+    i, x = F.round((dx * xline[1] - dy * xline[0]) / det), F.round((dy * inline[0] - dx * inline[1]) / det)
+    si, sx = max(1.0, float(np.hypot(*inline))), max(1.0, float(np.hypot(*xline)))
+    il, xl = F.least(i, F.lit(n_il - 1)).cast("long"), F.least(x, F.lit(n_xl - 1)).cast("long")
+    along = F.struct(F.lit("inline").alias("axis"), il.alias("section"), xl.alias("trace"), F.lit(sx).alias("spacing")) if sx <= si else F.struct(F.lit("xline").alias("axis"), xl.alias("section"), il.alias("trace"), F.lit(si).alias("spacing"))
+    return F.when((i >= 0) & (x >= 0), along)
+
+
+def mean_step(times: Column) -> Column:
+    """Mean of the positive steps of an array of times."""
+    steps = F.filter(F.zip_with(F.slice(times, F.lit(2), F.size(times)), F.slice(times, F.lit(1), F.greatest(F.lit(0), F.size(times) - 1)), lambda b, a: b - a), lambda d: d > 0)
+    return F.when(F.size(steps) > 0, F.aggregate(steps, F.lit(0.0), lambda a, d: a + d) / F.size(steps))
+
+
+def align_traces(df: DataFrame, interval_ms: float, stretch: float, shift: float, column: str = "amplitude") -> DataFrame:
+    """df with its traces under a stretch about their middle time and a shift, in one Arrow pass."""
+    from borespark.operators.traces import as_doubles, map_traces
+
+    def work(x: np.ndarray) -> np.ndarray:
+        times = np.arange(x.shape[1]) * interval_ms
+        return np.stack([align(times, row, (times[0] + times[-1]) / 2, stretch, shift) for row in x])
+
+    return map_traces(df.withColumn(column, as_doubles(column)), work, column)
+
+
 def corrected_time(time_ms: Column, middle: Column | float, stretch: Column | float, shift: Column | float) -> Column:
     """Observation times after a correction: stretched about the middle, then shifted."""
     middle = F.lit(middle) if not isinstance(middle, Column) else middle
