@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from borespark.llm.common import Scratch, crc_part
-from borespark.llm.kernels import U64, Texts, mix, stream
+from borespark.llm.kernels import U64, Texts, mix, slices, stream
 
 #: Text bytes of one block of documents; its n-grams are held by one task.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
+#: Text bytes that a task looks at at a time.
+PART_BYTES = 1 << 20
 #: Blocks' worth of n-grams that one counting task merges.
-BLOCKS_PER_SHARD = 3
+BLOCKS_PER_SHARD = 2
 #: Pseudo-count of the lower order in each state's distribution.
 BACKOFF_MASS = 400.0
 _BEGIN, _END = (int(x) for x in stream(99, 2))
@@ -93,30 +97,40 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
-def _sorted_keys(texts: Texts, order: int, train: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per order the distinct n-grams of a block with how often training texts have them."""
-    grams, _, bounds = token_grams(texts, order)
-    weight = np.repeat(train, np.diff(bounds))
-    out = []
-    for gram in grams:
-        rank = np.argsort(gram)
-        ordered = gram[rank]
-        new = np.ones(len(ordered), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        at = np.flatnonzero(new)
-        counts = np.add.reduceat(weight[rank].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
-        out.append((ordered[at], counts))
-    return out
+def _parts(table: pa.Table) -> Iterator[tuple[Texts, pa.RecordBatch]]:
+    """The block's texts, some at a time."""
+    for batch in table.combine_chunks().to_batches():
+        for part in slices(batch, limit=PART_BYTES):
+            yield Texts(part.column("text"), lower=True), part
+
+
+def _reduce(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the sums of their counts."""
+    rank = np.argsort(keys, kind="stable")
+    keys, counts = keys[rank], counts[rank]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.add.reduceat(counts, at) if len(at) else counts[:0]
+
+
+def _block_counts(table: pa.Table, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per order the distinct n-grams of a block, sorted, with how often its training texts have them."""
+    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order)]
+    for texts, part in _parts(table):
+        grams, _, bounds = token_grams(texts, order)
+        held = np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), bool)
+        weight = np.repeat(~held, np.diff(bounds)).astype(np.int64)
+        for own, gram in zip(found, grams, strict=True):
+            own.append(_reduce(gram, weight))
+    empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return [_reduce(np.concatenate([k for k, _ in own]), np.concatenate([c for _, c in own])) if own else empty for own in found]
 
 
 def _count_block(order: int, shards: int):
     edges = np.array([(1 << 64) * s // shards for s in range(1, shards)], np.uint64)
 
     def run(key, table):
-        texts = Texts(table.column("text"), lower=True)
-        train = ~np.asarray(table.column("held_out").to_numpy(), bool)
         rows = []
-        for n, (keys, counts) in enumerate(_sorted_keys(texts, order, train), 1):
+        for n, (keys, counts) in enumerate(_block_counts(table, order), 1):
             cut = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
             for s in range(shards):
                 own = keys[cut[s] : cut[s + 1]]
@@ -145,11 +159,9 @@ def _merge_shard(key, table):
     )
 
 
-def _score_block(order: int, tokens: int, types: int, begins: int, mass: float, id_type: pa.DataType):
+def _score_block(order: int, tokens: int, types: int, begins: int, mass: float):
     def run(key, docs, answers):
-        texts = Texts(docs.column("text"), lower=True)
-        grams, begin, bounds = token_grams(texts, order)
-        keys = [np.unique(g) for g in grams]
+        keys = [k for k, _ in _block_counts(docs, order)]
         counts = []
         for n in range(1, order + 1):
             own = answers.filter(pc.equal(answers.column("n"), n)).sort_by("shard")
@@ -157,16 +169,13 @@ def _score_block(order: int, tokens: int, types: int, begins: int, mass: float,
             counts.append(np.concatenate(got) if got else np.zeros(0, np.uint64))
             if len(counts[-1]) != len(keys[n - 1]):
                 raise ValueError("a block of documents changed between counting and scoring")
-        logs, base, seen = Automaton(keys, counts, tokens, types, begins, mass).traverse(grams, begin)
-        at = bounds[:-1]
-
-        def total(x):
-            return np.add.reduceat(x, at) if len(at) else x[:0]
-
-        return pa.table(
-            [docs.column("doc_id"), docs.column("held_out"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(total((seen > 0).astype(np.int64))), pa.array(np.full(texts.n, tokens, np.int64)), pa.array(total(base)), pa.array(total(logs))],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
+        automaton, out = Automaton(keys, counts, tokens, types, begins, mass), []
+        for texts, part in _parts(docs):
+            grams, begin, bounds = token_grams(texts, order)
+            logs, base, seen = automaton.traverse(grams, begin)
+            sums = [np.add.reduceat(x, bounds[:-1]) for x in ((seen > 0).astype(np.int64), base, logs)]
+            out.append(pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(sums[0]), pa.array(np.full(texts.n, tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -200,7 +209,7 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = 2, mass: float =
     id_type = docs.schema["doc_id"].dataType.simpleString()
     answers = merged.where("block >= 0").select("block", "shard", "n", "counts").repartition(blocks, "block")
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _score_block(order, tokens, types, begins, mass, None),
+        _score_block(order, tokens, types, begins, mass),
         f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
 
