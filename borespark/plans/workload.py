@@ -7,6 +7,7 @@ crosslines and gathers by label.  Computed doubles are rounded alike on both sid
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,8 @@ def register(name: str, sql: str | None = None):
     def keep(function):
         QUERIES[name] = function
         if sql:
-            ORACLES[name] = sql
+            # a rounded value is never -0.0, on either side
+            ORACLES[name] = re.sub(r"(?<=, )ROUND\(|(?<=SELECT )ROUND\(", "CAST(0 AS DOUBLE) + ROUND(", sql)
         return function
 
     return keep
@@ -33,7 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r6(x: Column | str, digits: int = 6) -> Column:
-    return F.round(x, digits)
+    """Rounded, without negative zeros."""
+    return F.round(x, digits) + F.lit(0.0)
 
 
 # --- roles

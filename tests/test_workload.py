@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from borespark.plans import workload, workload_frames, workload_more, workload_traces  # noqa: F401
@@ -22,7 +23,7 @@ def duck():
 
 def plain(df):
     def value(x):
-        if x is None or (isinstance(x, float) and np.isnan(x)):
+        if x is None or x is pd.NA or (isinstance(x, float) and np.isnan(x)):
             return None
         return float(x) if isinstance(x, int | float | np.number) and not isinstance(x, bool | np.bool_) else str(x)
 
