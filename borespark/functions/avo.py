@@ -140,21 +140,37 @@ class Complex:
         return Complex(F.when(x >= 0, F.sqrt(F.abs(x))).otherwise(0.0), F.when(x < 0, F.sqrt(F.abs(x))).otherwise(0.0))
 
 
-def zoeppritz(i: Interface, angle: Column) -> Complex:
-    """The exact PP coefficient at any angle; a fluid's shear velocity counts as 0.1."""
+def with_zoeppritz(rows: DataFrame, angle: str = "angle") -> DataFrame:
+    """rows with re and im of the exact PP coefficient at any angle; a fluid's shear velocity counts as 0.1.
+
+    Terms are named columns, stage by stage, so that none is computed (or compiled) twice.
+    """
+    i = Interface()
+    own = rows.columns
     vs1, vs2 = (F.when(v <= 1e-6, 0.1).otherwise(v) for v in (i.vs1, i.vs2))
-    p = F.sin(F.radians(angle)) / i.vp1
-    p2 = p * p
-    m1, m2 = vs1 * vs1, vs2 * vs2
+    rows = rows.withColumns({"__m1": vs1 * vs1, "__m2": vs2 * vs2, "__p2": F.pow(F.sin(F.radians(angle)) / i.vp1, F.lit(2.0))})
+    m1, m2, p2 = F.col("__m1"), F.col("__m2"), F.col("__p2")
     w1, w2 = i.rho1 * (1.0 - 2.0 * m1 * p2), i.rho2 * (1.0 - 2.0 * m2 * p2)
-    a, b, c = Complex(w2 - w1), Complex(w2 + 2.0 * i.rho1 * m1 * p2), Complex(w1 + 2.0 * i.rho2 * m2 * p2)
-    d, p2c = Complex(2.0 * (i.rho2 * m2 - i.rho1 * m1)), Complex(p2)
-    z1, z2, j1, j2 = (Complex.root(1.0 / (v * v) - p2) for v in (i.vp1, i.vp2, vs1, vs2))
-    e, f, g, h = b * z1 + c * z2, b * j1 + c * j2, a - d * z1 * j2, a - d * z2 * j1
-    below = e * f + g * h * p2c
-    out = ((b * z1 - c * z2) * f - (a + d * z1 * j2) * h * p2c) / below
-    sound = (F.abs(below.re) > EPSILON) | (F.abs(below.im) > EPSILON)
-    return Complex(F.when(sound, out.re), F.when(sound, out.im))
+    stage = {"__a": w2 - w1, "__b": w2 + 2.0 * i.rho1 * m1 * p2, "__c": w1 + 2.0 * i.rho2 * m2 * p2, "__d": 2.0 * (i.rho2 * m2 - i.rho1 * m1)}
+    for name, square in (("z1", i.vp1 * i.vp1), ("z2", i.vp2 * i.vp2), ("j1", m1), ("j2", m2)):
+        stage[f"__{name}"] = 1.0 / square - p2  # its root is real or imaginary
+    rows = rows.withColumns(stage)
+    a, b, c, d = (Complex(F.col(f"__{n}")) for n in "abcd")
+    z1, z2, j1, j2 = (Complex.root(F.col(f"__{n}")) for n in ("z1", "z2", "j1", "j2"))
+    rows = _named(rows, {"bz": b * z1, "cz": c * z2, "f": b * j1 + c * j2, "dzj": d * z1 * j2, "h": a - d * z2 * j1})
+    bz, cz, f, dzj, h = (_pair(n) for n in ("bz", "cz", "f", "dzj", "h"))
+    rows = _named(rows, {"below": (bz + cz) * f + (a - dzj) * h * Complex(p2), "top": (bz - cz) * f - (a + dzj) * h * Complex(p2)})
+    below = _pair("below")
+    out, sound = _pair("top") / below, (F.abs(below.re) > EPSILON) | (F.abs(below.im) > EPSILON)
+    return rows.select(*own, F.when(sound, out.re).alias("re"), F.when(sound, out.im).alias("im"))
+
+
+def _named(rows: DataFrame, values: dict[str, Complex]) -> DataFrame:
+    return rows.withColumns({f"__{n}_{part}": getattr(v, part) for n, v in values.items() for part in ("re", "im")})
+
+
+def _pair(name: str) -> Complex:
+    return Complex(F.col(f"__{name}_re"), F.col(f"__{name}_im"))
 
 
 METHODS: dict[str, Callable[[Interface, Column], Column]] = {
@@ -169,8 +185,7 @@ def reflectivity(interfaces: DataFrame, angles: list[float], method: str = "shue
         raise ValueError("angles are in [0, 90)")
     rows = interfaces.withColumn("angle", F.explode(F.array(*[F.lit(float(a)) for a in angles])))
     if method == "zoeppritz":
-        value = zoeppritz(Interface(), F.col("angle"))
-        return rows.withColumns({"re": value.re, "im": value.im})
+        return with_zoeppritz(rows)
     value = METHODS[method](Interface(), F.col("angle"))
     if strict:
         value = F.when(value.isNull(), F.raise_error(F.lit(f"{method}: no reflectivity for this medium and angle"))).otherwise(value)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPSILON = 2.220446049250313e-16
@@ -183,25 +183,26 @@ class Fluids:
     rho_after: float = 0.2
 
 
-def gassmann(vp: C, vs: C, rho: C, phi: C, fluids: Fluids = Fluids()) -> dict[str, Column]:
-    """Density, Vp and Vs after fluid substitution; NULL where a modulus loses its sense."""
-    vp, vs, r, f = col(vp), col(vs), density_gcc(rho), porosity_fraction(phi)
-    density = F.when((r - f * fluids.rho_before + f * fluids.rho_after) > 0, r - f * fluids.rho_before + f * fluids.rho_after)
-    shear = r * vs * vs * 1e-6
-    bulk = r * vp * vp * 1e-6 - 4.0 / 3.0 * shear
-    sound = (vp > 0) & (vs > 0) & (f > 0) & (shear > 0) & (bulk > 0) & (F.abs(fluids.mineral_k - bulk) > EPSILON)
-    if min(abs(fluids.mineral_k - fluids.k_before), abs(fluids.mineral_k - fluids.k_after)) <= EPSILON:
-        sound = F.lit(False)
-        ratio = F.lit(None).cast("double")
-    else:
-        ratio = bulk / (fluids.mineral_k - bulk) - fluids.k_before / (f * (fluids.mineral_k - fluids.k_before)) + fluids.k_after / (f * (fluids.mineral_k - fluids.k_after))
-    after = F.when(F.abs(1.0 + ratio) > EPSILON, ratio * fluids.mineral_k / (1.0 + ratio))
-    sound = sound & (after > 0) & density.isNotNull()
-    return {
-        "density": density,
-        "vp": F.when(sound, F.sqrt((after + 4.0 / 3.0 * shear) / density) * 1000.0),
-        "vs": F.when(sound, F.sqrt(shear / density) * 1000.0),
-    }
+def with_gassmann(rows: DataFrame, vp: C, vs: C, rho: C, phi: C, fluids: Fluids = Fluids(), names: tuple[str, str, str] = ("density", "vp_after", "vs_after")) -> DataFrame:
+    """rows with density, Vp and Vs after fluid substitution; NULL where a modulus loses its sense.
+
+    Moduli are named columns, stage by stage, so that none is computed twice.
+    """
+    own = [c for c in rows.columns if c not in names]
+    rows = rows.withColumns({"__vp": col(vp), "__vs": col(vs), "__r": density_gcc(rho), "__f": porosity_fraction(phi)})
+    p, s, r, f = (F.col(f"__{n}") for n in ("vp", "vs", "r", "f"))
+    rows = rows.withColumns({"__g": r * s * s * 1e-6, "__d": r - f * fluids.rho_before + f * fluids.rho_after})
+    rows = rows.withColumn("__k", r * p * p * 1e-6 - 4.0 / 3.0 * F.col("__g"))
+    k, g, d = F.col("__k"), F.col("__g"), F.col("__d")
+    before, after = fluids.mineral_k - fluids.k_before, fluids.mineral_k - fluids.k_after
+    sound = (p > 0) & (s > 0) & (f > 0) & (g > 0) & (k > 0) & (d > 0) & (F.abs(fluids.mineral_k - k) > EPSILON) & F.lit(min(abs(before), abs(after)) > EPSILON)
+    ratio = F.try_divide(k, fluids.mineral_k - k) - F.try_divide(F.lit(fluids.k_before), f * before) + F.try_divide(F.lit(fluids.k_after), f * after)
+    rows = rows.withColumn("__t", F.when(sound, ratio))
+    t = F.col("__t")
+    rows = rows.withColumn("__after", F.when(F.abs(1.0 + t) > EPSILON, t * fluids.mineral_k / (1.0 + t)))
+    stiff = F.col("__after") > 0
+    values = (F.when(d > 0, d), F.when(stiff, F.sqrt((F.col("__after") + 4.0 / 3.0 * g) / d) * 1000.0), F.when(stiff, F.sqrt(g / d) * 1000.0))
+    return rows.select(*own, *[v.alias(n) for v, n in zip(values, names, strict=True)])
 
 
 def chi_projection(intercept: C, gradient: C, chi: float) -> Column:

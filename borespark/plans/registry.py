@@ -190,10 +190,11 @@ def built_in() -> Registry:
         run, ins, ps = _column(function, *inputs, parameters=parameters)
         r.add(Operator(id, Family.LOG, run, ins, ps))
     fluids = tuple(Parameter(n, default=d, least=1e-6) for n, d in asdict(petro.Fluids()).items())
-    for part in ("density", "vp", "vs"):
+    for number, part in enumerate(("density", "vp", "vs")):
 
-        def substitute(df, vp, vs, rho, phi, part=part, **settled):
-            return df.withColumn("value", petro.gassmann(vp, vs, rho, phi, petro.Fluids(**settled))[part])
+        def substitute(df, vp, vs, rho, phi, number=number, **settled):
+            names = tuple("value" if k == number else f"__other{k}" for k in range(3))
+            return petro.with_gassmann(df, vp, vs, rho, phi, petro.Fluids(**settled), names).drop(*[n for n in names if n != "value"])
 
         r.add(Operator(f"gassmann_{part}", Family.LOG, substitute, (vp, vs, rho, phi), fluids))
     keys = (Parameter("keys", "text", "well"), Parameter("order", "text", "row_idx"))

@@ -106,9 +106,18 @@ formula("p21_density_gcc", lambda: petro.density_gcc("rho"), _RHO)
 formula("p22_porosity_fraction", lambda: petro.porosity_fraction("phi"), _PHI)
 _GASS = f"""CASE WHEN vp > 0 AND vs > 0 THEN (SELECT CASE WHEN f > 0 AND g > 0 AND k > 0 AND a > 0 AND d > 0 THEN %s END FROM (SELECT *, t * 37.0 / (1.0 + t) AS a FROM (SELECT *, k / (37.0 - k) - CAST(2.3 AS DOUBLE) / (f * (37.0 - CAST(2.3 AS DOUBLE))) + CAST(0.05 AS DOUBLE) / (f * (37.0 - CAST(0.05 AS DOUBLE))) AS t FROM
  (SELECT *, r * vp * vp * 1e-6 - CAST(4 AS DOUBLE) / 3.0 * g AS k, r - f * 1.0 + f * CAST(0.2 AS DOUBLE) AS d FROM (SELECT *, r * vs * vs * 1e-6 AS g FROM (SELECT {_RHO} AS r, {_PHI} AS f)))))) END"""
-formula("p18_gassmann_density", lambda: petro.gassmann("vp", "vs", "rho", "phi")["density"], f"(SELECT CASE WHEN r - f + f * CAST(0.2 AS DOUBLE) > 0 THEN r - f + f * CAST(0.2 AS DOUBLE) END FROM (SELECT {_RHO} AS r, {_PHI} AS f))")
-formula("p19_gassmann_vp", lambda: petro.gassmann("vp", "vs", "rho", "phi")["vp"], _GASS % "SQRT((a + CAST(4 AS DOUBLE) / 3.0 * g) / d) * 1000.0", 4)
-formula("p20_gassmann_vs", lambda: petro.gassmann("vp", "vs", "rho", "phi")["vs"], _GASS % "SQRT(g / d) * 1000.0", 4)
+
+
+def _gassmann(name: str, column: str, sql: str, digits: int) -> None:
+    def run(spark, sf_dir):
+        return petro.with_gassmann(elastic(spark, sf_dir), "vp", "vs", "rho", "phi").select("ok", "ln", r6(column, digits).alias("value"))
+
+    register(name, f"WITH {ELASTIC} SELECT ok, ln, ROUND({sql}, {digits}) AS value FROM elastic")(run)
+
+
+_gassmann("p18_gassmann_density", "density", f"(SELECT CASE WHEN r - f + f * CAST(0.2 AS DOUBLE) > 0 THEN r - f + f * CAST(0.2 AS DOUBLE) END FROM (SELECT {_RHO} AS r, {_PHI} AS f))", 6)
+_gassmann("p19_gassmann_vp", "vp_after", _GASS % "SQRT((a + CAST(4 AS DOUBLE) / 3.0 * g) / d) * 1000.0", 4)
+_gassmann("p20_gassmann_vs", "vs_after", _GASS % "SQRT(g / d) * 1000.0", 4)
 formula("p23_azimuth", lambda: petro.normalise_azimuth(F.col("gr") * 5.0 - 300.0), "CAST(((gr * 5.0 - 300.0) - 360.0 * FLOOR((gr * 5.0 - 300.0) / 360.0)) AS DOUBLE)")
 formula("p27_chi_projection", lambda: petro.chi_projection(F.col("vp") / 1000.0, F.col("vs") / 1000.0, 25.0), "(vp / 1000.0) * COS(RADIANS(25.0)) + (vs / 1000.0) * SIN(RADIANS(25.0))")
 formula("p28_fluid_factor", lambda: petro.fluid_factor(F.col("vp"), F.col("vs"), 1.16), "vs - CAST(1.16 AS DOUBLE) * vp", 9)

@@ -29,10 +29,10 @@ def w01_moving_average(spark, sf_dir):
     return frames.moving_average(logs(spark, sf_dir), W, ORDER, "v", 5).select("id", r6("smooth").alias("smooth"))
 
 
-@register("w03_moving_average_even", f"WITH {LOGS} SELECT id, ROUND(AVG(v) {_OVER.format(a=2, b=2)}, 6) AS smooth FROM logs WHERE event_type = 'click'")
+@register("w03_moving_average_even", f"WITH {LOGS} SELECT id, ROUND(AVG(v) {_OVER.format(a=2, b=2)}, 6) AS smooth FROM logs")
 def w03_moving_average_even(spark, sf_dir):
     """An even window becomes the next odd one."""
-    return frames.moving_average(logs(spark, sf_dir).where("event_type = 'click'"), W, ORDER, "v", 4).select("id", r6("smooth").alias("smooth"))
+    return frames.moving_average(logs(spark, sf_dir), W, ORDER, "v", 4).select("id", r6("smooth").alias("smooth"))
 
 
 @register("p02_z_score", f"WITH {LOGS} SELECT id, ROUND(CASE WHEN STDDEV_POP(v) OVER w < 2.3e-16 THEN CASE WHEN v IS NOT NULL THEN 0.0 END ELSE (v - AVG(v) OVER w) / STDDEV_POP(v) OVER w END, 6) AS z FROM logs WINDOW w AS (PARTITION BY well)")

@@ -10,7 +10,7 @@ from borespark.functions import petro
 from borespark.operators import frames, gathers, grid, time_depth, traces, well_tie
 from borespark.plans.registry import Family, built_in
 from borespark.plans.workload import ELASTIC, LOGS, elastic, formula, logs, r6, register, table
-from borespark.plans.workload_traces import INLINE, INTERVAL, ORIGIN, WIDTH, XLINE, depth_curves, pairs, samples, volume
+from borespark.plans.workload_traces import INLINE, INTERVAL, LINES, ORIGIN, WIDTH, XLINE, depth_curves, pairs, samples, volume
 from borespark.sources.logs import apply_null_policy, typed
 
 formula("p30_slowness_by_unit", lambda: petro.slowness_by_unit("dt", "US/M"), "CASE WHEN dt > 0 THEN 1000000.0 / dt END")
@@ -131,10 +131,10 @@ def d04_interval_overlay(spark, sf_dir):
     return frames.interval_velocity(rows, ["vec_id"], "ms", "z").select("vec_id", F.col("t").cast("long").alias("t"), r6("velocity", 4).alias("velocity"))
 
 
-@register("k01_section_at_well", f"SELECT vec_id, 'inline' AS axis, CAST(LEAST(19, FLOOR(vec_id / {WIDTH})) AS BIGINT) AS section, vec_id % {WIDTH} AS trace FROM embeddings")
+@register("k01_section_at_well", f"SELECT vec_id, 'inline' AS axis, CAST(FLOOR(vec_id / {WIDTH}) AS BIGINT) AS section, vec_id % {WIDTH} AS trace FROM embeddings")
 def k01_section_at_well(spark, sf_dir):
     i, x = F.floor(F.col("vec_id") / WIDTH), F.col("vec_id") % WIDTH
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", well_tie.section_at_well(1000.0 + 25.0 * i - 5.0 * x + 2.0, 2000.0 + 5.0 * i + 25.0 * x - 1.0, ORIGIN, INLINE, XLINE, 20, WIDTH).alias("s"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", well_tie.section_at_well(1000.0 + 25.0 * i - 5.0 * x + 2.0, 2000.0 + 5.0 * i + 25.0 * x - 1.0, ORIGIN, INLINE, XLINE, LINES, WIDTH).alias("s"))
     return rows.select("vec_id", "s.axis", "s.section", "s.trace")
 
 

@@ -8,6 +8,8 @@ from borespark.operators import gathers, grid, neighborhood, time_depth, traces,
 from borespark.plans.workload import r6, register, table
 
 WIDTH, INTERVAL = 25, 4.0
+#: Lines of the grid; more than any table has.
+LINES = 1_000_000
 
 
 def volume(spark, sf_dir):
@@ -210,7 +212,8 @@ def depth_curves(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     times = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i * INTERVAL)
     v = F.transform(F.col("embedding").cast("array<double>"), lambda x: 2000.0 + 100.0 * x)
-    return e.select("vec_id", F.col("embedding").cast("array<double>").alias("amplitude"), times.alias("times"), v.alias("v")).withColumn("depths", time_depth.depth_curve(F.col("times"), F.col("v")))
+    rows = e.select("vec_id", F.col("embedding").cast("array<double>").alias("amplitude"), v.alias("depths"))
+    return time_depth.integrate_traces(rows, INTERVAL, column="depths").withColumn("times", times)
 
 
 @register("d10_depth_curve", f"WITH {_TZ} SELECT vec_id, t, ROUND(z, 6) AS x FROM z")
@@ -281,7 +284,7 @@ def d02_depth_conversion(spark, sf_dir):
 def j10_nearest_source(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").where("vec_id % 61 = 0")
     sources = e.select(F.lit(1).alias("survey"), F.col("vec_id").alias("source"), F.floor(F.col("vec_id") / WIDTH).alias("i"), (F.col("vec_id") % WIDTH).alias("x"))
-    return time_depth.assign_sources(sources, ["survey"], (20, WIDTH), ((25.0, 0.0), (0.0, 12.5)))
+    return time_depth.assign_sources(sources, ["survey"], (e.selectExpr("max(vec_id)").first()[0] // WIDTH + 1, WIDTH), ((25.0, 0.0), (0.0, 12.5)))
 
 
 # --- grids
@@ -289,23 +292,23 @@ def j10_nearest_source(spark, sf_dir):
 ORIGIN, INLINE, XLINE = (1000.0, 2000.0), (25.0, 5.0), (-5.0, 25.0)
 
 
-@register("j07_snap", f"WITH p AS (SELECT vec_id, FLOOR(vec_id / {WIDTH}) + CAST(embedding[1] AS DOUBLE) AS i, vec_id % {WIDTH} + CAST(embedding[2] AS DOUBLE) AS x FROM embeddings), q AS (SELECT vec_id, (25.0 * (25.0 * i - 5.0 * x) + 5.0 * (5.0 * i + 25.0 * x)) / 650.0 AS i, (25.0 * (5.0 * i + 25.0 * x) - 5.0 * (25.0 * i - 5.0 * x)) / 650.0 AS x FROM p) SELECT vec_id, CAST(ROUND(i) AS BIGINT) AS i, CAST(ROUND(x) AS BIGINT) AS x FROM q WHERE ABS(i - ROUND(i)) <= 0.3 AND ABS(x - ROUND(x)) <= 0.3 AND ROUND(i) BETWEEN 0 AND 19 AND ROUND(x) BETWEEN 0 AND 24")
+@register("j07_snap", f"WITH p AS (SELECT vec_id, FLOOR(vec_id / {WIDTH}) + CAST(embedding[1] AS DOUBLE) AS i, vec_id % {WIDTH} + CAST(embedding[2] AS DOUBLE) AS x FROM embeddings), q AS (SELECT vec_id, (25.0 * (25.0 * i - 5.0 * x) + 5.0 * (5.0 * i + 25.0 * x)) / 650.0 AS i, (25.0 * (5.0 * i + 25.0 * x) - 5.0 * (25.0 * i - 5.0 * x)) / 650.0 AS x FROM p) SELECT vec_id, CAST(ROUND(i) AS BIGINT) AS i, CAST(ROUND(x) AS BIGINT) AS x FROM q WHERE ABS(i - ROUND(i)) <= 0.3 AND ABS(x - ROUND(x)) <= 0.3 AND ROUND(i) >= 0 AND ROUND(x) BETWEEN 0 AND 24")
 def j07_snap(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     i, x = F.floor(F.col("vec_id") / WIDTH) + F.get("embedding", F.lit(0)).cast("double"), F.col("vec_id") % WIDTH + F.get("embedding", F.lit(1)).cast("double")
     rows = e.select("vec_id", (1000.0 + 25.0 * i - 5.0 * x).alias("px"), (2000.0 + 5.0 * i + 25.0 * x).alias("py"))
-    cell = grid.snap(F.col("px"), F.col("py"), ORIGIN, INLINE, XLINE, 20, WIDTH, tolerance=0.3)
+    cell = grid.snap(F.col("px"), F.col("py"), ORIGIN, INLINE, XLINE, LINES, WIDTH, tolerance=0.3)
     return rows.withColumn("c", cell).where("c is not null").select("vec_id", "c.i", "c.x")
 
 
-@register("h01_horizon_import", f"SELECT CAST(FLOOR(vec_id / {WIDTH}) AS BIGINT) AS i, vec_id % {WIDTH} AS x, CAST(vec_id AS DOUBLE) AS z FROM embeddings WHERE vec_id < 500")
+@register("h01_horizon_import", f"SELECT CAST(FLOOR(vec_id / {WIDTH}) AS BIGINT) AS i, vec_id % {WIDTH} AS x, CAST(vec_id AS DOUBLE) AS z FROM embeddings")
 def h01_horizon_import(spark, sf_dir):
     """Each node is given twice; the later row wins."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 500").withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    e = table(spark, sf_dir, "embeddings").withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
     i, x = F.floor(F.col("vec_id") / WIDTH), F.col("vec_id") % WIDTH
     z = F.when(F.col("again") == 1, F.col("vec_id").cast("double")).otherwise(-1.0)
     pts = e.select((1000.0 + 25.0 * i - 5.0 * x).alias("x"), (2000.0 + 5.0 * i + 25.0 * x).alias("y"), z.alias("z"), "again")
-    return grid.import_horizon(pts, "again", ORIGIN, INLINE, XLINE, 20, WIDTH, check=False)
+    return grid.import_horizon(pts, "again", ORIGIN, INLINE, XLINE, LINES, WIDTH, check=False)
 
 
 @register("h03_horizon_on_section", f"WITH h AS (SELECT CAST(FLOOR(vec_id / {WIDTH}) AS BIGINT) AS il, vec_id % {WIDTH} AS xl, CAST(vec_id AS DOUBLE) * 7.3 AS z FROM embeddings) SELECT xl, CASE WHEN z / 4.0 BETWEEN -0.5 AND 63.5 THEN CAST(GREATEST(0, LEAST(63, ROUND(z / 4.0))) AS BIGINT) END AS sample FROM h WHERE il = 1")
@@ -347,23 +350,23 @@ def j06_regularise(spark, sf_dir):
     return g.select("il", "xl", "occupied", r6(F.get("amplitude", F.lit(0))).alias("first"))
 
 
-_GRID = f"WITH {D}, s AS (SELECT il, xl, UNNEST(RANGE(64)) AS t, UNNEST(a) AS x FROM v WHERE il < 20), n AS (SELECT UNNEST(RANGE(39)) AS i), m AS (SELECT UNNEST(RANGE(49)) AS j)"
+_GRID = f"WITH {D}, s AS (SELECT il, xl, UNNEST(RANGE(64)) AS t, UNNEST(a) AS x FROM v), big AS (SELECT MAX(il) AS bi, MAX(xl) AS bj FROM v), n AS (SELECT UNNEST(RANGE(2 * bi + 1)) AS i, bi FROM big), m AS (SELECT UNNEST(RANGE(2 * bj + 1)) AS j, bj FROM big)"
 
 
 @register("u01_refine_linear", f"{_GRID} SELECT i AS il, j AS xl, t, ROUND(AVG(x), 6) AS x FROM n, m JOIN s ON s.il IN (i // 2, (i + 1) // 2) AND s.xl IN (j // 2, (j + 1) // 2) GROUP BY i, j, t")
 def u01_refine_linear(spark, sf_dir):
-    return samples(grid.refine_linear(dense(spark, sf_dir).where("il < 20")))
+    return samples(grid.refine_linear(dense(spark, sf_dir)))
 
 
 _CUBIC = "CASE WHEN d IN (0, 1) THEN 0.5625 ELSE -0.0625 END"
 
 
-@register("u02_refine_cubic", f"""{_GRID}, wi AS (SELECT i, i // 2 + d AS il, CASE WHEN i % 2 = 0 THEN 1.0 ELSE {_CUBIC} END AS w, i % 2 = 1 AND (i // 2 = 0 OR i // 2 + 1 >= 19) AS edge, i % 2 = 1 AS odd, d FROM n, (SELECT UNNEST([-1, 0, 1, 2]) AS d) WHERE i % 2 = 1 OR d = 0),
- wj AS (SELECT j, j // 2 + d AS xl, CASE WHEN j % 2 = 0 THEN 1.0 ELSE {_CUBIC} END AS w, j % 2 = 1 AND (j // 2 = 0 OR j // 2 + 1 >= 24) AS edge, j % 2 = 1 AS odd, d FROM m, (SELECT UNNEST([-1, 0, 1, 2]) AS d) WHERE j % 2 = 1 OR d = 0),
+@register("u02_refine_cubic", f"""{_GRID}, wi AS (SELECT i, i // 2 + d AS il, CASE WHEN i % 2 = 0 THEN 1.0 ELSE {_CUBIC} END AS w, i % 2 = 1 AND (i // 2 = 0 OR i // 2 + 1 >= bi) AS edge, i % 2 = 1 AS odd, d FROM n, (SELECT UNNEST([-1, 0, 1, 2]) AS d) WHERE i % 2 = 1 OR d = 0),
+ wj AS (SELECT j, j // 2 + d AS xl, CASE WHEN j % 2 = 0 THEN 1.0 ELSE {_CUBIC} END AS w, j % 2 = 1 AND (j // 2 = 0 OR j // 2 + 1 >= bj) AS edge, j % 2 = 1 AS odd, d FROM m, (SELECT UNNEST([-1, 0, 1, 2]) AS d) WHERE j % 2 = 1 OR d = 0),
  p AS (SELECT i, j, wi.il, wj.xl, CASE WHEN wi.edge OR wj.edge THEN CASE WHEN wi.d IN (0, 1) AND wj.d IN (0, 1) THEN (CASE WHEN wi.odd THEN 0.5 ELSE 1.0 END) * (CASE WHEN wj.odd THEN 0.5 ELSE 1.0 END) ELSE 0.0 END ELSE wi.w * wj.w END AS w FROM wi, wj)
  SELECT i AS il, j AS xl, t, ROUND(SUM(x * w), 6) AS x FROM p JOIN s USING (il, xl) GROUP BY i, j, t""")
 def u02_refine_cubic(spark, sf_dir):
-    return samples(grid.refine_cubic(dense(spark, sf_dir).where("il < 20")))
+    return samples(grid.refine_cubic(dense(spark, sf_dir)))
 
 
 @register("u03_thin", f"WITH {D} SELECT il // 2 AS il, xl // 2 AS xl, ROUND(a[1], 6) AS first FROM v WHERE il % 2 = 0 AND xl % 2 = 0")

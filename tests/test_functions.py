@@ -41,10 +41,10 @@ def test_elastic_set(spark):
 
 
 def test_gassmann(spark):
-    parts = petro.gassmann("vp", "vs", "rho", "phi")
-    df = spark.createDataFrame([(2600.0, 1450.0, 2250.0, 24.0)], "vp double, vs double, rho double, phi double")
-    r = df.select(*[v.alias(k) for k, v in parts.items()]).first()
-    assert (r["density"], r["vp"], r["vs"]) == pytest.approx((2.058, 1964.8205678316335, 1516.130470473614))
+    df = spark.createDataFrame([(2600.0, 1450.0, 2250.0, 24.0), (0.0, 1450.0, 2.2, 0.2), (None, 1450.0, 2.2, 0.0)], "vp double, vs double, rho double, phi double")
+    r, *bad = petro.with_gassmann(df, "vp", "vs", "rho", "phi").collect()
+    assert (r["density"], r["vp_after"], r["vs_after"]) == pytest.approx((2.058, 1964.8205678316335, 1516.130470473614))
+    assert all(x["vp_after"] is None is x["vs_after"] for x in bad)
 
 
 def test_reflectivity(spark):
