@@ -61,15 +61,17 @@ def suffix_table(histogram: DataFrame) -> DataFrame:
     """
     h = histogram.groupBy("length").agg(F.sum("docs").alias("docs")).withColumn("tokens", F.col("length") * F.col("docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
     sums = h.groupBy("block").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t"))
-    total = sums.agg(F.sum("d").alias("all_docs"), F.sum("t").alias("all_tokens"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("block", F.coalesce(F.sum("d").over(before), F.lit(0)).alias("d0"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"))
+    blocks = Window.orderBy("block")  # a row per block of lengths
+    before, everything = blocks.rowsBetween(Window.unboundedPreceding, -1), blocks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = sums.select(
+        "block", F.coalesce(F.sum("d").over(before), F.lit(0)).alias("d0"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"),
+        F.sum("d").over(everything).alias("all_docs"), F.sum("t").over(everything).alias("all_tokens"),
+    )
     inside = Window.partitionBy("block").orderBy("length").rowsBetween(Window.unboundedPreceding, -1)
     h = h.join(sums, "block").withColumns({
         "docs_below": F.col("d0") + F.coalesce(F.sum("docs").over(inside), F.lit(0)),
         "tokens_below": F.col("t0") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)),
     })
-    h = h.crossJoin(F.broadcast(total))  # one row
     return h.select(
         "length", "docs", "tokens",
         (F.col("all_docs") - F.col("docs_below")).alias("docs_at_least"),
@@ -82,17 +84,19 @@ def suffix_table(histogram: DataFrame) -> DataFrame:
 
 def context_limits(suffixes: DataFrame, limits: list[int]) -> DataFrame:
     """Per context limit: docs that fit, docs cut, tokens kept, tokens lost.  Any limit is answered exactly."""
-    table = suffixes.sparkSession.createDataFrame([(int(x),) for x in limits], "limit long")
-    s = suffixes.select("length", "docs", "tokens")
-    total = s.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("all_docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))
-    # the fitting part of every limit in one pass over the lengths
-    parts = [F.struct(F.lit(int(x)).alias("limit"), F.coalesce(F.sum(F.when(F.col("length") <= x, F.col("docs"))), F.lit(0)).alias("docs_fit"), F.coalesce(F.sum(F.when(F.col("length") <= x, F.col("tokens"))), F.lit(0)).alias("tokens_fit")).alias(f"p{i}") for i, x in enumerate(limits)]
-    fit = s.agg(*parts).select(F.explode(F.array(*[F.col(f"p{i}") for i in range(len(limits))])).alias("p")).select("p.*")
-    return table.join(fit.select(F.col("limit").cast("long").alias("limit"), "docs_fit", "tokens_fit"), "limit").crossJoin(F.broadcast(total)).select(
-        "limit", "docs_fit", (F.col("all_docs") - F.col("docs_fit")).alias("docs_cut"),
-        (F.col("tokens_fit") + F.col("limit") * (F.col("all_docs") - F.col("docs_fit"))).alias("tokens_kept"),
-        (F.col("all_tokens") - F.col("tokens_fit") - F.col("limit") * (F.col("all_docs") - F.col("docs_fit"))).alias("tokens_lost"),
-    )
+    length, docs, tokens = F.col("length"), F.col("docs"), F.col("tokens")
+
+    def total(x):
+        return F.coalesce(F.sum(x), F.lit(0))
+
+    parts = []  # every limit's sums, in one pass over the lengths
+    for k, limit in enumerate(limits):
+        fits, cut = length <= limit, length > limit
+        parts.append(F.struct(
+            F.lit(int(limit)).cast("long").alias("limit"), total(F.when(fits, docs)).alias("docs_fit"), total(F.when(cut, docs)).alias("docs_cut"),
+            total(F.when(fits, tokens).otherwise(limit * docs)).alias("tokens_kept"), total(F.when(cut, tokens - limit * docs)).alias("tokens_lost"),
+        ).alias(f"p{k}"))
+    return suffixes.agg(*parts).select(F.explode(F.array(*[F.col(f"p{k}") for k in range(len(limits))])).alias("p")).select("p.*")
 
 
 def length_quantiles(suffixes: DataFrame, shares: list[float]) -> DataFrame:
