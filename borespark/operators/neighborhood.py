@@ -1,11 +1,12 @@
 """Operators over the traces around each trace: similarity, local statistics, dip.
 
-Traces travel to their neighbours' positions by an equi-join on shifted line numbers (each trace is sent
-to the (2 r1 + 1)(2 r2 + 1) positions around it), never by a comparison of all pairs.
+Volumes are cut into square tiles with a rim of neighbours, and each tile is computed as one cube
+(``by_tile``); ``gather_around`` gives the pairs themselves as rows, by an equi-join on shifted line numbers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from borespark.operators.traces import as_doubles
 
 TINY, FLAT = 1e-6, 1e-9
+#: Lines and crosslines of a tile.
+TILE = 32
 
 
 @dataclass(frozen=True)
@@ -42,8 +45,8 @@ def gather_around(df: DataFrame, around: Around) -> DataFrame:
     return own.withColumnRenamed("near", "center").join(sent, ["il", "xl"])
 
 
-def similarity(df: DataFrame, interval_ms: float, around: Around) -> DataFrame:
-    """il, xl, amplitude: mean |normalised cross-correlation| of each gate with the traces around it."""
+def similarity_expression(df: DataFrame, interval_ms: float, around: Around) -> DataFrame:
+    """As ``similarity`` by array expressions on joined rows, JVM-side; for short gates."""
     half = around.half(interval_ms)
     near = gather_around(df, around).where("di <> 0 or dx <> 0")
     n = F.size("center")
@@ -68,53 +71,153 @@ def similarity(df: DataFrame, interval_ms: float, around: Around) -> DataFrame:
     return alone.join(out, ["il", "xl"], "left").select("il", "xl", F.coalesce("amplitude", "zero").alias("amplitude"))
 
 
-def similarity_fast(df: DataFrame, interval_ms: float, around: Around) -> DataFrame:
-    """As ``similarity`` by running sums in NumPy: the cost per sample doesn't grow with the gate."""
-    half = around.half(interval_ms)
+def by_tile(df: DataFrame, interval_ms: float, around: Around, work, outputs: Sequence[str], tile: int = TILE) -> DataFrame:
+    """il, xl and the output arrays of every occupied trace, computed on square tiles with a rim of neighbours.
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        center = np.stack(pdf["center"].to_numpy())
-        near = np.stack(pdf["near"].to_numpy())
-        n = center.shape[1]
-        lo, hi = np.maximum(np.arange(n) - half, 0), np.minimum(np.arange(n) + half + 1, n)
+    A trace goes to its own tile and to those whose rim it belongs to, so about (1 + 2 r / tile)**2 times the
+    volume moves, not (2 r + 1)**2 times.  ``work`` gets the tile as a cube [lines, crosslines, samples] with
+    rim, its occupancy, and the gate's half length, and returns the outputs' cubes without the rim.
+    Traces shorter than the longest of their tile are filled up with zeros and cut again.
+    """
+    half, r1, r2 = around.half(interval_ms), around.inline, around.xline
+    own = df.where(F.col("amplitude").isNotNull()).select(F.col("il").cast("long").alias("il"), F.col("xl").cast("long").alias("xl"), as_doubles("amplitude").alias("a"))
 
-        def gate(x):
-            total = np.concatenate([np.zeros((len(x), 1)), np.cumsum(x, axis=1)], axis=1)
-            return total[:, hi] - total[:, lo]
+    def tiles(column, r):
+        return F.explode(F.sequence(F.floor((F.col(column) - r) / tile), F.floor((F.col(column) + r) / tile)))
 
-        ea, eb = np.sqrt(np.maximum(gate(center**2), 0)), np.sqrt(np.maximum(gate(near**2), 0))
-        below = ea * eb
-        c = np.where((ea > TINY) & (below > TINY), np.clip(np.abs(gate(center * near)) / np.where(below > TINY, below, 1), 0, 1), 0)
-        return pd.DataFrame({"il": pdf["il"], "xl": pdf["xl"], "c": list(c), "n": 1})
+    sent = own.withColumn("ti", tiles("il", r1)).withColumn("tx", tiles("xl", r2))
 
-    near = gather_around(df, around).where("di <> 0 or dx <> 0").select("il", "xl", "center", "near")
-    per = near.mapInPandas(lambda it: (work(p) for p in it if len(p)), "il long, xl long, c array<double>, n long")
-    per = per.select("il", "xl", F.posexplode("c").alias("t", "c")).groupBy("il", "xl", "t").agg(F.avg("c").alias("c"))
-    return per.groupBy("il", "xl").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "c"))), lambda p: p["c"]).alias("amplitude"))
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        i0, x0 = int(key[0]) * tile, int(key[1]) * tile
+        i, x = (pdf["il"] - i0 + r1).to_numpy(), (pdf["xl"] - x0 + r2).to_numpy()
+        size = pdf["a"].map(len).to_numpy()
+        cube, there = np.zeros((tile + 2 * r1, tile + 2 * r2, size.max())), np.zeros((tile + 2 * r1, tile + 2 * r2), bool)
+        for row, p, q in zip(pdf["a"], i, x, strict=True):
+            cube[p, q, : len(row)] = row
+        there[i, x] = True
+        inner = (i >= r1) & (i < tile + r1) & (x >= r2) & (x < tile + r2)
+        out = work(cube, there, half) if inner.any() else [cube] * len(outputs)
+        places = list(zip(i[inner] - r1, x[inner] - r2, size[inner], strict=True))
+        columns = {"il": pdf["il"][inner].to_numpy(), "xl": pdf["xl"][inner].to_numpy()}
+        return pd.DataFrame(columns | {name: pd.Series([values[k, m, :n] for k, m, n in places], dtype=object) for name, values in zip(outputs, out, strict=True)})
 
+    return sent.groupBy("ti", "tx").applyInPandas(run, "il long, xl long, " + ", ".join(f"{o} array<double>" for o in outputs))
 
-def local_statistics(df: DataFrame, interval_ms: float, around: Around) -> DataFrame:
-    """il, xl, t, mean, rms, variance (population), least, greatest over gate and traces around, itself included.
 
-    Each trace first adds up its own gates (five numbers per sample), so the traces around are combined by
-    a plain grouped sum.
-    """
-    half = around.half(interval_ms)
-    x, n = F.col("x"), F.size("x")
+def _inner(cube: np.ndarray, r1: int, r2: int, di: int = 0, dx: int = 0) -> np.ndarray:
+    """The cube without its rim, seen from a neighbour (di, dx)."""
+    return cube[r1 + di : cube.shape[0] - r1 + di, r2 + dx : cube.shape[1] - r2 + dx]
+
+
+def _gates(n: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.maximum(np.arange(n) - half, 0), np.minimum(np.arange(n) + half + 1, n)
+
+
+def _sums(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Sums over [lo, hi) along the samples."""
+    total = np.zeros((*x.shape[:-1], x.shape[-1] + 1))
+    np.cumsum(x, axis=-1, out=total[..., 1:])
+    return total[..., hi] - total[..., lo]
 
-    def stats(_, i):
-        low = F.greatest(i - half, F.lit(0))
-        g = F.slice(x, low + 1, F.least(i + half + 1, n) - low)
-        return F.struct(F.size(g).alias("n"), F.aggregate(g, F.lit(0.0), lambda s, v: s + v).alias("s"), F.aggregate(g, F.lit(0.0), lambda s, v: s + v * v).alias("q"), F.array_min(g).alias("lo"), F.array_max(g).alias("hi"))
 
-    own = df.where(F.col("amplitude").isNotNull()).select("il", "xl", as_doubles("amplitude").alias("x"))
-    gates = own.select("il", "xl", F.posexplode(F.transform("x", stats)).alias("t", "g")).select("il", "xl", "t", "g.*")
-    steps = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dx")) for i in range(-around.inline, around.inline + 1) for j in range(-around.xline, around.xline + 1)])
-    sent = gates.withColumn("d", F.explode(steps)).select((F.col("il") - F.col("d.di")).alias("il"), (F.col("xl") - F.col("d.dx")).alias("xl"), "t", "n", "s", "q", "lo", "hi")
-    out = sent.groupBy("il", "xl", "t").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("lo").alias("least"), F.max("hi").alias("greatest"))
-    out = out.join(own.select("il", "xl"), ["il", "xl"], "left_semi")
-    mean = F.col("s") / F.col("n")
-    return out.select("il", "xl", F.col("t").cast("long").alias("t"), mean.alias("mean"), F.sqrt(F.col("q") / F.col("n")).alias("rms"), F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean).alias("variance"), "least", "greatest")
+def _offsets(around: Around, itself: bool) -> list[tuple[int, int]]:
+    return [(i, x) for i in range(-around.inline, around.inline + 1) for x in range(-around.xline, around.xline + 1) if itself or i or x]
+
+
+def similarity(df: DataFrame, interval_ms: float, around: Around, tile: int = TILE) -> DataFrame:
+    """il, xl, amplitude: mean |normalised cross-correlation| of each gate with the occupied traces around it.
+
+    Running sums: the cost per sample doesn't grow with the gate.  A trace without neighbours gives zeros.
+    """
+    r1, r2 = around.inline, around.xline
+
+    def work(cube, there, half):
+        lo, hi = _gates(cube.shape[2], half)
+        norms = np.sqrt(np.maximum(_sums(cube * cube, lo, hi), 0))
+        center, size = _inner(cube, r1, r2), _inner(norms, r1, r2)
+        total, count = np.zeros(center.shape), np.zeros(center.shape[:2])
+        for di, dx in _offsets(around, False):
+            near = _inner(there, r1, r2, di, dx)
+            below = size * _inner(norms, r1, r2, di, dx)
+            dot = np.abs(_sums(center * _inner(cube, r1, r2, di, dx), lo, hi))
+            sound = (size > TINY) & (below > TINY) & near[:, :, None]
+            total += np.where(sound, np.minimum(dot / np.where(sound, below, 1), 1), 0)
+            count += near
+        return [total / np.maximum(count, 1)[:, :, None]]
+
+    return by_tile(df, interval_ms, around, work, ["amplitude"], tile)
+
+
+def local_statistics(df: DataFrame, interval_ms: float, around: Around, tile: int = TILE) -> DataFrame:
+    """il, xl and arrays mean, rms, variance (population), least, greatest over gate and traces around, itself included."""
+    r1, r2 = around.inline, around.xline
+
+    def work(cube, there, half):
+        n = cube.shape[2]
+        lo, hi = _gates(n, half)
+        sums, squares = _sums(cube, lo, hi), _sums(cube * cube, lo, hi)
+        least, greatest = np.full(cube.shape, np.inf), np.full(cube.shape, -np.inf)
+        for k in range(-half, half + 1):
+            at, to = slice(max(0, k), min(n, n + k)), slice(max(0, -k), min(n, n - k))
+            least[..., to], greatest[..., to] = np.minimum(least[..., to], cube[..., at]), np.maximum(greatest[..., to], cube[..., at])
+        s, q, m, a, b = (np.zeros(_inner(cube, r1, r2).shape) for _ in range(5))
+        a[:], b[:] = np.inf, -np.inf
+        for di, dx in _offsets(around, True):
+            near = _inner(there, r1, r2, di, dx)[:, :, None]
+            s += np.where(near, _inner(sums, r1, r2, di, dx), 0)
+            q += np.where(near, _inner(squares, r1, r2, di, dx), 0)
+            m += near * (hi - lo)
+            a, b = np.minimum(a, np.where(near, _inner(least, r1, r2, di, dx), np.inf)), np.maximum(b, np.where(near, _inner(greatest, r1, r2, di, dx), -np.inf))
+        m = np.maximum(m, 1)
+        return [s / m, np.sqrt(np.maximum(q / m, 0)), np.maximum(q / m - (s / m) ** 2, 0), a, b]
+
+    return by_tile(df, interval_ms, around, work, ["mean", "rms", "variance", "least", "greatest"], tile)
+
+
+def dip(df: DataFrame, interval_ms: float, around: Around, tile: int = TILE) -> DataFrame:
+    """il, xl and arrays inline_dip, xline_dip (ms per trace), azimuth (degrees), steepness.
+
+    Per neighbour the lag whose gate correlates best in magnitude with the center's (near-ties go to the
+    smaller lag) is one observation of a plane, weighted by the correlation; the plane is fitted per sample
+    and falls back to one line where the other has no spread (``best_lag`` and ``fit_dip`` define it).
+    """
+    r1, r2 = around.inline, around.xline
+
+    def work(cube, there, half):
+        n = cube.shape[2]
+        most, (lo, hi) = max(1, half), _gates(n, half)
+        energy = np.zeros((*cube.shape[:2], n + 1))
+        np.cumsum(cube * cube, axis=2, out=energy[..., 1:])
+        norm = np.sqrt(np.maximum(_inner(energy[..., hi] - energy[..., lo], r1, r2), 0))
+        center = _inner(cube, r1, r2)
+        a, b, c, d, e = (np.zeros(center.shape) for _ in range(5))
+        for di, dx in _offsets(around, False):
+            other, power = _inner(cube, r1, r2, di, dx), _inner(energy, r1, r2, di, dx)
+            best, weight = np.zeros(center.shape), np.zeros(center.shape)
+            for lag in range(-most, most + 1):
+                fits = (lo + lag >= 0) & (hi + lag <= n)
+                shifted = np.zeros(center.shape)
+                at, to = slice(max(0, lag), min(n, n + lag)), slice(max(0, -lag), min(n, n - lag))
+                shifted[..., to] = other[..., at]
+                l2, h2 = np.clip(lo + lag, 0, n), np.clip(hi + lag, 0, n)
+                below = norm * np.sqrt(np.maximum(power[..., h2] - power[..., l2], 0))
+                sound = below > TINY
+                w = np.where(sound, np.minimum(np.abs(_sums(center * shifted, lo, hi)) / np.where(sound, below, 1), 1), 0)
+                take = fits & ((w > weight + TINY) | ((np.abs(w - weight) <= TINY) & (abs(lag) < np.abs(best))))
+                best, weight = np.where(take, lag, best), np.where(take, w, weight)
+            weight = np.where((weight > TINY) & (norm > TINY) & _inner(there, r1, r2, di, dx)[:, :, None], weight, 0)
+            shift = best * interval_ms
+            a, b, c = a + weight * di * di, b + weight * di * dx, c + weight * dx * dx
+            d, e = d + weight * di * shift, e + weight * dx * shift
+        det = a * c - b * b
+        plane, line_i, line_x = np.abs(det) > FLAT, np.abs(a) > FLAT, np.abs(c) > FLAT
+        safe = lambda x, ok: np.where(ok, x, 1)
+        i = np.where(plane, (d * c - b * e) / safe(det, plane), np.where(line_i, d / safe(a, line_i), 0))
+        x = np.where(plane, (a * e - b * d) / safe(det, plane), np.where(~line_i & line_x, e / safe(c, line_x), 0))
+        flat = (np.abs(i) <= TINY) & (np.abs(x) <= TINY)
+        return [i, x, np.where(flat, 0, np.degrees(np.arctan2(x, i)) % 360), np.hypot(i, x)]
+
+    return by_tile(df, interval_ms, around, work, ["inline_dip", "xline_dip", "azimuth", "steepness"], tile)
 
 
 def best_lag(center: np.ndarray, start: int, near: np.ndarray, most: int) -> tuple[int, float] | None:
@@ -143,33 +246,3 @@ def fit_dip(observations: list[tuple[int, int, float, float]]) -> tuple[float, f
     if abs(a) > FLAT:
         return float(d / a), 0.0
     return (0.0, float(e / c)) if abs(c) > FLAT else (0.0, 0.0)
-
-
-def dip(df: DataFrame, interval_ms: float, around: Around) -> DataFrame:
-    """il, xl, inline_dip, xline_dip (ms per trace), azimuth (degrees), steepness per sample, as arrays."""
-    half = around.half(interval_ms)
-    most = max(1, half)
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        center = np.asarray(pdf["center"].iloc[0])
-        pdf = pdf.sort_values(["di", "dx"])
-        rows = [(r.di, r.dx, np.asarray(r.near)) for r in pdf.itertuples() if r.di or r.dx]
-        out = []
-        for t in range(len(center)):
-            lo, hi = max(0, t - half), min(len(center), t + half + 1)
-            gate = center[lo:hi]
-            found = []
-            if np.sqrt((gate**2).sum()) > TINY:
-                for di, dx, near in rows:
-                    hit = best_lag(gate, lo, near, most)
-                    if hit:
-                        found.append((di, dx, hit[0] * interval_ms, hit[1]))
-            i, x = fit_dip(found)
-            flat = abs(i) <= TINY and abs(x) <= TINY
-            out.append((i, x, 0.0 if flat else float(np.degrees(np.arctan2(x, i)) % 360), float(np.hypot(i, x))))
-        a, b, c, d = (list(v) for v in zip(*out, strict=True)) if out else ([], [], [], [])
-        return pd.DataFrame({"il": [pdf["il"].iloc[0]], "xl": [pdf["xl"].iloc[0]], "inline_dip": [a], "xline_dip": [b], "azimuth": [c], "steepness": [d]})
-
-    near = gather_around(df, around)
-
-    return near.groupBy("il", "xl").applyInPandas(work, "il long, xl long, inline_dip array<double>, xline_dip array<double>, azimuth array<double>, steepness array<double>")

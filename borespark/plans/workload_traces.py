@@ -136,8 +136,10 @@ AROUND = neighborhood.Around(1, 1, 24.0)
 
 @register("n02_local_statistics", f"WITH {_NEAR}, c AS (SELECT a.il, a.xl, a.t, b.x FROM s a, d JOIN s b ON b.il = a.il + di AND b.xl = a.xl + dx AND b.t BETWEEN a.t - 3 AND a.t + 3) SELECT il, xl, t, ROUND(AVG(x), 6) AS mean, ROUND(SQRT(AVG(x * x)), 6) AS rms, ROUND(GREATEST(0, AVG(x * x) - AVG(x) * AVG(x)), 6) AS variance, ROUND(MIN(x), 6) AS least, ROUND(MAX(x), 6) AS greatest FROM c GROUP BY il, xl, t")
 def n02_local_statistics(spark, sf_dir):
+    names = ("mean", "rms", "variance", "least", "greatest")
     s = neighborhood.local_statistics(volume(spark, sf_dir), INTERVAL, AROUND)
-    return s.select("il", "xl", "t", *[r6(c).alias(c) for c in ("mean", "rms", "variance", "least", "greatest")])
+    s = s.select("il", "xl", F.posexplode(F.arrays_zip(*names)).alias("t", "v"))
+    return s.select("il", "xl", F.col("t").cast("long").alias("t"), *[r6(F.col(f"v.{c}")).alias(c) for c in names])
 
 
 _SIM = f"WITH {_NEAR}, c AS (SELECT a.il, a.xl, a.t, di, dx, SUM(g.x * b.x) AS p, SUM(g.x * g.x) AS q, SUM(b.x * b.x) AS r FROM s a JOIN s g ON g.il = a.il AND g.xl = a.xl AND g.t BETWEEN a.t - 3 AND a.t + 3, d JOIN s b ON b.il = a.il + di AND b.xl = a.xl + dx AND b.t = g.t WHERE di <> 0 OR dx <> 0 GROUP BY a.il, a.xl, a.t, di, dx) SELECT il, xl, t, ROUND(AVG(CASE WHEN SQRT(q) * SQRT(r) <= 1e-6 THEN 0 ELSE LEAST(1, ABS(p) / (SQRT(q) * SQRT(r))) END), 6) AS x FROM c GROUP BY il, xl, t"
@@ -145,12 +147,12 @@ _SIM = f"WITH {_NEAR}, c AS (SELECT a.il, a.xl, a.t, di, dx, SUM(g.x * b.x) AS p
 
 @register("n01_similarity", _SIM)
 def n01_similarity(spark, sf_dir):
-    return samples(neighborhood.similarity_fast(volume(spark, sf_dir), INTERVAL, AROUND))
+    return samples(neighborhood.similarity(volume(spark, sf_dir), INTERVAL, AROUND))
 
 
 @register("n01_similarity_expression", _SIM)
 def n01_similarity_expression(spark, sf_dir):
-    return samples(neighborhood.similarity(volume(spark, sf_dir), INTERVAL, AROUND))
+    return samples(neighborhood.similarity_expression(volume(spark, sf_dir), INTERVAL, AROUND))
 
 
 @register("n03_dip")

@@ -124,9 +124,33 @@ def test_dip_of_a_dipping_event(spark):
     df = spark.createDataFrame(rows, "il long, xl long, amplitude array<double>")
     d = {(r["il"], r["xl"]): r for r in neighborhood.dip(df, 4.0, neighborhood.Around(1, 1, 48.0)).collect()}
     assert d[2, 2]["inline_dip"][32] == pytest.approx(4.0, abs=0.3) and d[2, 2]["xline_dip"][32] == pytest.approx(0, abs=0.3)
-    s = {(r["il"], r["xl"]): r["amplitude"] for r in neighborhood.similarity(df, 4.0, neighborhood.Around(1, 1, 24.0)).collect()}
-    f = {(r["il"], r["xl"]): r["amplitude"] for r in neighborhood.similarity_fast(df, 4.0, neighborhood.Around(1, 1, 24.0)).collect()}
-    assert all(np.allclose(s[k], f[k], atol=1e-6) for k in s)
+    s = {(r["il"], r["xl"]): r["amplitude"] for r in neighborhood.similarity_expression(df, 4.0, neighborhood.Around(1, 1, 24.0)).collect()}
+    f = {(r["il"], r["xl"]): r["amplitude"] for r in neighborhood.similarity(df, 4.0, neighborhood.Around(1, 1, 24.0), tile=2).collect()}
+    assert s.keys() == f.keys() and all(np.allclose(s[k], f[k], atol=1e-6) for k in s)
+
+
+@pytest.mark.parametrize("tile", [3, 32])
+def test_dip_on_tiles_equals_the_walk(spark, tile):
+    r = np.random.default_rng(2)
+    cube = {(i, x): np.convolve(r.normal(size=40), np.hanning(7), "same") for i in range(-2, 5) for x in range(6) if (i + x) % 5}
+    df = spark.createDataFrame([(i, x, a.tolist()) for (i, x), a in cube.items()] + [(9, 9, None)], "il long, xl long, amplitude array<double>")
+    around = neighborhood.Around(1, 2, 36.0)
+    half = around.half(4.0)
+    got = {(row["il"], row["xl"]): row for row in neighborhood.dip(df, 4.0, around, tile=tile).collect()}
+    assert got.keys() == cube.keys()
+    for (i, x), a in cube.items():
+        for t in range(0, 40, 3):
+            lo, hi = max(0, t - half), min(40, t + half + 1)
+            seen = []
+            for di in range(-1, 2):
+                for dx in range(-2, 3):
+                    near = cube.get((i + di, x + dx))
+                    hit = neighborhood.best_lag(a[lo:hi], lo, near, half) if near is not None and (di or dx) else None
+                    if hit:
+                        seen.append((di, dx, hit[0] * 4.0, hit[1]))
+            want = neighborhood.fit_dip(seen)
+            row = got[i, x]
+            assert (row["inline_dip"][t], row["xline_dip"][t]) == pytest.approx(want, abs=1e-6)
 
 
 def test_velocity_scan_finds_the_velocity(spark):
