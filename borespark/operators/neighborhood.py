@@ -87,7 +87,7 @@ def by_tile(df: DataFrame, interval_ms: float, around: Around, work, outputs: Se
 
     sent = own.withColumn("ti", tiles("il", r1)).withColumn("tx", tiles("xl", r2))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         i0, x0 = int(key[0]) * tile, int(key[1]) * tile
         i, x = (pdf["il"] - i0 + r1).to_numpy(), (pdf["xl"] - x0 + r2).to_numpy()
         size = pdf["a"].map(len).to_numpy()
