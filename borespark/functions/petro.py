@@ -107,14 +107,23 @@ def density_by_unit(rho: C, unit: str | None) -> Column:
     return rho / 1000.0 if "kg/m3" in name or "kg/m^3" in name else rho
 
 
+#: Depth units by their spellings (fixed values), and their metres.
+DEPTH_UNITS = {"FT": ("FT", "F", "FEET", "FOOT"), "M": ("M", "METER", "METERS", "METRE", "METRES"), ".1IN": (".1IN", "0.1IN", ".1INCH", "0.1INCH")}
+METRES = {"FT": 0.3048, "M": 1.0, ".1IN": 0.00254}
+
+
+def depth_unit(unit: str | None) -> str | None:
+    """FT, M or .1IN; None for other units."""
+    name = (unit or "").strip().upper()
+    return next((u for u, names in DEPTH_UNITS.items() if name in names), None)
+
+
 def index_in_metres(x: C, unit: str) -> Column:
-    factor = {"M": 1.0, "FT": 0.3048, ".1IN": 0.00254}
-    return col(x) * factor[unit.strip().upper()]
+    return col(x) * METRES[depth_unit(unit)]
 
 
 def index_in_feet(x: C, unit: str) -> Column:
-    factor = {"M": 1 / 0.3048, "FT": 1.0, ".1IN": 1 / 120.0}
-    return col(x) * factor[unit.strip().upper()]
+    return col(x) / 120.0 if depth_unit(unit) == ".1IN" else col(x) * (METRES[depth_unit(unit)] / 0.3048)
 
 
 # --- elastic attributes
@@ -237,40 +246,75 @@ def normalise_event_kind(x: C) -> Column:
     return F.translate(F.upper(F.trim(col(x))), " -", "__")
 
 
-#: Depth domains and datums by their codes and synonyms (fixed values).
-DEPTH_DOMAINS = {"md": "md", "measured depth": "md", "tvd": "tvd", "true vertical depth": "tvd", "tvdss": "tvdss", "subsea": "tvdss", "elevation": "elevation", "elev": "elevation"}
-DEPTH_DATUMS = {"kb": "kb", "kelly bushing": "kb", "rt": "rt", "rotary table": "rt", "df": "df", "drill floor": "df", "gl": "gl", "ground level": "gl", "msl": "msl", "mean sea level": "msl"}
+#: Depth domains by their codes and synonyms (fixed values).
+DEPTH_DOMAINS = {
+    "md": ("md", "measured_depth", "measured depth"),
+    "tvd": ("tvd", "true_vertical_depth", "true vertical depth"),
+    "tvdss": ("tvdss", "tvdss_m", "true_vertical_depth_subsea", "true vertical depth subsea"),
+    "elevation": ("elev", "elevation"),
+}
+#: Datums by their codes and synonyms (fixed values).
+DEPTH_DATUMS = {
+    "kb": ("kb", "kelly_bushing", "kelly bushing"),
+    "rt": ("rt", "rotary_table", "rotary table"),
+    "df": ("df", "drill_floor", "drill floor"),
+    "gl": ("gl", "ground_level", "ground level"),
+    "msl": ("msl", "mean_sea_level", "mean sea level", "sea level"),
+}
+#: Reference points that imply measured depth (fixed values).
+MEASURED_FROM = ("kb", "kelly bushing", "rt", "rotary table", "df", "drill floor", "gl", "ground level")
+
+
+def _code(x: C, table: dict[str, tuple[str, ...]]) -> Column:
+    pairs = [F.lit(v) for code, names in table.items() for name in names for v in (name, code)]
+    return F.element_at(F.create_map(*pairs), F.lower(F.trim(col(x))))
 
 
-def _lookup(x: Column, table: dict[str, str]) -> Column:
-    key = F.regexp_replace(F.lower(F.trim(x)), r"[\s_-]+", " ")
-    return F.element_at(F.create_map(*[F.lit(v) for pair in table.items() for v in pair]), key)
+def depth_datum(text: C, reference: C | None = None) -> Column:
+    """The datum of a code or synonym, else that of the free reference text."""
+    own = _code(text, DEPTH_DATUMS)
+    return own if reference is None else F.coalesce(own, _code(reference, DEPTH_DATUMS))
 
 
-def depth_domain(text: C, datum: C | None = None) -> Column:
-    """The depth domain of a code or synonym; a datum alone implies measured depth."""
-    domain = _lookup(col(text), DEPTH_DOMAINS)
-    return domain if datum is None else F.coalesce(domain, F.when(depth_datum(datum).isNotNull(), "md"))
+def depth_domain(text: C, datum: C | None = None, reference: C | None = None) -> Column:
+    """The domain of a code or synonym, else that of the reference text; a datum alone implies measured depth."""
+    out = _code(text, DEPTH_DOMAINS)
+    if reference is not None:
+        out = F.coalesce(out, F.when(F.lower(F.trim(col(reference))).isin(*MEASURED_FROM), "md"), _code(reference, DEPTH_DOMAINS))
+    if datum is not None:
+        out = F.coalesce(out, F.when(depth_datum(datum, reference).isNotNull(), "md"))
+    return out
 
 
-def depth_datum(text: C) -> Column:
-    return _lookup(col(text), DEPTH_DATUMS)
+def set_reference(rows: DataFrame, keys: list[str], domain: str = "depth_domain", datum: str = "depth_datum") -> DataFrame:
+    """(keys, reference, datum) of row sets: 'unknown' where the rows disagree or one has no depth domain."""
+    d, z = F.when(F.col(domain).isin("md", "tvd", "tvdss"), F.col(domain)), _code(datum, DEPTH_DATUMS)
+    given = F.col(datum).isNotNull() & (F.trim(datum) != "") & z.isNotNull()
+    s = rows.groupBy(*keys).agg(F.min(d).alias("lo"), F.max(d).alias("hi"), F.count_if(d.isNull()).alias("odd"), F.min(F.when(given, z)).alias("dlo"), F.max(F.when(given, z)).alias("dhi"))
+    return s.select(*keys, F.when((F.col("odd") == 0) & (F.col("lo") == F.col("hi")), F.col("lo")).otherwise("unknown").alias("reference"), F.when(F.col("dlo") == F.col("dhi"), F.col("dlo")).when(F.col("dlo").isNotNull(), "unknown").alias("datum"))
 
 
 #: Mnemonics of the curve kinds (fixed values).
 CURVE_KINDS = {
-    "depth": ("DEPT", "DEPTH", "MD", "TVD"), "time": ("TIME", "ETIM"), "gamma_ray": ("GR", "GRC", "CGR", "SGR", "GAM"), "density": ("RHOB", "RHOZ", "DEN", "ZDEN"),
-    "neutron": ("NPHI", "TNPH", "NEU", "CNC"), "sonic": ("DT", "DTC", "DTCO", "AC"), "shear_sonic": ("DTS", "DTSM"), "resistivity": ("RT", "RES", "ILD", "LLD", "ILM", "SFLU"),
-    "caliper": ("CALI", "CAL"), "sp": ("SP",), "vp": ("VP",), "vs": ("VS",), "porosity": ("PHI", "PHIE", "PHIT", "POR"), "saturation": ("SW", "SWE"),
+    "depth": ("DEPT", "DEPTH"), "time": ("TIME", "ETIM"),
+    "gamma_ray": ("GR", "GAMN", "GRC", "GRAX", "GR1AX"), "bulk_density": ("RHOB", "RHO", "RHOZ", "DEN", "DENS", "BDCX"), "neutron_porosity": ("NPHI", "NPLX", "CNL"),
+    "sonic": ("DT", "DTC", "DTCO", "AC"), "shear_sonic": ("DTS", "DTSM", "DTSH"), "p_velocity": ("VP", "PVEL", "P_VEL"), "s_velocity": ("VS", "SVEL", "S_VEL"),
+    "deep_resistivity": ("ILD", "RESD"), "medium_resistivity": ("ILM", "RESM"), "shallow_resistivity": ("SFLA", "RESS", "MSFL", "RX0", "RXO"),
+    "vp_vs_ratio": ("VPVS", "VP_VS", "VP/VS"), "acoustic_impedance": ("AI", "AIMP"), "elastic_impedance": ("EI", "ELASTIC_IMPEDANCE", "ELASTIC-IMPEDANCE"),
+    "extended_elastic_impedance": ("EEI", "EXTENDED_ELASTIC_IMPEDANCE", "EXTENDED-ELASTIC-IMPEDANCE"), "shear_impedance": ("SI", "SIMP"),
+    "lambda_rho": ("LRHO", "LAMBDA_RHO", "LAMBDA-RHO"), "mu_rho": ("MRHO", "MU_RHO", "MU-RHO"), "poissons_ratio": ("PR", "NU", "POISSON"),
+    "effective_porosity": ("PHIE", "EFFECTIVE_POROSITY"), "water_saturation": ("SW", "SWT", "WATER_SATURATION"),
 }
 
 
 def curve_kind(mnemonic: C, unit: C | None = None) -> Column:
-    """The kind of a curve by its mnemonic without numbering, then by a telling unit, else 'unknown'."""
-    key = F.upper(F.trim(F.regexp_replace(col(mnemonic), r":\d+$", "")))
+    """The kind of a curve by its mnemonic, else by a telling unit with a fitting mnemonic, else 'unknown'."""
+    key = F.upper(F.trim(col(mnemonic)))
     pairs = [F.lit(v) for kind, names in CURVE_KINDS.items() for n in names for v in (n, kind)]
     found = F.element_at(F.create_map(*pairs), key)
     if unit is not None:
-        u = F.upper(F.trim(col(unit)))
-        found = F.coalesce(found, F.when(u.isin("GAPI", "API"), "gamma_ray").when(u.isin("US/FT", "US/F", "US/M"), "sonic").when(u.isin("OHMM", "OHM.M"), "resistivity").when(u.isin("G/CC", "G/C3", "KG/M3", "K/M3"), "density"))
+        u = F.lower(F.trim(F.coalesce(col(unit), F.lit(""))))
+        slow = u.rlike("us/ft|us/m")
+        by_unit = F.when(key.startswith("GR") & u.contains("api"), "gamma_ray").when(u.rlike(r"g/cc|g/cm\^?3|kg/m\^?3") & (key.rlike("RHO|DEN") | key.startswith("BDC")), "bulk_density")
+        found = F.coalesce(found, by_unit.when(key.startswith("DTS") & slow, "shear_sonic").when(slow, "sonic"))
     return F.coalesce(found, F.lit("unknown"))

@@ -172,7 +172,7 @@ def built_in() -> Registry:
     """The built-in log and table operators."""
     r = Registry()
     line = (Parameter("low", default=30.0), Parameter("high", default=100.0))
-    gr, vp, vs, rho, phi = Input("gr", ("gamma_ray",)), Input("vp", ("vp",)), Input("vs", ("vs",)), Input("rho", ("density",)), Input("phi", ("porosity", "neutron"))
+    gr, vp, vs, rho, phi = Input("gr", ("gamma_ray",)), Input("vp", ("p_velocity",)), Input("vs", ("s_velocity",)), Input("rho", ("bulk_density",)), Input("phi", ("neutron_porosity", "effective_porosity"))
     for id, function, inputs, parameters in (
         ("gap_flag", petro.gap_flag, (Input("curve"),), ()),
         ("vshale_linear", petro.vshale_linear, (gr,), line),

@@ -165,12 +165,12 @@ def p25_event_kind(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", petro.normalise_event_kind("o_orderpriority").alias("kind"))
 
 
-@register("p31_curve_kind", "SELECT event_type, COUNT(*) AS n, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'gamma_ray' WHEN 1 THEN 'density' WHEN 2 THEN 'resistivity' ELSE 'unknown' END AS kind FROM events GROUP BY ALL")
+@register("p31_curve_kind", "SELECT event_type, kind, COUNT(*) AS n FROM (SELECT event_type, CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 'gamma_ray' WHEN 1 THEN 'bulk_density' WHEN 2 THEN 'sonic' WHEN 3 THEN 'gamma_ray' ELSE 'unknown' END AS kind FROM events) GROUP BY 1, 2")
 def p31_curve_kind(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    name = F.element_at(F.array(*[F.lit(x) for x in ("GR:1", "rhob ", "XYZ", "FOO")]), (F.col("event_id") % 4 + 1).cast("int"))
-    unit = F.element_at(F.array(*[F.lit(x) for x in ("GAPI", "G/CC", "OHMM", "M")]), (F.col("event_id") % 4 + 1).cast("int"))
-    return e.select("event_type", petro.curve_kind(name, unit).alias("kind")).groupBy("event_type", "kind").agg(F.count("*").alias("n"))
+    pick = lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), (F.col("event_id") % 5 + 1).cast("int"))
+    kind = petro.curve_kind(pick("GR", "rhob ", "XYZ", "GR_EDT", "FOO"), pick("GAPI", "G/CC", "US/FT", "gAPI", "OHMM")).alias("kind")
+    return e.select("event_type", kind).groupBy("event_type", "kind").agg(F.count("*").alias("n"))
 
 
 # --- reflectivity: adjacent line items of an order are the two half-spaces

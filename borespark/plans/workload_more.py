@@ -29,7 +29,7 @@ def p26_strict_ratio(spark, sf_dir):
 @register("p32_depth_semantics", "SELECT o_orderkey, CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'md' WHEN 1 THEN 'tvd' WHEN 2 THEN 'tvdss' WHEN 3 THEN 'md' END AS domain, CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'kb' WHEN 3 THEN 'gl' END AS datum FROM orders")
 def p32_depth_semantics(spark, sf_dir):
     pick = lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    domain, datum = pick(" Measured-Depth", "TVD", "subsea", "", "?"), pick("Kelly Bushing", "", "x", "GL", "")
+    domain, datum = pick(" Measured Depth", "TVD", "tvdss_m", "", "?"), pick("Kelly Bushing", "", "x", "GL", "")
     return table(spark, sf_dir, "orders").select("o_orderkey", petro.depth_domain(domain, datum).alias("domain"), petro.depth_datum(datum).alias("datum"))
 
 

@@ -5,14 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from borespark.functions.petro import depth_datum, depth_domain
+
 #: Columns of each family with their accepted headers; required ones are marked by '!' (fixed values).
 FAMILIES = {
-    "trajectory": {"md!": ("md", "measured_depth", "depth"), "tvd": ("tvd", "true_vertical_depth"), "tvdss": ("tvdss", "subsea"), "azimuth": ("azimuth", "azi"), "inclination": ("inclination", "inc", "incl"), "northing": ("northing", "north", "y"), "easting": ("easting", "east", "x")},
-    "tops": {"name!": ("name", "top_name", "marker", "formation"), "top_depth!": ("top_depth", "top", "md", "depth"), "base_depth": ("base_depth", "base"), "source": ("source",), "depth_reference": ("depth_reference", "reference")},
-    "markers": {"name!": ("name", "marker"), "top_depth!": ("top_depth", "top", "md", "depth"), "base_depth": ("base_depth", "base"), "kind": ("kind", "type"), "source": ("source",), "note": ("note", "comment")},
-    "pressure": {"md": ("md", "measured_depth", "depth"), "pressure!": ("pressure", "value"), "phase": ("phase", "fluid"), "test_kind": ("test_kind", "test"), "timestamp": ("timestamp", "time", "date")},
-    "drilling": {"md": ("md", "measured_depth", "depth"), "event_kind!": ("event_kind", "event", "kind"), "value": ("value",), "unit": ("unit",), "timestamp": ("timestamp", "time", "date"), "comment": ("comment", "note")},
-}
+    "trajectory": {
+        "md!": ("md", "measured_depth"), "tvd": ("tvd", "true_vertical_depth", "tvd_m"), "tvdss": ("tvdss", "true_vertical_depth_subsea", "true_vertical_depth_ss", "tvdss_m"),
+        "azimuth": ("azimuth", "azimuth_deg", "azi"), "inclination": ("inclination", "inclination_deg", "inc"),
+        "northing": ("northing_offset", "northing", "northing_m", "y_offset"), "easting": ("easting_offset", "easting", "easting_m", "x_offset"),
+    },
+    "tops": {
+        "name!": ("name", "top_name"), "top_depth!": ("top_depth", "top"), "base_depth": ("base_depth", "base"), "source": ("source",),
+        "depth_reference": ("source_depth_reference", "depth_reference", "reference"), "depth_domain": ("depth_domain",), "depth_datum": ("depth_datum",),
+    },
+    "markers": {
+        "name!": ("name", "marker_name", "top_name"), "kind": ("marker_kind", "kind"), "top_depth!": ("top_depth", "top"), "base_depth": ("base_depth", "base"), "source": ("source",),
+        "depth_reference": ("source_depth_reference", "depth_reference", "reference"), "depth_domain": ("depth_domain",), "depth_datum": ("depth_datum",), "note": ("note", "notes", "comment"),
+    },
+    "pressure": {"md": ("md", "measured_depth"), "pressure!": ("pressure",), "phase": ("phase",), "test_kind": ("test_kind", "kind"), "timestamp": ("timestamp", "time")},
+    "drilling": {"md": ("md", "measured_depth"), "event_kind!": ("event_kind", "kind"), "value": ("value",), "unit": ("unit",), "timestamp": ("timestamp", "time"), "comment": ("comment", "description")},
+}
 NUMBERS = {"md", "tvd", "tvdss", "azimuth", "inclination", "northing", "easting", "top_depth", "base_depth", "pressure", "value"}
 
 
@@ -31,7 +43,11 @@ def conform(df: DataFrame, family: str) -> DataFrame:
             raise ValueError(f"{family}: no column for {column}")
         value = F.lit(None).cast("string") if found is None else F.nullif(F.trim(F.col(f"`{found}`").cast("string")), F.lit(""))
         out.append((value.try_cast("double") if column in NUMBERS else value).alias(column))
-    return df.select(*out)
+    rows = df.select(*out)
+    if "depth_domain" in rows.columns:
+        domain, datum = depth_domain("depth_domain", "depth_datum", "depth_reference"), depth_datum("depth_datum", "depth_reference")
+        rows = rows.withColumns({"depth_domain": domain, "depth_datum": datum})
+    return rows
 
 
 def read_horizon(spark: SparkSession, path: str) -> DataFrame:

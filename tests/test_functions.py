@@ -68,9 +68,15 @@ def test_units_and_names(spark):
     assert one(spark, [(-10.0,), (370.0,), (365.0,)], "a double", petro.normalise_azimuth("a")) == [350, 10, 5]
     assert one(spark, [(2.3,), (2300.0,), (0.0,), (float("inf"),)], "r double", petro.density_gcc("r")) == [2.3, 2.3, None, None]
     assert one(spark, [(0.2,), (20.0,), (-1.0,), (200.0,)], "p double", petro.porosity_fraction("p")) == [0.2, 0.2, None, None]
-    assert one(spark, [("GR:2",), (" rhob",), ("?",)], "m string", petro.curve_kind("m")) == ["gamma_ray", "density", "unknown"]
-    assert one(spark, [("True Vertical-Depth",), ("MD",), ("x",)], "d string", petro.depth_domain("d")) == ["tvd", "md", None]
+    assert one(spark, [("GR",), (" rhob",), ("?",)], "m string", petro.curve_kind("m")) == ["gamma_ray", "bulk_density", "unknown"]
+    rows = [("GR_2", "gAPI"), ("XDENX", "kg/m3"), ("DTS4", "us/ft"), ("Q", "US/M"), ("Q", "gAPI"), ("Q", None)]
+    assert one(spark, rows, "m string, u string", petro.curve_kind("m", "u")) == ["gamma_ray", "bulk_density", "shear_sonic", "sonic", "unknown", "unknown"]
+    assert one(spark, [("True Vertical Depth",), (" MD",), ("x",)], "d string", petro.depth_domain("d")) == ["tvd", "md", None]
     assert one(spark, [("", "kelly bushing"), ("", "")], "d string, z string", petro.depth_domain("d", "z")) == ["md", None]
+    assert one(spark, [("RT",), ("tvdss_m",), ("MSL",)], "r string", petro.depth_domain(F.lit(None), F.lit(None), "r")) == ["md", "tvdss", "md"]
+    s = spark.createDataFrame([(1, "md", "kb"), (1, "md", None), (2, "md", "kb"), (2, "tvd", "gl"), (3, None, None)], "k int, depth_domain string, depth_datum string")
+    assert {r["k"]: (r["reference"], r["datum"]) for r in petro.set_reference(s, ["k"]).collect()} == {1: ("md", "kb"), 2: ("unknown", "unknown"), 3: ("unknown", None)}
+    assert petro.depth_unit(" feet") == "FT" and petro.depth_unit("km") is None
     names = [f"C[{i}]" for i in (10, 2, 1)]
     df = spark.createDataFrame([(n,) for n in names], "n string").orderBy(frames.natural_key(F.col("n")))
     assert values(df, "n") == ["C[1]", "C[2]", "C[10]"]

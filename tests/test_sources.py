@@ -56,6 +56,18 @@ def test_log_file(spark, tmp_path):
     assert logs.open_package(spark, str(tmp_path / "p")).where("curve = 'DEPT' and row_idx between 1 and 2").count() == 2
 
 
+def test_null_policies(spark):
+    cells = ["-999.25", "999.0", "(null)", "na", "-0.00", "1.#INF", "ERR", "7", "-1", "NaN"]
+    df = spark.createDataFrame([(c,) for c in cells], "raw string")
+    lost = {}
+    for policy in logs.POLICIES:
+        kept = {r[0] for r in df.select(logs.apply_null_policy(F.col("raw"), policy, F.lit(-1.0))).collect()}
+        lost[policy] = {c for c in cells if c not in kept}
+    assert lost["none"] == set() and lost["strict"] == {"-1", "NaN"}
+    assert lost["common"] == lost["strict"] | {"-999.25", "(null)", "na", "1.#INF"}
+    assert lost["aggressive"] == lost["common"] | {"999.0", "-0.00"} and lost["all"] == lost["aggressive"] | {"ERR"}
+
+
 def test_log_variants():
     wrapped = LOG.replace("WRAP.   NO", "WRAP.   YES").replace(" 1670.000 65.1 -999.25 1\n", " 1670.000\n 65.1 -999.25\n 1\n").replace("2-3", "2 -3")
     assert [len(r) for r in logs.parse_log(wrapped).rows] == [4, 4, 4]
@@ -96,11 +108,14 @@ def test_volume_store_prunes(spark, tmp_path):
 
 
 def test_tables(spark, tmp_path):
-    (tmp_path / "t.csv").write_text("Depth,Inc,AZI\n10,1.5,370\n20,,x\n")
+    (tmp_path / "t.csv").write_text("MD,Inc,AZI\n10,1.5,370\n20,,x\n")
     got = tables.read_family(spark, str(tmp_path / "t.csv"), "trajectory").collect()
     assert [(r["md"], r["inclination"], r["azimuth"]) for r in got] == [(10.0, 1.5, 370.0), (20.0, None, None)]
     with pytest.raises(ValueError):
         tables.read_family(spark, str(tmp_path / "t.csv"), "tops")
+    (tmp_path / "m.csv").write_text("Top_Name,Top,Reference,Depth_Domain\nA,10,KB,\nB,20,,TVD\nC,30,,\n")
+    m = tables.read_family(spark, str(tmp_path / "m.csv"), "tops").orderBy("name").collect()
+    assert [(r["depth_domain"], r["depth_datum"]) for r in m] == [("md", "kb"), ("tvd", None), (None, None)]
     (tmp_path / "h.xyz").write_text("# c\n1 2 3\n4,5,6\n// x\n\n7;8;nine\n")
     h = tables.read_horizon(spark, str(tmp_path / "h.xyz"))
     assert h.count() == 3 and tables.horizon_issues(h).count() == 1
@@ -116,7 +131,7 @@ def test_tables(spark, tmp_path):
 def test_registry(spark, tmp_path):
     r = built_in()
     assert r.catalog(spark).count() == len(r.operators) >= 24
-    curves = spark.createDataFrame([(1, "gamma_ray"), (1, "depth"), (2, "depth"), (3, "vp"), (3, "vs")], "asset int, kind string")
+    curves = spark.createDataFrame([(1, "gamma_ray"), (1, "depth"), (2, "depth"), (3, "p_velocity"), (3, "s_velocity")], "asset int, kind string")
     a = {(x["asset"], x["operator"]): (x["available"], x["reason"]) for x in r.availability(curves).collect()}
     assert a[1, "vshale_linear"] == (True, None) and a[2, "vshale_linear"] == (False, "no curve for gr") and a[3, "lambda_rho"] == (False, "no curve for rho") and not a[2, "gap_flag"][0]
     df = spark.createDataFrame([(65.0,)], "GR double")
