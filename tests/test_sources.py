@@ -78,7 +78,27 @@ def test_log_variants():
     short = logs.parse_log(LOG.split("~A")[0] + "~A\n 1 2\n 3 4\n")
     assert short.rows == [["1", "2", None, None], ["3", "4", None, None]]
     assert logs.decode(b"\xef\xbb\xbfabc") == "abc" and logs.decode("é".encode("latin-1")) == "é" and logs.decode("é".encode("utf-16")) == "é"
-    assert logs.header_item(" DT .US/M  123 35 00 00 : 8  sonic: fast") == ("DT", "US/M", "123 35 00 00", "8  sonic: fast")
+
+
+@pytest.mark.parametrize(
+    ("line", "section", "want"),
+    [
+        (" DT .US/M  123 35 00 00 : 8  sonic: fast", "C", ("DT", "US/M", "123 35 00 00", "8  sonic: fast")),
+        ("TCS . 23:15 23-JAN-2001 : Time Logger: At Bottom", "P", ("TCS", "", "23:15 23-JAN-2001", "Time Logger: At Bottom")),
+        ("STRT.DateTime 2012-09-16T07:44:12-05:00 : START DEPTH", "W", ("STRT", "DateTime", "2012-09-16T07:44:12-05:00", "START DEPTH")),
+        ("TDEP  ..1IN : 0.1-in", "C", ("TDEP", ".1IN", "", "0.1-in")),
+        ("I. Res..OHM-M : Induction", "C", ("I. Res.", "OHM-M", "", "Induction")),
+        ("DRILLED  :12/11/2010", "W", ("DRILLED", "", "12/11/2010", "")),
+        ("HKLA.1000 lbf : (RT)", "P", ("HKLA", "1000 lbf", "", "(RT)")),
+        ("RUN . 01 : RUN NUMBER", "P", ("RUN", "", "01", "RUN NUMBER")),
+        ("TIME     :14:00:32", "", ("TIME", "", "14:00:32", "")),
+        ("QI .[M] : GOOD", "P", ("QI", "M", "", "GOOD")),
+        ("X.M. 5", "P", ("X", "M", "5", "")),
+        ("  ", "P", None),
+    ],
+)
+def test_header_lines(line, section, want):
+    assert logs.header_item(line, section) == want
 
 
 @pytest.mark.parametrize("code", [1, 2, 3, 5, 6, 8])
