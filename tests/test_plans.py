@@ -63,3 +63,14 @@ def test_folder(spark, tmp_path):
     assert folder.import_plan(files).where("family = 'tops'").first()["files"] == 1 and folder.detect_format("b/C.SEGY") == "traces"
     rows = folder.read_tops_text(spark, str(tmp_path / "well_tops.txt")).orderBy("top_depth").collect()
     assert [(r["well"], r["depth_reference"], r["name"], r["top_depth"], r["base_depth"], r["issue"]) for r in rows] == [("W-1", "KB", "U1", 10.0, 20.0, None), ("W-1", "KB", None, 30.0, None, "name is missing")]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from borespark.__main__ import main
+
+    assert main(["operators"]) == 0 and "vshale_linear" in capsys.readouterr().out
+    assert main(["trace-operators", "post_stack"]) == 0
+    (tmp_path / "r.json").write_text(json.dumps({"version": 2}))
+    assert main(["validate-recipe", str(tmp_path / "r.json")]) == 1 and "version" in capsys.readouterr().out
+    (tmp_path / "a.las").write_text("x")
+    assert main(["scan", str(tmp_path)]) == 0 and '"log"' in capsys.readouterr().out
