@@ -106,6 +106,12 @@ def map_depth(xs: Column, ys: Column, x: Column) -> Column:
     return F.when(n == 0, x).when(n == 1, F.get(ys, F.lit(0))).otherwise(line)
 
 
+def collapse_profiles(profiles: DataFrame, keys: Sequence[str], curve: str = "curve") -> DataFrame:
+    """(keys, curve): the mean of the curves of all profiles in a cell, sample by sample."""
+    cells = profiles.select(*keys, F.posexplode(as_doubles(curve)).alias("__t", "__v")).groupBy(*keys, "__t").agg(F.avg("__v").alias("__v"))
+    return cells.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__t", "__v"))), lambda p: p["__v"]).alias(curve))
+
+
 def blend(control: Column, tendency: Column, weight: float) -> Column:
     if not 0 <= weight <= 1:
         raise ValueError("the weight is in [0, 1]")

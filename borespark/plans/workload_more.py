@@ -195,3 +195,8 @@ def x04_availability(spark, sf_dir):
 @register("x08_catalog", "SELECT 'log' AS family, CAST(1 AS BOOLEAN) AS some UNION ALL SELECT UNNEST(['trajectory', 'tops', 'pressure', 'drilling']), TRUE")
 def x08_catalog(spark, sf_dir):
     return built_in().catalog(spark).groupBy("family").agg((F.count("*") > 0).alias("some")).where(F.col("family") != str(Family.TRACES))
+
+
+@register("a12_collapse_profiles", "SELECT label, t, ROUND(AVG(x), 6) AS x FROM (SELECT label, UNNEST(RANGE(64)) AS t, CAST(UNNEST(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY label, t")
+def a12_collapse_profiles(spark, sf_dir):
+    return samples(time_depth.collapse_profiles(table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "amplitude"), ["label"], "amplitude"), "label")
