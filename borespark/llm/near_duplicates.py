@@ -18,6 +18,7 @@ SMALL_BUCKET = 16
 LEADERS = 2
 #: Registers, and low bits of each, that screen the pairs that are left in larger buckets.
 SCREEN, PLANES = 2048, 2
+_NO_ID = np.iinfo(np.int64).max
 
 
 def _lists(x: np.ndarray) -> pa.ListArray:
@@ -49,10 +50,11 @@ def _sketch(bands: int, rows: int, shingle: int):
         keys = band_keys(registers, bands, rows).view(np.int64)
         size = np.bincount(doc, minlength=texts.n)
 
-        doc_id = part.column("doc_id").to_pandas()
-        low = doc_id.groupby(back).min().reindex(range(len(first)))
+        ids = part.column("doc_id").fill_null(_NO_ID).to_numpy()  # integers stay exact
+        low = np.full(len(first), _NO_ID)
+        np.minimum.at(low, back, ids)
         return pa.RecordBatch.from_arrays(
-            [pa.array(node[first]), pa.array(low.astype("Int64"), pa.int64(), from_pandas=True), pa.array(np.bincount(back, minlength=len(first)).astype(np.int64)), pa.array(size.astype(np.int64)), _lists(keys)],
+            [pa.array(node[first]), pa.array(low, pa.int64(), mask=low == _NO_ID), pa.array(np.bincount(back, minlength=len(first)).astype(np.int64)), pa.array(size.astype(np.int64)), _lists(keys)],
             ["node", "low", "copies", "size", "bands"],
         )
 

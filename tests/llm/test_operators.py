@@ -158,6 +158,14 @@ def test_near_duplicates_odd_input(odd, none):
     assert rows(near_duplicates.near_duplicate_classes(none)) == [] and rows(near_duplicates.keep_one_of_each(none)) == []
 
 
+def test_near_duplicates_keep_large_ids_exact(spark):
+    big = (1 << 62) + 1
+    docs = frame(spark, [(big, "a b c d e f", "en", "s"), (big + 1, "a b c d e f", "en", "s"), (None, "a b c d e f", "en", "s"), (None, "lone text of some words here", "en", "s")])
+    got = near_duplicates.near_duplicate_classes(docs).collect()
+    assert {r["class_id"] for r in got if r["class_size"] == 3} == {big} and {r["class_id"] for r in got if r["class_size"] == 1} == {None}
+    assert sorted(str(r["doc_id"]) for r in near_duplicates.keep_one_of_each(docs).collect()) == sorted([str(big), "None"])
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (20, 20), (5, 4), (None, 3)] + [(100 + k, 101 + k) for k in range(40)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(links, Scratch(spark, "t")).collect()}
