@@ -18,6 +18,20 @@ def _w(keys: Keys, *order):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def with_statistics(df: DataFrame, keys: Keys, **aggregates: Column) -> DataFrame:
+    """df with aggregates of its log.
+
+    A partially aggregated table of one row per log is joined back, so rows aren't shuffled and a log with a
+    large share of them needs no task of its own; the planner broadcasts the table where it is small.  NULL
+    keys count as one log.
+    """
+    stats = df.groupBy(*keys).agg(*[v.alias(k) for k, v in aggregates.items()]).withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return df.join(stats, same).drop(*[f"__k_{k}" for k in keys])
+
+
 # --- frames
 
 
@@ -35,17 +49,18 @@ def moving_average(df: DataFrame, keys: Keys, order: Sequence, value: str, windo
 
 def z_score(df: DataFrame, keys: Keys, value: str, out: str = "z") -> DataFrame:
     """(x - mean) / population standard deviation of the log; 0 where that is below epsilon."""
-    w = Window.partitionBy(*keys)
-    x = F.col(value)
-    sigma = F.stddev_pop(value).over(w)
-    return df.withColumn(out, F.when(sigma < 2.220446049250313e-16, F.when(x.isNotNull(), 0.0)).otherwise((x - F.avg(value).over(w)) / sigma))
+    rows = with_statistics(df, keys, __mean=F.avg(value), __sigma=F.stddev_pop(value))
+    x, mean, sigma = F.col(value), F.col("__mean"), F.col("__sigma")
+    scaled = F.when(sigma < 2.220446049250313e-16, F.when(x.isNotNull(), 0.0)).otherwise((x - mean) / sigma)
+    return rows.withColumn(out, scaled).drop("__mean", "__sigma")
 
 
 def min_max_scale(df: DataFrame, keys: Keys, value: str, low: float = 0.0, high: float = 1.0, out: str = "scaled") -> DataFrame:
     """Linear scaling of the log's range to [low, high]; a flat log gives low."""
-    w = Window.partitionBy(*keys)
-    x, least, most = F.col(value), F.min(value).over(w), F.max(value).over(w)
-    return df.withColumn(out, F.when(x.isNotNull(), F.when(most == least, F.lit(low)).otherwise(low + (x - least) / (most - least) * (high - low))))
+    rows = with_statistics(df, keys, __least=F.min(value), __most=F.max(value))
+    x, least, most = F.col(value), F.col("__least"), F.col("__most")
+    scaled = F.when(x.isNotNull(), F.when(most == least, F.lit(low)).otherwise(low + (x - least) / (most - least) * (high - low)))
+    return rows.withColumn(out, scaled).drop("__least", "__most")
 
 
 def impedance_terms(df: DataFrame, keys: Keys, vp: str, vs: str, rho: str) -> DataFrame:
@@ -159,8 +174,7 @@ def layer_means(df: DataFrame, keys: Keys, depth: str, values: Sequence[str], th
     """Means over layers of fixed thickness from the first depth on: layer, top, base, samples, means."""
     if thickness <= 0:
         raise ValueError("thickness must be positive")
-    w = Window.partitionBy(*keys)
-    rows = df.withColumns({"__d0": F.min(depth).over(w), "__d1": F.max(depth).over(w)})
+    rows = with_statistics(df, keys, __d0=F.min(depth), __d1=F.max(depth))
     rows = rows.withColumn("layer", F.floor((F.col(depth) - F.col("__d0")) / thickness).cast("long"))
     out = rows.groupBy(*keys, "layer").agg(F.first("__d0").alias("__d0"), F.first("__d1").alias("__d1"), F.count("*").alias("samples"), *[F.avg(v).alias(v) for v in values])
     out = out.withColumns({"top": F.col("__d0") + F.col("layer") * thickness, "base": F.col("__d0") + (F.col("layer") + 1) * thickness})
@@ -218,10 +232,10 @@ def curve_statistics(df: DataFrame, keys: Keys, depth: str, value: str) -> DataF
 
 def depth_bins(df: DataFrame, keys: Keys, depth: str, value: str, buckets: int) -> DataFrame:
     """Level of detail: per depth bucket the mean depth, least and greatest value."""
-    w = Window.partitionBy(*keys)
-    low, high = F.min(depth).over(w), F.max(depth).over(w)
+    rows = with_statistics(df, keys, __low=F.min(depth), __high=F.max(depth))
+    low, high = F.col("__low"), F.col("__high")
     number = F.when(high > low, F.least(F.lit(buckets - 1), F.floor((F.col(depth) - low) / (high - low) * buckets))).otherwise(0).cast("long")
-    return df.withColumn("bucket", number).where(F.col(value).isNotNull()).groupBy(*keys, "bucket").agg(F.avg(depth).alias("mean_depth"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.count("*").alias("n"))
+    return rows.withColumn("bucket", number).where(F.col(value).isNotNull()).groupBy(*keys, "bucket").agg(F.avg(depth).alias("mean_depth"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.count("*").alias("n"))
 
 
 def axis_summary(df: DataFrame, keys: Keys, axis: str, tolerance: float = 1e-9) -> DataFrame:
