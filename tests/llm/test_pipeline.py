@@ -51,3 +51,11 @@ def test_run_and_registration(spark, stages):
     assert got == {r["doc_id"] for r in stages[-1]}
     names = list(__spark_entry__.queries())
     assert "pipeline" in names and [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+
+
+def test_native_operators_run_no_python(spark):
+    from borespark.llm.queries import QUERIES
+
+    for name in ("op4_secret_scan", "op10_sharding"):
+        plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ScalaUDF"))
