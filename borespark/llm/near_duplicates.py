@@ -25,6 +25,10 @@ def _lists(x: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
 
+def _ragged(x: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *x])))
+
+
 def _screen(shingle: int):
     """Bit planes of many registers of the plain (unweighted) sets: a sharp estimate of their similarity."""
 
@@ -47,14 +51,22 @@ def _sketch(bands: int, rows: int, shingle: int):
         element, doc = texts.shingles(shingle)
         doc, element, count = distinct_in(doc, element)
         registers = prob_minhash(doc, element, 1 + np.log(count), texts.n, bands * rows)
-        keys = band_keys(registers, bands, rows).view(np.int64)
+        keys = list(band_keys(registers, bands, rows).view(np.int64))
         size = np.bincount(doc, minlength=texts.n)
+        repeats = np.zeros(texts.n, bool)
+        repeats[doc[count > 1]] = True
+        again = np.flatnonzero(repeats)  # of the others both sketches are the same
+        if len(again):
+            own = repeats[doc]
+            plain = prob_minhash((np.cumsum(repeats) - 1)[doc[own]], element[own], np.ones(int(own.sum())), len(again), bands * rows)
+            for i, more in zip(again, band_keys(plain, bands, rows).view(np.int64), strict=True):
+                keys[i] = np.append(more, keys[i][keys[i] != more])
 
         ids = part.column("doc_id").fill_null(_NO_ID).to_numpy()  # integers stay exact
         low = np.full(len(first), _NO_ID)
         np.minimum.at(low, back, ids)
         return pa.RecordBatch.from_arrays(
-            [pa.array(node[first]), pa.array(low, pa.int64(), mask=low == _NO_ID), pa.array(np.bincount(back, minlength=len(first)).astype(np.int64)), pa.array(size.astype(np.int64)), _lists(keys)],
+            [pa.array(node[first]), pa.array(low, pa.int64(), mask=low == _NO_ID), pa.array(np.bincount(back, minlength=len(first)).astype(np.int64)), pa.array(size.astype(np.int64)), _ragged(keys)],
             ["node", "low", "copies", "size", "bands"],
         )
 
@@ -92,10 +104,12 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, shingle: int
 
     Method.  Equal texts form one node.  A node's distinct ``shingle``-word windows, weighted by
     1 + ln(count), are sketched by ProbMinHash (``sketch.prob_minhash``): two nodes agree in a register
-    with their probability Jaccard similarity, which equals the Jaccard similarity where no window is
-    repeated.  ``bands`` bands of ``rows`` registers give buckets; pairs out of the buckets are verified on
-    the exact sets of windows (Jaccard of ``threshold`` or more), and the verified links' connected
-    components are the classes.  A pair at similarity 0.8 is missed by all bands with probability 6e-5.
+    with their probability Jaccard similarity.  A node that repeats a window is sketched once more with all
+    weights 1: those registers agree with the Jaccard similarity of the sets, which decides, and where
+    nothing is repeated the two sketches are the same.  ``bands`` bands of ``rows`` registers of each sketch
+    give buckets; pairs out of the buckets are verified on the exact sets of windows (Jaccard of
+    ``threshold`` or more), and the verified links' connected components are the classes.  A pair at
+    similarity 0.8 is missed by all bands with probability 6e-5 at most, however often windows repeat.
 
     Pairs never grow with the square of a bucket: buckets of up to ``SMALL_BUCKET`` texts are compared in
     full; in a larger one each member meets a few leaders (two central members and ``LEADERS`` random

@@ -148,6 +148,17 @@ def test_near_duplicates_compare_what_larger_buckets_leave(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicate_classes(docs).collect()} == classes(values)
 
 
+def test_near_duplicates_find_pairs_that_differ_in_repeats(spark):
+    values = []
+    for k in range(40):
+        passage, tail = prose(3000 + k, 30, 10**6), prose(4000 + k, 70, 10**6)
+        values += [(2 * k, f"{passage} {passage} {tail}"), (2 * k + 1, " ".join([passage] * 200 + [tail]))]
+    docs = frame(spark, [(i, t, "en", "s") for i, t in values])
+    want = classes(values)
+    assert all(want[2 * k + 1] == 2 * k for k in range(40))
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicate_classes(docs).collect()} == want
+
+
 def test_near_duplicates_odd_input(odd, none):
     got = near_duplicates.near_duplicate_classes(odd).collect()
     assert len(got) == 14
