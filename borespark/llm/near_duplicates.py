@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from borespark.llm.common import Scratch, map_slices
 from borespark.llm.components import connected_components
-from borespark.llm.kernels import Texts, distinct_in
+from borespark.llm.kernels import Texts, distinct_in, mix, stream
 from borespark.llm.sketch import band_keys, prob_minhash
 
 #: Buckets of up to so many different texts are compared in full; larger ones by leaders first.
@@ -18,6 +18,8 @@ SMALL_BUCKET = 16
 LEADERS = 2
 #: Registers, and low bits of each, that screen the pairs that are left in larger buckets.
 SCREEN, PLANES = 2048, 2
+#: Pairs of texts of up to so many shingles each are screened by the sets themselves.
+EXACT = 64
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -30,15 +32,23 @@ def _ragged(x: list[np.ndarray]) -> pa.ListArray:
 
 
 def _screen(shingle: int):
-    """Bit planes of many registers of the plain (unweighted) sets: a sharp estimate of their similarity."""
+    """Bit planes of many registers of the plain (unweighted) sets: a sharp estimate of their similarity.
+
+    The bits are those of a hash of winner and register, so that two different winners agree by chance in each
+    register anew.  Sets of up to ``EXACT`` shingles are given as well.
+    """
+    salts = stream(4, SCREEN)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = Texts(part.column("text"))
         element, doc = texts.shingles(shingle)
         doc, element, _ = distinct_in(doc, element)
         registers = prob_minhash(doc, element, np.ones(len(doc)), texts.n, SCREEN, seed=3)
+        registers = mix(registers ^ salts)
         planes = [np.packbits((registers >> np.uint64(p)).astype(np.uint8) & 1, axis=1).view(np.int64) for p in range(PLANES)]
-        return pa.RecordBatch.from_arrays([part.column("node"), _lists(np.concatenate(planes, axis=1))], ["node", "bits"])
+        cut = np.searchsorted(doc, np.arange(texts.n + 1))
+        own = [element[cut[i] : cut[i + 1] if cut[i + 1] - cut[i] <= EXACT else cut[i]].view(np.int64) for i in range(texts.n)]
+        return pa.RecordBatch.from_arrays([part.column("node"), _lists(np.concatenate(planes, axis=1)), _ragged(own)], ["node", "bits", "own"])
 
     return run
 
@@ -114,8 +124,8 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, shingle: int
     Pairs never grow with the square of a bucket: buckets of up to ``SMALL_BUCKET`` texts are compared in
     full; in a larger one each member meets a few leaders (two central members and ``LEADERS`` random
     ones), and only members that are not in one component after that are compared further, screened by
-    a sketch of ``SCREEN`` registers (bound: 4 standard deviations below the
-    threshold), so no link between components is lost by the size of a bucket.
+    their sets where both have up to ``EXACT`` shingles, else by a sketch of ``SCREEN`` registers (bound: 4
+    standard deviations below the threshold), so no link between components is lost by the size of a bucket.
 
     class_id is the smallest doc_id of the class, class_size its number of rows.  A null text counts as
     empty; texts without words are alike only if equal.  Texts of 1 to 4 words have one shingle.  Repeated
@@ -156,9 +166,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, shingle: int
     rest = scratch.keep(big.join(mixed, "key"), "rest")
     if not rest.isEmpty():
         need = rest.select("node").distinct().join(nodes.select("node", "low", "size", "bands"), "node")
-        bits = map_slices(_texts_of(keyed, need), _screen(shingle), "node long, bits array<long>", limit=256 << 10)
-        bits = bits.groupBy("node").agg(F.first("bits").alias("bits"))
-        rest = rest.join(need.join(bits, "node").select("node", "size", "bands", "bits"), "node")
+        bits = map_slices(_texts_of(keyed, need), _screen(shingle), "node long, bits array<long>, own array<long>", limit=256 << 10)
+        bits = bits.groupBy("node").agg(F.first("bits").alias("bits"), F.first("own").alias("own"))
+        rest = rest.join(need.join(bits, "node").select("node", "size", "bands", "bits", "own"), "node")
         rest = rest.withColumn("earlier", F.slice("bands", F.lit(1), (F.array_position("bands", F.col("key")) - 1).cast("int"))).drop("bands")
         p = threshold + (1 - threshold) / 2**PLANES
         slack = int(SCREEN * (1 - p) + 4 * (SCREEN * p * (1 - p)) ** 0.5)
@@ -171,7 +181,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, shingle: int
         unequal = F.aggregate(differ, F.lit(0), lambda total, w: total + F.bit_count(w))
         new = ~F.arrays_overlap("x_earlier", "y_earlier")  # the pair's first common bucket alone compares it
         sized = F.least("x_size", "y_size") >= threshold * F.greatest("x_size", "y_size") - 1e-9
-        across = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_component") < F.col("y_component")) & sized & new & (unequal <= slack))
+        both = F.size(F.array_intersect("x_own", "y_own")) * (1 + threshold) >= threshold * (F.col("x_size") + F.col("y_size")) - 1e-9
+        alike = F.when(F.greatest("x_size", "y_size") <= EXACT, both).otherwise(unequal <= slack)
+        across = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_component") < F.col("y_component")) & sized & new & alike)
         more = across.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
         more = scratch.keep(more.distinct().join(pairs, ["a", "b"], "left_anti"), "more")
         links = links.union(_verified(keyed, nodes, more, threshold, shingle, scratch))

@@ -8,6 +8,7 @@ from itertools import combinations
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +149,31 @@ def test_near_duplicates_compare_what_larger_buckets_leave(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicate_classes(docs).collect()} == classes(values)
 
 
+def test_near_duplicates_screen_keeps_short_links():
+    # links of 8 and 9 words (4 of 5 shingles in common) and of 13 words (8 of 10)
+    texts = []
+    for k in range(300):
+        w = [f"w{k}_{i}" for i in range(14)]
+        texts += [" ".join(w[:9]), " ".join(w[:8]), " ".join(w[:13]), " ".join([*w[:12], w[13]])]
+    part = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), pa.array(texts)], ["node", "text"])
+    bits = np.array(near_duplicates._screen(5)(part).column("bits").to_pylist(), np.int64).reshape(len(texts) // 2, 2, near_duplicates.PLANES, -1)
+    differ = np.bitwise_or.reduce(bits[:, 0] ^ bits[:, 1], axis=1)
+    unequal = np.unpackbits(differ.view(np.uint8), axis=1).sum(axis=1)
+    assert unequal.max() <= 371  # 4 standard deviations at similarity 0.8
+
+
+def test_near_duplicates_crowded_buckets_of_short_texts(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(near_duplicates, "LEADERS", 0)
+    words = [f"w{k}" for k in range(90)]
+    values = [(2 * k + j, " ".join(words[k : k + 8 + j])) for k in range(30) for j in range(2)]
+    values += [(1000 + k, " ".join(words[45 + k : 58 + k])) for k in range(30)]
+    docs = frame(spark, [(i, t, "en", "s") for i, t in values])
+    want = classes(values)
+    assert set(want.values()) == {0, 1000}
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicate_classes(docs, rows=1).collect()} == want
+
+
 def test_near_duplicates_find_pairs_that_differ_in_repeats(spark):
     values = []
     for k in range(40):
