@@ -33,7 +33,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.score_texts(documents(spark, sf_dir), language_model.held_out_part(F.col("doc_id")))
+    """Contexts of up to two words."""
+    return language_model.score_texts(documents(spark, sf_dir), language_model.held_out_part(F.col("doc_id")), order=3)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from borespark.llm import decontamination, language_id, language_model, mixing,
 from borespark.llm.common import crc_part
 from borespark.llm.components import connected_components
 from borespark.llm.common import Scratch
+from borespark.llm.queries import QUERIES
 from tests.llm.conftest import frame, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -293,6 +294,14 @@ def test_language_model_against_a_walk(spark, order):
         assert r["held_out"] == (crc32(str(r["doc_id"]).encode()) % 5 == 1)
 
 
+def test_language_model_query_has_contexts_of_two_words(spark):
+    data = "/root/testdata/sf0.001"
+    docs = [(r["doc_id"], r["text"], crc32(str(r["doc_id"]).encode()) % 5 == 1) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    want = model(docs, 3, language_model.BACKOFF_MASS)
+    got = QUERIES["op5_language_model"](spark, data).collect()
+    assert len(got) == len(docs) and all(r["score"] == pytest.approx(want[r["doc_id"]][4], rel=1e-9) for r in got)
+
+
 def test_language_model_odd_input(odd, none):
     got = language_model.score_texts(odd, language_model.held_out_part(F.col("doc_id"))).collect()
     assert len(got) == 14 and all(r["n_tokens"] >= 1 and r["score"] <= 0 for r in got)
