@@ -186,6 +186,17 @@ def interfaces(spark, sf_dir):
     return side(1).join(side(2), "l_orderkey")
 
 
+def all_interfaces(spark, sf_dir):
+    """Every line item of an order with the next one; l_linenumber is that of the upper one."""
+    x = table(spark, sf_dir, "lineitem")
+
+    def side(k):
+        r = x.select("l_orderkey", (F.col("l_linenumber") - (k - 1)).alias("l_linenumber"), "l_extendedprice", "l_quantity", "l_tax")
+        return r.select("l_orderkey", "l_linenumber", (2000.0 + F.col("l_extendedprice") / 100.0).alias(f"vp{k}"), (900.0 + F.col("l_extendedprice") / 200.0 + F.col("l_quantity")).alias(f"vs{k}"), (2.0 + F.col("l_tax") * 4.0).alias(f"rho{k}"))
+
+    return side(1).join(side(2), ["l_orderkey", "l_linenumber"])
+
+
 _SIDE = "SELECT l_orderkey, 2000.0 + l_extendedprice / 100.0 AS vp{k}, 900.0 + l_extendedprice / 200.0 + l_quantity AS vs{k}, 2.0 + l_tax * 4.0 AS rho{k} FROM lineitem WHERE l_linenumber = {k}"
 _AVO = f"""WITH i AS (SELECT * FROM ({_SIDE.format(k=1)}) JOIN ({_SIDE.format(k=2)}) USING (l_orderkey)),
  m AS (SELECT *, 0.5 * (vp1 + vp2) AS vp, 0.5 * (vs1 + vs2) AS vs, 0.5 * (rho1 + rho2) AS rho FROM i),
@@ -224,8 +235,8 @@ def v09_zoeppritz(spark, sf_dir):
 
 @register("v09_zoeppritz_post_critical")
 def v09_zoeppritz_post_critical(spark, sf_dir):
-    rows = avo.reflectivity(interfaces(spark, sf_dir), [50, 70, 85], "zoeppritz")
-    return rows.select("l_orderkey", "angle", r6("re").alias("re"), r6("im").alias("im"))
+    rows = avo.reflectivity(all_interfaces(spark, sf_dir), [50, 70, 85], "zoeppritz")
+    return rows.select("l_orderkey", "l_linenumber", "angle", r6("re").alias("re"), r6("im").alias("im"))
 
 
 def intercept_gradient(spark, sf_dir):

@@ -40,3 +40,9 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", [n for n in workload.QUERIES if n not in workload.ORACLES])
 def test_query_runs(spark, name):
     assert workload.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_post_critical_reflectivity_at_every_interface(spark, duck):
+    got = workload.QUERIES["v09_zoeppritz_post_critical"](spark, DATA).toPandas()
+    want = duck.execute("SELECT a.l_orderkey, a.l_linenumber FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1").fetchall()
+    assert sorted(got[got.angle == 70][["l_orderkey", "l_linenumber"]].itertuples(index=False, name=None)) == sorted(want)
