@@ -284,8 +284,8 @@ def d02_depth_conversion(spark, sf_dir):
 
 @register("j10_nearest_source")
 def j10_nearest_source(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 61 = 0")
-    sources = e.select(F.lit(1).alias("survey"), F.col("vec_id").alias("source"), F.floor(F.col("vec_id") / WIDTH).alias("i"), (F.col("vec_id") % WIDTH).alias("x"))
+    e = table(spark, sf_dir, "embeddings")
+    sources = e.where("vec_id % 61 = 0").select(F.lit(1).alias("survey"), F.col("vec_id").alias("source"), F.floor(F.col("vec_id") / WIDTH).alias("i"), (F.col("vec_id") % WIDTH).alias("x"))
     return time_depth.assign_sources(sources, ["survey"], (e.selectExpr("max(vec_id)").first()[0] // WIDTH + 1, WIDTH), ((25.0, 0.0), (0.0, 12.5)))
 
 

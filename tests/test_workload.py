@@ -46,3 +46,9 @@ def test_post_critical_reflectivity_at_every_interface(spark, duck):
     got = workload.QUERIES["v09_zoeppritz_post_critical"](spark, DATA).toPandas()
     want = duck.execute("SELECT a.l_orderkey, a.l_linenumber FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1").fetchall()
     assert sorted(got[got.angle == 70][["l_orderkey", "l_linenumber"]].itertuples(index=False, name=None)) == sorted(want)
+
+
+def test_nearest_source_covers_the_lines_of_the_whole_table(spark, tmp_path):
+    spark.range(180).withColumnRenamed("id", "vec_id").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = workload.QUERIES["j10_nearest_source"](spark, str(tmp_path)).toPandas()
+    assert len(got) == 8 * 25 and got.i.max() == 7  # the last source, 122, is on line 4
