@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,16 +25,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode, else an error."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("borespark.scratch", None)
     if not folder:
-        folder = spark.conf.get("borespark.scratch", None)
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="borespark-")
-            spark.conf.set("borespark.scratch", folder)
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="borespark-")
+        spark.conf.set("borespark.scratch", folder)
     return folder.rstrip("/")
 
 
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors."""
 
@@ -41,11 +55,12 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """df as written and read again."""
+    def keep(self, df: DataFrame, name: str, **options) -> DataFrame:
+        """df as written and read again.  The write's own shuffle files go with it: nothing reads them any more."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        with _setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            df.write.options(**{"compression": "zstd"} | options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

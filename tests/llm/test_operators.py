@@ -266,26 +266,27 @@ def model(values, order, mass):
     v = sum(len(k) == 1 for k in count) - (("<s>",) in count)
     out = {}
     for i, t, _ in values:
-        state, score, base, known = ("<s>",), 0.0, 0.0, 0
+        state, score, base, known = ("<s>",)[: order - 1], 0.0, 0.0, 0
         for w in tokens(t):
             p = (count[(w,)] + 0.5) / (n + 0.5 * (v + 1))
             base += math.log10(p)
             known += count[(w,)] > 0
             for k in range(len(state) - 1, -1, -1):  # from the shortest context up: what failure arcs lead to
                 h = state[k:]
-                p = (count[(*h, w)] + mass * p) / (count[h] + mass)
+                m = mass[len(h) - 1]
+                p = (count[(*h, w)] + m * p) / (count[h] + m)
             score += math.log10(p)
-            state = (*state, w)[-(order - 1) :]
+            state = (*state, w)[-(order - 1) :] if order > 1 else ()
         out[i] = (len(tokens(t)), known, n, base, score)
     return out
 
 
-@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_language_model_against_a_walk(spark, order):
     values = [(i, prose(i % 7, 30 + i, 40) + (" UPPER upper" if i % 3 else ""), crc32(str(i).encode()) % 5 == 1) for i in range(40)] + [(90, None, crc32(b"90") % 5 == 1), (91, "", crc32(b"91") % 5 == 1)]
     docs = frame(spark, [(i, t, "en", "s") for i, t, _ in values])
-    got = language_model.score_texts(docs, language_model.held_out_part(F.col("doc_id")), order=order, mass=10.0, block_bytes=700).collect()
-    want = model(values, order, 10.0)
+    got = language_model.score_texts(docs, language_model.held_out_part(F.col("doc_id")), order=order, mass=(10.0, 3.0, 2.0), block_bytes=700).collect()
+    want = model(values, order, (10.0, 3.0, 2.0))
     assert len(got) == len(values)
     for r in got:
         n_tokens, known, n, base, score = want[r["doc_id"]]
