@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from borespark.llm.common import Scratch
@@ -26,24 +26,51 @@ COMPLEMENT = {"id": ["secret"], "secret": ["id", "place"], "place": ["secret"]}
 #: Code points before and after a weak part that form its scope.
 SCOPE = 200
 _SPAN = "struct<s:int,k:int,e:int>"
+#: Characters set around a match and before its counted group; in texts they stand as _OTHER, which no pattern tells apart.
+_EDGE, _INNER, _OTHER = "\x01", "\x02", "\x03"
+#: What a text must contain for a kind to match at all: a cheap test before the pattern.
+_HINTS = {"assign": (":", "="), "access": ("AKIA",), "identifier": (":", "=")}
+#: Matches whose places are summed up in one piece, so that a text's cost stays linear in them.
+PIECE = 128
 
 
-def _spans(text: Column, matches: Column, counted: Column, pattern: str, kind: int, least: int) -> Column:
+def _spans(text: Column, kind: str, number: int) -> Column:
     """Spans (start, kind, end) of the matches whose counted group is long enough.
 
-    The pieces between the matches come from splitting by the same pattern; running lengths give the places.
+    The pattern is evaluated once: it sets marks around its matches, at which the text is then split into the
+    pieces before, in and after them.  Running lengths give the places, piece by piece of ``PIECE`` matches.
     """
-    pieces = F.split(text, pattern, -1)
-    steps = F.arrays_zip(F.transform(F.slice(pieces, F.lit(1), F.size(matches)), F.length).alias("p"), F.transform(matches, F.length).alias("m"), F.transform(counted, F.length).alias("c"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-
-    def step(acc, x):
-        s = acc["at"] + x["p"]
-        e = s + x["m"]
-        span = F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"))
-        return F.struct(e.alias("at"), F.when(x["c"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    return F.when(F.size(matches) == 0, F.array().cast(f"array<{_SPAN}>")).otherwise(F.aggregate(steps, start, step)["out"])
+    pattern, group, least = (BASE | WEAK)[kind]
+    marked = F.regexp_replace(text, F.lit(pattern), F.lit(_EDGE + "$0" + (f"{_INNER}${group}" if group else "") + _EDGE))
+    if kind in _HINTS:
+        hint = F.lit(False)
+        for x in _HINTS[kind]:
+            hint = hint | text.contains(x)
+        marked = F.when(hint, marked).otherwise(F.lit(""))
+    empty = F.array().cast(f"array<{_SPAN}>")
+
+    def places(parts):
+        def step(acc, i):
+            part = F.get(parts, 2 * i + 1)
+            match = F.substring_index(part, _INNER, 1) if group else part
+            s = acc["at"] + F.length(F.get(parts, 2 * i))
+            e = s + F.length(match)
+            long_enough = (F.length(part) - F.length(match) - 1 if group else F.length(match)) >= least
+            if kind == "opaque":
+                long_enough = long_enough & match.rlike("[0-9]") & match.rlike("[a-z]") & match.rlike("[A-Z]")
+            span = F.struct(s.alias("s"), F.lit(number).alias("k"), e.alias("e"))
+            return F.struct(e.alias("at"), F.when(long_enough, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+        def piece(acc, k):
+            last = F.least((k + 1) * PIECE, F.floor(F.size(parts) / 2).cast("int")) - 1
+            own = F.aggregate(F.sequence(k * PIECE, last), F.struct(acc["at"].alias("at"), empty.alias("out")), step)
+            return F.transform(F.array(own), lambda o: F.struct(o["at"].alias("at"), F.concat(acc["out"], F.array(o["out"])).alias("out")))[0]
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("out"))
+        pieces = F.sequence(F.lit(0), F.floor((F.size(parts) - 3) / 2 / PIECE).cast("int"))
+        return F.when(F.size(parts) < 3, empty).otherwise(F.flatten(F.aggregate(pieces, start, piece)["out"]))
+
+    return F.transform(F.array(F.split(marked, _EDGE, -1)), places)[0]
 
 
 def _render(spans: Column) -> Column:
@@ -54,20 +81,31 @@ def _render(spans: Column) -> Column:
 def find_parts(docs: DataFrame) -> DataFrame:
     """doc_id, row key (h1, h2), arrays base and weak of spans (start, kind number, end), by whole text.
 
-    Weak parts that overlap a base span are left out; opaque strings need a digit, a lower-case and an
-    upper-case letter.
+    Opaque strings need a digit, a lower-case and an upper-case letter.
     """
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     df = df.withColumns({"h1": F.xxhash64("doc_id", "text"), "h2": F.hash("text", "doc_id")})
-    for kind, (pattern, group, _) in (BASE | WEAK).items():
-        df = df.withColumn(f"m_{kind}", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-        df = df.withColumn(f"c_{kind}", F.regexp_extract_all("text", F.lit(pattern), F.lit(group)) if group else F.col(f"m_{kind}"))
-    mixed = F.transform("m_opaque", lambda m: F.when(m.rlike("[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]"), m).otherwise(F.lit("")))
-    df = df.withColumn("c_opaque", mixed)
-    spans = {kind: _spans(F.col("text"), F.col(f"m_{kind}"), F.col(f"c_{kind}"), pattern, n, least) for n, (kind, (pattern, _, least)) in enumerate((BASE | WEAK).items())}
-    df = df.select("doc_id", "h1", "h2", *[spans[k].alias(f"s_{k}") for k in KINDS])
-    df = df.select("doc_id", "h1", "h2", F.concat(*[f"s_{k}" for k in BASE]).alias("base"), F.concat(*[f"s_{k}" for k in WEAK]).alias("weak"))
-    return df.withColumn("weak", F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"]))))
+    text = F.col("text")
+    marks = text.contains(_EDGE) | text.contains(_INNER)
+    df = df.withColumn("text", F.when(marks, F.translate(text, _EDGE + _INNER, _OTHER * 2)).otherwise(text))
+    df = df.select("doc_id", "h1", "h2", *[_spans(text, k, n).alias(f"s_{k}") for n, k in enumerate(KINDS)])
+    return df.select("doc_id", "h1", "h2", F.concat(*[f"s_{k}" for k in BASE]).alias("base"), F.concat(*[f"s_{k}" for k in WEAK]).alias("weak"))
+
+
+def _free_parts(found: DataFrame) -> DataFrame:
+    """(h1, h2, s, k, e), a row per part of each distinct text; weak parts that overlap a base span are left out.
+
+    In the order of starts, a base span that begins before a weak part reaches into it if the farthest end so far
+    does, and one that begins later if the nearest start to come lies inside.
+    """
+    part = found.where(F.size("weak") > 0).dropDuplicates(["h1", "h2"]).select("h1", "h2", F.explode(F.concat("base", "weak")).alias("x"))
+    part = part.select("h1", "h2", F.col("x.s").alias("s"), F.col("x.k").alias("k"), F.col("x.e").alias("e"))
+    base = F.col("k") < len(BASE)
+    by = Window.partitionBy("h1", "h2")
+    rising, falling = (w.rangeBetween(Window.unboundedPreceding, Window.currentRow) for w in (by.orderBy("s"), by.orderBy(F.desc("s"))))
+    part = part.withColumns({"reach": F.max(F.when(base, F.col("e"))).over(rising), "next": F.min(F.when(base, F.col("s"))).over(falling)})
+    overlaps = (F.coalesce("reach", F.lit(-1)) > F.col("s")) | F.coalesce(F.col("next") < F.col("e"), F.lit(False))
+    return part.where(base | ~overlaps).select("h1", "h2", "s", "k", "e")
 
 
 def link_credentials(docs: DataFrame, scope: int = SCOPE, scratch: Scratch | None = None) -> DataFrame:
@@ -87,8 +125,7 @@ def link_credentials(docs: DataFrame, scope: int = SCOPE, scratch: Scratch | Non
     scratch = scratch or Scratch(docs.sparkSession, "secrets")
     found = scratch.keep(find_parts(docs), "parts")
     roles = F.array(*[F.lit(ROLE[k]) for k in KINDS])
-    part = found.where(F.size("weak") > 0).select("h1", "h2", F.explode(F.concat("base", "weak")).alias("x"))
-    part = part.select("h1", "h2", F.col("x.s").alias("s"), F.col("x.k").alias("k"), F.col("x.e").alias("e"), F.element_at(roles, F.col("x.k") + 1).alias("role"))
+    part = scratch.keep(_free_parts(found).withColumn("role", F.element_at(roles, F.col("k") + 1)), "free")
     cells = part.groupBy("h1", "h2", "role", F.floor(F.col("s") / scope).alias("cell")).agg(F.min("s").alias("first"), F.max("s").alias("last"))
     wanted = F.lit(None).cast("array<string>")
     for role, others in COMPLEMENT.items():
