@@ -16,9 +16,12 @@ from borespark.llm.common import Scratch, crc_part
 from borespark.llm.kernels import U64, Texts, mix, slices, stream
 
 #: Text bytes of one block of documents; its n-grams are held by one task.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Blocks' worth of n-grams that one counting task merges.
 BLOCKS_PER_SHARD = 2
+#: Bits beyond the logarithm of the text bytes that tell n-grams of two and more tokens apart: one in 2**SPARE_BITS
+#: n-grams at most shares its counts with another, at every size of the corpus.  Words have all 64 bits.
+SPARE_BITS = 24
 #: Longest n-gram: contexts are of up to ORDER - 1 tokens.
 ORDER = 3
 #: Pseudo-count of the lower order in the distribution of a state of 1, 2, ... tokens (see README: held-out text).
@@ -41,12 +44,12 @@ class Grams:
     @classmethod
     def of(cls, hashes: np.ndarray, where: np.ndarray | None = None) -> Grams:
         at = np.arange(len(hashes)) if where is None else np.flatnonzero(where)
-        order = at[np.argsort(hashes[at])]
+        order = at[np.argsort(hashes[at])].astype(np.int32)
         ranked = hashes[order]
         new = np.ones(len(order), bool)
         new[1:] = ranked[1:] != ranked[:-1]
-        rank = np.full(len(hashes), -1)
-        rank[order] = np.cumsum(new) - 1
+        rank = np.full(len(hashes), -1, np.int32)
+        rank[order] = np.cumsum(new, dtype=np.int32) - 1
         return cls(ranked[new], rank, order[new])
 
     def counts(self, weight: np.ndarray) -> np.ndarray:
@@ -55,12 +58,12 @@ class Grams:
         return np.bincount(self.rank[own], weights=weight[own], minlength=len(self.keys)).astype(np.int64)
 
 
-def token_grams(texts: Texts, order: int) -> tuple[list[Grams], np.ndarray, np.ndarray]:
+def token_grams(texts: Texts, order: int, bits: int = 64) -> tuple[list[Grams], np.ndarray, np.ndarray]:
     """The n-grams of 1 to ``order`` tokens; which tokens begin a text; token bounds of the texts.
 
     Tokens are the words, then one end per text; before the first token stands a start mark that is no token.
     The first token's 2-gram begins with the mark, as does the second token's 3-gram, and so on; longer ones
-    don't exist there.
+    don't exist there.  n-grams of two and more tokens keep the upper ``bits`` of their hashes.
     """
     tokens = np.insert(texts.words(), texts.word_bounds[1:], np.full(texts.n, _END, np.uint64))
     bounds = texts.word_bounds + np.arange(texts.n + 1)
@@ -74,7 +77,7 @@ def token_grams(texts: Texts, order: int) -> tuple[list[Grams], np.ndarray, np.n
         context[1:], context[:1] = hashes[:-1], 0
         context[begin] = _BEGIN
         hashes = mix(context * U64(0xD6E8FEB86659FD93) + tokens + U64(n))
-        out.append(Grams.of(hashes, place >= n - 2))
+        out.append(Grams.of(hashes >> U64(64 - bits), place >= n - 2))
     return out, begin, bounds
 
 
@@ -158,12 +161,17 @@ class Automaton:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Byte planes of 64-bit values: the planes of zeros vanish when Spark compresses its blocks."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Compressed byte planes of 64-bit values, from the lowest up to the last one that isn't all zeros; their number first."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    used = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    return bytes([used]) + len(values).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes[:used].tobytes(), asbytes=True)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+def _unpack(data) -> np.ndarray:
+    data = memoryview(data)
+    used, n = data[0], int.from_bytes(data[1:9], "little")
+    planes = np.zeros((8, n), np.uint8)
+    planes[:used] = np.frombuffer(pa.Codec("zstd").decompress(data[9:], decompressed_size=used * n), np.uint8).reshape(used, n)
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
@@ -200,23 +208,24 @@ def _read_block(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
-def _grams(table: pa.Table, order: int):
-    return token_grams(Texts(table.column("text"), lower=True), order)
+def _grams(table: pa.Table, order: int, bits: int):
+    return token_grams(Texts(table.column("text"), lower=True), order, bits)
 
 
-def _count_blocks(order: int, shards: int):
-    edges = np.array([(1 << 64) * s // shards for s in range(1, shards)], np.uint64)
+def _count_blocks(order: int, shards: int, bits: int):
+    def edges(n):
+        return np.array([(1 << (bits if n > 1 else 64)) * s // shards for s in range(1, shards)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
                 table = _read_block(data.as_buffer())
-                grams, _, bounds = _grams(table, order)
+                grams, _, bounds = _grams(table, order, bits)
                 held = np.asarray(table.column("held_out").to_numpy(), bool)
                 weight = np.repeat(~held, np.diff(bounds))
                 for n, own in enumerate(grams, 1):
                     counts = own.counts(weight)
-                    cut = np.concatenate([[0], np.searchsorted(own.keys, edges), [len(own.keys)]])
+                    cut = np.concatenate([[0], np.searchsorted(own.keys, edges(n)), [len(own.keys)]])
                     filled = np.flatnonzero(np.diff(cut))
                     keys = [_pack(np.diff(own.keys[cut[s] : cut[s + 1]], prepend=U64(0))) for s in filled]
                     values = [_pack(counts[cut[s] : cut[s + 1]]) for s in filled]
@@ -243,10 +252,10 @@ def _merge_shard(key, table):
     )
 
 
-def _score_block(order: int, tokens: int, types: int, begins: int, mass: Sequence[float]):
+def _score_block(order: int, bits: int, tokens: int, types: int, begins: int, mass: Sequence[float]):
     def run(key, blocks, answers):
         table = _read_block(blocks.column("data")[0].as_buffer())
-        grams, begin, bounds = _grams(table, order)
+        grams, begin, bounds = _grams(table, order, bits)
         counts = []
         for n, own in enumerate(grams, 1):
             got = answers.filter(pc.equal(answers.column("n"), n)).sort_by("shard")
@@ -274,7 +283,7 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER, mass: Seq
     to the shared folder, so that no row key decides where a text goes.  Each block sends its distinct n-grams
     with their training counts, cut by hash range, to counting tasks, which add them up and answer every
     block in the order of its keys; the block then compiles its own part of the automaton, exact for its
-    texts, and its texts traverse that.  Memory per task is that of one block (a longer text has a block of its
+    texts, and its texts traverse that.  Words are told apart by 64-bit hashes, longer n-grams by ``SPARE_BITS``.  Memory per task is that of one block (a longer text has a block of its
     own); what moves is proportional to the distinct n-grams of the blocks, and the texts move once, compressed.
     The messages of two blocks and hash ranges grow with the square of total / block_bytes, bounded by the
     n-grams themselves, so raise ``block_bytes`` with the executors' memory on very large corpora.
@@ -291,14 +300,15 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER, mass: Seq
     blocks = scratch.keep(written, "blocks", **{"compression": "none", "parquet.block.row.count.limit": 4})
     size, n, begins = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*"), F.coalesce(F.sum("begins"), F.lit(0))).first()
     shards = max(1, -(-size // (block_bytes * BLOCKS_PER_SHARD)))
-    parts = blocks.select("block", "data").mapInArrow(_count_blocks(order, shards), "shard int, block long, n int, keys binary, counts binary")
+    bits = min(64, int(size).bit_length() + SPARE_BITS)
+    parts = blocks.select("block", "data").mapInArrow(_count_blocks(order, shards, bits), "shard int, block long, n int, keys binary, counts binary")
     merged = parts.repartition(shards * order, "shard", "n").groupBy("shard", "n").applyInArrow(_merge_shard, "block long, shard int, n int, counts binary, tokens long, types long")
     merged = scratch.keep(merged, "counts")
     tokens, types = merged.where("block < 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     id_type = docs.schema["doc_id"].dataType.simpleString()
     own, answers = (x.repartition(max(1, n), "block") for x in (blocks.select("block", "data"), merged.where("block >= 0").select("block", "shard", "n", "counts")))
     scored = own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _score_block(order, tokens, types, begins, tuple(mass)),
+        _score_block(order, bits, tokens, types, begins, tuple(mass)),
         f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
     out = scratch.keep(scored, "scores")
