@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from borespark.llm.common import map_slices
+from borespark.llm.common import Scratch, map_slices
 
 #: Lengths in one block of the two-level suffix sums.
 BLOCK = 4096
@@ -50,7 +50,7 @@ def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
     return encoded_lengths(docs, vocabulary, pattern, column).groupBy("length").agg(F.sum("docs").alias("docs"))
 
 
-def suffix_table(histogram: DataFrame) -> DataFrame:
+def suffix_table(histogram: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """The histogram with its suffix sums, one row per length that occurs.
 
     length, docs, tokens (of that length); docs_at_least and tokens_at_least (suffix sums); docs_below and
@@ -58,8 +58,11 @@ def suffix_table(histogram: DataFrame) -> DataFrame:
     share of documents of at most this length (quantile q is the first row with docs_share >= q).
 
     Sums run in two levels, over blocks of ``BLOCK`` lengths and within them, so no task holds all lengths.
+    The histogram, a row per length, is written once to the shared folder, as both levels read it.  No rows
+    for an empty histogram.
     """
-    h = histogram.groupBy("length").agg(F.sum("docs").alias("docs")).withColumn("tokens", F.col("length") * F.col("docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
+    scratch = scratch or Scratch(histogram.sparkSession, "lengths")
+    h = scratch.keep(histogram.groupBy("length").agg(F.sum("docs").alias("docs")), "histogram").withColumn("tokens", F.col("length") * F.col("docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
     sums = h.groupBy("block").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t"))
     blocks = Window.orderBy("block")  # a row per block of lengths
     before, everything = blocks.rowsBetween(Window.unboundedPreceding, -1), blocks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
