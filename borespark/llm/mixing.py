@@ -59,14 +59,17 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[s
     return leaves.join(current, levels)
 
 
-def mix_sources(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], budget: float = 1.0, max_epochs: int = 4, seed: int = 1, scratch: Scratch | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], budget: float = 1.0, max_epochs: int = 4, seed: int = 1, tokens: Column | None = None, scratch: Scratch | None = None) -> DataFrame:
     """docs with domain, n_tokens, epochs and part: what each document gives to the mix.
 
     The tree is domain, lang, source.  ``budget`` is a share of all tokens.  Each leaf repeats all its
     documents for as many whole epochs as its budget holds (``epochs``), then takes a prefix of the next
     epoch's seeded order, md5(seed:epoch:doc_id); ``part`` is how many tokens of a document that prefix
     has, so that a leaf's tokens, n_tokens * epochs + part over its documents, equal its budget.  Tokens
-    are words.
+    are words, or what ``tokens`` says of a row.
+
+    The plan is made on a narrow table (leaf, id, tokens), written once, so that texts are counted once for
+    it and once for the result; where docs hold the counts themselves (``tokens``), no text is read.
 
     A leaf's order is cut into groups by the hash's first digits; only the group that holds the end of
     the prefix is put in order, the others are in or out by the groups' totals, so that a leaf with a
@@ -76,8 +79,10 @@ def mix_sources(docs: DataFrame, domain: Column, weights: dict[str, dict[str, in
     """
     scratch = scratch or Scratch(docs.sparkSession, "mix")
     levels = ["__domain", "__lang", "__source"]
-    keyed = docs.withColumns({"__domain": F.coalesce(domain.cast("string"), F.lit("")), "__lang": F.coalesce("lang", F.lit("")), "__source": F.coalesce("source", F.lit("")), "n_tokens": word_count(F.col("text"))})
-    leaves = scratch.keep(keyed.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens")), "leaves")
+    size = word_count(F.col("text")) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0).cast("long"))
+    keyed = docs.withColumns({"__domain": F.coalesce(domain.cast("string"), F.lit("")), "__lang": F.coalesce("lang", F.lit("")), "__source": F.coalesce("source", F.lit(""))})
+    narrow = scratch.keep(keyed.select(*levels, "doc_id", size.alias("n_tokens")), "counted")
+    leaves = scratch.keep(narrow.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     total, n_leaves = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     names = {"domain": "__domain", "lang": "__lang", "source": "__source"}
     plan = leaf_budgets(leaves, levels, {names[k]: v for k, v in weights.items()}, int(total * budget), max_epochs)
@@ -88,15 +93,22 @@ def mix_sources(docs: DataFrame, domain: Column, weights: dict[str, dict[str, in
     def put(df, table):
         return df.join(F.broadcast(table) if n_leaves <= BROADCAST_LEAVES else table, levels)
 
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = put(keyed.drop("epochs", "__rest"), plan).withColumn("__order", order).withColumn("__group", F.substring("__order", 1, GROUP_DIGITS))
-    groups = keyed.where("__rest > 0").groupBy(*levels, "__group", "__rest").agg(F.sum("n_tokens").alias("t"))
+    def ordered(df):
+        order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+        return put(df, plan).withColumn("__order", order).withColumn("__group", F.substring("__order", 1, GROUP_DIGITS))
+
+    groups = ordered(narrow).where("__rest > 0").groupBy(*levels, "__group", "__rest").agg(F.sum("n_tokens").alias("t"))
     w = Window.partitionBy(*levels).orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.withColumn("__before", F.coalesce(F.sum("t").over(w), F.lit(0))).where("__before < __rest and __before + t >= __rest")
     cut = scratch.keep(groups.select(*levels, F.col("__group").alias("__cut"), "__before"), "cut")
-    marked = keyed.join(F.broadcast(cut) if n_leaves <= BROADCAST_LEAVES else cut, levels, "left")
+    scratch.drop(narrow)
+    marked = ordered(keyed.drop("epochs", "__rest", "part"))
+    marked = marked.join(F.broadcast(cut) if n_leaves <= BROADCAST_LEAVES else cut, levels, "left")
+    # each branch counts the words of its own rows only: the filters come first
     inner = Window.partitionBy(*levels).orderBy("__order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = marked.where("__group = __cut").withColumn("part", F.greatest(F.lit(0), F.least("n_tokens", F.col("__rest") - F.col("__before") - F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))).cast("long"))
-    others = marked.where("__cut is null or __group <> __cut").withColumn("part", F.when(F.col("__group") < F.col("__cut"), F.col("n_tokens")).otherwise(0).cast("long"))
+    at_cut = marked.where("__group = __cut").withColumn("n_tokens", size)
+    at_cut = at_cut.withColumn("part", F.greatest(F.lit(0), F.least("n_tokens", F.col("__rest") - F.col("__before") - F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))).cast("long"))
+    others = marked.where("__cut is null or __group <> __cut").withColumn("n_tokens", size)
+    others = others.withColumn("part", F.when(F.col("__group") < F.col("__cut"), F.col("n_tokens")).otherwise(0).cast("long"))
     out = at_cut.unionByName(others).withColumn("domain", F.col("__domain"))
     return out.drop(*levels, "__order", "__group", "__rest", "__cut", "__before")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from borespark.llm import decontamination, language_id, language_model, mixing, near_duplicates, quality_classifier, quality_rules, secret_scan, sharding, token_counts
-from borespark.llm.common import crc_part, documents
+from borespark.llm.common import Scratch, crc_part, documents, word_count
 from borespark.llm.oracles import ORACLES
 
 #: Target weights of the mix, per level of the tree; missing names weigh 1.
@@ -47,7 +47,9 @@ def source_domain(source):
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(documents(spark, sf_dir), source_domain(F.col("source")), MIX_WEIGHTS, budget=1.0, max_epochs=4, seed=7)
+    counted = documents(spark, sf_dir).select("doc_id", "lang", "source", word_count(F.col("text")).alias("n_tokens"))
+    counted = Scratch(spark, "mix").keep(counted, "documents")  # texts are read once
+    mixed = mixing.mix_sources(counted, source_domain(F.col("source")), MIX_WEIGHTS, budget=1.0, max_epochs=4, seed=7, tokens=F.col("n_tokens"))
     return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "epochs", "part")
 
 
