@@ -357,9 +357,12 @@ def test_decontamination_against_brute_force(spark, odd, none):
                 shared = len(s & {tuple(w[k : k + n]) for k in range(len(w) - n + 1)})
                 if shared >= 0.8 * len(s):
                     want[i, j, shared] += 1
-    for item_bytes in (1 << 20, 600):  # one pass, several passes
-        got = decontamination.contaminated_pairs(docs, bench, item_bytes=item_bytes).collect()
+    for index_bytes in (1 << 20, 8000):  # one pass, several passes
+        got = decontamination.contaminated_pairs(docs, bench, index_bytes=index_bytes).collect()
         assert Counter((r["doc_id"], r["item_id"], r["shared"]) for r in got) == want
+    many = bench.union(spark.range(3000).selectExpr("id + 1000", "CASE WHEN id % 3 = 0 THEN '' WHEN id % 3 = 1 THEN ' ' ELSE 'some words that no text has at all ' || id % 2 END"))
+    built = list(decontamination._indexes(many, 5, 6_000, Scratch(spark, "leaks"))[1])  # repeated and wordless items cost nothing
+    assert len(built) > 1 and sum(len(b.value.keys) for b in built) == 13 and all(b.value.nbytes < 100_000 for b in built)
     clean = decontamination.remove_contaminated(docs, bench)
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {i for i, _ in values} - {i for i, _, _ in want}
     assert decontamination.remove_contaminated(odd, bench).count() == 14 - 0
