@@ -82,40 +82,50 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margins(doc, feature, value, n), -30, 30)))
 
 
+def gradients(machine: Machine, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
+    """The mean logistic loss of rows (feature, value) by the machine's parameters, without decay.
+
+    (used features, d linear, d factors, d bias); each row has at least one feature.
+    """
+    lengths = np.array([len(f) for f, _ in rows])
+    feature, value = np.concatenate([f for f, _ in rows]), np.concatenate([v for _, v in rows])
+    doc, at = np.repeat(np.arange(len(rows)), lengths), np.cumsum(lengths) - lengths
+    vx = machine.factors[feature] * value[:, None]
+    sums = np.add.reduceat(vx, at)
+    margin = machine.bias + np.add.reduceat(machine.linear[feature] * value, at) + 0.5 * (sums**2 - np.add.reduceat(vx * vx, at)).sum(axis=1)
+    error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels) / len(rows)
+    d = error[doc] * value
+    used, back = np.unique(feature, return_inverse=True)
+    by_factor = d[:, None] * (sums[doc] - vx)
+    factors = np.column_stack([np.bincount(back, weights=by_factor[:, k], minlength=len(used)) for k in range(vx.shape[1])])
+    return used, np.bincount(back, weights=d, minlength=len(used)), factors, error.sum()
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 1) -> Machine:
-    """Logistic loss by AdaGrad over mini-batches in a seeded order; rows are (feature, value)."""
+    """Logistic loss by AdaGrad over mini-batches in a seeded order; rows are (feature, value).
+
+    Without rows all parameters are 0.
+    """
     rng = np.random.default_rng(seed)
     size = BUCKETS + DENSE
-    linear, factors, bias = np.zeros(size), rng.normal(0, 0.05, (size, FACTORS)), 0.0
+    if not rows:
+        return Machine(0.0, np.zeros(size), np.zeros((size, FACTORS)))
+    share = min(max(labels.mean(), 1e-3), 1 - 1e-3)
+    m = Machine(float(np.log(share / (1 - share))), np.zeros(size), rng.normal(0, 0.05, (size, FACTORS)))
     g_linear, g_factors, g_bias = np.full(size, 1e-6), np.full((size, FACTORS), 1e-6), 1e-6
-    if len(rows):
-        share = min(max(labels.mean(), 1e-3), 1 - 1e-3)
-        bias = float(np.log(share / (1 - share)))
     for _ in range(EPOCHS):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), BATCH):
             own = order[lo : lo + BATCH]
-            lengths = np.array([len(rows[i][0]) for i in own])
-            feature, value = np.concatenate([rows[i][0] for i in own]), np.concatenate([rows[i][1] for i in own])
-            doc = np.repeat(np.arange(len(own)), lengths)
-            at = np.cumsum(lengths) - lengths
-            v = factors[feature]
-            vx = v * value[:, None]
-            sums = np.add.reduceat(vx, at)
-            margin = bias + np.add.reduceat(linear[feature] * value, at) + 0.5 * (sums**2 - np.add.reduceat(vx * vx, at)).sum(axis=1)
-            error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[own]) / len(own)
-            d = error[doc] * value
-            used, back = np.unique(feature, return_inverse=True)
-            dl = np.bincount(back, weights=d, minlength=len(used)) + DECAY * linear[used]
-            dv_rows = d[:, None] * (sums[doc] - vx)
-            dv = np.column_stack([np.bincount(back, weights=dv_rows[:, k], minlength=len(used)) for k in range(FACTORS)]) + DECAY * factors[used]
+            used, dl, dv, db = gradients(m, [rows[i] for i in own], labels[own])
+            dl, dv = dl + DECAY * m.linear[used], dv + DECAY * m.factors[used]
             g_linear[used] += dl**2
             g_factors[used] += dv**2
-            linear[used] -= RATE * dl / np.sqrt(g_linear[used])
-            factors[used] -= RATE * dv / np.sqrt(g_factors[used])
-            g_bias += error.sum() ** 2
-            bias -= RATE * error.sum() / g_bias**0.5
-    return Machine(bias, linear.astype(np.float32).astype(np.float64), factors.astype(np.float32).astype(np.float64))
+            m.linear[used] -= RATE * dl / np.sqrt(g_linear[used])
+            m.factors[used] -= RATE * dv / np.sqrt(g_factors[used])
+            g_bias += db**2
+            m.bias -= RATE * db / g_bias**0.5
+    return Machine(m.bias, m.linear.astype(np.float32).astype(np.float64), m.factors.astype(np.float32).astype(np.float64))
 
 
 def _declared(part: pa.RecordBatch) -> np.ndarray:
@@ -132,21 +142,22 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = TRAIN
     """The machine learnt from labels (doc_id, quality) for which ``usable`` holds.
 
     At most ``limit`` labelled ids are taken, those of the smallest hash.  An id with several labels takes
-    the larger one; null labels and ids without a text are ignored.  With no label at all every score is
-    0.5 at first and depends on random weights no further than that.
+    the larger one, an id with several texts the one of the least hash; null labels and ids without a text are
+    ignored.  With no label at all every score is 0.5.
     """
     chosen = labels.where(usable & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("__label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # at most ``limit`` short rows, so broadcast
-    rows = docs.select("doc_id", *_inputs(docs)).where("text is not null").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", *_inputs(docs), F.xxhash64("text").alias("__hash")).where("text is not null").join(F.broadcast(chosen), "doc_id")
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = Texts(part.column("text"))
         doc, feature, value = features(texts, _declared(part))
         cut = np.searchsorted(doc, np.arange(texts.n + 1))
         blobs = [[x[cut[i] : cut[i + 1]].astype(t).tobytes() for i in range(texts.n)] for x, t in ((feature, np.int32), (value, np.float32))]
-        return pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.string()), part.column("__label").cast(pa.int64()), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], ["id", "label", "feature", "value"])
+        return pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.string()), part.column("__label").cast(pa.int64()), part.column("__hash"), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], ["id", "label", "hash", "feature", "value"])
 
-    found = map_slices(rows, run, "id string, label long, feature binary, value binary").dropDuplicates(["id"]).limit(limit).collect()
+    found = map_slices(rows, run, "id string, label long, hash long, feature binary, value binary")
+    found = found.groupBy("id").agg(F.min(F.struct("hash", "feature", "value", "label")).alias("r")).select("id", "r.*").collect()  # a row per chosen id
     found.sort(key=lambda r: (len(r["id"]), r["id"], r["feature"]))
     return fit([(np.frombuffer(r["feature"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32).astype(np.float64)) for r in found], np.array([min(1, max(0, r["label"])) for r in found], np.float64))
 

@@ -456,7 +456,48 @@ def test_factorisation_machine_identity_and_learning(spark, odd, none):
     kept = quality_classifier.keep_good(docs, machine)
     assert kept.columns == docs.columns and {x["doc_id"] for x in kept.collect()} == {i for i, x in out.items() if x["predicted"]}
     untaught = quality_classifier.train(docs, labels.limit(0), F.lit(True))
-    assert quality_classifier.score_quality(docs, untaught).count() == 240
+    assert {x["score"] for x in quality_classifier.score_quality(docs, untaught).collect()} == {0.5}
+
+
+def test_factorisation_machine_gradients():
+    """Against differences of the loss by its definition."""
+    r = np.random.default_rng(5)
+    size = quality_classifier.BUCKETS + quality_classifier.DENSE
+    m = quality_classifier.Machine(0.2, r.normal(size=size), r.normal(size=(size, 3)))
+    rows_ = [(np.array([4, 9, 70]), r.normal(size=3)), (np.array([9]), r.normal(size=1)), (np.array([1, 4]), r.normal(size=2))]
+    labels = np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        out = 0.0
+        for (f, x), y in zip(rows_, labels, strict=True):
+            z = m.margins(np.zeros(len(f), np.int64), f, x, 1)[0]
+            out += np.log1p(np.exp(z)) - y * z
+        return out / len(labels)
+
+    used, d_linear, d_factors, d_bias = quality_classifier.gradients(m, rows_, labels)
+    assert used.tolist() == [1, 4, 9, 70]
+
+    def slope(array, at):
+        kept, h = array[at], 1e-5
+        array[at] = kept + h
+        up = loss()
+        array[at] = kept - h
+        down = loss()
+        array[at] = kept
+        return (up - down) / (2 * h)
+
+    for i, f in enumerate(used):
+        assert d_linear[i] == pytest.approx(slope(m.linear, f), abs=1e-8)
+        assert all(d_factors[i, k] == pytest.approx(slope(m.factors, (f, k)), abs=1e-8) for k in range(3))
+    low, m.bias = loss(), m.bias + 1e-5
+    assert d_bias == pytest.approx((loss() - low) / 1e-5, abs=1e-4)
+
+
+def test_quality_training_does_not_depend_on_the_order_of_rows(spark):
+    data = [(i % 60, prose(i, 40) + " %" * (i % 5), "en", "s") for i in range(180)]  # three texts an id
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    machines = [quality_classifier.train(frame(spark, rows_).repartition(n), labels, F.lit(True)) for n, rows_ in ((1, data), (4, data[::-1]))]
+    assert np.array_equal(machines[0].linear, machines[1].linear) and machines[0].bias == machines[1].bias
 
 
 # --- 9
