@@ -61,12 +61,16 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages by text, markup, suffix and host; documents, which have no markup or address, by text and source."""
+    """Pages by text, markup, suffix and host; documents, which have no markup or address, by text and source.
+
+    The text model learns from the documents whose crc32(doc_id as text) mod 3 is not 1; held_out tells the others.
+    """
     docs = documents(spark, sf_dir)
-    languages, table = language_id.text_model(docs)
-    pages = language_id.page_evidence(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("doc_id", F.lit(None).cast("long"))
-    rows = pages.unionByName(language_id.document_evidence(docs).withColumn("page_id", F.lit(None).cast("long")))
-    return language_id.identify(rows, languages, table).select("page_id", "doc_id", "host", "declared", "text_lang", "lang_pred", "confidence")
+    held_out = crc_part(F.col("doc_id"), 3) == 1
+    languages, table = language_id.text_model(docs.where(~held_out))
+    pages = language_id.page_evidence(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumns({"doc_id": F.lit(None).cast("long"), "held_out": F.lit(True)})
+    rows = pages.unionByName(language_id.document_evidence(docs).withColumns({"page_id": F.lit(None).cast("long"), "held_out": held_out}))
+    return language_id.identify(rows, languages, table).select("page_id", "doc_id", "held_out", "host", "declared", "text_lang", "lang_pred", "confidence")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -523,6 +523,74 @@ def test_language_evidence(spark, odd, none):
     assert {r["lang_pred"] for r in language_id.identify(language_id.document_evidence(odd), *language_id.text_model(none)).collect()} == {None}
 
 
+def fused(values, languages, table):
+    """The posterior by its definition, row by row, in plain Python: values are (text, host, suffix, declared)."""
+    ll = []
+    for t, *_ in values:
+        data = np.frombuffer((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode(), np.uint8)
+        codes = []
+        for i in range(len(data) - 2):
+            code = int(data[i]) << 16 | int(data[i + 1]) << 8 | int(data[i + 2])
+            codes.append(((code ^ code >> 15) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - language_id.BITS))
+        own = [sum(float(table[k][c]) for c in codes) for k in range(len(languages))]
+        ll.append([x * min(1, language_id.EVIDENCE / max(len(codes), 1)) for x in own])
+    q = [[math.exp(x - max(own)) for x in own] for own in ll]
+    q = [[x / sum(own) for x in own] for own in q]
+    k = len(languages)
+    group = [d if d in languages or d == "" else "*" for _, _, _, d in values]
+    everything = [sum(x[j] for x in q) + 1 for j in range(k)]
+    everything = [x / sum(everything) for x in everything]
+    seen = {d: [sum(x[j] for x, g in zip(q, group, strict=True) if g == d) + language_id.DECLARED_MASS * (d == languages[j]) + 0.01 for j in range(k)] for d in [*languages, "*"]}
+    out = []
+    for i, (_, host, suffix, _) in enumerate(values):
+        def others(same, j):
+            return max(0.0, sum(q[r][j] for r, v in enumerate(values) if same(v)) - q[i][j])
+
+        hosts = [others(lambda v: v[1:3] == (host, suffix), j) if host else 0.0 for j in range(k)]  # noqa: B023
+        suffixes = [others(lambda v: v[2] == suffix, j) if suffix else 0.0 for j in range(k)]  # noqa: B023
+        post = []
+        for j in range(k):
+            ps = (suffixes[j] + language_id.SUFFIX_MASS * everything[j]) / (sum(suffixes) + language_id.SUFFIX_MASS)
+            ph = (hosts[j] + language_id.HOST_MASS * ps) / (sum(hosts) + language_id.HOST_MASS)
+            stated = math.log(seen[group[i]][j] / sum(seen[d][j] for d in seen)) if group[i] else 0.0
+            post.append(ll[i][j] + stated + math.log(ph))
+        out.append((languages[post.index(max(post))], 1 / sum(math.exp(x - max(post)) for x in post)))
+    return out
+
+
+def test_language_posterior_against_brute_force(spark):
+    samples = {"en": "the quick brown fox jumps over the lazy dog", "de": "der schnelle braune fuchs springt über den hund", "fr": "le renard brun saute par dessus le chien"}
+    docs = frame(spark, [(i, samples[lang][i % 5 :], lang, "s") for i, lang in enumerate(["en", "de", "fr-CA"[:2], "EN"] * 6) if lang in samples] + [(99, "no label here", "12", "s"), (98, "unlabelled", None, "s")])
+    languages, table = language_id.text_model(docs)
+    assert languages == ["de", "en", "fr"]
+    values = [(samples[x][:n], h, s, d) for n, x, h, s, d in ((4, "en", "a.de", "de", ""), (9, "de", "a.de", "de", "de"), (2, "fr", "a.de", "de", "xx"), (40, "fr", "b.fr", "fr", "fr"), (6, "fr", "b.fr", "fr", "en"), (5, "en", "c.fr", "fr", ""), (7, "de", "", "", "de"), (0, "de", "", "", ""))]
+    values += [("", "b.fr", "fr", ""), ("", "a.de", "de", "fr")]
+    df = spark.createDataFrame([(i, *v, "kept", "kept", "kept", 1) for i, v in enumerate(values)], "id long, text string, host string, suffix string, declared string, ll string, q string, s0 string, host_n int")
+    got = sorted(language_id.identify(df, languages, table).collect(), key=lambda r: r["id"])
+    for r, (lang, confidence) in zip(got, fused(values, languages, table), strict=True):
+        assert r["lang_pred"] == lang and r["confidence"] == pytest.approx(confidence, rel=1e-6)
+        assert (r["ll"], r["q"], r["s0"], r["host_n"]) == ("kept", "kept", "kept", 1)
+
+
+def test_language_ties_and_many_languages(spark):
+    names = [a + b for a in "abcdefghijklmnopq" for b in "abcdefghijklmnopqr"]  # 306
+    docs = frame(spark, [(i, f"{n} {n}{n} only {n}{n}{n} words", n.upper() + "-X", "s") for i, n in enumerate(names)])
+    languages, table = language_id.text_model(docs)
+    assert languages == names and table.shape == (306, 1 << language_id.BITS)
+    df = spark.createDataFrame([(0, "qr qrqr qrqrqr", "", "", ""), (1, "", "", "", "")], "id long, text string, host string, suffix string, declared string")
+    got = {r["id"]: r for r in language_id.identify(df, languages, table).collect()}
+    assert got[0]["lang_pred"] == "qr" and got[1]["lang_pred"] is not None
+    same = np.log(np.full((2, 1 << language_id.BITS), 2.0**-language_id.BITS, np.float32))
+    assert {r["lang_pred"] for r in language_id.identify(df, ["aa", "bb"], same).collect()} == {"aa"}  # ties go by name
+
+
+def test_language_held_out_accuracy(spark):
+    data = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang").collect()}
+    got = [r for r in QUERIES["op9_language_id"](spark, data).where("doc_id is not null and held_out").collect()]
+    assert len(got) > 200 and sum(r["lang_pred"] == truth[r["doc_id"]] for r in got) >= 0.95 * len(got)
+
+
 # --- 10
 
 
