@@ -53,7 +53,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
+        self.count, self.paths = 0, []
 
     def keep(self, df: DataFrame, name: str, **options) -> DataFrame:
         """df as written and read again.  The write's own shuffle files go with it: nothing reads them any more."""
@@ -63,16 +63,28 @@ class Scratch:
             df.write.options(**{"compression": "zstd"} | options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.paths.append(path)
+        return out
+
+    def keep_only(self, df: DataFrame, name: str, **options) -> DataFrame:
+        """As ``keep`` for an operator's result, which alone stays: the tables that it was made of are removed."""
+        out = self.keep(df, name, **options)
+        for path in self.paths[:-1]:
+            self._remove(path)
+        del self.paths[:-1]
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Removes a table of ``keep`` that no later plan reads."""
         path = getattr(df, "_scratch_path", None)
-        if path:
-            jvm = self.spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            with contextlib.suppress(Exception):  # space is freed at the end of the application otherwise
-                target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        if path in self.paths:
+            self.paths.remove(path)
+            self._remove(path)
+
+    def _remove(self, path: str) -> None:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        with contextlib.suppress(Exception):  # space is freed with the folder otherwise
+            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None], schema: T.StructType | str, column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:

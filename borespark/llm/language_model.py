@@ -311,10 +311,7 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER, mass: Seq
         _score_block(order, bits, tokens, types, begins, tuple(mass)),
         f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
-    out = scratch.keep(scored, "scores")
-    scratch.drop(blocks)
-    scratch.drop(merged)
-    return out
+    return scratch.keep_only(scored, "scores")
 
 
 def held_out_part(key: Column, modulus: int = 5, part: int = 1) -> Column:

@@ -9,50 +9,19 @@ from pyspark.sql import functions as F
 
 from borespark.llm.common import Scratch, map_slices
 from borespark.llm.components import connected_components
-from borespark.llm.kernels import Texts, distinct_in, mix, stream
+from borespark.llm.kernels import Texts, distinct_in
 from borespark.llm.sketch import band_keys, prob_minhash
 
 #: Buckets of up to so many different texts are compared in full; larger ones by leaders first.
 SMALL_BUCKET = 16
 #: Random leaders that every member of a larger bucket meets at first, besides two central ones.
 LEADERS = 2
-#: Registers, and low bits of each, that screen the pairs that are left in larger buckets.
-SCREEN, PLANES = 2048, 2
-#: Pairs of texts of up to so many shingles each are screened by the sets themselves.
-EXACT = 64
-_NO_ID = np.iinfo(np.int64).max
-
-
-def _lists(x: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
 
 def _ragged(x: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *x])))
 
 
-def _screen(shingle: int):
-    """Bit planes of many registers of the plain (unweighted) sets: a sharp estimate of their similarity.
-
-    The bits are those of a hash of winner and register, so that two different winners agree by chance in each
-    register anew.  Sets of up to ``EXACT`` shingles are given as well.
-    """
-    salts = stream(4, SCREEN)
-
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        texts = Texts(part.column("text"))
-        element, doc = texts.shingles(shingle)
-        doc, element, _ = distinct_in(doc, element)
-        registers = prob_minhash(doc, element, np.ones(len(doc)), texts.n, SCREEN, seed=3)
-        registers = mix(registers ^ salts)
-        planes = [np.packbits((registers >> np.uint64(p)).astype(np.uint8) & 1, axis=1).view(np.int64) for p in range(PLANES)]
-        cut = np.searchsorted(doc, np.arange(texts.n + 1))
-        own = [element[cut[i] : cut[i + 1] if cut[i + 1] - cut[i] <= EXACT else cut[i]].view(np.int64) for i in range(texts.n)]
-        return pa.RecordBatch.from_arrays([part.column("node"), _lists(np.concatenate(planes, axis=1)), _ragged(own)], ["node", "bits", "own"])
-
-    return run
-
-
 def _sketch(bands: int, rows: int, shingle: int):
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         node = part.column("node").to_numpy()
@@ -72,11 +41,9 @@ def _sketch(bands: int, rows: int, shingle: int):
             for i, more in zip(again, band_keys(plain, bands, rows).view(np.int64), strict=True):
                 keys[i] = np.append(more, keys[i][keys[i] != more])
 
-        ids = part.column("doc_id").fill_null(_NO_ID).to_numpy()  # integers stay exact
-        low = np.full(len(first), _NO_ID)
-        np.minimum.at(low, back, ids)
+        ids = pa.table([pa.array(back.ravel()), part.column("doc_id")], ["at", "id"]).group_by("at").aggregate([("id", "min"), ("at", "count")]).sort_by("at")
         return pa.RecordBatch.from_arrays(
-            [pa.array(node[first]), pa.array(low, pa.int64(), mask=low == _NO_ID), pa.array(np.bincount(back, minlength=len(first)).astype(np.int64)), pa.array(size.astype(np.int64)), _ragged(keys)],
+            [pa.array(node[first]), ids.column("id_min").combine_chunks(), ids.column("at_count").combine_chunks(), pa.array(size.astype(np.int64)), _ragged(keys)],
             ["node", "low", "copies", "size", "bands"],
         )
 
@@ -94,6 +61,16 @@ def _sets(shingle: int):
     return run
 
 
+def _members(shingle: int):
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = Texts(part.column("text"))
+        doc, element, _ = distinct_in(*texts.shingles(shingle)[::-1])
+        cut = np.searchsorted(doc, np.arange(texts.n + 1))
+        return pa.RecordBatch.from_arrays([part.column("node"), _ragged([element[cut[i] : cut[i + 1]].view(np.int64) for i in range(texts.n)])], ["node", "own"])
+
+    return run
+
+
 def _verify(threshold: float):
     def run(batches):
         for batch in batches:
@@ -123,20 +100,22 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, shingle: int
 
     Pairs never grow with the square of a bucket: buckets of up to ``SMALL_BUCKET`` texts are compared in
     full; in a larger one each member meets a few leaders (two central members and ``LEADERS`` random
-    ones), and only members that are not in one component after that are compared further, screened by
-    their sets where both have up to ``EXACT`` shingles, else by a sketch of ``SCREEN`` registers (bound: 4
-    standard deviations below the threshold), so no link between components is lost by the size of a bucket.
+    ones).  Members of buckets that still hold several components after that are joined by the rarest of
+    their shingles (``_across``), which finds every pair across components that has the similarity, so no link
+    between components is lost by the size of a bucket, and what a bucket shares makes no pairs.
 
     class_id is the smallest doc_id of the class, class_size its number of rows.  A null text counts as
     empty; texts without words are alike only if equal.  Texts of 1 to 4 words have one shingle.  Repeated
     rows and repeated doc_ids count as rows of their own; a class without any doc_id has class_id null.
+    doc_id is of any type that has an order.
     Columns other than doc_id and text are neither read nor returned.  Equality of texts is that of a
     64-bit hash.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "near")
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    sketched = map_slices(keyed, _sketch(bands, rows, shingle), "node long, low long, copies long, size long, bands array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sketched = map_slices(keyed, _sketch(bands, rows, shingle), f"node long, low {kind}, copies long, size long, bands array<long>")
     nodes = scratch.keep(sketched.groupBy("node").agg(F.min("low").alias("low"), F.sum("copies").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
 
     banded = nodes.where("size > 0").select("node", F.explode("bands").alias("key"))
@@ -152,7 +131,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, shingle: int
     half = F.pmod(F.xxhash64("node", F.lit(-1)), F.lit(2))
     chosen = [F.max(F.when(half == h, F.struct("company", F.col("node").alias("x"))))["x"] for h in (0, 1)]
     chosen += [F.min(F.struct(F.xxhash64("node", "key", F.lit(k)).alias("h"), F.col("node").alias("x")))["x"] for k in range(LEADERS)]
-    leaders = large.groupBy("key").agg(*[c.alias(f"l{k}") for k, c in enumerate(chosen)])
+    leaders = scratch.keep(large.groupBy("key").agg(*[c.alias(f"l{k}") for k, c in enumerate(chosen)]), "leaders")  # so that a frequent key's join can be split
     led = large.join(leaders, "key").select("node", F.explode(F.array_distinct(F.array_compact(F.array(*[f"l{k}" for k in range(len(chosen))])))).alias("l"))
     led = led.where("node <> l").select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b"))
     pairs = scratch.keep(pairs.union(small).union(led).distinct(), "pairs")
@@ -162,30 +141,10 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, shingle: int
 
     # larger buckets that still hold several components: only pairs across components are left to compare
     big = large.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = big.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = scratch.keep(big.join(mixed, "key"), "rest")
+    mixed = scratch.keep(big.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "mixed")
+    rest = scratch.keep(big.join(mixed, "key").select("node", "component").distinct(), "rest")
     if not rest.isEmpty():
-        need = rest.select("node").distinct().join(nodes.select("node", "low", "size", "bands"), "node")
-        bits = map_slices(_texts_of(keyed, need), _screen(shingle), "node long, bits array<long>, own array<long>", limit=256 << 10)
-        bits = bits.groupBy("node").agg(F.first("bits").alias("bits"), F.first("own").alias("own"))
-        rest = rest.join(need.join(bits, "node").select("node", "size", "bands", "bits", "own"), "node")
-        rest = rest.withColumn("earlier", F.slice("bands", F.lit(1), (F.array_position("bands", F.col("key")) - 1).cast("int"))).drop("bands")
-        p = threshold + (1 - threshold) / 2**PLANES
-        slack = int(SCREEN * (1 - p) + 4 * (SCREEN * p * (1 - p)) ** 0.5)
-        rest = scratch.keep(rest, "screen")
-        x, y = rest.select([F.col(c).alias(f"x_{c}") for c in rest.columns]), rest.select([F.col(c).alias(f"y_{c}") for c in rest.columns])
-        words = SCREEN // 64
-        differ = F.zip_with("x_bits", "y_bits", lambda p, q: p.bitwiseXOR(q))
-        for k in range(1, PLANES):
-            differ = F.zip_with(F.slice(differ, 1, words), F.slice(differ, k * words + 1, words), lambda p, q: p.bitwiseOR(q))
-        unequal = F.aggregate(differ, F.lit(0), lambda total, w: total + F.bit_count(w))
-        new = ~F.arrays_overlap("x_earlier", "y_earlier")  # the pair's first common bucket alone compares it
-        sized = F.least("x_size", "y_size") >= threshold * F.greatest("x_size", "y_size") - 1e-9
-        both = F.size(F.array_intersect("x_own", "y_own")) * (1 + threshold) >= threshold * (F.col("x_size") + F.col("y_size")) - 1e-9
-        alike = F.when(F.greatest("x_size", "y_size") <= EXACT, both).otherwise(unequal <= slack)
-        across = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_component") < F.col("y_component")) & sized & new & alike)
-        more = across.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
-        more = scratch.keep(more.distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+        more = scratch.keep(_across(keyed, nodes, rest, threshold, shingle, scratch).join(pairs, ["a", "b"], "left_anti"), "more")
         links = links.union(_verified(keyed, nodes, more, threshold, shingle, scratch))
         labels = connected_components(links, scratch)
 
@@ -193,7 +152,35 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, shingle: int
     classes = scratch.keep(classes, "classes")
     totals = classes.groupBy("component").agg(F.min("low").alias("class_id"), F.sum("copies").alias("class_size"))
     classes = classes.select("node", "component").join(totals, "component")
-    return keyed.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "class_size", "node", "component")
+    out = keyed.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "class_size", "node", "component")
+    return scratch.keep_only(out, "result")
+
+
+def _across(keyed: DataFrame, nodes: DataFrame, rest: DataFrame, threshold: float, shingle: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of different components among rest (node, component) that may have the similarity.
+
+    In any fixed order of the shingles, two sets of that similarity share one of the first
+    size - ceil(threshold * size) + 1 of each.  The order begins with the shingles that stand in one component
+    alone, which join nothing, then goes from the rarest to the most frequent ones.  Two sets whose first common
+    shingle has p and q others before it share size - p and size - q at most, which must be enough for both sizes.
+    """
+    need = rest.select("node").join(nodes.select("node", "low"), "node")
+    own = map_slices(_texts_of(keyed, need), _members(shingle), "node long, own array<long>", limit=1 << 20)
+    own = scratch.keep(own.groupBy("node").agg(F.first("own").alias("own")).join(rest, "node").where(F.size("own") > 0), "shingles")
+    each = own.select("node", "component", F.explode("own").alias("element"))
+    shared = each.groupBy("element").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    shared = scratch.keep(shared.where("lo <> hi").select("element", "f"), "shared")
+    ranked = each.join(shared, "element", "left").select("node", F.struct(F.coalesce("f", F.lit(0)).alias("f"), "element").alias("e"))
+    ranked = ranked.where("e.f > 0").groupBy("node").agg(F.sort_array(F.collect_list("e")).alias("e"))  # a text's own shingles
+    size = F.size("own")
+    first = size - F.ceil(threshold * size - 1e-9) + 1 - (size - F.size("e"))  # less those that stand in one component alone
+    prefix = own.join(ranked, "node").where(first > 0).select("node", "component", size.alias("size"), (size - F.size("e")).alias("alone"), F.posexplode(F.slice("e", F.lit(1), first.cast("int"))).alias("p", "e"))
+    prefix = scratch.keep(prefix.select("node", "component", "size", (F.col("size") - F.col("alone") - F.col("p")).alias("left"), F.col("e.element").alias("element")), "prefix")
+    x, y = prefix.select([F.col(c).alias(f"x_{c}") for c in prefix.columns]), prefix.select([F.col(c).alias(f"y_{c}") for c in prefix.columns])
+    sized = F.least("x_size", "y_size") >= threshold * F.greatest("x_size", "y_size") - 1e-9
+    enough = F.least("x_left", "y_left") * (1 + threshold) >= threshold * (F.col("x_size") + F.col("y_size")) - 1e-9
+    met = x.join(y, (F.col("x_element") == F.col("y_element")) & (F.col("x_component") < F.col("y_component")) & sized & enough)
+    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
 def _verified(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float, shingle: int, scratch: Scratch) -> DataFrame:
