@@ -77,6 +77,14 @@ def test_log_variants():
         logs.parse_log(LOG + " 1 2 3 4 5\n")
     short = logs.parse_log(LOG.split("~A")[0] + "~A\n 1 2\n 3 4\n")
     assert short.rows == [["1", "2", None, None], ["3", "4", None, None]]
+    with pytest.raises(ValueError):
+        logs.parse_log(LOG.split("~A")[0] + "~A\n 1 2 3 4\n 3 4\n")
+    with pytest.raises(ValueError):
+        logs.parse_log(LOG.split("~A")[0] + "~A\n 1 2 3 4\n 1 2 *** 4\n")
+    tail = logs.parse_log(wrapped + " 9 9\n")
+    assert len(tail.rows) == 3 and any("no whole row" in i for i in tail.issues)
+    assert logs._cells("1,, 2 ,\"x\"", "COMMA") == ["1", "2", '"x"'] and logs._cells("a\t\t'b\tc'd\t e\"f", "TAB") == ["a", "b\tcd", "ef"]
+    assert logs.decode(b"\x80\x93\x81\xe9") == "€“\x81é"
     assert logs.decode(b"\xef\xbb\xbfabc") == "abc" and logs.decode("é".encode("latin-1")) == "é" and logs.decode("é".encode("utf-16")) == "é"
 
 
@@ -95,6 +103,11 @@ def test_log_variants():
         ("QI .[M] : GOOD", "P", ("QI", "M", "", "GOOD")),
         ("X.M. 5", "P", ("X", "M", "5", "")),
         ("  ", "P", None),
+        ("NULL.    -999.25", "W", ("NULL", "", "-999.25", "")),
+        ("RUN.1000", "P", ("RUN", "1000", "", "")),
+        ("A..B c", "P", ("A", ".B", "c", "")),
+        ("lone word", "P", ("lone", "", "word", "")),
+        ("X.(ft) 1:2:3", "P", ("X", "ft", "1:2", "3")),
     ],
 )
 def test_header_lines(line, section, want):
