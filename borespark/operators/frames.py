@@ -6,6 +6,7 @@ and curve, say); every operator partitions by them, so logs are independent and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -257,13 +258,43 @@ def row_window(df: DataFrame, position: str, start: int, count: int) -> DataFram
     return df.where((F.col(position) >= start) & (F.col(position) < start + count))
 
 
-def depth_window(df: DataFrame, depth: str, low: float, high: float) -> DataFrame:
-    """Both ends inclusive."""
-    if low > high:
-        raise ValueError("the window's ends are in the wrong order")
+def depth_window(df: DataFrame, depth: str, low: float, high: float, keys: Keys | None = None, order: Keys = ()) -> DataFrame:
+    """Both ends inclusive.
+
+    With ``keys`` the depths of each log, in ``order``, must be finite and run one way, else the query fails.
+    """
+    if not (math.isfinite(low) and math.isfinite(high)) or low > high:
+        raise ValueError("the window's ends are finite and in order")
+    if keys is not None:
+        df = df.join(_checked_depths(df, keys, order, depth), _same(keys), "left_semi")
     return df.where(F.col(depth).between(low, high))
 
 
+def _same(keys: Keys) -> Column:
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return same
+
+
+def _checked_depths(df: DataFrame, keys: Keys, order: Keys, depth: str) -> DataFrame:
+    """A row per log, whose making fails where a depth is missing, no number or turns round."""
+    x = F.col(depth)
+    rows = df.withColumn("__d", x - F.lag(x).over(_w(keys, *order)))
+    wrong = (F.count_if(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) > 0) | ((F.min("__d") < 0) & (F.max("__d") > 0))
+    logs = rows.groupBy(*keys).agg(F.when(wrong, F.raise_error(F.lit("depths are finite and run one way"))).otherwise(F.lit(True)).cast("boolean").alias("__sound"))
+    return logs.where("__sound").select(*[F.col(k).alias(f"__k_{k}") for k in keys])
+
+
+def trim_ends(df: DataFrame, keys: Keys, depth: str, share: float) -> DataFrame:
+    """Each log without the rows in the first and last ``share`` of its own depth range."""
+    if not 0 <= share < 0.5:
+        raise ValueError("the share is in [0, 0.5)")
+    rows = with_statistics(df, keys, __top=F.min(depth), __bottom=F.max(depth))
+    margin = share * (F.col("__bottom") - F.col("__top"))
+    return rows.where(F.col(depth).between(F.col("__top") + margin, F.col("__bottom") - margin)).drop("__top", "__bottom")
+
+
 def regular_depth_window(df: DataFrame, position: str, start: float, step: float, low: float, high: float) -> DataFrame:
     """The rows of a regular index (start + position * step) inside the window, by arithmetic on positions."""
     if low > high or step == 0:

@@ -177,16 +177,6 @@ def p31_curve_kind(spark, sf_dir):
 
 
 def interfaces(spark, sf_dir):
-    x = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
-
-    def side(k):
-        r = x.where(F.col("l_linenumber") == k)
-        return r.select("l_orderkey", (2000.0 + F.col("l_extendedprice") / 100.0).alias(f"vp{k}"), (900.0 + F.col("l_extendedprice") / 200.0 + F.col("l_quantity")).alias(f"vs{k}"), (2.0 + F.col("l_tax") * 4.0).alias(f"rho{k}"))
-
-    return side(1).join(side(2), "l_orderkey")
-
-
-def all_interfaces(spark, sf_dir):
     """Every line item of an order with the next one; l_linenumber is that of the upper one."""
     x = table(spark, sf_dir, "lineitem")
 
@@ -197,13 +187,13 @@ def all_interfaces(spark, sf_dir):
     return side(1).join(side(2), ["l_orderkey", "l_linenumber"])
 
 
-_SIDE = "SELECT l_orderkey, 2000.0 + l_extendedprice / 100.0 AS vp{k}, 900.0 + l_extendedprice / 200.0 + l_quantity AS vs{k}, 2.0 + l_tax * 4.0 AS rho{k} FROM lineitem WHERE l_linenumber = {k}"
-_AVO = f"""WITH i AS (SELECT * FROM ({_SIDE.format(k=1)}) JOIN ({_SIDE.format(k=2)}) USING (l_orderkey)),
+_SIDE = "SELECT l_orderkey, l_linenumber - {k} + 1 AS l_linenumber, 2000.0 + l_extendedprice / 100.0 AS vp{k}, 900.0 + l_extendedprice / 200.0 + l_quantity AS vs{k}, 2.0 + l_tax * 4.0 AS rho{k} FROM lineitem"
+_AVO = f"""WITH i AS (SELECT * FROM ({_SIDE.format(k=1)}) JOIN ({_SIDE.format(k=2)}) USING (l_orderkey, l_linenumber)),
  m AS (SELECT *, 0.5 * (vp1 + vp2) AS vp, 0.5 * (vs1 + vs2) AS vs, 0.5 * (rho1 + rho2) AS rho FROM i),
  c AS (SELECT *, (vp2 - vp1) / vp AS p, (vs2 - vs1) / vs AS s, (rho2 - rho1) / rho AS r, (vs / vp) * (vs / vp) AS g2 FROM m),
  a AS (SELECT *, RADIANS(angle) AS t, POW(SIN(RADIANS(angle)), 2) AS sin2, POW(TAN(RADIANS(angle)), 2) AS tan2 FROM c, (SELECT CAST(UNNEST([0, 10, 20, 30]) AS DOUBLE) AS angle)),
  b AS (SELECT *, CASE WHEN ABS(vp2 / vp1 * SIN(t)) <= 1 THEN 0.5 * (t + ASIN(CASE WHEN ABS(vp2 / vp1 * SIN(t)) <= 1 THEN vp2 / vp1 * SIN(t) END)) END AS mid FROM a)
- SELECT l_orderkey, angle, ROUND(%s, 6) AS reflectivity FROM b"""
+ SELECT l_orderkey, l_linenumber, angle, ROUND(%s, 6) AS reflectivity FROM b"""
 _G = "(0.5 * p - 2.0 * g2 * (r + 2.0 * s))"
 _AVO_SQL = {
     "shuey_two_term": f"0.5 * (p + r) + {_G} * sin2",
@@ -222,7 +212,7 @@ _AVO_SQL["zoeppritz_real"] = _ZOEPP
 for _i, _name in enumerate(avo.METHODS, 1):
 
     def _reflect(spark, sf_dir, method=_name):
-        return avo.reflectivity(interfaces(spark, sf_dir), [0, 10, 20, 30], method).select("l_orderkey", "angle", r6("reflectivity").alias("reflectivity"))
+        return avo.reflectivity(interfaces(spark, sf_dir), [0, 10, 20, 30], method).select("l_orderkey", "l_linenumber", "angle", r6("reflectivity").alias("reflectivity"))
 
     register(f"v{_i:02d}_{_name}", _AVO % _AVO_SQL[_name])(_reflect)
 
@@ -230,19 +220,29 @@ for _i, _name in enumerate(avo.METHODS, 1):
 @register("v09_zoeppritz", _AVO % _ZOEPP + " WHERE ABS(SIN(t) / vp1 * vp2) <= 1")
 def v09_zoeppritz(spark, sf_dir):
     rows = avo.reflectivity(interfaces(spark, sf_dir), [0, 10, 20, 30], "zoeppritz")
-    return rows.where(F.abs(F.sin(F.radians("angle")) / F.col("vp1") * F.col("vp2")) <= 1).select("l_orderkey", "angle", r6("re").alias("reflectivity"))
+    return rows.where(F.abs(F.sin(F.radians("angle")) / F.col("vp1") * F.col("vp2")) <= 1).select("l_orderkey", "l_linenumber", "angle", r6("re").alias("reflectivity"))
+
+
+# beyond the critical angle the roots turn imaginary: the same equations on pairs of real and imaginary parts
+_POST = _AVO.split(" SELECT l_orderkey")[0].replace("[0, 10, 20, 30]", "[50, 70, 85]") + """,
+ k AS (SELECT *, POW(SIN(t) / vp1, 2) AS pp, vs1 * vs1 AS m1, vs2 * vs2 AS m2 FROM b),
+ l AS (SELECT *, rho2 * (1 - 2 * m2 * pp) - rho1 * (1 - 2 * m1 * pp) AS ka, rho2 * (1 - 2 * m2 * pp) + 2 * rho1 * m1 * pp AS kb, rho1 * (1 - 2 * m1 * pp) + 2 * rho2 * m2 * pp AS kc, 2 * (rho2 * m2 - rho1 * m1) AS kd,
+  SQRT(GREATEST(0.0, 1 / (vp1 * vp1) - pp)) AS one, SQRT(GREATEST(0.0, 1 / (vp2 * vp2) - pp)) AS zr, SQRT(GREATEST(0.0, pp - 1 / (vp2 * vp2))) AS zi, SQRT(GREATEST(0.0, 1 / m1 - pp)) AS ur, SQRT(GREATEST(0.0, pp - 1 / m1)) AS ui, SQRT(GREATEST(0.0, 1 / m2 - pp)) AS wr, SQRT(GREATEST(0.0, pp - 1 / m2)) AS wi FROM k),
+ n AS (SELECT *, kb * one + kc * zr AS er, kc * zi AS ei, kb * one - kc * zr AS ar, -kc * zi AS ai, kb * ur + kc * wr AS fr, kb * ui + kc * wi AS fi, ka - kd * one * wr AS gr, -kd * one * wi AS gi, ka + kd * one * wr AS cr, kd * one * wi AS ci, ka - kd * (zr * ur - zi * ui) AS hr, -kd * (zr * ui + zi * ur) AS hi FROM l),
+ o AS (SELECT *, fr * ar - fi * ai - pp * (hr * cr - hi * ci) AS tr, fr * ai + fi * ar - pp * (hr * ci + hi * cr) AS ti, er * fr - ei * fi + pp * (gr * hr - gi * hi) AS dr, er * fi + ei * fr + pp * (gr * hi + gi * hr) AS di FROM n)
+ SELECT l_orderkey, l_linenumber, angle, ROUND((tr * dr + ti * di) / (dr * dr + di * di), 6) AS re, ROUND((ti * dr - tr * di) / (dr * dr + di * di), 6) AS im FROM o"""
 
 
-@register("v09_zoeppritz_post_critical")
+@register("v09_zoeppritz_post_critical", _POST)
 def v09_zoeppritz_post_critical(spark, sf_dir):
-    rows = avo.reflectivity(all_interfaces(spark, sf_dir), [50, 70, 85], "zoeppritz")
+    rows = avo.reflectivity(interfaces(spark, sf_dir), [50, 70, 85], "zoeppritz")
     return rows.select("l_orderkey", "l_linenumber", "angle", r6("re").alias("re"), r6("im").alias("im"))
 
 
 def intercept_gradient(spark, sf_dir):
     i = interfaces(spark, sf_dir)
     a = avo.Interface()
-    return i.select("l_orderkey", r6(a.intercept()).alias("intercept"), r6(a.gradient()).alias("gradient"))
+    return i.select("l_orderkey", "l_linenumber", r6(a.intercept()).alias("intercept"), r6(a.gradient()).alias("gradient"))
 
 
 register("v01_intercept_gradient", _AVO.replace("angle, ROUND(%s, 6) AS reflectivity FROM b", f"ROUND(0.5 * (p + r), 6) AS intercept, ROUND({_G}, 6) AS gradient FROM c"))(intercept_gradient)

@@ -9,17 +9,19 @@ from borespark.plans.workload import ELASTIC, LOGS, elastic, logs, r6, register,
 
 W = ["well"]
 ORDER = ["ts", "id"]
+#: Share of a log's depth range that its summary leaves out at either end.
+MARGIN = 0.02
 _OVER = "OVER (PARTITION BY well ORDER BY ts, id ROWS BETWEEN {a} PRECEDING AND {b} FOLLOWING)"
 
 
-@register("slice_log_summary", f"""WITH {LOGS}, f AS (SELECT * FROM logs WHERE id BETWEEN 100 AND 1000000), s AS (SELECT *, AVG(v) {_OVER.format(a=2, b=2)} AS smooth, CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END AS gap FROM f),
+@register("slice_log_summary", f"""WITH {LOGS}, e AS (SELECT well, MIN(id) AS top, MAX(id) AS bottom FROM logs GROUP BY well), f AS (SELECT logs.* FROM logs JOIN e USING (well) WHERE id BETWEEN top + {MARGIN} * (bottom - top) AND bottom - {MARGIN} * (bottom - top)), s AS (SELECT *, AVG(v) {_OVER.format(a=2, b=2)} AS smooth, CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END AS gap FROM f),
  z AS (SELECT *, CASE WHEN STDDEV_POP(v) OVER (PARTITION BY well) < 2.3e-16 THEN CASE WHEN v IS NOT NULL THEN 0.0 END ELSE (v - AVG(v) OVER (PARTITION BY well)) / STDDEV_POP(v) OVER (PARTITION BY well) END AS z FROM s)
  SELECT well, COUNT(*) AS n, ROUND(AVG(smooth), 6) AS mean_smooth, ROUND(MAX(z), 6) AS max_z, CAST(SUM(gap) AS DOUBLE) AS gaps FROM z GROUP BY well""")
 def slice_log_summary(spark, sf_dir):
-    """A depth window of logs, smoothed, scaled and flagged, then summed up per well."""
+    """Each log without the margins at its ends, smoothed, scaled and flagged, then summed up per well."""
     from borespark.functions.petro import gap_flag
 
-    rows = frames.depth_window(logs(spark, sf_dir), "id", 100, 1_000_000)
+    rows = frames.trim_ends(logs(spark, sf_dir), W, "id", MARGIN)
     rows = frames.z_score(frames.moving_average(rows, W, ORDER, "v"), W, "v").withColumn("gap", gap_flag("v"))
     return rows.groupBy("well").agg(F.count("*").alias("n"), r6(F.avg("smooth")).alias("mean_smooth"), r6(F.max("z")).alias("max_z"), F.sum("gap").alias("gaps"))
 
