@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from borespark.operators.traces import as_doubles
+from borespark.operators.traces import as_doubles, map_traces, sum_traces
 
 SMALL = 1e-12
 MOST_VELOCITIES = 4096
@@ -28,45 +29,59 @@ def velocity_at(time_ms: Column, pairs: Sequence[tuple[float, float]] | float) -
     return F.when(time_ms <= pairs[0][0], F.lit(float(pairs[0][1]))).otherwise(value)
 
 
-def sample_at(trace: Column, time_ms: Column, interval_ms: float) -> Column:
-    """Linear interpolation on a regular axis from 0; 0 outside it."""
-    at = time_ms / interval_ms
-    low = F.floor(at).cast("int")
-    high = F.least(low + 1, F.size(trace) - 1)
+def velocities(times: np.ndarray, pairs: Sequence[tuple[float, float]] | float) -> np.ndarray:
+    """``velocity_at`` of an axis of times."""
+    if not isinstance(pairs, Sequence):
+        return np.full(len(times), float(pairs))
+    knots = np.array(sorted(pairs), float)
+    k = np.searchsorted(knots[:, 0], times)
+    inner = np.clip(k, 1, max(len(knots) - 1, 1))
+    (t0, v0), (t1, v1) = (knots[np.minimum(j, len(knots) - 1)].T for j in (inner - 1, inner))
+    close = t1 - t0 <= 1e-6
+    line = np.where(close, v1, v0 + (v1 - v0) * (times - t0) / np.where(close, 1, t1 - t0))
+    return np.where(k == 0, knots[0, 1], np.where(k == len(knots), knots[-1, 1], line))
+
+
+def moveout(times: np.ndarray, offset: np.ndarray, velocity: np.ndarray) -> np.ndarray:
+    """Moveout times [traces, samples] of zero-offset times, ms."""
+    t, x = times / 1000.0, offset[:, None] / velocity
+    return np.sqrt(t * t + x * x) * 1000.0
+
+
+def samples_at(x: np.ndarray, times: np.ndarray, interval_ms: float) -> np.ndarray:
+    """Linear interpolation of traces [rows, n] at times [rows, m] on a regular axis from 0; 0 outside it."""
+    at = times / interval_ms
+    inside = (at >= 0) & (at < x.shape[1])
+    at = np.where(inside, at, 0)
+    low = at.astype(np.int64)
     part = at - low
-    value = F.get(trace, low) * (1.0 - part) + F.get(trace, high) * part
-    return F.when((time_ms >= 0) & (low < F.size(trace)), value).otherwise(0.0)
-
-
-def moveout_time(zero_ms: Column, offset: Column, velocity: Column) -> Column:
-    t, x = zero_ms / 1000.0, offset / velocity
-    return F.sqrt(t * t + x * x) * 1000.0
-
-
-def _each(df: DataFrame, interval_ms: float, start_ms: float, rule) -> DataFrame:
-    x = as_doubles("amplitude")
-    return df.withColumn("amplitude", F.transform(x, lambda v, i: rule(x, v, start_ms + i * interval_ms)))
+    rows = np.arange(len(x))[:, None]
+    return np.where(inside, x[rows, low] * (1 - part) + x[rows, np.minimum(low + 1, x.shape[1] - 1)] * part, 0.0)
 
 
 def nmo(df: DataFrame, interval_ms: float, velocity, start_ms: float = 0.0) -> DataFrame:
-    """Normal moveout: each sample from the trace at its moveout time; 0 for times up to 0 and outside."""
+    """Normal moveout: each sample from the trace at its moveout time; 0 for times up to 0 and outside, and
+    throughout where the offset is missing.  One Arrow pass."""
 
-    def rule(x, _, t):
-        return F.when(t <= 0, 0.0).otherwise(sample_at(x, moveout_time(t, F.col("offset"), velocity_at(t, velocity)), interval_ms))
+    def work(x, offset):
+        t = start_ms + np.arange(x.shape[1]) * interval_ms
+        return np.where(t <= 0, 0.0, samples_at(x, moveout(t, offset, velocities(t, velocity)), interval_ms))
 
-    return _each(df, interval_ms, start_ms, rule)
+    return map_traces(df.withColumn("amplitude", as_doubles("amplitude")), work, "amplitude", ["offset"])
 
 
 def stretch_mute(df: DataFrame, interval_ms: float, velocity, most: float, start_ms: float = 0.0) -> DataFrame:
-    """Zeroes samples that moveout stretches by more than ``most``."""
+    """Zeroes samples that moveout stretches by more than ``most``.  One Arrow pass."""
     if not 0 < most <= 100:
         raise ValueError("the stretch limit is in (0, 100]")
 
-    def rule(_, v, t):
-        stretch = (moveout_time(t, F.col("offset"), velocity_at(t, velocity)) - t) / t
-        return F.when((t <= 0) | (stretch > most), 0.0).otherwise(v)
+    def work(x, offset):
+        t = start_ms + np.arange(x.shape[1]) * interval_ms
+        later = np.where(t > 0, t, 1)
+        stretch = (moveout(t, offset, velocities(t, velocity)) - t) / later
+        return np.where((t <= 0) | (stretch > most), 0.0, x)
 
-    return _each(df, interval_ms, start_ms, rule)
+    return map_traces(df.withColumn("amplitude", as_doubles("amplitude")), work, "amplitude", ["offset"])
 
 
 def offset_mute(df: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
@@ -103,23 +118,23 @@ def trial_velocities(low: float, high: float, step: float) -> list[float]:
     return out
 
 
-def semblance(df: DataFrame, interval_ms: float, velocities: Sequence[float], keys: Sequence[str] = ("gather",), start_ms: float = 0.0) -> DataFrame:
+def semblance(df: DataFrame, interval_ms: float, trials: Sequence[float], keys: Sequence[str] = ("gather",), start_ms: float = 0.0) -> DataFrame:
     """(keys, velocity, t, semblance) of every trial velocity and sample.
 
-    Each trace turns into one short row per velocity with its moved-out samples; sums over the traces are
-    partial sums, so a large gather doesn't meet in one task before it is added up.
+    Each task moves its traces out at every velocity and adds them up per gather (``sum_traces``), so a large
+    gather neither meets in one task nor sends its traces anywhere.  Traces without an offset add nothing but
+    their number.
     """
-    x = as_doubles("amplitude")
-    rows = df.select(*keys, "offset", x.alias("x"), F.explode(F.array(*[F.lit(float(v)) for v in velocities])).alias("velocity"))
 
-    def moved(_, i):
-        t = F.greatest(F.lit(0.0), start_ms + i * interval_ms)
-        return sample_at(F.col("x"), moveout_time(t, F.col("offset"), F.col("velocity")), interval_ms)
+    def work(x, offset):
+        t = np.maximum(0.0, start_ms + np.arange(x.shape[1]) * interval_ms)
+        return np.stack([samples_at(x, moveout(t, offset, np.full(len(t), float(v))), interval_ms) for v in trials])
 
-    cells = rows.select(*keys, "velocity", F.posexplode(F.transform("x", moved)).alias("t", "a"))
-    sums = cells.groupBy(*keys, "velocity", "t").agg(F.sum("a").alias("s"), F.sum(F.col("a") * F.col("a")).alias("e"), F.count("*").alias("n"))
-    value = F.when(F.col("e") <= SMALL, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("s") * F.col("s") / (F.col("n") * F.col("e") + SMALL))))
-    return sums.select(*keys, "velocity", F.col("t").cast("long").alias("t"), value.alias("semblance"))
+    sums = sum_traces(df, keys, "amplitude", ["offset"], work)
+    s, e, n = (F.col(c) for c in ("__s", "__e", "__n"))
+    value = F.when(e <= SMALL, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), s * s / (n * e + SMALL))))
+    velocity = F.element_at(F.array(*[F.lit(float(v)) for v in trials]), F.col("__label") + 1)
+    return sums.select(*keys, velocity.alias("velocity"), F.col("__t").cast("long").alias("t"), value.alias("semblance"))
 
 
 def pick_velocities(panel: DataFrame, interval_ms: float, keys: Sequence[str] = ("gather",), stride: int = 1, least: float = 0.0, times: tuple[float | None, float | None] = (None, None), smoothing: int = 1, start_ms: float = 0.0) -> DataFrame:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from borespark.operators.traces import as_doubles
 
 SNAP = 0.6
+#: Lines and crosslines of a tile that is refined at a time.
+TILE = 32
 
 
 def geometry(headers: DataFrame, il: str = "il", xl: str = "xl", third: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
@@ -83,15 +87,16 @@ def snap(px: Column, py: Column, origin: tuple, inline: tuple, xline: tuple, n_i
 def import_horizon(points: DataFrame, order: str, origin: tuple, inline: tuple, xline: tuple, n_il: int, n_xl: int, check: bool = True) -> DataFrame:
     """Points (x, y, z) on the grid: (i, x, z), the last point in ``order`` wins.
 
-    At least nine distinct cells per ten points must be mapped, else an error (``check``).
+    At least nine distinct cells per ten points must be mapped, else the query fails (``check``).  Cells and
+    points are counted in one pass: points off the grid form a row of their own, of no cell.
     """
     rows = points.withColumn("__c", snap(F.col("x"), F.col("y"), origin, inline, xline, n_il, n_xl))
-    cells = rows.where("__c is not null").groupBy("__c.i", "__c.x").agg(F.max_by("z", order).alias("z"))
+    cells = rows.groupBy("__c.i", "__c.x").agg(F.max_by("z", order).alias("z"), F.count("*").alias("__n"))
     if check:
-        n, mapped = points.count(), cells.count()
-        if mapped * 10 < n * 9:
-            raise ValueError(f"only {mapped} cells of {n} points are mapped")
-    return cells
+        share = cells.agg(F.sum("__n").alias("__points"), F.count("i").alias("__mapped"))
+        enough = F.when(F.col("__mapped") * 10 < F.col("__points") * 9, F.raise_error(F.concat(F.lit("too few cells are mapped: "), F.col("__mapped").cast("string")))).otherwise(F.lit(True)).cast("boolean")
+        cells = cells.crossJoin(F.broadcast(share.select(enough.alias("__enough")))).where("__enough")  # one row
+    return cells.where("i is not null").select("i", "x", "z")
 
 
 def regularise(traces: DataFrame, fill: float = 0.0) -> DataFrame:
@@ -124,29 +129,54 @@ def refine_cubic(traces: DataFrame) -> DataFrame:
 
 
 def _refine(traces: DataFrame, cubic: bool) -> DataFrame:
-    """Each trace is sent with its weight to the refined nodes it helps to make; a grouped sum builds them."""
-    t = traces.select(F.col("il").cast("long").alias("il"), F.col("xl").cast("long").alias("xl"), as_doubles("amplitude").alias("a"))
-    size = t.agg(F.max("il").alias("__i"), F.max("xl").alias("__x"))
-    rows = t.crossJoin(F.broadcast(size))  # one row
-    reach = 3 if cubic else 1
-    steps = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in range(-reach, reach + 1) for q in range(-reach, reach + 1)])
-    rows = rows.withColumn("d", F.explode(steps)).select("a", "__i", "__x", "d", (2 * F.col("il") + F.col("d.p")).alias("il"), (2 * F.col("xl") + F.col("d.q")).alias("xl"))
-    rows = rows.where("il >= 0 and xl >= 0 and il <= 2 * __i and xl <= 2 * __x")
-    odd_i, odd_x = F.col("il") % 2 == 1, F.col("xl") % 2 == 1
-    bi, bx = F.floor(F.col("il") / 2), F.floor(F.col("xl") / 2)
-    edge_i, edge_x = (bi == 0) | (bi + 1 >= F.col("__i")), (bx == 0) | (bx + 1 >= F.col("__x"))
-    linear = F.lit(True) if not cubic else F.when(odd_i & odd_x, edge_i | edge_x).when(odd_i, edge_i).when(odd_x, edge_x).otherwise(True)
-
-    def weight(odd, d):
-        even = F.when(d == 0, 1.0).otherwise(0.0)
-        half = F.when(F.abs(d) == 1, 0.5).otherwise(0.0)
-        curve = F.when(F.abs(d) == 1, 0.5625).when(F.abs(d) == 3, -0.0625).otherwise(0.0)
-        return F.when(~odd, even).when(linear, half).otherwise(curve)
-
-    rows = rows.withColumn("w", weight(odd_i, F.col("d.p")) * weight(odd_x, F.col("d.q"))).where("w <> 0")
-    cells = rows.select("il", "xl", F.posexplode(F.transform("a", lambda v: v * F.col("w"))).alias("t", "v"))
-    sums = cells.groupBy("il", "xl", "t").agg(F.sum("v").alias("v"))
-    return sums.groupBy("il", "xl").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda p: p["v"]).alias("amplitude"))
+    """Tiles of lines and crosslines, with the lines that their midpoints lean on, refined as cubes.
+
+    A trace goes to its own tile and to the one or two whose rim it belongs to, so little more than the volume
+    moves.  Missing traces count as zeros; a node on which no trace has a weight has no row.  Traces of one tile are
+    filled up to its longest.
+    """
+    t = traces.where(F.col("amplitude").isNotNull()).select(F.col("il").cast("long").alias("il"), F.col("xl").cast("long").alias("xl"), as_doubles("amplitude").alias("a"))
+    size = t.agg(F.max("il").alias("last_i"), F.max("xl").alias("last_x"))
+
+    def tiles(column):  # tile k holds the lines k * TILE - 1 to (k + 1) * TILE + 1
+        return F.explode(F.sequence(F.floor((F.col(column) - 2) / TILE), F.floor((F.col(column) + 1) / TILE)))
+
+    sent = t.crossJoin(F.broadcast(size)).withColumn("ti", tiles("il")).withColumn("tx", tiles("xl"))  # one row
+
+    def run(key, pdf):
+        i0, x0 = int(key[0]) * TILE, int(key[1]) * TILE
+        last_i, last_x = int(pdf["last_i"].iloc[0]), int(pdf["last_x"].iloc[0])
+        cube, there = np.zeros((TILE + 3, TILE + 3, pdf["a"].map(len).max())), np.zeros((TILE + 3, TILE + 3, 1))
+        for row, i, x in zip(pdf["a"], pdf["il"] - i0 + 1, pdf["xl"] - x0 + 1, strict=True):
+            cube[i, x, : len(row)], there[i, x] = row, 1
+        lines, cross = i0 + np.arange(TILE), x0 + np.arange(TILE)
+        edge_i, edge_x = ((at == 0) | (at + 1 >= last) for at, last in ((lines, last_i), (cross, last_x)))
+
+        def between(c, outer):
+            """Midpoints between the lines k and k + 1 along the first axis, linear and cubic."""
+            half = 0.5 * (c[1:-2] + c[2:-1])
+            return half, 0.5625 * (c[1:-2] + c[2:-1]) + outer * (c[:-3] + c[3:]) if cubic else half
+
+        def across(c, outer):
+            return [np.swapaxes(m, 0, 1) for m in between(np.swapaxes(c, 0, 1), outer)]
+
+        def refined(c, outer):
+            out = np.zeros((2 * TILE, 2 * TILE, c.shape[2]))
+            ends_i, ends_x = edge_i[:, None, None], edge_x[None, :, None]
+            half, curve = between(c, outer)
+            out[::2, ::2] = c[1:-2, 1:-2]
+            out[1::2, ::2] = np.where(ends_i, half[:, 1:-2], curve[:, 1:-2])
+            out[::2, 1::2] = np.where(ends_x, *across(c[1:-2], outer))
+            out[1::2, 1::2] = np.where(ends_i | ends_x, across(half, outer)[0], across(curve, outer)[1])
+            return out
+
+        values, filled = refined(cube, -0.0625), refined(there, 0.0625)[:, :, 0] > 0  # with positive weights: has any trace a part
+        i, x = 2 * i0 + np.arange(2 * TILE), 2 * x0 + np.arange(2 * TILE)
+        filled &= ((i >= 0) & (i <= 2 * last_i))[:, None] & ((x >= 0) & (x <= 2 * last_x))[None, :]
+        i, x = np.nonzero(filled)
+        return pd.DataFrame({"il": 2 * i0 + i, "xl": 2 * x0 + x, "amplitude": pd.Series(list(values[i, x]), dtype=object)})
+
+    return sent.groupBy("ti", "tx").applyInPandas(run, "il long, xl long, amplitude array<double>")
 
 
 def thin_lateral(traces: DataFrame, step: int = 2) -> DataFrame:
@@ -155,7 +185,13 @@ def thin_lateral(traces: DataFrame, step: int = 2) -> DataFrame:
 
 
 def volume_error(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("il", "xl")) -> DataFrame:
-    """RMSE, mean and greatest absolute difference of two volumes at their common positions."""
+    """RMSE, mean and greatest absolute difference of two volumes at their common positions and samples."""
     both = left.select(*keys, as_doubles("amplitude").alias("a")).join(right.select(*keys, as_doubles("amplitude").alias("b")), list(keys))
-    d = both.select(F.explode(F.zip_with("a", "b", lambda x, y: x - y)).alias("d"))
-    return d.agg(F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmse"), F.avg(F.abs("d")).alias("mae"), F.max(F.abs("d")).alias("max_abs"), F.count("*").alias("n"))
+    d = both.select(F.filter(F.zip_with("a", "b", lambda x, y: x - y), lambda x: x.isNotNull()).alias("d"))
+
+    def total(term):
+        return F.aggregate("d", F.lit(0.0), lambda s, x: s + term(x))
+
+    per = d.select(total(lambda x: x * x).alias("q"), total(F.abs).alias("a"), F.array_max(F.transform("d", F.abs)).alias("m"), F.size("d").alias("n")).where("n > 0")
+    n = F.sum("n")
+    return per.agg(F.sqrt(F.sum("q") / n).alias("rmse"), (F.sum("a") / n).alias("mae"), F.max("m").alias("max_abs"), F.coalesce(n, F.lit(0)).alias("n"))

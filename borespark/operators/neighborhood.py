@@ -113,11 +113,23 @@ def _gates(n: int, half: int) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(np.arange(n) - half, 0), np.minimum(np.arange(n) + half + 1, n)
 
 
-def _sums(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Sums over [lo, hi) along the samples."""
-    total = np.zeros((*x.shape[:-1], x.shape[-1] + 1))
-    np.cumsum(x, axis=-1, out=total[..., 1:])
-    return total[..., hi] - total[..., lo]
+def _sums(x: np.ndarray, half: int) -> np.ndarray:
+    """Sums over the gate of ``half`` samples to each side (cut at the ends) along the samples.
+
+    The samples are cut into pieces of a gate's length; a gate is the end of one piece and the beginning of
+    the next, so its sum is that of two running sums that begin inside it.  Nothing is subtracted: a NaN or an
+    infinite sample stays in its own gates, and large samples elsewhere take no digits away.
+    """
+    n, size = x.shape[-1], 2 * half + 1
+    pieces = -(-(n + 2 * half) // size)
+    padded = np.zeros((*x.shape[:-1], pieces * size))
+    padded[..., half : half + n] = x
+    padded = padded.reshape(*x.shape[:-1], pieces, size)
+    shape = (*x.shape[:-1], pieces * size)
+    ahead = np.cumsum(padded, axis=-1).reshape(shape)
+    behind = np.cumsum(padded[..., ::-1], axis=-1)[..., ::-1].reshape(shape)
+    first = np.arange(n)
+    return np.where(first % size == 0, 0.0, behind[..., :n]) + ahead[..., first + size - 1]
 
 
 def _offsets(around: Around, itself: bool) -> list[tuple[int, int]]:
@@ -132,14 +144,13 @@ def similarity(df: DataFrame, interval_ms: float, around: Around, tile: int = TI
     r1, r2 = around.inline, around.xline
 
     def work(cube, there, half):
-        lo, hi = _gates(cube.shape[2], half)
-        norms = np.sqrt(np.maximum(_sums(cube * cube, lo, hi), 0))
+        norms = np.sqrt(_sums(cube * cube, half))
         center, size = _inner(cube, r1, r2), _inner(norms, r1, r2)
         total, count = np.zeros(center.shape), np.zeros(center.shape[:2])
         for di, dx in _offsets(around, False):
             near = _inner(there, r1, r2, di, dx)
             below = size * _inner(norms, r1, r2, di, dx)
-            dot = np.abs(_sums(center * _inner(cube, r1, r2, di, dx), lo, hi))
+            dot = np.abs(_sums(center * _inner(cube, r1, r2, di, dx), half))
             sound = (size > TINY) & (below > TINY) & near[:, :, None]
             total += np.where(sound, np.minimum(dot / np.where(sound, below, 1), 1), 0)
             count += near
@@ -155,7 +166,7 @@ def local_statistics(df: DataFrame, interval_ms: float, around: Around, tile: in
     def work(cube, there, half):
         n = cube.shape[2]
         lo, hi = _gates(n, half)
-        sums, squares = _sums(cube, lo, hi), _sums(cube * cube, lo, hi)
+        sums, squares = _sums(cube, half), _sums(cube * cube, half)
         least, greatest = np.full(cube.shape, np.inf), np.full(cube.shape, -np.inf)
         for k in range(-half, half + 1):
             at, to = slice(max(0, k), min(n, n + k)), slice(max(0, -k), min(n, n - k))
@@ -186,23 +197,24 @@ def dip(df: DataFrame, interval_ms: float, around: Around, tile: int = TILE) ->
     def work(cube, there, half):
         n = cube.shape[2]
         most, (lo, hi) = max(1, half), _gates(n, half)
-        energy = np.zeros((*cube.shape[:2], n + 1))
-        np.cumsum(cube * cube, axis=2, out=energy[..., 1:])
-        norm = np.sqrt(np.maximum(_inner(energy[..., hi] - energy[..., lo], r1, r2), 0))
+        power = _sums(cube * cube, half)
+        norm = np.sqrt(_inner(power, r1, r2))
         center = _inner(cube, r1, r2)
         a, b, c, d, e = (np.zeros(center.shape) for _ in range(5))
         for di, dx in _offsets(around, False):
-            other, power = _inner(cube, r1, r2, di, dx), _inner(energy, r1, r2, di, dx)
+            other = _inner(cube, r1, r2, di, dx)
+            squares = other * other
             best, weight = np.zeros(center.shape), np.zeros(center.shape)
             for lag in range(-most, most + 1):
                 fits = (lo + lag >= 0) & (hi + lag <= n)
                 shifted = np.zeros(center.shape)
                 at, to = slice(max(0, lag), min(n, n + lag)), slice(max(0, -lag), min(n, n - lag))
                 shifted[..., to] = other[..., at]
-                l2, h2 = np.clip(lo + lag, 0, n), np.clip(hi + lag, 0, n)
-                below = norm * np.sqrt(np.maximum(power[..., h2] - power[..., l2], 0))
+                moved = np.zeros(center.shape)
+                moved[..., to] = squares[..., at]
+                below = norm * np.sqrt(_sums(moved, half))
                 sound = below > TINY
-                w = np.where(sound, np.minimum(np.abs(_sums(center * shifted, lo, hi)) / np.where(sound, below, 1), 1), 0)
+                w = np.where(sound, np.minimum(np.abs(_sums(center * shifted, half)) / np.where(sound, below, 1), 1), 0)
                 take = fits & ((w > weight + TINY) | ((np.abs(w - weight) <= TINY) & (abs(lag) < np.abs(best))))
                 best, weight = np.where(take, lag, best), np.where(take, w, weight)
             weight = np.where((weight > TINY) & (norm > TINY) & _inner(there, r1, r2, di, dx)[:, :, None], weight, 0)

@@ -3,33 +3,55 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from borespark.operators.traces import as_doubles, map_traces
+from borespark.operators.traces import as_doubles, map_traces, sum_traces
 
 STRICT = 1e-3
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _below(xs: Column, x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(number of the array's values below x); one scan of the array inside the JVM."""
+    return _let(F.size(F.filter(xs, lambda v: v < x)), body)
+
+
 def lookup(xs: Column, ys: Column, x: Column) -> Column:
-    """Clamped linear interpolation in two rising arrays, by binary-free search inside the JVM."""
-    below = F.size(F.filter(xs, lambda v: v < x))
+    """Clamped linear interpolation in two rising arrays; one scan of the array per value (see ``lookup_traces``)."""
     last = F.size(xs) - 1
-    x0, x1, y0, y1 = F.get(xs, below - 1), F.get(xs, below), F.get(ys, below - 1), F.get(ys, below)
-    line = F.when(x1 - x0 <= 1.1920929e-07, y1).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
-    return F.when(x <= F.get(xs, F.lit(0)), F.get(ys, F.lit(0))).when(x >= F.get(xs, last), F.get(ys, last)).otherwise(line)
+
+    def line(below):
+        x0, x1, y0, y1 = F.get(xs, below - 1), F.get(xs, below), F.get(ys, below - 1), F.get(ys, below)
+        return F.when(x1 - x0 <= 1.1920929e-07, y1).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
+
+    return F.when(x <= F.get(xs, F.lit(0)), F.get(ys, F.lit(0))).when(x >= F.get(xs, last), F.get(ys, last)).otherwise(_below(xs, x, line))
+
+
+def resample_traces(df: DataFrame, interval_ms: float, times: Sequence[float], column: str = "amplitude") -> DataFrame:
+    """Traces of a regular axis from 0 at other times, clamped at the ends; one Arrow pass."""
+    at = np.asarray(times, float) / interval_ms
+
+    def work(x: np.ndarray) -> np.ndarray:
+        p = np.clip(at, 0, x.shape[1] - 1)
+        low = p.astype(np.int64)
+        return x[:, low] + (x[:, np.minimum(low + 1, x.shape[1] - 1)] - x[:, low]) * (p - low)
+
+    return map_traces(df.withColumn(column, as_doubles(column)), work, column)
 
 
 def nearest_sample(axis: Column, x: Column) -> Column:
     """Index of the nearest value of a rising array; ties go to the lower one."""
-    below = F.size(F.filter(axis, lambda v: v < x))
     last = F.size(axis) - 1
-    lower = x - F.get(axis, below - 1) <= F.get(axis, below) - x
-    inner = F.when(lower, below - 1).otherwise(below)
+    inner = _below(axis, x, lambda below: F.when(x - F.get(axis, below - 1) <= F.get(axis, below) - x, below - 1).otherwise(below))
     return F.when(F.isnan(x) | x.isNull() | (F.size(axis) == 0), None).when(x <= F.get(axis, F.lit(0)), 0).when(x >= F.get(axis, last), last).otherwise(inner)
 
 
@@ -44,15 +66,33 @@ def depth_curve(times: Column, velocities: Column, kind: str = "interval", two_w
     if kind != "interval":
         raise ValueError("RMS velocities must first become average or interval velocities")
     factor = 0.5 if two_way else 1.0
-    start = F.struct(F.lit(0.0).alias("d"), F.array().cast("array<double>").alias("out"))
 
-    def add(acc, i):
+    def step(i):
         t, v = F.get(times, i), F.get(velocities, i)
-        step = F.when(i == 0, t / 1000.0 * v * factor).otherwise((t - F.get(times, i - 1)) / 1000.0 * (v + F.get(velocities, i - 1)) * 0.5 * factor)
-        d = acc["d"] + step
+        return F.when(i == 0, t / 1000.0 * v * factor).otherwise((t - F.get(times, i - 1)) / 1000.0 * (v + F.get(velocities, i - 1)) * 0.5 * factor)
+
+    return F.when(F.size(times) == 0, F.array().cast("array<double>")).otherwise(running_sums(F.transform(F.sequence(F.lit(0), F.size(times) - 1), step)))
+
+
+#: Values that a running sum appends to one piece; a longer array is summed piece by piece.
+PIECE = 64
+
+
+def running_sums(values: Column) -> Column:
+    """Running sums of an array.  Pieces of ``PIECE`` values keep the cost of appending linear in the array."""
+    empty = F.array().cast("array<double>")
+
+    def add(acc, v):
+        d = acc["d"] + v
         return F.struct(d.alias("d"), F.concat(acc["out"], F.array(d)).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(times) - 1), start, add)["out"]
+    def piece(acc, k):
+        own = F.aggregate(F.slice(values, k * PIECE + 1, F.lit(PIECE)), F.struct(acc["d"].alias("d"), empty.alias("out")), add)
+        return _let(own, lambda o: F.struct(o["d"].alias("d"), F.concat(acc["out"], F.array(o["out"])).alias("out")))
+
+    start = F.struct(F.lit(0.0).alias("d"), F.array().cast("array<array<double>>").alias("out"))
+    whole = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / PIECE).cast("int")), start, piece)["out"]
+    return F.when(F.size(values) == 0, empty).otherwise(F.flatten(whole))
 
 
 def integrate_traces(df: DataFrame, interval_ms: float, two_way: bool = True, column: str = "velocity") -> DataFrame:
@@ -100,16 +140,19 @@ def profile(x: Column, knots: Column, values: Column, how: str = "linear") -> Co
 def map_depth(xs: Column, ys: Column, x: Column) -> Column:
     """Linear map between two rising arrays that carries on beyond their ends; one pair gives its value."""
     n = F.size(xs)
-    k = F.greatest(F.lit(0), F.least(n - 2, F.size(F.filter(xs, lambda v: v < x)) - 1))
-    x0, x1, y0, y1 = F.get(xs, k), F.get(xs, k + 1), F.get(ys, k), F.get(ys, k + 1)
-    line = F.when(x1 == x0, y0).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
-    return F.when(n == 0, x).when(n == 1, F.get(ys, F.lit(0))).otherwise(line)
+
+    def line(below):
+        k = F.greatest(F.lit(0), F.least(n - 2, below - 1))
+        x0, x1, y0, y1 = F.get(xs, k), F.get(xs, k + 1), F.get(ys, k), F.get(ys, k + 1)
+        return F.when(x1 == x0, y0).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
+
+    return F.when(n == 0, x).when(n == 1, F.get(ys, F.lit(0))).otherwise(_below(xs, x, line))
 
 
 def collapse_profiles(profiles: DataFrame, keys: Sequence[str], curve: str = "curve") -> DataFrame:
     """(keys, curve): the mean of the curves of all profiles in a cell, sample by sample."""
-    cells = profiles.select(*keys, F.posexplode(as_doubles(curve)).alias("__t", "__v")).groupBy(*keys, "__t").agg(F.avg("__v").alias("__v"))
-    return cells.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__t", "__v"))), lambda p: p["__v"]).alias(curve))
+    sums = sum_traces(profiles, keys, curve).select(*keys, F.struct("__t", (F.col("__s") / F.col("__n")).alias("v")).alias("__p"))
+    return sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("__p")), lambda p: p["v"]).alias(curve))  # the samples of one curve
 
 
 def blend(control: Column, tendency: Column, weight: float) -> Column:
@@ -121,16 +164,30 @@ def blend(control: Column, tendency: Column, weight: float) -> Column:
 def merge_intervals(samples: DataFrame, intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """samples (keys, t) with the velocity of the interval (keys, number, top, base, velocity) that holds t.
 
-    Intervals are half open, the last one closed; a trace (keys) counts as valid if every sample of it is
-    in exactly one interval.  ``valid`` tells; velocities of others are 0.
+    Intervals are half open, the one of the greatest number closed; a trace (keys) counts as valid if every
+    sample of it is in exactly one interval and all its intervals have their top above their base.  ``valid``
+    tells; velocities of others are 0.  Numbers tell a trace's intervals apart; equal samples count once.
+
+    No sample meets the intervals: tops, bases and samples of a trace are put in one order, and the intervals
+    that are open, with the sum of their numbers, are carried along it.
     """
-    last = intervals.groupBy(*keys).agg(F.max("number").alias("__last"))
-    i = intervals.join(last, list(keys))
-    rows = samples.join(i, list(keys), "left")
-    inside = (F.col("t") >= F.col("top")) & ((F.col("t") < F.col("base")) | ((F.col("number") == F.col("__last")) & (F.col("t") <= F.col("base"))))
-    cells = rows.groupBy(*keys, "t").agg(F.count_if(inside).alias("__n"), F.max(F.when(inside, F.col("velocity"))).alias("velocity"), F.coalesce(F.bool_and(F.col("top") < F.col("base")), F.lit(False)).alias("__ok"))
-    whole = cells.groupBy(*keys).agg((F.sum("__n") == F.count("*")).alias("__all"), F.bool_and("__ok").alias("__ordered"))
-    out = cells.join(whole, list(keys)).withColumn("valid", F.col("__all") & F.col("__ordered"))
+    keys = list(keys)
+    last = intervals.groupBy(*keys).agg(F.max("number").alias("__last"), F.bool_and(F.col("top") < F.col("base")).alias("__ordered"))
+    i = intervals.join(last, keys)
+    number = F.col("number").cast("long")
+
+    def edge(column, kind, sign):
+        return i.select(*keys, F.col(column).cast("double").alias("__x"), kind.alias("__k"), F.lit(sign).alias("__one"), (number * sign).alias("__no"))
+
+    closed = F.when(number == F.col("__last"), 2).otherwise(0)  # the last interval ends after the samples at its base
+    rows = edge("top", F.lit(0), 1).union(edge("base", closed, -1))
+    rows = rows.unionByName(samples.select(*keys, F.col("t").cast("double").alias("__x"), "t", F.lit(1).alias("__k")).distinct(), allowMissingColumns=True)
+    carry = Window.partitionBy(*keys).orderBy("__x", "__k").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"__open": F.coalesce(F.sum("__one").over(carry), F.lit(0)), "__no": F.coalesce(F.sum("__no").over(carry), F.lit(0))}).where("__k = 1 and t is not null")
+    whole = rows.groupBy(*keys).agg(F.bool_and(F.col("__open") == 1).alias("__all")).join(last, keys, "left")
+    whole = whole.select(*keys, (F.col("__all") & F.coalesce("__ordered", F.lit(False))).alias("valid"))
+    velocity = intervals.select(*keys, number.alias("__no"), "velocity")
+    out = rows.join(whole, keys).join(velocity, [*keys, "__no"], "left")
     return out.select(*keys, "t", F.when(F.col("valid"), F.coalesce("velocity", F.lit(0.0))).otherwise(0.0).alias("velocity"), "valid")
 
 
@@ -140,8 +197,11 @@ def depths_from_pairs(times: Column, pair_times: Column, pair_depths: Column) ->
     n = F.size(ts)
 
     def one(t):
-        k = F.greatest(F.lit(0), F.least(n - 2, F.size(F.filter(ts, lambda v: v < t)) - 1))
-        return F.get(ds, k) + (t - F.get(ts, k)) * (F.get(ds, k + 1) - F.get(ds, k)) / (F.get(ts, k + 1) - F.get(ts, k))
+        def line(below):
+            k = F.greatest(F.lit(0), F.least(n - 2, below - 1))
+            return F.get(ds, k) + (t - F.get(ts, k)) * (F.get(ds, k + 1) - F.get(ds, k)) / (F.get(ts, k + 1) - F.get(ts, k))
+
+        return _below(ts, t, line)
 
     return F.transform(times, one)
 

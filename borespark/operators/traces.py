@@ -229,28 +229,105 @@ def run_pipeline(df: DataFrame, steps: Sequence[Step], interval_ms: float, colum
     return map_traces(df.withColumn(column, as_doubles(column)), work, column)
 
 
-def map_traces(df: DataFrame, work: Callable[[np.ndarray], np.ndarray], column: str) -> DataFrame:
-    """A kernel over the traces of each batch, grouped by length; shapes stay; NULL and empty traces pass."""
+def _blocks(batch: pa.RecordBatch, column: str):
+    """The traces of a batch by length: row numbers, samples [rows, length], and where these lie in the values."""
+    traces = batch.column(batch.schema.get_field_index(column))
+    lists = pa.ListArray.from_arrays(traces.offsets, traces.values) if traces.offset == 0 else traces
+    offsets = lists.offsets.to_numpy()
+    values = np.array(lists.values.to_numpy(zero_copy_only=False), float)
+    lengths = np.diff(offsets) if not traces.null_count else np.where(traces.is_null().to_numpy(zero_copy_only=False), 0, np.diff(offsets))
+    for n in np.unique(lengths[lengths > 0]):
+        rows = np.flatnonzero(lengths == n)
+        yield rows, values[offsets[rows][:, None] + np.arange(n)]
+
+
+def _numbers(batch: pa.RecordBatch, names: Sequence[str], rows: np.ndarray) -> list[np.ndarray]:
+    """Columns of the given rows as floats; NaN where missing."""
+    return [batch.column(batch.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False)[rows] for c in names]
+
+
+def map_traces(df: DataFrame, work: Callable[..., np.ndarray], column: str, by: Sequence[str] = ()) -> DataFrame:
+    """A kernel over the traces of each batch, grouped by length; NULL and empty traces pass.
+
+    ``work`` gets the samples [rows, length] and a float array per column of ``by``; its result may have
+    another length.
+    """
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(column)
-            traces = batch.column(at)
-            lists = pa.ListArray.from_arrays(traces.offsets, traces.values) if traces.offset == 0 else traces
-            offsets = lists.offsets.to_numpy()
-            values = np.array(lists.values.to_numpy(zero_copy_only=False), float)
-            lengths = np.diff(offsets)
-            for n in np.unique(lengths[lengths > 0]):
-                rows = np.flatnonzero(lengths == n)
-                cells = offsets[rows][:, None] + np.arange(n)
-                values[cells] = work(values[cells])
-            mask = traces.is_null() if traces.null_count else None
-            out = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(values[offsets[0] : offsets[-1]]), mask=mask)
+            kept = batch.column(at).is_valid().to_numpy(zero_copy_only=False)
+            lengths, parts = np.zeros(batch.num_rows, np.int64), []
+            for rows, x in _blocks(batch, column):
+                y = work(x, *_numbers(batch, by, rows))
+                lengths[rows] = y.shape[1]
+                parts.append((rows, y))
+            offsets = np.concatenate([[0], np.cumsum(lengths)])
+            values = np.empty(offsets[-1])
+            for rows, y in parts:
+                values[offsets[rows][:, None] + np.arange(y.shape[1])] = y
+            out = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values), mask=pa.array(~kept))
             yield pa.RecordBatch.from_arrays([out if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
     return df.mapInArrow(run, df.schema)
 
 
+#: Bytes of sums that a task holds before it hands them on.
+SUM_BYTES = 64 << 20
+
+
+def sum_traces(df: DataFrame, keys: Sequence[str], column: str = "amplitude", by: Sequence[str] = (), work: Callable[..., np.ndarray] | None = None) -> DataFrame:
+    """(keys, __label, __t, __s, __e, __n): sums, sums of squares and numbers of the traces of a key, sample by sample.
+
+    ``work`` makes [labels, rows, length] of samples [rows, length] and a float array per column of ``by``; the
+    default has the traces as they are, as label 0.  Each task adds up whole arrays before anything moves, so
+    the shuffle carries a few sums per task, key and label, never a row per trace and sample.
+    """
+    work = work or (lambda x: x[None])
+    keyed = df.select(*keys, *[c for c in by if c not in keys], as_doubles(column).alias(column))
+
+    def run(batches):
+        held: dict[tuple, list] = {}
+        size = 0
+
+        def rows():
+            for key, (s, e, n) in held.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v] * len(s), keyed_types[i]) for i, v in enumerate(key[:-1])]
+                    + [pa.array(np.arange(len(s), dtype=np.int32)), *[pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * s.shape[1]), pa.array(v.ravel())) for v in (s, e)], pa.array(np.full(len(s), n))],
+                    [*keys, "__label", "__s", "__e", "__n"],
+                )
+
+        for batch in batches:
+            names = [batch.column(i).to_pylist() for i in range(len(keys))]
+            keyed_types = [batch.schema.field(i).type for i in range(len(keys))]
+            for at, x in _blocks(batch, column):
+                groups: dict[tuple, list[int]] = {}
+                for k, r in enumerate(at):
+                    groups.setdefault(tuple(c[r] for c in names), []).append(k)
+                extra = _numbers(batch, by, at)
+                for key, own in groups.items():
+                    y = work(x[own], *[v[own] for v in extra])
+                    s, e = y.sum(axis=1), (y * y).sum(axis=1)
+                    place = (*key, x.shape[1])
+                    if place in held:
+                        old = held[place]
+                        old[0], old[1], old[2] = old[0] + s, old[1] + e, old[2] + len(own)
+                    else:
+                        held[place] = [s, e, len(own)]
+                        size += s.nbytes + e.nbytes
+                    if size > SUM_BYTES:
+                        yield from rows()
+                        held.clear()
+                        size = 0
+        yield from rows()
+
+    names = ", ".join(f"`{k}` {keyed.schema[k].dataType.simpleString()}" for k in keys)
+    sums = keyed.mapInArrow(run, f"{names}{', ' if names else ''}__label int, __s array<double>, __e array<double>, __n long")
+    cells = sums.select(*keys, "__label", "__n", F.posexplode(F.arrays_zip("__s", "__e")).alias("__t", "__v"))
+    return cells.groupBy(*keys, "__label", "__t").agg(F.sum("__v.__s").alias("__s"), F.sum("__v.__e").alias("__e"), F.sum("__n").alias("__n"))
+
+
 def amplitude_spectrum(df: DataFrame, interval_ms: float, keys: Sequence[str] = ()) -> DataFrame:
     """Mean single-sided amplitude spectrum per key: bin, frequency, amplitude, traces.
 
