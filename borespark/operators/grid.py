@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,21 @@ def geometry(headers: DataFrame, il: str = "il", xl: str = "xl", third: str | No
     expected = F.col("n_0") * F.col("n_1") * (F.col("n_2") if third else F.lit(1))
     out = counts.withColumn("expected", expected).withColumn("missing", F.greatest(F.lit(0), F.col("expected") - F.col("unique")))
     kind = F.when((F.col("duplicates") == 0) & (F.col("missing") == 0), "regular_dense").when(F.col("duplicates") == 0, "regular_sparse").when(F.col("missing") == 0, "duplicate_coordinates").otherwise("ambiguous_mapping")
-    return out.select(*keys, "observed", "unique", "expected", "missing", "duplicates", (F.col("unique") / F.col("expected")).alias("completeness"), kind.alias("kind"))
+    return out.select(*keys, "observed", "unique", "expected", "missing", "duplicates", (F.col("unique") / F.col("expected")).alias("completeness"), kind.alias("kind"), F.least("n_0", "n_1").alias("axis_count"))
+
+
+def candidate_geometries(headers: DataFrame, mappings: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """For ``rank_geometries``: a row per way (label) to read two header columns as line and crossline.
+
+    Only a mapping without duplicate positions can be taken without asking; a sparse one counts like a dense one.
+    """
+    out = None
+    for label, (il, xl) in mappings.items():
+        g = geometry(headers.select(F.col(il).alias("il"), F.col(xl).alias("xl")))
+        automatic = F.col("duplicates") == 0
+        row = g.select(F.lit(label).alias("label"), F.when(automatic, 2).when(F.col("missing") == 0, 1).otherwise(0).alias("action"), automatic.alias("automatic"), "axis_count", "completeness", F.col("unique").alias("cells"))
+        out = row if out is None else out.union(row)
+    return out
 
 
 def duplicate_positions(headers: DataFrame, il: str = "il", xl: str = "xl", most: int = 8) -> DataFrame:

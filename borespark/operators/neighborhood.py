@@ -197,12 +197,13 @@ def dip(df: DataFrame, interval_ms: float, around: Around, tile: int = TILE) ->
     def work(cube, there, half):
         n = cube.shape[2]
         most, (lo, hi) = max(1, half), _gates(n, half)
+        ends = np.flatnonzero(hi - lo < 2 * half + 1)
         power = _sums(cube * cube, half)
         norm = np.sqrt(_inner(power, r1, r2))
         center = _inner(cube, r1, r2)
         a, b, c, d, e = (np.zeros(center.shape) for _ in range(5))
         for di, dx in _offsets(around, False):
-            other = _inner(cube, r1, r2, di, dx)
+            other, energy = _inner(cube, r1, r2, di, dx), _inner(power, r1, r2, di, dx)
             squares = other * other
             best, weight = np.zeros(center.shape), np.zeros(center.shape)
             for lag in range(-most, most + 1):
@@ -210,9 +211,12 @@ def dip(df: DataFrame, interval_ms: float, around: Around, tile: int = TILE) ->
                 shifted = np.zeros(center.shape)
                 at, to = slice(max(0, lag), min(n, n + lag)), slice(max(0, -lag), min(n, n - lag))
                 shifted[..., to] = other[..., at]
-                moved = np.zeros(center.shape)
-                moved[..., to] = squares[..., at]
-                below = norm * np.sqrt(_sums(moved, half))
+                # a whole gate's energy is that at the shifted sample; gates cut at the ends are summed up anew
+                gates = np.zeros(center.shape)
+                gates[..., to] = energy[..., at]
+                for t in ends[fits[ends]]:
+                    gates[..., t] = squares[..., lo[t] + lag : hi[t] + lag].sum(axis=-1)
+                below = norm * np.sqrt(gates)
                 sound = below > TINY
                 w = np.where(sound, np.minimum(np.abs(_sums(center * shifted, half)) / np.where(sound, below, 1), 1), 0)
                 take = fits & ((w > weight + TINY) | ((np.abs(w - weight) <= TINY) & (abs(lag) < np.abs(best))))

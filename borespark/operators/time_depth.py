@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -247,44 +246,79 @@ def to_depth(df: DataFrame, interval_ms: float, n_out: int | None = None, keys:
     return rows.mapInPandas(work, schema)
 
 
-def nearest_sources(cells: tuple[int, int], sources: pd.DataFrame, bases: tuple[tuple[float, float], tuple[float, float]]) -> pd.DataFrame:
-    """Each grid cell's nearest source by 8-neighbour paths; costs are basis lengths in whole thousandths.
+def step_costs(bases: tuple[tuple[float, float], tuple[float, float]]) -> tuple[int, int, int, int]:
+    """Costs along both lines and both diagonals: basis lengths in whole thousandths."""
+    (ax, ay), (bx, by) = bases
+    return tuple(int(np.floor(np.hypot(dx, dy) * 1000 + 0.5)) for dx, dy in ((ax, ay), (bx, by), (ax + bx, ay + by), (ax - bx, ay - by)))
+
+
+def path_lengths(di: np.ndarray, dx: np.ndarray, costs: tuple[int, int, int, int]) -> np.ndarray:
+    """Lengths of the shortest 8-neighbour paths over (di, dx) cells of a grid whose bases differ in direction.
 
-    sources: columns source, i, x.  Equal distances go to the source that was reached first (by distance,
-    then line numbers, then source).
+    Such a path goes diagonally as far as both differences last, then straight: by the triangle inequality a
+    diagonal is no longer than its two sides, and two diagonals no shorter than the two steps that they replace.
     """
-    (ax, ay), (bx, by) = bases
+    straight_i, straight_x, plus, minus = costs
+    i, x = np.abs(di), np.abs(dx)
+    both = np.minimum(i, x)
+    diagonal = np.where((di > 0) == (dx > 0), plus, minus)
+    return both * np.minimum(diagonal, straight_i + straight_x) + (i - both) * straight_i + (x - both) * straight_x
+
+
+def nearest_sources(i: np.ndarray, x: np.ndarray, cells: tuple[int, int], sources: np.ndarray, bases) -> tuple[np.ndarray, np.ndarray]:
+    """(source, distance) of the cells (i, x): the nearest source by ``path_lengths``.
 
-    def cost(dx, dy):
-        return int(np.floor(np.hypot(dx, dy) * 1000 + 0.5))
-
-    straight_i, straight_x, plus, minus = cost(ax, ay), cost(bx, by), cost(ax + bx, ay + by), cost(ax - bx, ay - by)
-    moves = [(1, 0, straight_i), (-1, 0, straight_i), (0, 1, straight_x), (0, -1, straight_x), (1, 1, plus), (-1, -1, plus), (1, -1, minus), (-1, 1, minus)]
-    best: dict[tuple[int, int], tuple[int, int]] = {}
-    queue = []
-    for s, i, x in sources[["source", "i", "x"]].itertuples(index=False):
-        best[i, x] = (0, s)
-        heapq.heappush(queue, (0, i, x, s))
-    while queue:
-        distance, i, x, s = heapq.heappop(queue)
-        if best[i, x] != (distance, s):
-            continue
-        for di, dx, c in moves:
-            to = (i + di, x + dx)
-            if 0 <= to[0] < cells[0] and 0 <= to[1] < cells[1] and distance + c < best.get(to, (1 << 62, 0))[0]:
-                best[to] = (distance + c, s)
-                heapq.heappush(queue, (distance + c, *to, s))
-    return pd.DataFrame([(i, x, s, d) for (i, x), (d, s) in sorted(best.items())], columns=["i", "x", "source", "distance_milli"])
+    sources: rows (source, i, x); of several in one cell the last counts.  Where several are equally near, a cell
+    goes with the neighbour on a shortest path to it that is first by distance, then line, then crossline, and that
+    neighbour's source, found the same way, is its own.
+    """
+    costs = step_costs(bases)
+    at = {(int(r[1]), int(r[2])): int(r[0]) for r in sources}
+    places = np.array(list(at), np.int64).reshape(-1, 2)
+    names = np.array(list(at.values()), np.int64)
+
+    def lengths(i, x):
+        return path_lengths(i[:, None] - places[:, 0], x[:, None] - places[:, 1], costs)
+
+    d = lengths(i, x)
+    nearest = d.min(axis=1)
+    source = names[d.argmin(axis=1)]
+    open_ = np.flatnonzero((d == nearest[:, None]).sum(axis=1) > 1)
+    ci, cx, left = i[open_].copy(), x[open_].copy(), nearest[open_].copy()
+    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]  # in the order of line and crossline
+    while len(open_):
+        best, bi, bx = np.full(len(open_), np.iinfo(np.int64).max), ci.copy(), cx.copy()
+        for a, b in steps:
+            ni, nx = ci + a, cx + b
+            inside = (ni >= 0) & (ni < cells[0]) & (nx >= 0) & (nx < cells[1])
+            near = lengths(ni, nx).min(axis=1)
+            take = inside & (near + path_lengths(np.array([a]), np.array([b]), costs) == left) & (near < best)
+            best, bi, bx = np.where(take, near, best), np.where(take, ni, bi), np.where(take, nx, bx)
+        ci, cx, left = bi, bx, best
+        d = lengths(ci, cx)
+        one = (d == left[:, None]).sum(axis=1) == 1
+        source[open_[one]] = names[d[one].argmin(axis=1)]
+        open_, ci, cx, left = open_[~one], ci[~one], cx[~one], left[~one]
+    return source, nearest
 
 
 def assign_sources(sources: DataFrame, keys: Sequence[str], cells: tuple[int, int], bases) -> DataFrame:
-    """``nearest_sources`` per survey (keys); sources of one survey are few control profiles."""
+    """(keys, i, x, source, distance_milli): ``nearest_sources`` of every cell of each survey (keys).
+
+    Distances have a closed form on a whole grid, so every line of cells is computed on its own, against the survey's
+    control profiles (a short list: a row of the table below holds them); no front runs over the grid.
+    """
+    n_il, n_xl = cells
+    rows = sources.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in ("source", "i", "x")]))).alias("__s"))
+    lines = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(int(n_il) - 1)))).repartition(*keys, "i")
     schema = ", ".join(f"`{k}` {sources.schema[k].dataType.simpleString()}" for k in keys) + ", i long, x long, source long, distance_milli long"
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = nearest_sources(cells, pdf.sort_values("source"), bases)
-        for k in reversed(list(keys)):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
+    def work(it):
+        x = np.arange(int(n_xl))
+        for pdf in it:
+            for r in pdf.to_dict("records"):
+                places = np.array([[s["source"], s["i"], s["x"]] for s in r["__s"]], np.int64)
+                source, d = nearest_sources(np.full(len(x), int(r["i"])), x, (int(n_il), int(n_xl)), places, bases)
+                yield pd.DataFrame({k: [r[k]] * len(x) for k in keys} | {"i": int(r["i"]), "x": x, "source": source, "distance_milli": d})
 
-    return sources.groupBy(*keys).applyInPandas(work, schema)
+    return lines.mapInPandas(work, schema)

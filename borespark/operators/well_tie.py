@@ -83,13 +83,16 @@ def corrected_time(time_ms: Column, middle: Column | float, stretch: Column | fl
     return middle + (time_ms - middle) * stretch + shift
 
 
-def correlation(x: np.ndarray, y: np.ndarray) -> float | None:
-    n = min(len(x), len(y))
+def correlations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pearson correlation of each row of x with that of y, over their common length; NaN where there is none."""
+    n = min(x.shape[1], y.shape[1])
     if n < LEAST_PAIRS:
-        return None
-    x, y = x[:n], y[:n]
-    below = np.sqrt(max(0.0, (n * (x * x).sum() - x.sum() ** 2) * (n * (y * y).sum() - y.sum() ** 2)))
-    return None if below <= 2.220446049250313e-16 else float((n * (x * y).sum() - x.sum() * y.sum()) / below)
+        return np.full(len(x), np.nan)
+    x, y = x[:, :n], y[:, :n]
+    sx, sy = x.sum(axis=1), y.sum(axis=1)
+    below = np.sqrt(np.maximum(0.0, (n * (x * x).sum(axis=1) - sx**2) * (n * (y * y).sum(axis=1) - sy**2)))
+    sound = below > 2.220446049250313e-16
+    return np.where(sound, (n * (x * y).sum(axis=1) - sx * sy) / np.where(sound, below, 1), np.nan)
 
 
 def align(times: np.ndarray, trace: np.ndarray, middle: float, stretch: float, shift: float) -> np.ndarray:
@@ -98,45 +101,56 @@ def align(times: np.ndarray, trace: np.ndarray, middle: float, stretch: float, s
     return np.interp(middle + (times - shift - middle) / stretch, times, trace)
 
 
-def shift_and_stretch(times: np.ndarray, synthetic: np.ndarray, trace: np.ndarray, most: int, step_ms: float) -> tuple[int, float, float] | None:
-    """(lag, stretch, correlation).  Among 17 stretches and all lags near-ties prefer less stretch, then less lag;
-    the stretch is used only if it gains 0.01 over the best plain shift."""
+def align_rows(times: np.ndarray, traces: np.ndarray, middle: float, stretch: float, shift: float) -> np.ndarray:
+    """``align`` of traces [rows, samples] on one axis."""
+    at = middle + (times - shift - middle) / stretch
+    high = np.clip(np.searchsorted(times, at), 1, len(times) - 1)
+    part = np.clip((at - times[high - 1]) / (times[high] - times[high - 1]), 0, 1)
+    return traces[:, high - 1] * (1 - part) + traces[:, high] * part
+
+
+def shift_and_stretch(times: np.ndarray, synthetic: np.ndarray, trace: np.ndarray, most: int, step_ms: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """lags, stretches and correlations of rows of synthetics and traces on one axis; NaN where none correlates.
+
+    Among 17 stretches and all lags near-ties prefer less stretch, then less lag; the stretch is used only if it
+    gains 0.01 over the best plain shift.  All rows go through a stretch and lag together.
+    """
+    rows, lags = len(trace), range(-most, most + 1)
+    lag0, c0 = np.zeros(rows, np.int64), np.full(rows, np.nan)
+    for lag in lags:
+        lo, hi = max(0, lag), min(trace.shape[1], synthetic.shape[1] + lag)
+        if hi > lo:
+            c = correlations(synthetic[:, lo - lag : hi - lag], trace[:, lo:hi])
+            take = (c > c0) | (np.isnan(c0) & ~np.isnan(c))
+            lag0, c0 = np.where(take, lag, lag0), np.where(take, c, c0)
+    best, stretch1, c1 = np.zeros(rows, np.int64), np.ones(rows), np.full(rows, np.nan)
     middle = (times[0] + times[-1]) / 2
-    plain = None
-    for lag in range(-most, most + 1):
-        lo, hi = max(0, lag), min(len(trace), len(synthetic) + lag)
-        c = correlation(synthetic[lo - lag : hi - lag], trace[lo:hi]) if hi > lo else None
-        if c is not None and (plain is None or c > plain[2]):
-            plain = (lag, 1.0, c)
-    if plain is None:
-        return None
-    best = None
     for k in range(-8, 9):
-        stretch = 1.0 + k * 0.005
-        for lag in range(-most, most + 1):
-            c = correlation(synthetic, align(times, trace, middle, stretch, lag * step_ms))
-            if c is None:
-                continue
-            if best is not None:
-                near, less = abs(c - best[2]) <= NEAR, abs(stretch - 1) - abs(best[1] - 1)
-                if not (c > best[2] + NEAR or (near and less < 0) or (near and abs(less) <= NEAR and abs(lag) < abs(best[0]))):
-                    continue
-            best = (lag, stretch, c)
-    return best if best and best[2] - plain[2] >= GAIN and abs(best[1] - 1) >= STRETCH - 1e-12 else plain
+        stretch = 1.0 + k * STRETCH
+        for lag in lags:
+            c = correlations(synthetic, align_rows(times, trace, middle, stretch, lag * step_ms))
+            near, less = np.abs(c - c1) <= NEAR, abs(stretch - 1) - np.abs(stretch1 - 1)
+            take = np.isnan(c1) & ~np.isnan(c) | (c > c1 + NEAR) | near & ((less < 0) | (np.abs(less) <= NEAR) & (abs(lag) < np.abs(best)))
+            best, stretch1, c1 = np.where(take, lag, best), np.where(take, stretch, stretch1), np.where(take, c, c1)
+    gains = (c1 - c0 >= GAIN) & (np.abs(stretch1 - 1) >= STRETCH - 1e-12)
+    return np.where(gains, best, lag0), np.where(gains, stretch1, 1.0), np.where(gains, c1, c0)
 
 
 def tie(pairs: DataFrame, keys: Sequence[str], most: int, step_ms: float) -> DataFrame:
-    """(keys, lag, stretch, correlation) per pair (times, synthetic, trace arrays)."""
+    """(keys, lag, stretch, correlation) per pair (times, synthetic, trace arrays); pairs that nothing ties give no row."""
     schema = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys) + ", lag long, stretch double, correlation double"
 
     def work(it):
         for pdf in it:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                hit = shift_and_stretch(*(np.asarray(getattr(r, c), float) for c in ("times", "synthetic", "trace")), most, step_ms)
-                if hit:
-                    rows.append((*[getattr(r, k) for k in keys], *hit))
-            yield pd.DataFrame(rows, columns=[*keys, "lag", "stretch", "correlation"])
+            pdf = pdf[pdf[["times", "synthetic", "trace"]].notna().all(axis=1)]
+            alike = [(np.asarray(t, float).tobytes(), len(s), len(x)) for t, s, x in zip(pdf["times"], pdf["synthetic"], pdf["trace"], strict=True)]
+            for axis in dict.fromkeys(alike):
+                own = pdf[[a == axis for a in alike]]
+                times = np.frombuffer(axis[0], float)
+                if len(times) < 2 or axis[2] != len(times) or not axis[1]:
+                    continue
+                lag, stretch, c = shift_and_stretch(times, *(np.stack(own[n]).astype(float) for n in ("synthetic", "trace")), most, step_ms)
+                yield own[list(keys)].assign(lag=lag, stretch=stretch, correlation=c)[~np.isnan(c)]
 
     return pairs.select(*keys, "times", "synthetic", "trace").mapInPandas(work, schema)
 

@@ -89,8 +89,8 @@ def w11_average_velocity_depth(spark, sf_dir):
     return e.select(F.col("event_id").alias("id"), r6(frames.average_velocity_depth(F.col("event_id").cast("double"), 2000.0 + F.col("value")), 8).alias("depth"))
 
 
-# stations: every fifth event of a well; points: all its events, at shifted positions
-_STATIONS = "st AS (SELECT user_id AS well, CAST(event_id AS DOUBLE) AS x, value AS y FROM events WHERE event_id % 5 = 0), pt AS (SELECT user_id AS well, event_id AS id, CAST(event_id AS DOUBLE) + CAST(0.25 AS DOUBLE) AS x FROM events)"
+# stations: the views of a well; points: all its events, at shifted positions
+_STATIONS = "st AS (SELECT user_id AS well, CAST(event_id AS DOUBLE) AS x, value AS y FROM events WHERE event_type = 'view'), pt AS (SELECT user_id AS well, event_id AS id, CAST(event_id AS DOUBLE) + CAST(0.25 AS DOUBLE) AS x FROM events)"
 
 
 @register("w14_interpolate", f"""WITH {_STATIONS}, a AS (SELECT p.*, s.x AS x0, s.y AS y0 FROM pt p ASOF LEFT JOIN st s ON p.well = s.well AND p.x >= s.x), b AS (SELECT a.*, s.x AS x1, s.y AS y1 FROM a ASOF LEFT JOIN st s ON a.well = s.well AND a.x <= s.x)
@@ -98,7 +98,7 @@ _STATIONS = "st AS (SELECT user_id AS well, CAST(event_id AS DOUBLE) AS x, value
 def w14_interpolate(spark, sf_dir):
     """Linear interpolation between stations: an as-of join both ways."""
     e = table(spark, sf_dir, "events")
-    stations = e.where("event_id % 5 = 0").select(F.col("user_id").alias("well"), F.col("event_id").cast("double").alias("x"), F.col("value").alias("y"))
+    stations = e.where("event_type = 'view'").select(F.col("user_id").alias("well"), F.col("event_id").cast("double").alias("x"), F.col("value").alias("y"))
     points = e.select(F.col("user_id").alias("well"), (F.col("event_id").cast("double") + 0.25).alias("x"), F.col("event_id").alias("id"))
     return frames.bracket(points, stations, W, "x", "y").select("id", r6("y", 9).alias("y"))
 
@@ -112,15 +112,16 @@ def j01_positional_join(spark, sf_dir):
     return frames.positional_join(rows, other, W, "p", "depth").select("id", r6(F.col("v") + F.col("v2")).alias("total"))
 
 
-@register("j02_resample", """WITH a AS (SELECT user_id AS well, CAST(event_id AS DOUBLE) AS x, value AS y FROM events WHERE event_id % 2 = 0), b AS (SELECT user_id AS well, CAST(event_id AS DOUBLE) AS x, value * 10.0 AS y FROM events WHERE event_id % 3 = 0),
+@register("j02_resample", """WITH a AS (SELECT user_id AS well, CAST(event_id AS DOUBLE) AS x, value AS y FROM events WHERE event_type IN ('click', 'view')), b AS (SELECT user_id AS well, CAST(event_id AS DOUBLE) AS x, value * 10.0 AS y FROM events WHERE event_type NOT IN ('click', 'view')),
  s AS (SELECT well, GREATEST(MIN(a0), MIN(b0)) AS t, LEAST(MIN(a1), MIN(b1)) AS e FROM (SELECT well, MIN(x) AS a0, MAX(x) AS a1 FROM a GROUP BY well) JOIN (SELECT well, MIN(x) AS b0, MAX(x) AS b1 FROM b GROUP BY well) USING (well) GROUP BY well),
  g AS (SELECT well, t + (UNNEST(RANGE(CAST(FLOOR((e - t) / 50.0) AS BIGINT))) + 0.5) * 50.0 AS x FROM s WHERE e > t),
  p AS (SELECT g.*, q.x AS x0, q.y AS y0 FROM g ASOF LEFT JOIN a q ON g.well = q.well AND g.x >= q.x), r AS (SELECT p.*, q.x AS x1, q.y AS y1 FROM p ASOF LEFT JOIN a q ON p.well = q.well AND p.x <= q.x),
  u AS (SELECT r.*, q.x AS u0, q.y AS v0 FROM r ASOF LEFT JOIN b q ON r.well = q.well AND r.x >= q.x), w AS (SELECT u.*, q.x AS u1, q.y AS v1 FROM u ASOF LEFT JOIN b q ON u.well = q.well AND u.x <= q.x)
  SELECT well, x, ROUND(CASE WHEN x1 = x0 THEN y0 ELSE y0 + (y1 - y0) * (x - x0) / (x1 - x0) END, 9) AS a, ROUND(CASE WHEN u1 = u0 THEN v0 ELSE v0 + (v1 - v0) * (x - u0) / (u1 - u0) END, 9) AS b FROM w""")
 def j02_resample(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("well"), "event_id", F.col("event_id").cast("double").alias("x"), F.col("value").alias("y"))
-    channels = {"a": e.where("event_id % 2 = 0").select("well", "x", "y"), "b": e.where("event_id % 3 = 0").select("well", "x", (F.col("y") * 10.0).alias("y"))}
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("well"), "event_type", F.col("event_id").cast("double").alias("x"), F.col("value").alias("y"))
+    first = F.col("event_type").isin("click", "view")
+    channels = {"a": e.where(first).select("well", "x", "y"), "b": e.where(~first).select("well", "x", (F.col("y") * 10.0).alias("y"))}
     return frames.resample_aligned(channels, W, "x", "y", 50.0).select("well", "x", r6("a", 9).alias("a"), r6("b", 9).alias("b"))
 
 
@@ -211,10 +212,14 @@ def f14_covering(spark, sf_dir):
     return frames.covering(frames.extents(logs(spark, sf_dir), W, "id"), 500, 900).select("well")
 
 
-@register("f07_candidates", "SELECT n FROM (VALUES (1), (3)) t(n)")
+@register("f07_candidates", "SELECT c_custkey FROM customer WHERE c_custkey % 4 IN (0, 2)")
 def f07_candidates(spark, sf_dir):
-    curves = spark.createDataFrame([(1, "gamma_ray"), (2, "depth"), (3, "density"), (4, "time")], "n int, kind string")
-    return frames.curve_candidates(curves, "kind").select("n")
+    """Each customer holds a curve, by turns gamma ray, depth, density and time."""
+    from borespark.functions.petro import curve_kind
+
+    pick = lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    curves = table(spark, sf_dir, "customer").select("c_custkey", curve_kind(pick("GR", "DEPT", "RHOB", "TIME"), pick("GAPI", "M", "G/CC", "MS")).alias("kind"))
+    return frames.curve_candidates(curves, "kind").select("c_custkey")
 
 
 @register("j13_preferred", "SELECT o_custkey, o_orderkey FROM orders QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
@@ -229,13 +234,13 @@ def a23_duplicate_logs(spark, sf_dir):
     return o.groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("o_orderkey"), F.count("*").alias("n")).select("o_orderkey", "n")
 
 
-@register("o02_natural_order", "SELECT c_custkey, ROW_NUMBER() OVER (ORDER BY c_custkey) AS pos FROM customer")
+@register("o02_natural_order", "SELECT c_custkey, ROW_NUMBER() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS pos FROM customer")
 def o02_natural_order(spark, sf_dir):
-    """Names with numbers sort by the numbers' values."""
+    """The curves of an asset (nation): names with numbers sort by the numbers' values."""
     from pyspark.sql import Window
 
     c = table(spark, sf_dir, "customer").withColumn("name", F.concat(F.lit("CURVE["), F.col("c_custkey").cast("string"), F.lit("]")))
-    return c.withColumn("k", frames.natural_key(F.col("name"))).select("c_custkey", F.row_number().over(Window.orderBy("k")).cast("long").alias("pos"))
+    return c.withColumn("k", frames.natural_key(F.col("name"))).select("c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("k")).cast("long").alias("pos"))
 
 
 @register("o01_sort_tops", "SELECT o_custkey, o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS pos FROM orders")

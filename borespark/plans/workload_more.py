@@ -10,7 +10,7 @@ from borespark.functions import petro
 from borespark.operators import frames, gathers, grid, time_depth, traces, well_tie
 from borespark.plans.registry import Family, built_in
 from borespark.plans.workload import ELASTIC, LOGS, elastic, formula, logs, r6, register, table
-from borespark.plans.workload_traces import INLINE, INTERVAL, LINES, ORIGIN, WIDTH, XLINE, depth_curves, pairs, samples, volume
+from borespark.plans.workload_traces import INLINE, INTERVAL, ORIGIN, WIDTH, XLINE, depth_curves, line_count, pairs, samples, volume
 from borespark.sources.logs import apply_null_policy, typed
 
 formula("p30_slowness_by_unit", lambda: petro.slowness_by_unit("dt", "US/M"), "CASE WHEN dt > 0 THEN 1000000.0 / dt END")
@@ -40,7 +40,7 @@ def f01_projection(spark, sf_dir):
 
 @register("f03_depth_window", f"WITH {LOGS} SELECT id, v FROM logs WHERE CAST(id AS DOUBLE) BETWEEN 250.5 AND 700")
 def f03_depth_window(spark, sf_dir):
-    return frames.depth_window(logs(spark, sf_dir).withColumn("d", F.col("id").cast("double")), "d", 250.5, 700.0).select("id", "v")
+    return frames.depth_window(logs(spark, sf_dir).withColumn("d", F.col("id").cast("double")), "d", 250.5, 700.0, ["well"], ["id"]).select("id", "v")
 
 
 @register("o06_sorted_unique", "SELECT l_suppkey, STRING_AGG(DISTINCT CAST(l_linenumber AS VARCHAR), ',' ORDER BY CAST(l_linenumber AS VARCHAR)) AS numbers FROM lineitem GROUP BY 1")
@@ -80,22 +80,27 @@ def s07_integer_keeps_text(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", typed(raw, "integer").alias("value"))
 
 
-@register("j12_marker_residual", """WITH st AS (SELECT user_id AS well, CAST(event_id AS DOUBLE) AS md, CAST(event_id AS DOUBLE) * CAST(0.9 AS DOUBLE) AS tvd FROM events WHERE event_id % 4 = 0), mk AS (SELECT user_id AS well, event_id AS marker, CAST(event_id AS DOUBLE) AS md, value FROM events WHERE event_id % 7 = 0),
+@register("j12_marker_residual", """WITH st AS (SELECT user_id AS well, CAST(event_id AS DOUBLE) AS md, CAST(event_id AS DOUBLE) * CAST(0.9 AS DOUBLE) AS tvd FROM events WHERE event_type = 'view'), mk AS (SELECT user_id AS well, event_id AS marker, CAST(event_id AS DOUBLE) AS md, value FROM events),
  a AS (SELECT m.*, s.md AS x0, s.tvd AS y0 FROM mk m ASOF LEFT JOIN st s ON m.well = s.well AND m.md >= s.md), b AS (SELECT a.*, s.md AS x1, s.tvd AS y1 FROM a ASOF LEFT JOIN st s ON a.well = s.well AND a.md <= s.md)
  SELECT marker, ROUND(CASE WHEN y0 IS NULL THEN y1 WHEN y1 IS NULL OR x0 = x1 THEN y0 ELSE y0 + (y1 - y0) * (md - x0) / (x1 - x0) END - (500.0 + value), 7) AS residual FROM b WHERE y0 IS NOT NULL OR y1 IS NOT NULL""")
 def j12_marker_residual(spark, sf_dir):
-    """Marker depth on its trajectory minus the horizon's depth there."""
+    """Marker depth on its trajectory, whose stations are the views, minus the horizon's depth there."""
     e = table(spark, sf_dir, "events")
-    stations = e.where("event_id % 4 = 0").select(F.col("user_id").alias("well"), F.col("event_id").cast("double").alias("md"), (F.col("event_id").cast("double") * F.lit(0.9)).alias("tvd"))
-    markers = e.where("event_id % 7 = 0").select(F.col("user_id").alias("well"), F.col("event_id").cast("double").alias("md"), F.col("event_id").alias("marker"), (500.0 + F.col("value")).alias("horizon"))
+    stations = e.where("event_type = 'view'").select(F.col("user_id").alias("well"), F.col("event_id").cast("double").alias("md"), (F.col("event_id").cast("double") * F.lit(0.9)).alias("tvd"))
+    markers = e.select(F.col("user_id").alias("well"), F.col("event_id").cast("double").alias("md"), F.col("event_id").alias("marker"), (500.0 + F.col("value")).alias("horizon"))
     rows = frames.bracket(markers, stations, ["well"], "md", "tvd").where("tvd is not null")
     return rows.select("marker", r6(F.col("tvd") - F.col("horizon"), 7).alias("residual"))
 
 
-@register("a21_rank_geometries", "SELECT label, score FROM (VALUES ('b', 21095), ('a', 11090), ('c', 95)) t(label, score)")
+_MAPPINGS = {"line and quantity": ("l_linenumber", "l_quantity"), "supplier and line": ("l_suppkey", "l_linenumber"), "order and line": ("l_orderkey", "l_linenumber")}
+_CANDIDATE = """SELECT '{label}' AS label, COUNT(*) AS u, SUM(n) AS o, LEAST(COUNT(DISTINCT a), COUNT(DISTINCT b)) AS axis, COUNT(DISTINCT a) * COUNT(DISTINCT b) AS x, COUNT(*) FILTER (n > 1) AS dup FROM (SELECT {a} AS a, {b} AS b, COUNT(*) AS n FROM lineitem GROUP BY 1, 2)"""
+
+
+@register("a21_rank_geometries", "SELECT label, u AS cells, CAST(10000 * CASE WHEN dup = 0 THEN 2 WHEN x = u THEN 1 ELSE 0 END + CASE WHEN dup = 0 THEN 1000 ELSE 0 END + axis + FLOOR(u / x * 100) AS BIGINT) AS score, dup = 0 AND COUNT(*) FILTER (dup = 0) OVER () = 1 AS chosen FROM (" + " UNION ALL ".join(_CANDIDATE.format(label=k, a=a, b=b) for k, (a, b) in _MAPPINGS.items()) + ")")
 def a21_rank_geometries(spark, sf_dir):
-    c = spark.createDataFrame([("a", 1, True, 10, 0.8, 100), ("b", 2, True, 5, 0.9, 90), ("c", 0, False, 45, 0.5, 100)], "label string, action int, automatic boolean, axis_count int, completeness double, cells int")
-    return grid.rank_geometries(c).select("label", "score")
+    """Which two columns of the line items could be the lines of a survey."""
+    c = grid.candidate_geometries(table(spark, sf_dir, "lineitem"), _MAPPINGS)
+    return grid.rank_geometries(c).select("label", "cells", "score", "chosen")
 
 
 @register("a22_storage_estimate", "WITH c AS (SELECT l_linenumber AS il, l_quantity AS xl, COUNT(*) AS n FROM lineitem GROUP BY 1, 2), s AS (SELECT SUM(n) AS o, COUNT(DISTINCT il) * COUNT(DISTINCT xl) AS x, COUNT(*) AS u FROM c) SELECT ROUND(x / o, 6) AS ratio, x * 64 * 4 AS amplitude_bytes, CASE WHEN x > u THEN x ELSE 0 END AS occupancy_bytes FROM s")
@@ -134,7 +139,7 @@ def d04_interval_overlay(spark, sf_dir):
 @register("k01_section_at_well", f"SELECT vec_id, 'inline' AS axis, CAST(FLOOR(vec_id / {WIDTH}) AS BIGINT) AS section, vec_id % {WIDTH} AS trace FROM embeddings")
 def k01_section_at_well(spark, sf_dir):
     i, x = F.floor(F.col("vec_id") / WIDTH), F.col("vec_id") % WIDTH
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", well_tie.section_at_well(1000.0 + 25.0 * i - 5.0 * x + 2.0, 2000.0 + 5.0 * i + 25.0 * x - 1.0, ORIGIN, INLINE, XLINE, LINES, WIDTH).alias("s"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", well_tie.section_at_well(1000.0 + 25.0 * i - 5.0 * x + 2.0, 2000.0 + 5.0 * i + 25.0 * x - 1.0, ORIGIN, INLINE, XLINE, line_count(spark, sf_dir), WIDTH).alias("s"))
     return rows.select("vec_id", "s.axis", "s.section", "s.trace")
 
 
@@ -154,10 +159,8 @@ def k07_affine_alignment(spark, sf_dir):
 
 @register("k02_resample_trace", f"WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings), p AS (SELECT vec_id, a, t, LEAST(63.0, t * 3.0 / 4.0) AS p FROM e, (SELECT UNNEST(RANGE(90)) AS t)) SELECT vec_id, t, ROUND(a[CAST(FLOOR(p) AS INT) + 1] + (a[LEAST(64, CAST(FLOOR(p) AS INT) + 2)] - a[CAST(FLOOR(p) AS INT) + 1]) * (p - FLOOR(p)), 6) AS x FROM p")
 def k02_resample_trace(spark, sf_dir):
-    times = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i * INTERVAL)
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"), times.alias("times"))
-    target = F.transform(F.sequence(F.lit(0), F.lit(89)), lambda i: time_depth.lookup(F.col("times"), F.col("a"), i * 3.0))
-    return samples(rows.withColumn("amplitude", target), "vec_id")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("amplitude"))
+    return samples(time_depth.resample_traces(rows, INTERVAL, np.arange(90) * 3.0), "vec_id")
 
 
 @register("k12_convolution", f"WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings), c AS (SELECT vec_id, t, 0.25 * COALESCE(a[CASE WHEN t > 0 THEN t END], 0) + a[t + 1] + 0.5 * COALESCE(a[t + 2], 0) AS x FROM e, {_TIMES}) SELECT vec_id, t, ROUND(x / MAX(ABS(x)) OVER (PARTITION BY vec_id), 6) AS x FROM c")
@@ -167,21 +170,39 @@ def k12_convolution(spark, sf_dir):
     return samples(traces.map_traces(rows, lambda x: np.stack([well_tie.convolve_same(row, kernel) for row in x]), "amplitude"), "vec_id")
 
 
-@register("k10_wavelet")
+# the normal equations solved by conjugate gradients, 40 steps for 25 unknowns
+_WAVE = """WITH RECURSIVE p AS (SELECT a.vec_id, CAST(a.embedding AS DOUBLE[]) AS tr, list_concat(list_concat(list_transform(RANGE(12), lambda i: 0.0::DOUBLE), CAST(b.embedding AS DOUBLE[])), list_transform(RANGE(12), lambda i: 0.0::DOUBLE)) AS pad FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+ c AS (SELECT vec_id, tr, list_transform(RANGE(25), lambda j: pad[j + 1:j + 64]) AS cols FROM p),
+ n AS (SELECT vec_id, list_transform(cols, lambda x: list_dot_product(x, tr)) AS b, list_transform(cols, lambda x: list_transform(cols, lambda y: list_dot_product(x, y))) AS m FROM c),
+ k AS (SELECT vec_id, b, m, GREATEST(1.0, list_sum(list_transform(RANGE(1, 26), lambda j: m[j][j])) / 25) * 1e-3 AS ridge FROM n),
+ a AS (SELECT vec_id, b, list_transform(RANGE(1, 26), lambda i: list_transform(RANGE(1, 26), lambda j: m[i][j] + CASE WHEN i = j THEN ridge ELSE 0 END)) AS m FROM k),
+ g(vec_id, step, x, r, d) AS (SELECT vec_id, 0, list_transform(b, lambda v: 0.0::DOUBLE), b, b FROM a UNION ALL
+  SELECT vec_id, step + 1, x1, r1, CASE WHEN rr > 0 THEN list_transform(RANGE(1, 26), lambda i: r1[i] + list_dot_product(r1, r1) / rr * d[i]) ELSE d END FROM (SELECT vec_id, step, d, rr, list_transform(RANGE(1, 26), lambda i: x[i] + s * d[i]) AS x1, list_transform(RANGE(1, 26), lambda i: r[i] - s * ad[i]) AS r1 FROM
+  (SELECT *, list_dot_product(r, r) AS rr, CASE WHEN list_dot_product(d, ad) > 0 THEN list_dot_product(r, r) / list_dot_product(d, ad) ELSE 0 END AS s FROM (SELECT g.*, list_transform(a.m, lambda row: list_dot_product(row, g.d)) AS ad FROM g JOIN a ON a.vec_id = g.vec_id WHERE step < 40)))),
+ w AS (SELECT vec_id, x, list_max(list_transform(x, lambda v: ABS(v))) AS peak FROM g WHERE step = 40)
+ SELECT vec_id, tap, ROUND(x[tap + 1] / peak, 5) AS value FROM w, (SELECT UNNEST(RANGE(25)) AS tap)"""
+
+
+@register("k10_wavelet", _WAVE)
 def k10_wavelet(spark, sf_dir):
     def work(it):
         for pdf in it:
             waves = [well_tie.wavelet(np.asarray(s), np.asarray(t), INTERVAL, 256.0) for s, t in zip(pdf["synthetic"], pdf["trace"], strict=True)]
             yield pd.DataFrame({"vec_id": pdf["vec_id"], "wavelet": [None if w is None else list(w) for w in waves]})
 
-    return pairs(spark, sf_dir).select("vec_id", "synthetic", "trace").mapInPandas(work, "vec_id long, wavelet array<double>")
+    w = pairs(spark, sf_dir).select("vec_id", "synthetic", "trace").mapInPandas(work, "vec_id long, wavelet array<double>")
+    return w.select("vec_id", F.posexplode("wavelet").alias("tap", "v")).select("vec_id", F.col("tap").cast("long").alias("tap"), r6("v", 5).alias("value"))
 
 
-@register("k08_best_trace")
+@register("k08_best_trace", """WITH e AS (SELECT label, vec_id, vec_id % 50 AS i, CAST(embedding AS DOUBLE[]) AS tr FROM embeddings), y AS (SELECT label, ARG_MIN(tr, vec_id) AS sy FROM e GROUP BY label), w AS (SELECT label, vec_id, i, tr, sy FROM e JOIN y USING (label) WHERE ABS(i - 25) <= 8),
+ l AS (SELECT label, vec_id, i, tr, sy, UNNEST(RANGE(-12, 13)) AS lag FROM w), u AS (SELECT label, vec_id, i, lag, UNNEST(tr[GREATEST(lag, 0) + 1:LEAST(64, 64 + lag)]) AS y, UNNEST(sy[GREATEST(-lag, 0) + 1:LEAST(64, 64 - lag)]) AS x FROM l), c AS (SELECT label, vec_id, i, lag, CORR(x, y) AS c FROM u GROUP BY ALL),
+ b AS (SELECT label, i, lag, c FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY label, i ORDER BY c DESC, lag) = 1)
+ SELECT label, i AS index, lag, ROUND(c, 6) AS correlation FROM b QUALIFY c >= MAX(c) OVER (PARTITION BY label) - 0.001 AND ROW_NUMBER() OVER (PARTITION BY label ORDER BY CASE WHEN c >= (SELECT MAX(b2.c) FROM b b2 WHERE b2.label = b.label) - 0.001 THEN 0 ELSE 1 END, ABS(i - 25), c DESC, i, lag) = 1""")
 def k08_best_trace(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("trace"))
     synthetic = e.groupBy("label").agg(F.min_by("trace", "vec_id").alias("synthetic"))
-    return well_tie.best_trace(e.withColumn("index", F.col("vec_id") % 50), synthetic, ["label"], 25, 200.0, 25.0, INTERVAL)
+    best = well_tie.best_trace(e.withColumn("index", F.col("vec_id") % 50), synthetic, ["label"], 25, 200.0, 25.0, INTERVAL)
+    return best.withColumn("correlation", r6("correlation"))
 
 
 @register("x04_availability", "SELECT c_custkey AS asset, CAST(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS INT) AS shale, CAST(CASE WHEN c_custkey % 3 <> 2 THEN 1 ELSE 0 END AS INT) AS gaps FROM customer")

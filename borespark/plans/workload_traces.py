@@ -8,8 +8,11 @@ from borespark.operators import gathers, grid, neighborhood, time_depth, traces,
 from borespark.plans.workload import r6, register, table
 
 WIDTH, INTERVAL = 25, 4.0
-#: Lines of the grid; more than any table has.
-LINES = 1_000_000
+
+
+def line_count(spark, sf_dir):
+    """Lines of the grid: those of the whole table."""
+    return (table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0) // WIDTH + 1
 
 
 def volume(spark, sf_dir):
@@ -155,9 +158,25 @@ def n01_similarity_expression(spark, sf_dir):
     return samples(neighborhood.similarity_expression(volume(spark, sf_dir), INTERVAL, AROUND))
 
 
-@register("n03_dip")
+# per neighbour and lag the correlation of the gates; lags in order, near-ties to the smaller one; then the plane's sums
+_DIP = f"""WITH {_NEAR}, a AS (SELECT il, xl, t, GREATEST(t - 3, 0) AS lo, LEAST(t + 3, 63) AS hi FROM s), o AS (SELECT UNNEST([-3, -2, -1, 0, 1, 2, 3]) AS lag),
+ c AS (SELECT a.il, a.xl, a.t, di, dx, lag, SUM(g.x * b.x) AS p, SUM(g.x * g.x) AS q, SUM(b.x * b.x) AS r FROM a, d, o JOIN s g ON g.il = a.il AND g.xl = a.xl AND g.t BETWEEN a.lo AND a.hi JOIN s b ON b.il = a.il + di AND b.xl = a.xl + dx AND b.t = g.t + lag WHERE (di <> 0 OR dx <> 0) AND a.lo + lag >= 0 AND a.hi + lag <= 63 GROUP BY ALL),
+ w AS (SELECT *, CASE WHEN SQRT(q) * SQRT(r) > 1e-6 THEN LEAST(1.0, ABS(p) / (SQRT(q) * SQRT(r))) ELSE 0.0 END AS w FROM c),
+ b AS (SELECT il, xl, t, di, dx, MAX(SQRT(q)) AS norm, list_reduce(list_prepend({{'w': 0.0::DOUBLE, 'lag': 0}}, list({{'w': w, 'lag': lag}} ORDER BY lag)), lambda m, n: CASE WHEN n.w > m.w + 1e-6 OR (ABS(n.w - m.w) <= 1e-6 AND ABS(n.lag) < ABS(m.lag)) THEN n ELSE m END) AS best FROM w GROUP BY ALL),
+ f AS (SELECT il, xl, t, di, dx, best.lag * 4.0 AS h, CASE WHEN best.w > 1e-6 AND norm > 1e-6 THEN best.w ELSE 0.0 END AS w FROM b),
+ u AS (SELECT il, xl, t, SUM(w * di * di) AS a, SUM(w * di * dx) AS b, SUM(w * dx * dx) AS c, SUM(w * di * h) AS d, SUM(w * dx * h) AS e FROM f GROUP BY ALL),
+ y AS (SELECT *, CASE WHEN ABS(a * c - b * b) > 1e-9 THEN (d * c - b * e) / (a * c - b * b) WHEN ABS(a) > 1e-9 THEN d / a ELSE 0.0 END AS i, CASE WHEN ABS(a * c - b * b) > 1e-9 THEN (a * e - b * d) / (a * c - b * b) WHEN ABS(a) <= 1e-9 AND ABS(c) > 1e-9 THEN e / c ELSE 0.0 END AS x FROM u),
+ z AS (SELECT s.il, s.xl, s.t, COALESCE(y.i, 0.0) AS i, COALESCE(y.x, 0.0) AS x FROM s LEFT JOIN y ON y.il = s.il AND y.xl = s.xl AND y.t = s.t)
+ SELECT il, xl, t, ROUND(i, 4) AS inline_dip, ROUND(x, 4) AS xline_dip, CASE WHEN ABS(i) <= 1e-6 AND ABS(x) <= 1e-6 THEN 0.0 ELSE ROUND(CASE WHEN ROUND(DEGREES(ATAN2(x, i)), 4) < 0 THEN DEGREES(ATAN2(x, i)) + 360.0 ELSE DEGREES(ATAN2(x, i)) END, 4) END AS azimuth, ROUND(SQRT(i * i + x * x), 4) AS steepness FROM z"""
+
+
+@register("n03_dip", _DIP)
 def n03_dip(spark, sf_dir):
-    return neighborhood.dip(volume(spark, sf_dir), INTERVAL, AROUND)
+    names = ("inline_dip", "xline_dip", "azimuth", "steepness")
+    s = neighborhood.dip(volume(spark, sf_dir), INTERVAL, AROUND)
+    s = s.select("il", "xl", F.posexplode(F.arrays_zip(*names)).alias("t", "v"))
+    values = {c: r6(F.col(f"v.{c}"), 4) for c in names}
+    return s.select("il", "xl", F.col("t").cast("long").alias("t"), *[(v % 360.0 if c == "azimuth" else v).alias(c) for c, v in values.items()])
 
 
 # --- gathers
@@ -277,16 +296,27 @@ def d11_depths_from_pairs(spark, sf_dir):
     return samples(e.select("vec_id", time_depth.depths_from_pairs(times, F.array(F.lit(80.0), F.lit(180.0)), F.array(first, first + 150.0)).alias("amplitude")), "vec_id")
 
 
-@register("d02_depth_conversion")
+@register("d02_depth_conversion", f"""WITH {_TZ}, e AS (SELECT MIN(z) FILTER (t = 0) AS d0, MAX(z) FILTER (t = 63) AS d1 FROM z), g AS (SELECT UNNEST(RANGE(64)) AS k), c AS (SELECT vec_id, t, z, LEAD(z) OVER (PARTITION BY vec_id ORDER BY t) AS z1 FROM z), l AS (SELECT vec_id, MAX(z) AS last FROM z GROUP BY vec_id),
+ p AS (SELECT l.vec_id, k, LEAST(last, d0 + k * (d1 - d0) / 63) AS d FROM l, e, g), q AS (SELECT p.vec_id, k, t + (d - z) / (z1 - z) AS p FROM p JOIN c ON c.vec_id = p.vec_id AND z1 IS NOT NULL AND d >= z AND (d < z1 OR (t = 62 AND d = z1))),
+ x AS (SELECT q.vec_id, k, CAST(FLOOR(p) AS INT) AS f, p, CAST(embedding AS DOUBLE[]) AS a FROM q JOIN embeddings m ON m.vec_id = q.vec_id)
+ SELECT vec_id, k AS t, ROUND(a[f + 1] + (a[LEAST(f + 2, 64)] - a[f + 1]) * (p - f), 5) AS x, ROUND(d0, 6) AS depth0, ROUND((d1 - d0) / 63, 6) AS depth_step FROM x, e""")
 def d02_depth_conversion(spark, sf_dir):
-    return time_depth.to_depth(depth_curves(spark, sf_dir).select("vec_id", "amplitude", "depths"), INTERVAL).select("vec_id", "depth0", "depth_step", "amplitude")
+    rows = time_depth.to_depth(depth_curves(spark, sf_dir).select("vec_id", "amplitude", "depths"), INTERVAL)
+    rows = rows.select("vec_id", r6("depth0").alias("depth0"), r6("depth_step").alias("depth_step"), F.posexplode("amplitude").alias("t", "x"))
+    return rows.select("vec_id", F.col("t").cast("long").alias("t"), r6("x", 5).alias("x"), "depth0", "depth_step")
 
 
-@register("j10_nearest_source")
+@register("j10_nearest_source", f"""WITH RECURSIVE s AS (SELECT label AS source, MIN(vec_id) // {WIDTH} AS si, MIN(vec_id) % {WIDTH} AS sx FROM embeddings GROUP BY label), g AS (SELECT i, UNNEST(RANGE({WIDTH})) AS x FROM (SELECT UNNEST(RANGE(MAX(vec_id) // {WIDTH} + 1)) AS i FROM embeddings)),
+ m AS (SELECT i, x, source, 27951 * LEAST(ABS(i - si), ABS(x - sx)) + 25000 * GREATEST(ABS(i - si) - ABS(x - sx), 0) + 12500 * GREATEST(ABS(x - sx) - ABS(i - si), 0) AS d FROM g, s),
+ k AS (SELECT i, x, d, COUNT(*) AS n, MIN(source) AS source FROM m JOIN (SELECT i, x, MIN(d) AS d FROM m GROUP BY i, x) USING (i, x, d) GROUP BY i, x, d),
+ p AS (SELECT a.i, a.x, b.i AS pi, b.x AS px FROM k a JOIN k b ON ABS(a.i - b.i) <= 1 AND ABS(a.x - b.x) <= 1 AND (a.i <> b.i OR a.x <> b.x) AND a.d = b.d + CASE WHEN a.x = b.x THEN 25000 WHEN a.i = b.i THEN 12500 ELSE 27951 END QUALIFY ROW_NUMBER() OVER (PARTITION BY a.i, a.x ORDER BY b.d, b.i, b.x) = 1),
+ r(i, x, d, ci, cx) AS (SELECT i, x, d, i, x FROM k UNION ALL SELECT r.i, r.x, r.d, p.pi, p.px FROM r JOIN k ON k.i = r.ci AND k.x = r.cx AND k.n > 1 JOIN p ON p.i = r.ci AND p.x = r.cx)
+ SELECT 1 AS survey, r.i, r.x, k.source, r.d AS distance_milli FROM r JOIN k ON k.i = r.ci AND k.x = r.cx AND k.n = 1""")
 def j10_nearest_source(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    sources = e.where("vec_id % 61 = 0").select(F.lit(1).alias("survey"), F.col("vec_id").alias("source"), F.floor(F.col("vec_id") / WIDTH).alias("i"), (F.col("vec_id") % WIDTH).alias("x"))
-    return time_depth.assign_sources(sources, ["survey"], (e.selectExpr("max(vec_id)").first()[0] // WIDTH + 1, WIDTH), ((25.0, 0.0), (0.0, 12.5)))
+    """Each label's first vector is a control profile."""
+    first = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min("vec_id").alias("v"))
+    sources = first.select(F.lit(1).alias("survey"), F.col("label").alias("source"), F.floor(F.col("v") / WIDTH).alias("i"), (F.col("v") % WIDTH).alias("x"))
+    return time_depth.assign_sources(sources, ["survey"], (line_count(spark, sf_dir), WIDTH), ((25.0, 0.0), (0.0, 12.5)))
 
 
 # --- grids
@@ -294,23 +324,23 @@ def j10_nearest_source(spark, sf_dir):
 ORIGIN, INLINE, XLINE = (1000.0, 2000.0), (25.0, 5.0), (-5.0, 25.0)
 
 
-@register("j07_snap", f"WITH p AS (SELECT vec_id, FLOOR(vec_id / {WIDTH}) + CAST(embedding[1] AS DOUBLE) AS i, vec_id % {WIDTH} + CAST(embedding[2] AS DOUBLE) AS x FROM embeddings), q AS (SELECT vec_id, (25.0 * (25.0 * i - 5.0 * x) + 5.0 * (5.0 * i + 25.0 * x)) / 650.0 AS i, (25.0 * (5.0 * i + 25.0 * x) - 5.0 * (25.0 * i - 5.0 * x)) / 650.0 AS x FROM p) SELECT vec_id, CAST(ROUND(i) AS BIGINT) AS i, CAST(ROUND(x) AS BIGINT) AS x FROM q WHERE ABS(i - ROUND(i)) <= 0.3 AND ABS(x - ROUND(x)) <= 0.3 AND ROUND(i) >= 0 AND ROUND(x) BETWEEN 0 AND 24")
+@register("j07_snap", f"WITH p AS (SELECT vec_id, FLOOR(vec_id / {WIDTH}) + CAST(embedding[1] AS DOUBLE) AS i, vec_id % {WIDTH} + CAST(embedding[2] AS DOUBLE) AS x FROM embeddings), q AS (SELECT vec_id, (25.0 * (25.0 * i - 5.0 * x) + 5.0 * (5.0 * i + 25.0 * x)) / 650.0 AS i, (25.0 * (5.0 * i + 25.0 * x) - 5.0 * (25.0 * i - 5.0 * x)) / 650.0 AS x FROM p) SELECT vec_id, CAST(ROUND(i) AS BIGINT) AS i, CAST(ROUND(x) AS BIGINT) AS x FROM q WHERE ABS(i - ROUND(i)) <= 0.3 AND ABS(x - ROUND(x)) <= 0.3 AND ROUND(i) BETWEEN 0 AND (SELECT MAX(vec_id) // 25 FROM embeddings) AND ROUND(x) BETWEEN 0 AND 24")
 def j07_snap(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     i, x = F.floor(F.col("vec_id") / WIDTH) + F.get("embedding", F.lit(0)).cast("double"), F.col("vec_id") % WIDTH + F.get("embedding", F.lit(1)).cast("double")
     rows = e.select("vec_id", (1000.0 + 25.0 * i - 5.0 * x).alias("px"), (2000.0 + 5.0 * i + 25.0 * x).alias("py"))
-    cell = grid.snap(F.col("px"), F.col("py"), ORIGIN, INLINE, XLINE, LINES, WIDTH, tolerance=0.3)
+    cell = grid.snap(F.col("px"), F.col("py"), ORIGIN, INLINE, XLINE, line_count(spark, sf_dir), WIDTH, tolerance=0.3)
     return rows.withColumn("c", cell).where("c is not null").select("vec_id", "c.i", "c.x")
 
 
 @register("h01_horizon_import", f"SELECT CAST(FLOOR(vec_id / {WIDTH}) AS BIGINT) AS i, vec_id % {WIDTH} AS x, CAST(vec_id AS DOUBLE) AS z FROM embeddings")
 def h01_horizon_import(spark, sf_dir):
-    """Each node is given twice; the later row wins."""
-    e = table(spark, sf_dir, "embeddings").withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    """Every twentieth node is given twice; the later row wins."""
+    e = table(spark, sf_dir, "embeddings").withColumn("again", F.explode(F.when(F.col("vec_id") % 20 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
     i, x = F.floor(F.col("vec_id") / WIDTH), F.col("vec_id") % WIDTH
     z = F.when(F.col("again") == 1, F.col("vec_id").cast("double")).otherwise(-1.0)
     pts = e.select((1000.0 + 25.0 * i - 5.0 * x).alias("x"), (2000.0 + 5.0 * i + 25.0 * x).alias("y"), z.alias("z"), "again")
-    return grid.import_horizon(pts, "again", ORIGIN, INLINE, XLINE, LINES, WIDTH, check=False)
+    return grid.import_horizon(pts, "again", ORIGIN, INLINE, XLINE, line_count(spark, sf_dir), WIDTH)
 
 
 @register("h03_horizon_on_section", f"WITH h AS (SELECT CAST(FLOOR(vec_id / {WIDTH}) AS BIGINT) AS il, vec_id % {WIDTH} AS xl, CAST(vec_id AS DOUBLE) * 7.3 AS z FROM embeddings) SELECT xl, CASE WHEN z / 4.0 BETWEEN -0.5 AND 63.5 THEN CAST(GREATEST(0, LEAST(63, ROUND(z / 4.0))) AS BIGINT) END AS sample FROM h WHERE il = 1")
@@ -319,16 +349,16 @@ def h03_horizon_on_section(spark, sf_dir):
     return grid.horizon_on_section(h, "il", 1, INTERVAL, 64).select("xl", "sample")
 
 
-@register("h02_horizon_to_depth", f"WITH {_TZ}, h AS (SELECT vec_id, (vec_id % 50) * 4.0 AS t0 FROM embeddings WHERE vec_id % 3 <> 0) SELECT vec_id, ROUND(z, 6) AS depth FROM h JOIN z USING (vec_id) WHERE z.t * 4.0 = t0")
+@register("h02_horizon_to_depth", f"WITH {_TZ}, h AS (SELECT vec_id, (vec_id % 50) * 4.0 AS t0 FROM embeddings) SELECT vec_id, ROUND(z, 6) AS depth FROM h JOIN z USING (vec_id) WHERE z.t * 4.0 = t0")
 def h02_horizon_to_depth(spark, sf_dir):
-    h = table(spark, sf_dir, "embeddings").where("vec_id % 3 <> 0").select("vec_id", ((F.col("vec_id") % 50) * INTERVAL).alias("t0"))
+    h = table(spark, sf_dir, "embeddings").select("vec_id", ((F.col("vec_id") % 50) * INTERVAL).alias("t0"))
     return h.join(depth_curves(spark, sf_dir), "vec_id").select("vec_id", r6(time_depth.lookup(F.col("times"), F.col("depths"), F.col("t0"))).alias("depth"))
 
 
 @register("a09_geometry", "WITH c AS (SELECT l_suppkey % 10 AS k, l_linenumber AS il, l_quantity AS xl, COUNT(*) AS n FROM lineitem GROUP BY 1, 2, 3), s AS (SELECT k, SUM(n) AS observed, COUNT(*) AS u, COUNT(*) FILTER (n > 1) AS duplicates, COUNT(DISTINCT il) * COUNT(DISTINCT xl) AS expected FROM c GROUP BY k) SELECT k, CAST(observed AS BIGINT) AS observed, u AS \"unique\", expected, GREATEST(0, expected - u) AS missing, duplicates, ROUND(u / expected, 6) AS completeness, CASE WHEN duplicates = 0 AND expected = u THEN 'regular_dense' WHEN duplicates = 0 THEN 'regular_sparse' WHEN expected = u THEN 'duplicate_coordinates' ELSE 'ambiguous_mapping' END AS kind FROM s")
 def a09_geometry(spark, sf_dir):
     h = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("k"), F.col("l_linenumber").alias("il"), F.col("l_quantity").alias("xl"))
-    return grid.geometry(h, keys=["k"]).withColumn("completeness", r6("completeness"))
+    return grid.geometry(h, keys=["k"]).withColumn("completeness", r6("completeness")).drop("axis_count")
 
 
 @register("o05_duplicate_examples", "SELECT l_suppkey AS il, l_linenumber AS xl, COUNT(*) AS n FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1 ORDER BY 1, 2 LIMIT 8")
@@ -403,10 +433,17 @@ def k05_best_shift(spark, sf_dir):
     return well_tie.best_shift(pairs(spark, sf_dir), ["vec_id"], "synthetic", "trace", 5).withColumn("correlation", r6("correlation"))
 
 
-@register("k06_shift_and_stretch")
+@register("k06_shift_and_stretch", f"""WITH {_PAIR}, h AS (SELECT k, 1.0 + k * CAST(0.005 AS DOUBLE) AS stretch, UNNEST(RANGE(-4, 5)) AS lag FROM (SELECT UNNEST(RANGE(-8, 9)) AS k)),
+ q AS (SELECT k, stretch, lag, t, GREATEST(0.0, LEAST(63.0, (126.0 + (t * 4.0 - lag * 4.0 - 126.0) / stretch) / 4.0)) AS p FROM h, (SELECT UNNEST(RANGE(64)) AS t)),
+ c AS (SELECT vec_id, k, stretch, lag, CORR(sy[t + 1], tr[CAST(FLOOR(p) AS INT) + 1] + (tr[LEAST(64, CAST(FLOOR(p) AS INT) + 2)] - tr[CAST(FLOOR(p) AS INT) + 1]) * (p - FLOOR(p))) AS c FROM p, q GROUP BY vec_id, k, stretch, lag),
+ b AS (SELECT vec_id, list_reduce(list({{'c': c, 's': stretch, 'l': lag}} ORDER BY k, lag), lambda m, n: CASE WHEN n.c > m.c + 0.0005 OR (ABS(n.c - m.c) <= 0.0005 AND (ABS(n.s - 1) - ABS(m.s - 1) < 0 OR (ABS(ABS(n.s - 1) - ABS(m.s - 1)) <= 0.0005 AND ABS(n.l) < ABS(m.l)))) THEN n ELSE m END) AS b FROM c GROUP BY vec_id),
+ l AS (SELECT vec_id, tr, sy, UNNEST(RANGE(-4, 5)) AS lag FROM p), u AS (SELECT vec_id, lag, UNNEST(tr[GREATEST(lag, 0) + 1:LEAST(64, 64 + lag)]) AS y, UNNEST(sy[GREATEST(-lag, 0) + 1:LEAST(64, 64 - lag)]) AS x FROM l),
+ f AS (SELECT vec_id, lag, CORR(x, y) AS c FROM u GROUP BY vec_id, lag QUALIFY ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY CORR(x, y) DESC, lag) = 1)
+ SELECT vec_id, CASE WHEN b.c - f.c >= 0.01 AND ABS(b.s - 1) >= 0.005 - 1e-12 THEN b.l ELSE f.lag END AS lag, ROUND(CASE WHEN b.c - f.c >= 0.01 AND ABS(b.s - 1) >= 0.005 - 1e-12 THEN b.s ELSE 1.0 END, 6) AS stretch, ROUND(CASE WHEN b.c - f.c >= 0.01 AND ABS(b.s - 1) >= 0.005 - 1e-12 THEN b.c ELSE f.c END, 6) AS correlation FROM b JOIN f USING (vec_id)""")
 def k06_shift_and_stretch(spark, sf_dir):
     times = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i * INTERVAL)
-    return well_tie.tie(pairs(spark, sf_dir).withColumn("times", times), ["vec_id"], 4, INTERVAL)
+    t = well_tie.tie(pairs(spark, sf_dir).withColumn("times", times), ["vec_id"], 4, INTERVAL)
+    return t.select("vec_id", "lag", r6("stretch").alias("stretch"), r6("correlation").alias("correlation"))
 
 
 @register("k09_corrected_time", "SELECT event_id, ROUND(500.0 + (CAST(event_id AS DOUBLE) - 500.0) * CAST(1.015 AS DOUBLE) + 8.0, 6) AS t FROM events")

@@ -1,5 +1,7 @@
 """Golden values of the formulas and properties of the kernels."""
 
+import heapq
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -178,9 +180,12 @@ def test_velocity_scan_finds_the_velocity(spark):
 
 def test_time_depth(spark):
     assert time_depth.depth_trend([0.0, 10.0, 20.0], 0.0, 20.0, 2000.0, 1.0) == pytest.approx([2000.0, 2010.0, 2020.05])
-    s = time_depth.nearest_sources((3, 3), pd.DataFrame({"source": [7, 8], "i": [0, 2], "x": [0, 2]}), ((10.0, 0.0), (0.0, 10.0)))
-    got = {(r.i, r.x): (r.source, r.distance_milli) for r in s.itertuples()}
+    sources = spark.createDataFrame([(1, 7, 0, 0), (1, 8, 2, 2)], "survey int, source long, i long, x long")
+    got = {(r.i, r.x): (r.source, r.distance_milli) for r in time_depth.assign_sources(sources, ["survey"], (3, 3), ((10.0, 0.0), (0.0, 10.0))).collect()}
     assert got[1, 1] == (7, 14142) and got[2, 1] == (8, 10000) and len(got) == 9
+    sums = spark.range(1).select(time_depth.running_sums(F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda i: i * 1.0)).alias("value"))
+    assert values(sums)[0] == pytest.approx(np.cumsum(np.arange(1, 1001)))
+    assert values(spark.range(1).select(time_depth.running_sums(F.array().cast("array<double>")).alias("value"))) == [[]]
     df = spark.createDataFrame([([100.0, 200.0], [50.0, 120.0]), ([100.0, 90.0], [50.0, 120.0])], "t array<double>, z array<double>")
     assert values(df.select(time_depth.pairs_rise(F.col("t"), F.col("z")).alias("value"))) == [True, False]
     rows = spark.createDataFrame([(1, [0.0, 1.0, 2.0], [0.0, 10.0, 20.0]), (2, [5.0, 5.0, 5.0], None)], "id int, amplitude array<double>, depths array<double>")
@@ -190,8 +195,8 @@ def test_time_depth(spark):
 
 def test_grid(spark):
     pts = spark.createDataFrame([(0.0, 0.0, 1.0, 0), (1000.0, 0.0, 2.0, 1), (1.0, 1.0, 3.0, 2)], "x double, y double, z double, n int")
-    with pytest.raises(ValueError):
-        grid.import_horizon(pts, "n", (0, 0), (10, 0), (0, 10), 3, 3)
+    with pytest.raises(PySparkException, match="too few cells"):
+        grid.import_horizon(pts, "n", (0, 0), (10, 0), (0, 10), 3, 3).collect()
     c = spark.createDataFrame([("a", 1, True, 10, 0.9, 100), ("b", 1, False, 90, 0.5, 100)], "label string, action int, automatic boolean, axis_count int, completeness double, cells int")
     assert [(r["label"], r["chosen"]) for r in grid.rank_geometries(c).collect()] == [("a", True), ("b", False)]
     g = grid.geometry(spark.createDataFrame([(0, 0), (0, 1), (1, 0)], "il int, xl int"))
@@ -213,7 +218,7 @@ def test_well_tie(spark):
     synthetic = np.convolve(r.normal(size=90), np.hanning(9), "same")
     trace = np.roll(synthetic, 3)
     times = np.arange(90) * 4.0
-    assert well_tie.shift_and_stretch(times, synthetic, trace, 5, 4.0)[0] == 3
+    assert well_tie.shift_and_stretch(times, synthetic[None], trace[None], 5, 4.0)[0][0] == 3
     df = spark.createDataFrame([(1, synthetic.tolist(), trace.tolist())], "w int, synthetic array<double>, trace array<double>")
     assert well_tie.best_shift(df, ["w"], "synthetic", "trace", 5).first()["lag"] == 3
     kernel = np.zeros(17)
@@ -223,3 +228,114 @@ def test_well_tie(spark):
     mid = len(w) // 2
     assert np.allclose(w[mid - 2 : mid + 3], [0.2, 0.6, 1.0, 0.5, 0.1], atol=0.05)
     assert well_tie.wavelet(spikes[:10], spikes[:10], 4.0, 100.0) is None
+
+
+def walked(cells, sources, bases):
+    """Shortest paths by a queue over the whole grid."""
+    si, sx, plus, minus = time_depth.step_costs(bases)
+    moves = [(1, 0, si), (-1, 0, si), (0, 1, sx), (0, -1, sx), (1, 1, plus), (-1, -1, plus), (1, -1, minus), (-1, 1, minus)]
+    best, queue = {}, []
+    for s, i, x in sources:
+        best[i, x] = (0, s)
+        heapq.heappush(queue, (0, i, x, s))
+    while queue:
+        d, i, x, s = heapq.heappop(queue)
+        if best[i, x] == (d, s):
+            for a, b, c in moves:
+                to = (i + a, x + b)
+                if 0 <= to[0] < cells[0] and 0 <= to[1] < cells[1] and d + c < best.get(to, (1 << 62, 0))[0]:
+                    best[to] = (d + c, s)
+                    heapq.heappush(queue, (d + c, *to, s))
+    return best
+
+
+@pytest.mark.parametrize("bases", [((25.0, 0.0), (0.0, 12.5)), ((10.0, 0.0), (0.0, 10.0)), ((25.0, 5.0), (-5.0, 25.0)), ((20.0, 3.0), (7.0, 9.0))])
+def test_nearest_sources_against_a_walk(bases):
+    r = np.random.default_rng(7)
+    for _ in range(40):
+        cells = tuple(int(v) for v in r.integers(1, 14, 2))
+        sources = sorted((int(s), int(r.integers(cells[0])), int(r.integers(cells[1]))) for s in r.permutation(int(r.integers(1, 7))))
+        i, x = (m.ravel() for m in np.meshgrid(np.arange(cells[0]), np.arange(cells[1]), indexing="ij"))
+        s, d = time_depth.nearest_sources(i, x, cells, np.array(sources), bases)
+        assert {(a, b): (int(dd), int(ss)) for a, b, dd, ss in zip(i.tolist(), x.tolist(), d, s, strict=True)} == walked(cells, sources, bases)
+
+
+def test_interval_stacks(spark):
+    samples = spark.createDataFrame([(k, float(t)) for k in range(5) for t in (0, 5, 10, 15, 20)], "k int, t double")
+    stacks = {0: [(1, 0.0, 10.0), (2, 10.0, 20.0)], 1: [(1, 0.0, 12.0), (2, 10.0, 20.0)], 2: [(1, 0.0, 9.0), (2, 10.0, 20.0)], 3: [(2, 0.0, 10.0), (1, 10.0, 20.0)]}
+    intervals = spark.createDataFrame([(k, n, a, b, 1000.0 * n) for k, v in stacks.items() for n, a, b in v], "k int, number int, top double, base double, velocity double")
+    got = {(r["k"], r["t"]): (r["velocity"], r["valid"]) for r in time_depth.merge_intervals(samples.union(samples), intervals, ["k"]).collect()}
+    assert len(got) == 25
+    assert [got[0, t] for t in (0, 5, 10, 15, 20)] == [(1000.0, True), (1000.0, True), (2000.0, True), (2000.0, True), (2000.0, True)]
+    assert not got[1, 0][1]  # 10 lies in both
+    assert got[2, 0] == (1000.0, True)  # no sample stands in the gap
+    assert not got[3, 20][1] and not got[4, 0][1]  # only the last number's end is closed; no intervals at all
+    bad = spark.createDataFrame([(0, 1, 5.0, 5.0, 1.0), (0, 2, 0.0, 20.0, 2.0)], "k int, number int, top double, base double, velocity double")
+    assert not any(r["valid"] for r in time_depth.merge_intervals(samples.where("k = 0"), bad, ["k"]).collect())
+
+
+def test_gates_keep_bad_samples_to_themselves(spark):
+    x = np.random.default_rng(1).normal(size=(3, 3, 40))
+    rows = [(i, j, x[i, j].tolist()) for i in range(3) for j in range(3)]
+    around = neighborhood.Around(1, 1, 24.0)
+
+    def run(rows_, work):
+        df = spark.createDataFrame(rows_, "il int, xl int, amplitude array<double>")
+        return {(r["il"], r["xl"]): r for r in work(df, 4.0, around).collect()}
+
+    for work, name in ((neighborhood.similarity, "amplitude"), (neighborhood.local_statistics, "mean")):
+        clean = run(rows, work)
+        x[1, 1, 5] = np.nan
+        spoilt = run([(i, j, x[i, j].tolist()) for i in range(3) for j in range(3)], work)
+        x[1, 1, 5] = 1e15
+        large = run([(i, j, x[i, j].tolist()) for i in range(3) for j in range(3)], work)
+        for k in clean:
+            for t in (0, *range(12, 40)):
+                assert spoilt[k][name][t] == pytest.approx(clean[k][name][t], abs=1e-12) == large[k][name][t]
+        x[1, 1, 5] = rows[4][2][5]
+
+
+@pytest.mark.parametrize("refine", ["refine_linear", "refine_cubic"])
+def test_refinement_of_a_grid_with_gaps(spark, refine):
+    r = np.random.default_rng(2)
+    n, m = 37, 35  # more than a tile
+    traces_ = {(i, j): r.normal(size=3) for i in range(n) for j in range(m) if r.random() > 0.1 or (i, j) in ((0, 0), (n - 1, m - 1))}
+    df = spark.createDataFrame([(i, j, v.tolist()) for (i, j), v in traces_.items()] + [(1, 1, None)], "il int, xl int, amplitude array<double>")
+    got = {(t["il"], t["xl"]): t["amplitude"] for t in getattr(grid, refine)(df).collect()}
+
+    def weights(k, last, cubic):
+        b = k // 2
+        if k % 2 == 0:
+            return {b: 1.0}
+        return {b - 1: -0.0625, b: 0.5625, b + 1: 0.5625, b + 2: -0.0625} if cubic else {b: 0.5, b + 1: 0.5}
+
+    want = {}
+    for i in range(2 * n - 1):
+        for j in range(2 * m - 1):
+            edge = (i % 2 and (i // 2 == 0 or i // 2 + 1 >= n - 1)) or (j % 2 and (j // 2 == 0 or j // 2 + 1 >= m - 1))
+            cubic = refine == "refine_cubic" and not edge
+            parts = [(a * b, traces_[p, q]) for p, a in weights(i, n - 1, cubic).items() for q, b in weights(j, m - 1, cubic).items() if (p, q) in traces_]
+            if parts:
+                want[i, j] = sum(w * v for w, v in parts)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_horizon_needs_most_of_its_points_mapped(spark):
+    points = spark.range(100).selectExpr("cast(id % 10 as double) as x", "cast(floor(id / 10) as double) as y", "cast(id as double) as z", "id")
+    unit = ((0.0, 0.0), (1.0, 0.0), (0.0, 1.0))
+    assert grid.import_horizon(points, "id", *unit, 10, 10).count() == 100
+    with pytest.raises(Exception, match="too few cells"):
+        grid.import_horizon(points, "id", *unit, 10, 8).collect()
+    assert grid.import_horizon(points, "id", *unit, 10, 8, check=False).count() == 80
+
+
+def test_depth_windows_are_checked(spark):
+    logs_ = spark.createDataFrame([(1, 0, 10.0), (1, 1, 11.0), (1, 2, 12.0), (2, 0, 30.0), (2, 1, 11.5), (2, 2, 9.0)], "w int, n int, d double")
+    assert frames.depth_window(logs_, "d", 11.0, 12.0, ["w"], ["n"]).count() == 3
+    for d in (float("nan"), None, 100.0):
+        turned = logs_.union(spark.createDataFrame([(1, 3, d), (1, 4, 11.2)], "w int, n int, d double"))
+        with pytest.raises(Exception, match="finite and run one way"):
+            frames.depth_window(turned, "d", 11.0, 12.0, ["w"], ["n"]).collect()
+    with pytest.raises(ValueError):
+        frames.depth_window(logs_, "d", 11.0, float("nan"))
+    assert [r["d"] for r in frames.trim_ends(logs_, ["w"], "d", 0.25).collect()] == [11.0]

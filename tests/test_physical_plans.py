@@ -56,3 +56,20 @@ def test_tiles_prune_folders(spark, tmp_path):
     write_volume(df, str(tmp_path / "v"), tile=4)
     text = plan(read_volume(spark, str(tmp_path / "v"), il=(0, 3), tile=4))
     assert re.search(r"PartitionFilters: \[[^\]]*tile_i", text)
+
+
+def test_traces_are_added_up_before_they_move(spark):
+    """What is shuffled are sums per task; no row per trace and sample."""
+    for name in ("g05_velocity_scan", "a12_collapse_profiles"):
+        text = query(spark, name)
+        assert text.count("MapInArrow") == 1 and text.index("Generate") < text.index("MapInArrow") and "Exchange" not in text[text.index("MapInArrow") :]
+    for name in ("g01_nmo", "g02_stretch_mute", "k02_resample_trace"):
+        assert "Exchange" not in query(spark, name) and query(spark, name).count("MapInArrow") == 1
+    assert "Generate" not in query(spark, "a14_volume_error")
+    for name in ("u01_refine_linear", "u02_refine_cubic"):
+        assert query(spark, name).count("FlatMapGroupsInPandas") == 1
+
+
+def test_no_window_without_keys(spark):
+    for name in ("o02_natural_order", "d09_merge_intervals", "w14_interpolate"):
+        assert "SinglePartition" not in query(spark, name)

@@ -49,6 +49,6 @@ def test_post_critical_reflectivity_at_every_interface(spark, duck):
 
 
 def test_nearest_source_covers_the_lines_of_the_whole_table(spark, tmp_path):
-    spark.range(180).withColumnRenamed("id", "vec_id").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.range(180).selectExpr("id AS vec_id", "id div 61 AS label").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = workload.QUERIES["j10_nearest_source"](spark, str(tmp_path)).toPandas()
-    assert len(got) == 8 * 25 and got.i.max() == 7  # the last source, 122, is on line 4
+    assert len(got) == 8 * 25 and got.i.max() == 7  # the last label's first vector, 122, is on line 4
