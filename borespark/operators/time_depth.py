@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from borespark.operators.traces import as_doubles, map_traces, sum_traces
 
@@ -128,6 +129,31 @@ def depth_trend(times: Sequence[float], top: float, base: float, v0: float, grad
     return out
 
 
+def depth_trend_traces(df: DataFrame, times: Sequence[float], two_way: bool = True, out: str = "velocity") -> DataFrame:
+    """df (top, base, v0, gradient per trace) with the velocities of ``depth_trend`` at the times, in one Arrow pass.
+
+    All traces of a batch take each step of the recursion together.  A trace without one of the four gets NULL.
+    """
+    axis, factor = np.asarray(times, float), (0.5 if two_way else 1.0) / 1000.0
+    schema = T.StructType([f for f in df.schema if f.name != out]).add(out, T.ArrayType(T.DoubleType()))
+
+    def work(it):
+        for pdf in it:
+            top, base, v0, gradient = (pdf[c].to_numpy(float) for c in ("top", "base", "v0", "gradient"))
+            v, depth, last = v0.copy(), np.zeros(len(pdf)), top.copy()
+            values = np.empty((len(pdf), len(axis)))
+            for k, t in enumerate(axis):
+                now = np.minimum(t, base)
+                moves = (t > top) & (now > last)
+                depth = np.where(moves, depth + (now - last) * factor * v, depth)
+                v, last = np.where(moves, v0 + gradient * depth, v), np.where(moves, now, last)
+                values[:, k] = np.where(t > top, v, v0)
+            known = np.isfinite(top + base + v0 + gradient)
+            yield pdf.assign(**{out: [row if ok else None for row, ok in zip(values, known, strict=True)]})[[f.name for f in schema]]
+
+    return df.mapInPandas(work, schema)
+
+
 def profile(x: Column, knots: Column, values: Column, how: str = "linear") -> Column:
     """Values of a profile between its knots: 'linear', or 'step' (the last knot at or above); ends are held."""
     if how == "linear":

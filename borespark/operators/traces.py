@@ -82,8 +82,21 @@ def section_tile(df: DataFrame, axis: str, index: int, across: str, traces: tupl
     return rows.withColumn("amplitude", thin(crop_samples(F.col("amplitude"), samples[0], samples[1] - samples[0]), level))
 
 
-def subvolume(df: DataFrame, il: tuple[int, int], xl: tuple[int, int], samples: tuple[int, int]) -> DataFrame:
-    """Inclusive ranges of both lines and of samples."""
+def subvolume(df: DataFrame, il: tuple[int, int], xl: tuple[int, int], samples: tuple[int, int], check: bool = True) -> DataFrame:
+    """Inclusive ranges of both lines and of samples.
+
+    With ``check`` the ends must be lines, crosslines and samples that the volume has, and the window must not be the
+    whole volume: one aggregate over the headers, whose violation fails the query.
+    """
+    if any(a > b for a, b in (il, xl, samples)) or samples[0] < 0:
+        raise ValueError("a window's ends are in order")
+    if check:
+        found = [F.max((F.col(axis) == end).cast("int")).alias(f"__{axis}{k}") for axis, ends in (("il", il), ("xl", xl)) for k, end in enumerate(ends)]
+        a = df.agg(*found, F.max(F.size("amplitude")).alias("__n"), *[f(axis).alias(f"__{name}_{axis}") for name, f in (("low", F.min), ("high", F.max)) for axis in ("il", "xl")])
+        there = (F.col("__il0") + F.col("__il1") + F.col("__xl0") + F.col("__xl1") == 4) & (F.col("__n") > samples[1])
+        whole = (F.col("__low_il") == il[0]) & (F.col("__high_il") == il[1]) & (F.col("__low_xl") == xl[0]) & (F.col("__high_xl") == xl[1]) & F.lit(samples[0] == 0) & (F.col("__n") == samples[1] + 1)
+        sound = F.when(there & ~whole, True).otherwise(F.raise_error(F.lit("the window's ends are on the axes and it is a strict part of the volume")).cast("boolean"))
+        df = df.crossJoin(F.broadcast(a.select(sound.alias("__sound")))).where("__sound").drop("__sound")  # one row
     rows = df.where(F.col("il").between(*il) & F.col("xl").between(*xl))
     return rows.withColumn("amplitude", crop_samples(F.col("amplitude"), samples[0], samples[1] - samples[0] + 1))
 

@@ -32,10 +32,37 @@ class Family(StrEnum):
     GATHERS = "gathers"
 
 
+class Subject(StrEnum):
+    """What an operator works on."""
+
+    LOG = "log"
+    TRAJECTORY = "trajectory"
+    TOP_SET = "top_set"
+    WELL_MARKER_SET = "well_marker_set"
+    PRESSURE_OBSERVATION = "pressure_observation"
+    DRILLING_OBSERVATION = "drilling_observation"
+    SEISMIC_TRACE_DATA = "seismic_trace_data"
+
+
+class Lifecycle(StrEnum):
+    """What becomes of an operator's output."""
+
+    DERIVED_ASSET = "derived_asset"
+    ANALYSIS_ONLY = "analysis_only"
+    VIEW_ONLY = "view_only"
+
+
 class Stability(StrEnum):
-    STABLE = "stable"
+    INTERNAL = "internal"
     PREVIEW = "preview"
-    DEPRECATED = "deprecated"
+    STABLE = "stable"
+
+
+#: Subjects of the families.
+SUBJECTS = {
+    Family.LOG: Subject.LOG, Family.TRAJECTORY: Subject.TRAJECTORY, Family.TOPS: Subject.TOP_SET, Family.PRESSURE: Subject.PRESSURE_OBSERVATION, Family.DRILLING: Subject.DRILLING_OBSERVATION,
+    Family.TRACES: Subject.SEISMIC_TRACE_DATA, Family.GATHERS: Subject.SEISMIC_TRACE_DATA,
+}
 
 
 @dataclass(frozen=True)
@@ -85,6 +112,11 @@ class Operator:
     version: str = "1"
     deterministic: bool = True
     stability: Stability = Stability.STABLE
+    lifecycle: Lifecycle = Lifecycle.DERIVED_ASSET
+
+    @property
+    def subject(self) -> Subject:
+        return SUBJECTS[self.family]
 
     def settle(self, given: Mapping | None) -> dict:
         """All parameters with defaults, checked; unknown names are errors."""
@@ -217,7 +249,9 @@ def built_in() -> Registry:
 def load_package(registry: Registry, path: str, functions: Mapping[str, Callable]) -> list[str]:
     """Registers the operators of a JSON manifest {name, version, operators: [{id, family, parameters}]}.
 
-    The manifest's digest is returned as a lock line with each id; functions come by id from the caller.
+    The manifest's digest is returned as a lock line with each id; functions come by id from the caller.  Log operators
+    are functions of a column; operators of the other families take and return an asset's table, and name
+    the ``keys`` of an asset and the ``schema`` of their result.
     """
     text = Path(path).read_text()
     manifest = json.loads(text)
@@ -225,14 +259,52 @@ def load_package(registry: Registry, path: str, functions: Mapping[str, Callable
     for item in manifest["operators"]:
         if item["id"] not in functions:
             raise ValueError(f"no function for {item['id']}")
-        parameters = tuple(Parameter(**p) for p in item.get("parameters", ()))
-        if item["family"] != Family.LOG:
-            raise ValueError("packages hold log operators")
-        registry.user_log_operator(item["id"], functions[item["id"]], parameters)
+        parameters, family = tuple(Parameter(**p) for p in item.get("parameters", ())), Family(item["family"])
+        if family == Family.LOG:
+            registry.user_log_operator(item["id"], functions[item["id"]], parameters)
+        elif parameters or not item.get("keys") or not item.get("schema"):
+            raise ValueError(f"{item['id']}: table operators name keys and schema, and have no parameters")
+        else:
+            registry.user_table_operator(item["id"], family, functions[item["id"]], item["schema"], item["keys"])
         out.append(f"{item['id']}@{manifest['version']}:{digest}")
     return out
 
 
+@dataclass(frozen=True)
+class Capability:
+    """Something the engine can do, or why it can't here."""
+
+    id: str
+    kind: str
+    available: bool = True
+    reason: str | None = None
+
+
+@dataclass
+class Capabilities:
+    """Capabilities by id; a later record replaces an earlier one of the same id."""
+
+    records: dict[str, Capability] = field(default_factory=dict)
+
+    def add(self, *records: Capability) -> None:
+        self.records |= {r.id: r for r in records}
+
+    def of_kind(self, kind: str) -> list[Capability]:
+        return [r for r in self.records.values() if r.kind == kind]
+
+    def available(self) -> list[Capability]:
+        return [r for r in self.records.values() if r.available]
+
+
+def capabilities(registry: Registry) -> Capabilities:
+    """Operators of the registry, formats and systems, with what is missing for those that can't be used."""
+    out = Capabilities()
+    out.add(*[Capability(o.id, "operator") for o in registry.operators.values()])
+    out.add(*[Capability(f, "format") for f in ("las", "segy", "zarr", "csv", "horizon_text", "velocity_text")])
+    out.add(*[Capability(f, "format", False, "needs a library that isn't there") for f in ("vds", "hdf5")], Capability("transverse_mercator", "projection"))
+    return out
+
+
 @dataclass
 class ResultCache:
     """Plan digest -> Parquet path: exact results, and the longest prefix of a pipeline that is stored."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,69 @@ def read_tops_text(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("issue", F.when(F.col("name").isNull(), "name is missing").when(F.col("top_depth").isNull(), "top is missing"))
 
 
+def read_deviation_text(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row, md, inclination, azimuth, tvd, x, y) of tab-separated surveys; rows follow a line that begins with ``Depth(m)``.
+
+    Cells may be missing.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("l"))
+    start = F.array_position(F.transform("l", lambda x: F.trim(x).startswith("Depth(m)").cast("string")), "true").cast("int")
+    rows = lines.select("file", F.posexplode(F.when(start > 0, F.slice("l", start + 1, F.size("l")))).alias("row", "x"))
+    cells = F.transform(F.split("x", "\t"), lambda c: F.trim(c).try_cast("double"))
+    names = ("md", "inclination", "azimuth", "tvd", "x", "y")
+    return rows.where(F.trim("x") != "").withColumn("c", cells).select("file", "row", *[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+
+def usable_surveys(rows: DataFrame) -> DataFrame:
+    """(file, usable, issue): a survey needs two values each of depth, inclination and azimuth, or of depth, tvd, x and y."""
+    n = {c: F.count(c) for c in ("md", "inclination", "azimuth", "tvd", "x", "y")}
+    usable = (F.least(n["md"], n["inclination"], n["azimuth"]) >= 2) | (F.least(n["md"], n["tvd"], n["x"], n["y"]) >= 2)
+    return rows.groupBy("file").agg(usable.alias("usable")).withColumn("issue", F.when(~F.col("usable"), "survey columns are too incomplete"))
+
+
+def commit_folder(spark: SparkSession, path: str, out: str) -> DataFrame:
+    """Imports a well folder: a table of Parquet per kind under ``out``; (kind, table, rows, issue) tells what became of it.
+
+    Logs, tops and surveys as text, the families' CSV files, checkshots and horizons are read and written; traces are
+    left to ``segy.ingest_volume``, other kinds are named as left out.  Files of one kind form one table with
+    the column ``file``; a kind that can't be read is named with its error and doesn't stop the others.
+    """
+    from borespark.sources import logs, tables
+
+    found: dict[str, list[str]] = {}
+    for r in scan_folder(spark, path).select("kind", "path").toLocalIterator():  # a row per file of one well's folder
+        text = r["kind"] in ("tops", "trajectory") and r["path"].lower().endswith(".txt")
+        found.setdefault(r["kind"] + "_text" * text, []).append(r["path"])
+
+    def table_of(kind: str, files: list[str]) -> DataFrame:
+        if kind == "log":
+            return logs.read_logs(spark, files)
+        if kind == "tops_text":
+            return read_tops_text(spark, files)
+        if kind == "trajectory_text":
+            rows = read_deviation_text(spark, files)
+            return rows.join(usable_surveys(rows).where("usable").select("file"), "file")
+        if kind in FAMILIES:
+            parts = [tables.read_family(spark, f, kind).withColumn("file", F.lit(f)) for f in files]
+            whole = parts[0]
+            for part in parts[1:]:
+                whole = whole.unionByName(part)
+            return whole
+        return {"checkshot": tables.read_checkshots, "horizon": tables.read_horizon}[kind](spark, files)
+
+    said = []
+    for kind, files in sorted(found.items()):
+        if kind not in ("log", "checkshot", "horizon", "tops_text", "trajectory_text", *FAMILIES):
+            said.append((kind, None, len(files), "left out"))
+            continue
+        try:
+            table_of(kind, files).write.mode("overwrite").parquet(f"{out}/{kind}")
+            said.append((kind, f"{out}/{kind}", spark.read.parquet(f"{out}/{kind}").count(), None))
+        except (PySparkException, ValueError, KeyError) as error:
+            said.append((kind, None, len(files), str(error).splitlines()[0][:300]))
+    return spark.createDataFrame(said, "kind string, table string, rows long, issue string")
+
+
 def import_plan(files: DataFrame) -> DataFrame:
     """(kind, files, bytes, family) of a scanned folder: what an import would read and what it leaves out."""
     known = F.array(*[F.lit(f) for f in FAMILIES])

@@ -76,9 +76,42 @@ def read_time_depth(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("depth is not null and time_ms is not null").groupBy("depth").agg(F.min("time_ms").alias("time_ms")).orderBy("depth")
 
 
-def read_velocity_functions(spark: SparkSession, path: str) -> DataFrame:
-    """(x, y, times, velocities) of rows x, y, time, velocity: one row per profile, by time."""
-    cells = F.split(F.trim("value"), r"[\s,;]+")
-    rows = spark.read.text(path).select(*[F.get(cells, F.lit(i)).try_cast("double").alias(c) for i, c in enumerate(("x", "y", "t", "v"))]).where("x is not null and y is not null and t is not null and v is not null")
-    pairs = rows.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("p"))
+#: Columns of the rows of velocity text by their number (fixed values).
+VELOCITY_ROWS = {4: ("x", "y", "t", "v"), 7: ("x", "y", "t", "rms", "interval", "average", "depth")}
+#: Beginnings of lines that hold no row (fixed values).
+VELOCITY_NOTES = ("#", "This data contains", "CDP-X", "12345678901234567890", "0        1         2")
+
+
+def read_velocity_rows(spark: SparkSession, path: str, kind: str = "interval") -> DataFrame:
+    """(line, x, y, t, rms, interval, average, depth) of velocity text by blanks or commas.
+
+    Rows of four numbers are x, y, time and a velocity of ``kind``; rows of seven or more x, y, time, RMS, interval and
+    average velocity and depth.  Comments, headings and lines without three numbers are skipped; other rows, of three or
+    of five and six numbers, or with text among the numbers, are errors, as are velocities that aren't positive and
+    negative times.
+    """
+    if kind not in ("rms", "interval", "average"):
+        raise ValueError("velocities are rms, interval or average")
+    text = F.trim("value")
+    note = text == ""
+    for start in VELOCITY_NOTES:
+        note = note | text.startswith(start)
+    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).where(~note)
+    cells = F.filter(F.split(text, r"[\s,]+"), lambda c: c != "")
+    numbers = F.filter(F.transform("c", lambda c: c.try_cast("double")), lambda v: v.isNotNull())
+    rows = lines.select("line", "value", cells.alias("c")).withColumn("n", numbers).where(F.size("n") >= 3)
+    wrong = (F.size("n") != F.size("c")) | ~((F.size("n") == 4) | (F.size("n") >= 7))
+    at = lambda i: F.get("n", F.lit(i))
+    full = F.size("n") >= 7
+    speeds = {k: F.when(full, at(i)).otherwise(at(3) if k == kind else F.lit(None)) for i, k in ((3, "rms"), (4, "interval"), (5, "average"))}
+    wrong = wrong | (at(2) < 0) | F.coalesce(F.least(at(3), F.when(full, at(4)), F.when(full, at(5))) <= 0, F.lit(False))
+    checked = F.when(wrong, F.raise_error(F.concat(F.lit("not a velocity row: "), "value"))).otherwise(F.lit(True)).cast("boolean")
+    rows = rows.where(checked)
+    return rows.select("line", at(0).alias("x"), at(1).alias("y"), at(2).alias("t"), *[v.alias(k) for k, v in speeds.items()], F.when(full, at(6)).alias("depth"))
+
+
+def read_velocity_functions(spark: SparkSession, path: str, kind: str = "interval") -> DataFrame:
+    """(x, y, times, velocities) of ``read_velocity_rows``: one row per profile, by time, with the velocities of a kind."""
+    rows = read_velocity_rows(spark, path, kind).where(F.col(kind).isNotNull())
+    pairs = rows.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("t", F.col(kind).alias("v")))).alias("p"))  # of one profile
     return pairs.select("x", "y", F.col("p.t").alias("times"), F.col("p.v").alias("velocities"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from borespark.functions import avo, petro
+from borespark.functions import avo, crs, petro, selectors
 from borespark.operators import frames, gathers, grid, neighborhood, time_depth, traces, well_tie
 
 
@@ -339,3 +339,43 @@ def test_depth_windows_are_checked(spark):
     with pytest.raises(ValueError):
         frames.depth_window(logs_, "d", 11.0, float("nan"))
     assert [r["d"] for r in frames.trim_ends(logs_, ["w"], "d", 0.25).collect()] == [11.0]
+
+
+def test_selectors(spark):
+    df = spark.createDataFrame([("d t",), ("Density",), (None,)], "s string")
+    bound = df.where("s = 'd t' or s is null").select(selectors.channel_binding("s", "vp").alias("value"))
+    assert values(bound) == ["CompressionalSlowness", None]
+    with pytest.raises(PySparkException, match="nothing for vp"):
+        df.select(selectors.channel_binding("s", "vp")).collect()
+    with pytest.raises(PySparkException, match="empty selector"):
+        spark.createDataFrame([(" _ ",)], "s string").select(selectors.log_type("s")).collect()
+
+
+def test_projection_of_a_known_point(spark):
+    """A tower at 43.642567 N, 79.387139 W."""
+    rows = spark.createDataFrame([(-79.387139, 43.642567)], "x double, y double")
+    p = crs.reproject(rows, 4326, 32617).first()
+    assert (p["x"], p["y"]) == pytest.approx((630084.301, 4833438.586), abs=0.001)
+    south = crs.reproject(spark.createDataFrame([(18.4, -33.9)], "x double, y double"), 4326, 32734)
+    assert 6_200_000 < south.first()["y"] < 6_300_000
+    with pytest.raises(KeyError):
+        crs.resolve("EPSG:28992")
+    assert [r["code"] for r in crs.search(crs.catalogue(spark), "epsg:32631").collect()] == [32631]
+
+
+def test_subvolumes_are_strict_parts(spark):
+    df = spark.createDataFrame([(i, x, [1.0, 2.0, 3.0]) for i in (10, 12) for x in (5, 6)], "il int, xl int, amplitude array<double>")
+    assert traces.subvolume(df, (10, 12), (5, 5), (0, 2)).count() == 2
+    for il, xl, t in (((10, 12), (5, 6), (0, 2)), ((10, 11), (5, 6), (0, 1)), ((10, 12), (5, 6), (0, 3))):
+        with pytest.raises(PySparkException, match="strict part"):
+            traces.subvolume(df, il, xl, t).collect()
+    with pytest.raises(ValueError):
+        traces.subvolume(df, (12, 10), (5, 6), (0, 1))
+
+
+def test_depth_trends_of_traces(spark):
+    df = spark.createDataFrame([(1, 0.0, 20.0, 2000.0, 1.0), (2, 5.0, 12.0, 1500.0, 0.5), (3, None, 1.0, 1.0, 1.0)], "id int, top double, base double, v0 double, gradient double")
+    got = {r["id"]: r["velocity"] for r in time_depth.depth_trend_traces(df, [0.0, 10.0, 20.0, 30.0]).collect()}
+    assert got[3] is None
+    for id_, args in ((1, (0.0, 20.0, 2000.0, 1.0)), (2, (5.0, 12.0, 1500.0, 0.5))):
+        assert got[id_] == pytest.approx(time_depth.depth_trend([0.0, 10.0, 20.0, 30.0], *args))

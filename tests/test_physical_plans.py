@@ -3,7 +3,7 @@
 import re
 
 from borespark.operators import frames
-from borespark.plans import workload, workload_frames, workload_more, workload_traces  # noqa: F401
+from borespark.plans import workload, workload_frames, workload_more, workload_sources, workload_traces  # noqa: F401
 from borespark.sources.segy import read_volume, write_volume
 
 DATA = "/root/testdata/sf0.001"

@@ -74,3 +74,64 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["validate-recipe", str(tmp_path / "r.json")]) == 1 and "version" in capsys.readouterr().out
     (tmp_path / "a.las").write_text("x")
     assert main(["scan", str(tmp_path)]) == 0 and '"log"' in capsys.readouterr().out
+
+
+SCRIPT = """
+import sys
+sys.path.insert(0, {root!r})
+from borespark.plans.external import Host
+host = Host()
+
+@host.operator("twice")
+def twice(request):
+    curve = request["payload"]["inputs"]["v"]
+    values = [None if v is None else v * request["parameters"]["factor"] for v in curve["values"]]
+    return {{"curve_name": "v2", "original_mnemonic": "V2", "unit": None, "description": None, "semantic_type": "Unknown", "values": values}}
+
+@host.operator("deeper")
+def deeper(request):
+    return [row | {{"top_depth": row["top_depth"] + 1}} for row in request["payload"]["rows"]]
+
+@host.operator("short")
+def short(request):
+    return {{"curve_name": "v"}}
+
+raise SystemExit(host.main())
+"""
+
+
+def test_external_operators(spark, tmp_path):
+    import sys
+    from pathlib import Path
+
+    from borespark.plans import external
+
+    script = tmp_path / "host.py"
+    script.write_text(SCRIPT.format(root=str(Path(__file__).resolve().parents[1])))
+    command = [sys.executable, str(script)]
+    df = spark.createDataFrame([(1, 2.0, 5.0), (1, 1.0, None), (2, 1.0, 3.0)], "w int, d double, v double")
+    got = external.run_log(df, command, "twice", ["w"], "d", {"v": "v"}, {"factor": 2.0}).collect()
+    assert sorted((r["w"], r["d"], r["value"]) for r in got if r["v"] is not None) == [(1, 2.0, 10.0), (2, 1.0, 6.0)]
+    assert [r["value"] for r in got if r["v"] is None] == [None]
+    tops = spark.createDataFrame([(1, "a", 10.0), (2, "b", 20.0)], "w int, name string, top_depth double")
+    rows = external.run_table(tops, command, "deeper", "top_set", ["w"]).collect()
+    assert sorted((r["w"], r["name"], r["top_depth"], r["base_depth"]) for r in rows) == [(1, "a", 11.0, None), (2, "b", 21.0, None)]
+    for operator, said in (("short", "a curve without"), ("unknown", "no operator unknown")):
+        with pytest.raises(Exception, match=said):
+            external.run_log(df, command, operator, ["w"], "d", {"v": "v"}).collect()
+
+
+def test_packages_of_tables_and_capabilities(tmp_path):
+    from borespark.plans import registry as reg
+
+    r = reg.built_in()
+    (tmp_path / "p.json").write_text(json.dumps({"name": "p", "version": "2", "operators": [{"id": "mine", "family": "tops", "keys": ["w"], "schema": "w int, n long"}]}))
+    lock = reg.load_package(r, str(tmp_path / "p.json"), {"mine": lambda pdf: pdf})
+    assert lock[0].startswith("mine@2:") and r.operators["mine"].subject == "top_set" and r.operators["mine"].lifecycle == "derived_asset"
+    (tmp_path / "q.json").write_text(json.dumps({"name": "q", "version": "2", "operators": [{"id": "other", "family": "tops"}]}))
+    with pytest.raises(ValueError, match="keys and schema"):
+        reg.load_package(r, str(tmp_path / "q.json"), {"other": lambda pdf: pdf})
+    c = reg.capabilities(r)
+    assert "mine" in c.records and not c.records["hdf5"].available and "hdf5" not in [x.id for x in c.available()]
+    c.add(reg.Capability("hdf5", "format"))
+    assert len([x for x in c.of_kind("format") if x.id == "hdf5"]) == 1 and c.records["hdf5"].available

@@ -1,6 +1,7 @@
 """Readers and writers, the registry, the cache, streams; all inputs are made here."""
 
 import json
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from borespark.plans.registry import Family, Parameter, ResultCache, built_in, load_package
 from borespark.operators.traces import Step, run_pipeline
-from borespark.sources import logs, segy, tables
+from borespark.sources import folder, logs, segy, tables, zarr
 from borespark.streaming.logs import derive, window_summary
 
 LOG = """~VERSION
@@ -198,3 +199,110 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from sums").first()[0] == source.count()
+
+
+def survey(n_il=6, n_xl=5, offsets=(0,), drop=()):
+    """Headers and traces of a small survey."""
+    r = np.random.default_rng(4)
+    heads = [{"inline": 10 + i, "crossline": 20 + x, "offset": o} for i in range(n_il) for x in range(n_xl) for o in offsets if (i, x) not in drop]
+    return [r.normal(size=12) for _ in heads], pd.DataFrame(heads)
+
+
+def test_ingest_checks_the_geometry(spark, tmp_path):
+    dense, gathers, sparse = (str(tmp_path / n) for n in ("dense.sgy", "gathers.sgy", "sparse.sgy"))
+    for path, options in ((dense, {}), (gathers, {"offsets": (100, 200)}), (sparse, {"drop": ((1, 1), (2, 3))})):
+        segy.write_segy(*survey(**options), path, 4000, code=5)
+    assert segy.ingest_volume(spark, dense, str(tmp_path / "v"))["kind"] == "regular_dense"
+    assert segy.read_volume(spark, str(tmp_path / "v")).where("occupied").count() == 30
+    with pytest.raises(ValueError, match="prestack"):
+        segy.ingest_volume(spark, gathers, str(tmp_path / "x"))
+    with pytest.raises(ValueError, match="no trace"):
+        segy.ingest_volume(spark, sparse, str(tmp_path / "x"), sparse="refuse")
+    assert segy.ingest_volume(spark, sparse, str(tmp_path / "s"))["missing"] == 2
+    s = segy.read_volume(spark, str(tmp_path / "s"))
+    assert s.count() == 30 and s.where("not occupied").count() == 2
+    with pytest.raises(ValueError, match="offset axis"):
+        segy.ingest_gathers(spark, dense, str(tmp_path / "x"))
+    segy.ingest_gathers(spark, gathers, str(tmp_path / "g"))
+    assert segy.read_gathers(spark, str(tmp_path / "g"), il=(11, 12)).count() == 20
+    with pytest.raises(ValueError, match="regular"):
+        segy.write_segy(*survey(offsets=(1, 2), drop=((0, 0),)), str(tmp_path / "h.sgy"), 4000, code=5)
+        segy.ingest_gathers(spark, str(tmp_path / "h.sgy"), str(tmp_path / "x"))
+    segy.ingest_velocity(spark, dense, str(tmp_path / "vel"), "time", "km/s", 0.0, 4.0)
+    v = spark.read.parquet(str(tmp_path / "vel/velocity")).join(segy.read_traces(spark, dense).withColumnsRenamed({"inline": "il", "crossline": "xl"}), ["il", "xl"])
+    assert v.where("abs(velocity[3] - 1000 * amplitude[3]) > 1e-9 or domain <> 'time'").count() == 0
+
+
+def test_export_keeps_headers(spark, tmp_path):
+    traces_, heads = survey()
+    path, copy_ = str(tmp_path / "a.sgy"), str(tmp_path / "b.sgy")
+    segy.write_segy(traces_, heads.assign(year=2001, source_x=-123456, cdp=7), path, 2000, code=1)
+    kept = segy.read_traces(spark, path, (), chunk=7, raw=True)
+    assert segy.export_traces(kept, copy_, segy.inspect(path)) == 30
+    assert (tmp_path / "a.sgy").read_bytes() == (tmp_path / "b.sgy").read_bytes()
+    moved = kept.withColumn("inline", (F.col("trace") + 500).cast("int"))
+    segy.export_traces(moved, copy_, segy.inspect(path), ["inline"])
+    rows = segy.read_stored(spark, copy_, ("inline", "year", "source_x", "cdp")).orderBy("trace").collect()
+    assert [r["inline"] for r in rows] == list(range(500, 530)) and {(r["year"], r["source_x"], r["cdp"]) for r in rows} == {(2001, -123456, 7)}
+    elsewhere = segy.read_traces(spark, path, {"year": (157, 2)}, samples=False)
+    assert {r["year"] for r in elsewhere.collect()} == {2001}
+    with pytest.raises(ValueError, match="the table"):
+        segy.export_traces(kept.where("trace > 0"), copy_, segy.inspect(path))
+
+
+def test_zarr_windows_and_chunks(spark, tmp_path):
+    r = np.random.default_rng(3)
+    cube = r.normal(size=(10, 7, 9))
+    rows = spark.createDataFrame([(i, x, cube[i, x].tolist() if (i, x) != (4, 4) else None) for i in range(10) for x in range(7)], "il int, xl int, amplitude array<double>")
+    path = str(tmp_path / "a.zarr")
+    zarr.write_volume(rows, path, (10, 7, 9), (4, 3), dtype="<f8")
+    got = {(t["il"], t["xl"]): t["amplitude"] for t in zarr.read_volume(spark, path, il=(3, 9), xl=(2, 5), samples=(1, 8)).collect()}
+    assert set(got) == {(i, x) for i in range(3, 9) for x in range(2, 5)}
+    assert all(np.allclose(v, cube[k][1:8]) for k, v in got.items() if k != (4, 4)) and got[4, 4] is None
+    assert zarr.estimate(zarr.read_meta(spark, path), il=(3, 9)) == {"traces": 42, "chunks": 9, "bytes": 42 * 9 * 8}
+    cut_ = tmp_path / "b.zarr"  # chunks that cut the sample axis, one missing
+    cut_.mkdir()
+    (cut_ / ".zarray").write_text(json.dumps({"zarr_format": 2, "shape": [2, 2, 5], "chunks": [1, 2, 3], "dtype": ">i2", "compressor": {"id": "zlib"}, "order": "C", "filters": None, "fill_value": 0}))
+    whole = np.arange(20).reshape(2, 2, 5)
+    for i in range(2):
+        for t in range(2):
+            if (i, t) != (1, 1):
+                part = np.zeros((1, 2, 3), ">i2")
+                own = whole[i : i + 1, :, 3 * t : 3 * t + 3]
+                part[:, :, : own.shape[2]] = own
+                (cut_ / f"{i}.0.{t}").write_bytes(zlib.compress(part.tobytes()))
+    got = {(t["il"], t["xl"]): t["amplitude"] for t in zarr.read_volume(spark, str(cut_)).collect()}
+    assert got[0, 1] == [5, 6, 7, 8, 9] and got[1, 0] == [10, 11, 12]
+    (cut_ / ".zarray").write_text(json.dumps({"zarr_format": 2, "shape": [2, 2, 5], "chunks": [1, 2, 3], "dtype": "<f4", "compressor": {"id": "blosc"}}))
+    with pytest.raises(ValueError, match="blosc"):
+        zarr.read_meta(spark, str(cut_))
+
+
+def test_velocity_rows(spark, tmp_path):
+    def rows(text, kind="interval"):
+        (tmp_path / "v.txt").write_text(text)
+        return [tuple(r) for r in tables.read_velocity_rows(spark, str(tmp_path / "v.txt"), kind).drop("line").collect()]
+
+    assert rows("# note\nCDP-X CDP-Y TIME\nheading only\n1, 2, 100, 1500\n1 2 200 1600 1700 1650 180\n", "rms") == [(1, 2, 100, 1500, None, None, None), (1, 2, 200, 1600, 1700, 1650, 180)]
+    for bad in ("1 2 100\n", "1 2 100 1500 x\n", "1 2 -1 1500\n", "1 2 100 0\n", "1 2 3 4 5\n"):
+        with pytest.raises(Exception, match="not a velocity row"):
+            rows(bad)
+    with pytest.raises(ValueError):
+        tables.read_velocity_rows(spark, "x", "other")
+
+
+def test_folder_import(spark, tmp_path):
+    well = tmp_path / "well"
+    well.mkdir()
+    (well / "a.las").write_text(LOG)
+    (well / "deviation.txt").write_text("Well: X\nDepth(m)\tInc\tAzi\n0\t0\t10\n100\t5\t\n200\t\t30\n300\t1\t2\n")
+    (well / "survey2.txt").write_text("Depth(m)\tInc\n0\t0\n")
+    (well / "pressure.csv").write_text("md,pressure\n1,2\n")
+    (well / "drilling.csv").write_text("md,nothing\n1,2\n")
+    (well / "notes.pdf").write_text("x")
+    said = {r["kind"]: r for r in folder.commit_folder(spark, str(well), str(tmp_path / "out")).collect()}
+    assert said["log"]["rows"] == 12 and said["pressure"]["rows"] == 1 and said["other"]["issue"] == "left out"
+    assert said["trajectory_text"]["rows"] == 4 and "event_kind" in said["drilling"]["issue"] and said["drilling"]["table"] is None
+    surveys = {r["file"].split("/")[-1]: r["usable"] for r in folder.usable_surveys(folder.read_deviation_text(spark, str(well / "*.txt"))).collect()}
+    assert surveys == {"deviation.txt": True, "survey2.txt": False}
+    assert spark.read.parquet(str(tmp_path / "out/trajectory_text")).where("md = 100 and azimuth is null").count() == 1

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from borespark.plans import workload, workload_frames, workload_more, workload_traces  # noqa: F401
+from borespark.plans import workload, workload_frames, workload_more, workload_sources, workload_traces  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
