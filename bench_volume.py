@@ -15,9 +15,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from borespark.operators import neighborhood
+from borespark.operators import neighborhood, time_depth
 from borespark.operators.traces import Step, run_pipeline
 from borespark.session import get_session
+from borespark.sources import segy
 from borespark.sources.segy import read_volume, write_volume
 
 INTERVAL = 4.0
@@ -36,32 +37,52 @@ def synthetic(spark, il: int, xl: int, n: int):
     return grid.mapInPandas(make, "il long, xl long, amplitude array<float>")
 
 
-def main() -> None:
-    il, xl, n = (int(v) for v in os.environ.get("BENCH_VOLUME", "160x240x462").split("x"))
-    cpus, path = os.environ.get("BENCH_CPUS", "8"), os.environ.get("BENCH_DIR", "/tmp/bench_volume") + f"/{il}x{xl}x{n}"
-    spark = get_session(f"local[{cpus}]", "bench-volume", **{"spark.driver.memory": "8g", "spark.sql.shuffle.partitions": "32", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "512"})
-    spark.sparkContext.setLogLevel("ERROR")
+def measure(spark, il: int, xl: int, n: int, folder: str) -> dict[str, dict[str, float]]:
+    """Seconds and million samples a second of every operator over a volume that is made below the folder."""
+    path, trace_file = f"{folder}/{il}x{xl}x{n}", f"{folder}/{il}x{xl}x{n}.sgy"
     if not os.path.exists(path + "/_SUCCESS"):
         write_volume(synthetic(spark, il, xl, n), path)
     volume = read_volume(spark, path)
     around = neighborhood.Around
+    depths = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: k * (INTERVAL * 1.2 + F.col("xl") % 7 * 0.01))
+
+    def noop(df) -> None:
+        df.write.format("noop").mode("overwrite").save()
+
+    def export() -> None:
+        rows = volume.select((F.col("il") * xl + F.col("xl")).alias("trace"), F.col("il").alias("inline"), F.col("xl").alias("crossline"), "amplitude")
+        segy.export_traces(rows, trace_file, segy.make_layout(il * xl, n, int(INTERVAL * 1000)), ["inline", "crossline"])
+
     runs = {
-        "agc": lambda: run_pipeline(volume, [Step("agc", {"window_ms": 500.0})], INTERVAL),
-        "analytic_5_steps": lambda: run_pipeline(volume, [Step("rms_normalise"), Step("bandpass", {"f1": 5.0, "f2": 10.0, "f3": 60.0, "f4": 80.0}), Step("phase_rotation", {"degrees": 30.0}), Step("agc", {"window_ms": 500.0}), Step("envelope")], INTERVAL),
-        "similarity_24ms_1x1": lambda: neighborhood.similarity(volume, INTERVAL, around(1, 1, 24.0)),
-        "similarity_48ms_2x2": lambda: neighborhood.similarity(volume, INTERVAL, around(2, 2, 48.0)),
-        "similarity_96ms_4x4": lambda: neighborhood.similarity(volume, INTERVAL, around(4, 4, 96.0)),
-        "local_statistics_24ms_1x1": lambda: neighborhood.local_statistics(volume, INTERVAL, around(1, 1, 24.0)),
-        "dip_24ms_1x1": lambda: neighborhood.dip(volume, INTERVAL, around(1, 1, 24.0)),
+        "agc": lambda: noop(run_pipeline(volume, [Step("agc", {"window_ms": 500.0})], INTERVAL)),
+        "analytic_5_steps": lambda: noop(run_pipeline(volume, [Step("rms_normalise"), Step("bandpass", {"f1": 5.0, "f2": 10.0, "f3": 60.0, "f4": 80.0}), Step("phase_rotation", {"degrees": 30.0}), Step("agc", {"window_ms": 500.0}), Step("envelope")], INTERVAL)),
+        "similarity_24ms_1x1": lambda: noop(neighborhood.similarity(volume, INTERVAL, around(1, 1, 24.0))),
+        "similarity_48ms_2x2": lambda: noop(neighborhood.similarity(volume, INTERVAL, around(2, 2, 48.0))),
+        "similarity_96ms_4x4": lambda: noop(neighborhood.similarity(volume, INTERVAL, around(4, 4, 96.0))),
+        "local_statistics_24ms_1x1": lambda: noop(neighborhood.local_statistics(volume, INTERVAL, around(1, 1, 24.0))),
+        "dip_24ms_1x1": lambda: noop(neighborhood.dip(volume, INTERVAL, around(1, 1, 24.0))),
+        "section_read": lambda: noop(read_volume(spark, path, il=(il // 2, il // 2))),
+        "depth_conversion": lambda: noop(time_depth.to_depth(volume.withColumn("depths", depths), INTERVAL)),
+        "segy_export": export,
+        "segy_ingest": lambda: segy.ingest_volume(spark, trace_file, path + "-ingested"),
     }
     out = {}
     for name, run in runs.items():
         start = time.perf_counter()
-        run().write.format("noop").mode("overwrite").save()
+        run()
         took = time.perf_counter() - start
-        out[name] = {"sec": round(took, 2), "million_samples_per_sec": round(il * xl * n / took / 1e6, 2)}
+        size = (1 if name == "section_read" else il) * xl * n
+        out[name] = {"sec": round(took, 3), "million_samples_per_sec": round(size / took / 1e6, 2)}
         print(name, out[name], file=sys.stderr)
-    print(json.dumps({"volume": [il, xl, n], "cpus": int(cpus), "runs": out}))
+    return out
+
+
+def main() -> None:
+    il, xl, n = (int(v) for v in os.environ.get("BENCH_VOLUME", "160x240x462").split("x"))
+    cpus, folder = os.environ.get("BENCH_CPUS", "8"), os.environ.get("BENCH_DIR", "/tmp/bench_volume")
+    spark = get_session(f"local[{cpus}]", "bench-volume", **{"spark.driver.memory": "8g", "spark.sql.shuffle.partitions": "32", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "512"})
+    spark.sparkContext.setLogLevel("ERROR")
+    print(json.dumps({"volume": [il, xl, n], "cpus": int(cpus), "runs": measure(spark, il, xl, n, folder)}))
 
 
 if __name__ == "__main__":

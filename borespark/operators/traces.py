@@ -7,8 +7,10 @@ crosses to Python once however many steps there are.  A NULL amplitude is an uno
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -225,6 +227,21 @@ class Step:
             raise ValueError("filter corners rise from 0 to the Nyquist frequency at most")
 
 
+def save_presets(path: str, presets: Mapping[str, Sequence[Step]]) -> None:
+    """Named pipelines as a JSON file."""
+    Path(path).write_text(json.dumps({name: [{"name": s.name, "parameters": s.parameters} for s in steps] for name, steps in presets.items()}, indent=1, sort_keys=True))
+
+
+def load_presets(path: str, interval_ms: float) -> dict[str, list[Step]]:
+    """The pipelines of a file; steps that don't fit the sample interval are errors."""
+    out = {name: [Step(s["name"], s.get("parameters", {})) for s in steps] for name, steps in json.loads(Path(path).read_text()).items()}
+    for steps in out.values():
+        for step in steps:
+            step.kernel(interval_ms / 1000.0)
+            step.check(interval_ms / 1000.0)
+    return out
+
+
 def run_pipeline(df: DataFrame, steps: Sequence[Step], interval_ms: float, column: str = "amplitude") -> DataFrame:
     """df with the steps applied to its traces in the given order, fused into one Arrow pass."""
     if interval_ms <= 0:

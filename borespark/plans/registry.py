@@ -307,25 +307,56 @@ def capabilities(registry: Registry) -> Capabilities:
 
 @dataclass
 class ResultCache:
-    """Plan digest -> Parquet path: exact results, and the longest prefix of a pipeline that is stored."""
+    """Plan digest -> Parquet folder below ``root``: exact results, and the longest prefix of a pipeline that is stored.
+
+    The folder itself is the index, so another session finds what this one stored; a folder that isn't whole counts as none.
+    """
 
     spark: SparkSession
     root: str
-    paths: dict[str, str] = field(default_factory=dict)
 
     @staticmethod
     def digest(source: str, steps: Sequence) -> str:
         return hashlib.sha256(json.dumps([source, [[s.name, s.parameters] for s in steps]], sort_keys=True).encode()).hexdigest()
 
+    def _stored(self, key: str) -> str | None:
+        done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{key}/_SUCCESS")
+        there = done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+        return f"{self.root}/{key}" if there else None
+
     def put(self, source: str, steps: Sequence, df: DataFrame) -> DataFrame:
-        key = self.digest(source, steps)
-        path = f"{self.root}/{key}"
+        path = f"{self.root}/{self.digest(source, steps)}"
         df.write.mode("overwrite").parquet(path)
-        self.paths[key] = path
         return self.spark.read.parquet(path)
 
+    def exact(self, source: str, steps: Sequence) -> DataFrame | None:
+        path = self._stored(self.digest(source, steps))
+        return self.spark.read.parquet(path) if path else None
+
     def longest_prefix(self, source: str, steps: Sequence) -> tuple[int, DataFrame | None]:
         for n in range(len(steps), 0, -1):
-            if path := self.paths.get(self.digest(source, steps[:n])):
-                return n, self.spark.read.parquet(path)
+            if (found := self.exact(source, steps[:n])) is not None:
+                return n, found
         return 0, None
+
+
+def write_output(df: DataFrame, path: str, manifest: Manifest) -> None:
+    """A result as a package: Parquet below ``data``, a row per file with length and SHA-256 below ``blobs``, the lineage below ``manifest``."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}/data")
+    _blobs(spark, path).write.mode("overwrite").json(f"{path}/blobs")
+    spark.createDataFrame([(json.dumps(asdict(manifest), sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+
+
+def _blobs(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(f"{path}/data")
+    return files.select(F.regexp_extract("path", "/data/(.*)$", 1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+def open_output(spark: SparkSession, path: str) -> tuple[DataFrame, Manifest]:
+    """A package of ``write_output``; files that are missing, new or changed are an error."""
+    said = spark.read.schema("file string, length long, sha256 string").json(f"{path}/blobs")
+    changed = said.exceptAll(_blobs(spark, path)).unionAll(_blobs(spark, path).exceptAll(said)).limit(1).collect()
+    if changed:
+        raise ValueError(f"the package has changed: {changed[0]['file']}")
+    return spark.read.parquet(f"{path}/data"), Manifest(**json.loads(spark.read.text(f"{path}/manifest").first()["value"]))

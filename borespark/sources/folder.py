@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
 import re
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from borespark.sources import segy
 from borespark.sources.tables import FAMILIES
 
 #: Kinds by file name (fixed values); the first that matches counts.
@@ -24,7 +27,19 @@ def scan_folder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def detect_format(path: str) -> str:
-    """The kind of one path by its name."""
+    """The kind of one path by its name, else by what a folder holds or how a file begins (paths of this machine)."""
+    if os.path.isdir(path):
+        inside = set(os.listdir(path))
+        if inside & {".zarray", ".zgroup", ".zmetadata"}:
+            return "volume"
+    elif os.path.isfile(path) and not os.path.splitext(path)[1]:
+        with open(path, "rb") as f:
+            head = f.read(3600)
+        if head.lstrip()[:1] == b"~":
+            return "log"
+        with contextlib.suppress(ValueError):
+            segy.layout_of(head, os.path.getsize(path))
+            return "traces"
     return next((name for name, pattern in KINDS if re.search(pattern, path.lower())), "other")
 
 
@@ -112,6 +127,19 @@ def commit_folder(spark: SparkSession, path: str, out: str) -> DataFrame:
     return spark.createDataFrame(said, "kind string, table string, rows long, issue string")
 
 
+def ingest(spark: SparkSession, path: str, out: str, **options) -> DataFrame:
+    """Imports a well folder, a trace file or an array by what it is (``detect_format``); says what became of it."""
+    from borespark.sources import zarr
+
+    kind = detect_format(path)
+    if kind == "traces":
+        return spark.createDataFrame([(kind, out, segy.ingest_volume(spark, path, out, **options)["unique"], None)], "kind string, table string, rows long, issue string")
+    if kind == "volume":
+        segy.write_volume(zarr.read_volume(spark, path), out)
+        return spark.createDataFrame([(kind, out, spark.read.parquet(out).count(), None)], "kind string, table string, rows long, issue string")
+    return commit_folder(spark, path, out)
+
+
 def import_plan(files: DataFrame) -> DataFrame:
     """(kind, files, bytes, family) of a scanned folder: what an import would read and what it leaves out."""
     known = F.array(*[F.lit(f) for f in FAMILIES])

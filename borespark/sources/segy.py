@@ -363,6 +363,12 @@ def read_volume(spark: SparkSession, path: str, il: tuple[int, int] | None = Non
     return df.drop("tile_i", "tile_x")
 
 
+def transcode_volume(spark: SparkSession, path: str, out: str, codec: str = "lz4raw") -> None:
+    """The same tiles and rows under another Parquet codec ('none', 'snappy', 'zstd', 'lz4raw'); nothing is lost either way."""
+    rows = spark.read.parquet(path)
+    rows.sortWithinPartitions("tile_i", "tile_x", "il", "xl").write.mode("overwrite").option("compression", {"lz4raw": "lz4_raw"}.get(codec, codec)).partitionBy("tile_i", "tile_x").parquet(out)
+
+
 def write_gathers(traces: DataFrame, path: str) -> None:
     traces.repartition("il").sortWithinPartitions("il", "xl", "offset").write.mode("overwrite").partitionBy("il").parquet(path)
 

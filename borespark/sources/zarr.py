@@ -97,6 +97,18 @@ def read_volume(spark: SparkSession, path: str, il: Window | None = None, xl: Wi
     return pieces.select("il", "xl", F.flatten(F.transform("p", lambda p: p["amplitude"])).alias("amplitude"))
 
 
+#: Where a multidimensional store of the energy industry keeps its samples (fixed value).
+MDIO_SAMPLES = "data/chunked_012"
+
+
+def read_mdio(spark: SparkSession, path: str, il: Window | None = None, xl: Window | None = None, samples: Window | None = None, most_bytes: int | None = None) -> DataFrame:
+    """The samples of a group store as ``read_volume``; with ``most_bytes`` a larger window is an error."""
+    size = estimate(read_meta(spark, f"{path}/{MDIO_SAMPLES}"), il, xl, samples)["bytes"]
+    if most_bytes is not None and size > most_bytes:
+        raise ValueError(f"the window has {size} bytes, more than {most_bytes}")
+    return read_volume(spark, f"{path}/{MDIO_SAMPLES}", il, xl, samples)
+
+
 def write_volume(traces: DataFrame, path: str, shape: Sequence[int], chunks: Sequence[int] = (32, 32), dtype: str = "<f4", codec: str | None = "zlib") -> None:
     """Traces (il, xl from 0, amplitude) as an array of the shape, one chunk a task over the whole sample axis.
 

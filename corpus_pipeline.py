@@ -53,10 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written to the shared folder and read again."""
+    """All stages over the documents; each result is written to the shared folder and read again, then dropped."""
     scratch, docs = Scratch(spark, "pipeline"), documents(spark, sf_dir)
     for number, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        read, docs = docs, stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             docs = scratch.keep(docs, name.replace(" ", "-"))
+            scratch.drop(read)
     return docs

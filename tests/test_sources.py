@@ -306,3 +306,45 @@ def test_folder_import(spark, tmp_path):
     surveys = {r["file"].split("/")[-1]: r["usable"] for r in folder.usable_surveys(folder.read_deviation_text(spark, str(well / "*.txt"))).collect()}
     assert surveys == {"deviation.txt": True, "survey2.txt": False}
     assert spark.read.parquet(str(tmp_path / "out/trajectory_text")).where("md = 100 and azimuth is null").count() == 1
+
+
+def test_headers_alone_and_formats_by_content(spark, tmp_path):
+    broken = LOG + " 1 2 3 4 5 6\n"  # rows that can't be read don't matter for the headers
+    (tmp_path / "a.las").write_text(broken)
+    assert logs.read_log_headers(spark, str(tmp_path / "a.las")).where("section = 'C'").count() == 4
+    (tmp_path / "log").write_text(LOG)
+    segy.write_segy(*survey(), str(tmp_path / "traces"), 4000, code=5)
+    (tmp_path / "other").write_text("x" * 5000)
+    zarr.write_volume(spark.createDataFrame([(0, 0, [1.0])], "il int, xl int, amplitude array<double>"), str(tmp_path / "store"), (1, 1, 1), (1, 1))
+    assert [folder.detect_format(str(tmp_path / n)) for n in ("log", "traces", "other", "store", "x.sgy")] == ["log", "traces", "other", "volume", "traces"]
+    assert folder.ingest(spark, str(tmp_path / "traces"), str(tmp_path / "v1")).first()["rows"] == 30
+    assert folder.ingest(spark, str(tmp_path / "store"), str(tmp_path / "v2")).first()["rows"] == 1
+    segy.transcode_volume(spark, str(tmp_path / "v1"), str(tmp_path / "v3"))
+    assert segy.read_volume(spark, str(tmp_path / "v3")).exceptAll(segy.read_volume(spark, str(tmp_path / "v1"))).isEmpty()
+    group = tmp_path / "g.mdio" / "data"
+    zarr.write_volume(spark.createDataFrame([(0, 0, [1.0])], "il int, xl int, amplitude array<double>"), str(group / "chunked_012"), (1, 1, 1), (1, 1))
+    assert zarr.read_mdio(spark, str(tmp_path / "g.mdio")).count() == 1
+    with pytest.raises(ValueError, match="more than"):
+        zarr.read_mdio(spark, str(tmp_path / "g.mdio"), most_bytes=3)
+
+
+def test_output_packages(spark, tmp_path):
+    from borespark.plans.registry import Manifest, open_output, write_output
+
+    manifest = Manifest("agc", "1", {"window_ms": 500.0}, {"curve": "v"}, "d")
+    write_output(spark.range(50).repartition(3), str(tmp_path / "p"), manifest)
+    df, back = open_output(spark, str(tmp_path / "p"))
+    assert df.count() == 50 and back == manifest
+    spark.range(1).write.mode("append").parquet(str(tmp_path / "p" / "data"))
+    with pytest.raises(ValueError, match="changed"):
+        open_output(spark, str(tmp_path / "p"))
+
+
+def test_presets(tmp_path):
+    from borespark.operators.traces import load_presets, save_presets
+
+    save_presets(str(tmp_path / "p.json"), {"a": [Step("agc", {"window_ms": 100.0}), Step("envelope")]})
+    assert [s.name for s in load_presets(str(tmp_path / "p.json"), 4.0)["a"]] == ["agc", "envelope"]
+    save_presets(str(tmp_path / "p.json"), {"a": [Step("bandpass", {"f1": 1.0, "f2": 2.0, "f3": 100.0, "f4": 200.0})]})
+    with pytest.raises(ValueError):
+        load_presets(str(tmp_path / "p.json"), 4.0)
