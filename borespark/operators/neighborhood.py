@@ -10,11 +10,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from borespark.operators.traces import as_doubles
+from borespark.operators.traces import as_doubles, blocks
 
 TINY, FLAT = 1e-6, 1e-9
 #: Lines and crosslines of a tile.
@@ -80,28 +80,32 @@ def by_tile(df: DataFrame, interval_ms: float, around: Around, work, outputs: Se
     Traces shorter than the longest of their tile are filled up with zeros and cut again.
     """
     half, r1, r2 = around.half(interval_ms), around.inline, around.xline
-    own = df.where(F.col("amplitude").isNotNull()).select(F.col("il").cast("long").alias("il"), F.col("xl").cast("long").alias("xl"), as_doubles("amplitude").alias("a"))
+    own = df.where(F.col("amplitude").isNotNull() & (F.size("amplitude") > 0)).select(F.col("il").cast("long").alias("il"), F.col("xl").cast("long").alias("xl"), F.col("amplitude").alias("a"))
 
     def tiles(column, r):
         return F.explode(F.sequence(F.floor((F.col(column) - r) / tile), F.floor((F.col(column) + r) / tile)))
 
     sent = own.withColumn("ti", tiles("il", r1)).withColumn("tx", tiles("xl", r2))
 
-    def run(key, pdf):
-        i0, x0 = int(key[0]) * tile, int(key[1]) * tile
-        i, x = (pdf["il"] - i0 + r1).to_numpy(), (pdf["xl"] - x0 + r2).to_numpy()
-        size = pdf["a"].map(len).to_numpy()
-        cube, there = np.zeros((tile + 2 * r1, tile + 2 * r2, size.max())), np.zeros((tile + 2 * r1, tile + 2 * r2), bool)
-        for row, p, q in zip(pdf["a"], i, x, strict=True):
-            cube[p, q, : len(row)] = row
+    def run(key, table):
+        i0, x0 = key[0].as_py() * tile, key[1].as_py() * tile
+        batch = table.select(["il", "xl", "a"]).combine_chunks().to_batches()[0]
+        il, xl = (batch.column(k).to_numpy() for k in range(2))
+        i, x, size = il - i0 + r1, xl - x0 + r2, np.zeros(len(il), np.int64)
+        parts = list(blocks(batch, "a"))
+        cube, there = np.zeros((tile + 2 * r1, tile + 2 * r2, max(p.shape[1] for _, p in parts))), np.zeros((tile + 2 * r1, tile + 2 * r2), bool)
+        for rows, part in parts:
+            cube[i[rows], x[rows], : part.shape[1]] = part
+            size[rows] = part.shape[1]
         there[i, x] = True
-        inner = (i >= r1) & (i < tile + r1) & (x >= r2) & (x < tile + r2)
-        out = work(cube, there, half) if inner.any() else [cube] * len(outputs)
-        places = list(zip(i[inner] - r1, x[inner] - r2, size[inner], strict=True))
-        columns = {"il": pdf["il"][inner].to_numpy(), "xl": pdf["xl"][inner].to_numpy()}
-        return pd.DataFrame(columns | {name: pd.Series([values[k, m, :n] for k, m, n in places], dtype=object) for name, values in zip(outputs, out, strict=True)})
+        inner = np.flatnonzero((i >= r1) & (i < tile + r1) & (x >= r2) & (x < tile + r2))
+        out = work(cube, there, half) if len(inner) else [cube] * len(outputs)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(size[inner])]).astype(np.int32))
+        keep = np.arange(cube.shape[2]) < size[inner][:, None]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(values[i[inner] - r1, x[inner] - r2][keep])) for values in out]
+        return pa.table([pa.array(il[inner]), pa.array(xl[inner]), *lists], ["il", "xl", *outputs])
 
-    return sent.groupBy("ti", "tx").applyInPandas(run, "il long, xl long, " + ", ".join(f"{o} array<double>" for o in outputs))
+    return sent.groupBy("ti", "tx").applyInArrow(run, "il long, xl long, " + ", ".join(f"{o} array<double>" for o in outputs))
 
 
 def _inner(cube: np.ndarray, r1: int, r2: int, di: int = 0, dx: int = 0) -> np.ndarray:
@@ -116,20 +120,23 @@ def _gates(n: int, half: int) -> tuple[np.ndarray, np.ndarray]:
 def _sums(x: np.ndarray, half: int) -> np.ndarray:
     """Sums over the gate of ``half`` samples to each side (cut at the ends) along the samples.
 
-    The samples are cut into pieces of a gate's length; a gate is the end of one piece and the beginning of
-    the next, so its sum is that of two running sums that begin inside it.  Nothing is subtracted: a NaN or an
-    infinite sample stays in its own gates, and large samples elsewhere take no digits away.
+    Sums of 1, 2, 4, ... neighbouring samples are doubled from one another, and a gate is put together from those that
+    make up its length: the cost grows with the logarithm of the gate.  Nothing is subtracted, so a NaN or an infinite
+    sample stays in its own gates, and large samples elsewhere take no digits away.
     """
     n, size = x.shape[-1], 2 * half + 1
-    pieces = -(-(n + 2 * half) // size)
-    padded = np.zeros((*x.shape[:-1], pieces * size))
-    padded[..., half : half + n] = x
-    padded = padded.reshape(*x.shape[:-1], pieces, size)
-    shape = (*x.shape[:-1], pieces * size)
-    ahead = np.cumsum(padded, axis=-1).reshape(shape)
-    behind = np.cumsum(padded[..., ::-1], axis=-1)[..., ::-1].reshape(shape)
-    first = np.arange(n)
-    return np.where(first % size == 0, 0.0, behind[..., :n]) + ahead[..., first + size - 1]
+    part = np.zeros((*x.shape[:-1], n + size - 1))
+    part[..., half : half + n] = x
+    out, at, width = None, 0, 1
+    while width <= size:
+        if size & width:
+            own = part[..., at : at + n]
+            out = own.copy() if out is None else np.add(out, own, out=out)
+            at += width
+        if 2 * width <= size:
+            part = part[..., :-width] + part[..., width:]
+        width *= 2
+    return out
 
 
 def _offsets(around: Around, itself: bool) -> list[tuple[int, int]]:
@@ -145,15 +152,23 @@ def similarity(df: DataFrame, interval_ms: float, around: Around, tile: int = TI
 
     def work(cube, there, half):
         norms = np.sqrt(_sums(cube * cube, half))
-        center, size = _inner(cube, r1, r2), _inner(norms, r1, r2)
-        total, count = np.zeros(center.shape), np.zeros(center.shape[:2])
+        n_i, n_x = cube.shape[0] - 2 * r1, cube.shape[1] - 2 * r2
+        total, count = np.zeros((n_i, n_x, cube.shape[2])), np.zeros((n_i, n_x))
         for di, dx in _offsets(around, False):
-            near = _inner(there, r1, r2, di, dx)
-            below = size * _inner(norms, r1, r2, di, dx)
-            dot = np.abs(_sums(center * _inner(cube, r1, r2, di, dx), half))
-            sound = (size > TINY) & (below > TINY) & near[:, :, None]
-            total += np.where(sound, np.minimum(dot / np.where(sound, below, 1), 1), 0)
-            count += near
+            if (di, dx) < (0, 0):
+                continue  # a pair of traces is correlated once and counts for both
+            low, high = max(dx, 0), max(-dx, 0)
+            a = np.s_[r1 - di : r1 + n_i, r2 - low : r2 + n_x + high]
+            b = np.s_[r1 : r1 + n_i + di, r2 - low + dx : r2 + n_x + high + dx]
+            below = norms[a] * norms[b]
+            dot = np.abs(_sums(cube[a] * cube[b], half))
+            sound = (below > TINY) & (there[a] & there[b])[:, :, None]
+            c = np.where(sound, np.minimum(dot / np.where(sound, below, 1), 1), 0)
+            first, second = np.s_[di : di + n_i, low : low + n_x], np.s_[:n_i, high : high + n_x]  # where a, or b, is inside
+            total += np.where(norms[a][first] > TINY, c[first], 0)
+            total += np.where(norms[b][second] > TINY, c[second], 0)
+            count += there[b][first]
+            count += there[a][second]
         return [total / np.maximum(count, 1)[:, :, None]]
 
     return by_tile(df, interval_ms, around, work, ["amplitude"], tile)

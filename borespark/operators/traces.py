@@ -259,7 +259,7 @@ def run_pipeline(df: DataFrame, steps: Sequence[Step], interval_ms: float, colum
     return map_traces(df.withColumn(column, as_doubles(column)), work, column)
 
 
-def _blocks(batch: pa.RecordBatch, column: str):
+def blocks(batch: pa.RecordBatch, column: str):
     """The traces of a batch by length: row numbers, samples [rows, length], and where these lie in the values."""
     traces = batch.column(batch.schema.get_field_index(column))
     lists = pa.ListArray.from_arrays(traces.offsets, traces.values) if traces.offset == 0 else traces
@@ -288,7 +288,7 @@ def map_traces(df: DataFrame, work: Callable[..., np.ndarray], column: str, by:
             at = batch.schema.get_field_index(column)
             kept = batch.column(at).is_valid().to_numpy(zero_copy_only=False)
             lengths, parts = np.zeros(batch.num_rows, np.int64), []
-            for rows, x in _blocks(batch, column):
+            for rows, x in blocks(batch, column):
                 y = work(x, *_numbers(batch, by, rows))
                 lengths[rows] = y.shape[1]
                 parts.append((rows, y))
@@ -331,7 +331,7 @@ def sum_traces(df: DataFrame, keys: Sequence[str], column: str = "amplitude", by
         for batch in batches:
             names = [batch.column(i).to_pylist() for i in range(len(keys))]
             keyed_types = [batch.schema.field(i).type for i in range(len(keys))]
-            for at, x in _blocks(batch, column):
+            for at, x in blocks(batch, column):
                 groups: dict[tuple, list[int]] = {}
                 for k, r in enumerate(at):
                     groups.setdefault(tuple(c[r] for c in names), []).append(k)
