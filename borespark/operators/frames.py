@@ -120,20 +120,38 @@ def fill_base(df: DataFrame, keys: Keys, top: str, base: str) -> DataFrame:
 def bracket(points: DataFrame, table: DataFrame, keys: Keys, x: str, y: str) -> DataFrame:
     """points (keys, x and others) with y interpolated linearly in table (keys, x, y), clamped at its ends.
 
-    An as-of join both ways: points and table rows are put in one order per key, and the last table row at
-    or before and the first at or after each point are carried by ignoring NULLs.  No pairs are made.
+    An as-of join both ways (``bracket_all``).
     """
+    return bracket_all(points, {y: table}, keys, x, y)
+
+
+def bracket_all(points: DataFrame, tables: dict[str, DataFrame], keys: Keys, x: str, y: str) -> DataFrame:
+    """points (keys, x and others) with a column per table (keys, x, y): its y, interpolated linearly, clamped at its ends.
+
+    Points and the rows of all tables are put in one order per key, and each table's last row at or before and first
+    row at or after a point are carried by ignoring NULLs: one shuffle and two orders however many tables there
+    are.  No pairs are made.
+    """
+    names = list(tables)
     others = [c for c in points.columns if c not in (*keys, x)]
-    p = points.select(*keys, x, F.struct(*[F.col(c) for c in others] or [F.lit(1).alias("one")]).alias("__o"), F.lit(None).cast("double").alias("__y"), F.lit(1).alias("__p"))
-    t = table.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(*keys, x, F.lit(None).cast(p.schema["__o"].dataType).alias("__o"), F.col(y).cast("double").alias("__y"), F.lit(0).alias("__p"))
-    rows = p.unionByName(t)
-    knot = F.when(F.col("__p") == 0, F.struct(F.col(x).cast("double").alias("x"), F.col("__y").alias("y")))
-    back = Window.partitionBy(*keys).orderBy(x, "__p").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(F.desc(x), "__p").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__a", F.last(knot, ignorenulls=True).over(back)).withColumn("__b", F.last(knot, ignorenulls=True).over(ahead)).where("__p = 1")
-    a, b = F.col("__a"), F.col("__b")
-    value = F.when(a.isNull(), b["y"]).when(b.isNull() | (b["x"] == a["x"]), a["y"]).otherwise(a["y"] + (b["y"] - a["y"]) * (F.col(x) - a["x"]) / (b["x"] - a["x"]))
-    return rows.select(*keys, x, *[F.col("__o")[c].alias(c) for c in others], value.alias(y))
+    rows = points.select(*keys, x, F.struct(*[F.col(c) for c in others] or [F.lit(1).alias("one")]).alias("__o"), F.lit(None).cast("double").alias("__y"), F.lit(-1).alias("__c"))
+    kind = rows.schema["__o"].dataType
+    for number, table in enumerate(tables.values()):
+        t = table.where(F.col(y).isNotNull() & F.col(x).isNotNull())
+        rows = rows.unionByName(t.select(*keys, x, F.lit(None).cast(kind).alias("__o"), F.col(y).cast("double").alias("__y"), F.lit(number).alias("__c")))
+    point = F.col("__c") < 0
+    back, ahead = (Window.partitionBy(*keys).orderBy(order, point.cast("int")).rowsBetween(Window.unboundedPreceding, 0) for order in (x, F.desc(x)))
+    carried = {}
+    for number in range(len(names)):
+        knot = F.when(F.col("__c") == number, F.struct(F.col(x).cast("double").alias("x"), F.col("__y").alias("y")))
+        carried |= {f"__a{number}": F.last(knot, ignorenulls=True).over(back), f"__b{number}": F.last(knot, ignorenulls=True).over(ahead)}
+    rows = rows.withColumns(carried).where(point)
+
+    def value(number):
+        a, b = F.col(f"__a{number}"), F.col(f"__b{number}")
+        return F.when(a.isNull(), b["y"]).when(b.isNull() | (b["x"] == a["x"]), a["y"]).otherwise(a["y"] + (b["y"] - a["y"]) * (F.col(x) - a["x"]) / (b["x"] - a["x"]))
+
+    return rows.select(*keys, x, *[F.col("__o")[c].alias(c) for c in others], *[value(k).alias(n) for k, n in enumerate(names)])
 
 
 def resample_aligned(channels: dict[str, DataFrame], keys: Keys, x: str, y: str, step: float | None = None) -> DataFrame:
@@ -144,7 +162,8 @@ def resample_aligned(channels: dict[str, DataFrame], keys: Keys, x: str, y: str,
     span = None
     for name, df in channels.items():
         df = df.where(F.col(y).isNotNull())
-        stats = curve_statistics(df, keys, x, y).select(*keys, F.col("first").alias(f"f_{name}"), F.col("last").alias(f"l_{name}"), F.col("step").alias(f"s_{name}"))
+        stats = extents(df, keys, x) if step else curve_statistics(df, keys, x, y)
+        stats = stats.select(*keys, F.col("first").alias(f"f_{name}"), F.col("last").alias(f"l_{name}"), *([] if step else [F.col("step").alias(f"s_{name}")]))
         span = stats if span is None else span.join(stats, list(keys))
     names = list(channels)
     many = len(names) > 1
@@ -154,9 +173,7 @@ def resample_aligned(channels: dict[str, DataFrame], keys: Keys, x: str, y: str,
     grid = span.select(*keys, top.alias("__t"), end.alias("__e"), width.alias("__s")).where("__s > 0 and __e > __t")
     grid = grid.withColumn("__n", F.floor((F.col("__e") - F.col("__t")) / F.col("__s")).cast("int")).where("__n > 0")
     out = grid.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).select(*keys, (F.col("__t") + (F.col("__i") + 0.5) * F.col("__s")).alias(x))
-    for name, df in channels.items():
-        out = bracket(out, df.select(*keys, x, y), keys, x, y).withColumnRenamed(y, name)
-    return out
+    return bracket_all(out, {name: df.select(*keys, x, y) for name, df in channels.items()}, keys, x, y)
 
 
 def positional_join(left: DataFrame, right: DataFrame, keys: Keys, position: str, depth: str, tolerance: float = 1e-9) -> DataFrame:

@@ -16,23 +16,25 @@ NEAR, GAIN, STRETCH = 0.0005, 0.01, 0.005
 def lagged_correlations(pairs: DataFrame, keys: Sequence[str], synthetic: str, trace: str, most: int) -> DataFrame:
     """(keys, lag, correlation, n): Pearson correlation of the overlap at every lag; trace[i] meets synthetic[i - lag].
 
-    JVM-side sums over the overlap; fewer than 8 pairs or no variance give no row.
+    The pairs of a batch go through a lag together; fewer than 8 samples or no variance give no row.
     """
-    s, t = F.col(synthetic).cast("array<double>"), F.col(trace).cast("array<double>")
-    rows = pairs.select(*keys, s.alias("s"), t.alias("t"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"))
-    first = F.greatest(F.lit(0), F.col("lag"))
-    count = F.greatest(F.lit(0), F.least(F.size("t"), F.size("s") + F.col("lag")) - first)
-    rows = rows.withColumns({"n": count, "x": F.slice("s", first - F.col("lag") + 1, count), "y": F.slice("t", first + 1, count)})
-
-    def total(x):
-        return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-
-    x, y, n = F.col("x"), F.col("y"), F.col("n")
-    sx, sy = total(x), total(y)
-    vx, vy = n * total(F.transform(x, lambda v: v * v)) - sx * sx, n * total(F.transform(y, lambda v: v * v)) - sy * sy
-    below = F.sqrt(vx * vy)
-    value = (n * total(F.zip_with(x, y, lambda a, b: a * b)) - sx * sy) / below
-    return rows.where(n >= LEAST_PAIRS).select(*keys, F.col("lag").cast("long").alias("lag"), F.when(below > 2.220446049250313e-16, value).alias("correlation"), F.col("n").cast("long").alias("n")).where("correlation is not null")
+    schema = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys) + ", lag long, correlation double, n long"
+    names = list(keys)
+
+    def work(it):
+        for pdf in it:
+            pdf = pdf[pdf[["__s", "__t"]].notna().all(axis=1)]
+            alike = [(len(s), len(t)) for s, t in zip(pdf["__s"], pdf["__t"], strict=True)]
+            for sizes in dict.fromkeys(alike):
+                own = pdf[[a == sizes for a in alike]]
+                s, t = (np.stack(own[c]).astype(float) for c in ("__s", "__t"))
+                for lag in range(-most, most + 1):
+                    lo, hi = max(0, lag), min(sizes[1], sizes[0] + lag)
+                    if hi - lo >= LEAST_PAIRS:
+                        c = correlations(s[:, lo - lag : hi - lag], t[:, lo:hi])
+                        yield own[names].assign(lag=lag, correlation=c, n=hi - lo)[~np.isnan(c)]
+
+    return pairs.select(*keys, F.col(synthetic).cast("array<double>").alias("__s"), F.col(trace).cast("array<double>").alias("__t")).mapInPandas(work, schema)
 
 
 def best_shift(pairs: DataFrame, keys: Sequence[str], synthetic: str, trace: str, most: int) -> DataFrame:
