@@ -311,6 +311,7 @@ def model(values, order, mass):
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_language_model_against_a_walk(spark, order):
     values = [(i, prose(i % 7, 30 + i, 40) + (" UPPER upper" if i % 3 else ""), crc32(str(i).encode()) % 5 == 1) for i in range(40)] + [(90, None, crc32(b"90") % 5 == 1), (91, "", crc32(b"91") % 5 == 1)]
+    values += [(92, prose(8, 2000, 40), crc32(b"92") % 5 == 1), (93, prose(9, 2000, 40), crc32(b"93") % 5 == 1)]  # far beyond a block
     docs = frame(spark, [(i, t, "en", "s") for i, t, _ in values])
     got = language_model.score_texts(docs, language_model.held_out_part(F.col("doc_id")), order=order, mass=(10.0, 3.0, 2.0), block_bytes=700).collect()
     want = model(values, order, (10.0, 3.0, 2.0))
