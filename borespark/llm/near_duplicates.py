@@ -16,6 +16,8 @@ from borespark.llm.sketch import band_keys, prob_minhash
 SMALL_BUCKET = 16
 #: Random leaders that every member of a larger bucket meets at first, besides two central ones.
 LEADERS = 2
+#: Nodes, of a hash and an id each, whose texts are looked up without a shuffle.
+BROADCAST_NODES = 500_000
 
 
 def _ragged(x: list[np.ndarray]) -> pa.ListArray:
@@ -165,7 +167,7 @@ def _across(keyed: DataFrame, nodes: DataFrame, rest: DataFrame, threshold: floa
     shingle has p and q others before it share size - p and size - q at most, which must be enough for both sizes.
     """
     need = rest.select("node").join(nodes.select("node", "low"), "node")
-    own = map_slices(_texts_of(keyed, need), _members(shingle), "node long, own array<long>", limit=1 << 20)
+    own = map_slices(_texts_of(keyed, need, scratch), _members(shingle), "node long, own array<long>", limit=1 << 20)
     own = scratch.keep(own.groupBy("node").agg(F.first("own").alias("own")).join(rest, "node").where(F.size("own") > 0), "shingles")
     each = own.select("node", "component", F.explode("own").alias("element"))
     shared = each.groupBy("element").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -189,15 +191,19 @@ def _verified(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: f
     pairs = pairs.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("node").alias("b"), F.col("size").alias("sb")), "b")
     pairs = scratch.keep(pairs.where(F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9).select("a", "b"), "sized")
     need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "low"), "node")
-    sets = map_slices(_texts_of(keyed, need), _sets(shingle), "node long, elements binary")
+    sets = map_slices(_texts_of(keyed, need, scratch), _sets(shingle), "node long, elements binary")
     sets = scratch.keep(sets.groupBy("node").agg(F.first("elements").alias("elements")), "sets")
     ready = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b")
     return scratch.keep(ready.mapInArrow(_verify(threshold), "a long, b long"), "links")
 
 
-def _texts_of(keyed: DataFrame, need: DataFrame) -> DataFrame:
-    """(node, text) of the nodes in need (node, low): the text of the document with the smallest id of each."""
-    ids = need.select(F.col("node").alias("n"), "low")
+def _texts_of(keyed: DataFrame, need: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, text) of the nodes in need (node, low): the text of the document with the smallest id of each.
+
+    Up to ``BROADCAST_NODES`` nodes are sent to all tasks, so that texts stay where they are; more are joined by shuffle.
+    """
+    ids = scratch.keep(need.select(F.col("node").alias("n"), "low"), "need")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_NODES else ids
     return keyed.join(ids, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("low"))).select("node", "text")
 
 
