@@ -69,12 +69,14 @@ def mean_step(times: Column) -> Column:
 
 
 def align_traces(df: DataFrame, interval_ms: float, stretch: float, shift: float, column: str = "amplitude") -> DataFrame:
-    """df with its traces under a stretch about their middle time and a shift, in one Arrow pass."""
+    """df with its traces under a stretch about their middle time and a shift, in one Arrow pass; a stretch of 0.5 or less counts as 1."""
     from borespark.operators.traces import as_doubles, map_traces
 
     def work(x: np.ndarray) -> np.ndarray:
         times = np.arange(x.shape[1]) * interval_ms
-        return np.stack([align(times, row, (times[0] + times[-1]) / 2, stretch, shift) for row in x])
+        if len(times) < 2:
+            return x
+        return align_rows(times, x, (times[0] + times[-1]) / 2, stretch if np.isfinite(stretch) and stretch > 0.5 else 1.0, shift)
 
     return map_traces(df.withColumn(column, as_doubles(column)), work, column)
 
@@ -97,14 +99,8 @@ def correlations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(sound, (n * (x * y).sum(axis=1) - sx * sy) / np.where(sound, below, 1), np.nan)
 
 
-def align(times: np.ndarray, trace: np.ndarray, middle: float, stretch: float, shift: float) -> np.ndarray:
-    """The trace at the times before stretch and shift; a stretch of 0.5 or less counts as 1."""
-    stretch = stretch if np.isfinite(stretch) and stretch > 0.5 else 1.0
-    return np.interp(middle + (times - shift - middle) / stretch, times, trace)
-
-
 def align_rows(times: np.ndarray, traces: np.ndarray, middle: float, stretch: float, shift: float) -> np.ndarray:
-    """``align`` of traces [rows, samples] on one axis."""
+    """Traces [rows, samples] on one axis, at the times before a stretch about ``middle`` and a shift; clamped at the ends."""
     at = middle + (times - shift - middle) / stretch
     high = np.clip(np.searchsorted(times, at), 1, len(times) - 1)
     part = np.clip((at - times[high - 1]) / (times[high] - times[high - 1]), 0, 1)

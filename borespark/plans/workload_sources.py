@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -20,7 +21,7 @@ def workspace(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``; in local mode without one, a temporary folder."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -28,7 +29,7 @@ def workspace(spark: SparkSession, name: str) -> str:
 
 def mounted(path: str) -> str:
     """The path as Python's open wants it, made where needed."""
-    out = path.removeprefix("file://")
+    out = re.sub(r"^file:/*", "/", path)
     os.makedirs(os.path.dirname(out), exist_ok=True)
     return out
 

@@ -135,3 +135,17 @@ def test_packages_of_tables_and_capabilities(tmp_path):
     assert "mine" in c.records and not c.records["hdf5"].available and "hdf5" not in [x.id for x in c.available()]
     c.add(reg.Capability("hdf5", "format"))
     assert len([x for x in c.of_kind("format") if x.id == "hdf5"]) == 1 and c.records["hdf5"].available
+
+
+def test_commands(spark, tmp_path, capsys):
+    from borespark.__main__ import main
+
+    def said(*arguments):
+        assert main(list(arguments)) == 0
+        return [json.loads(line) for line in capsys.readouterr().out.splitlines()]
+
+    assert {r["id"] for r in said("capabilities") if not r["available"]} == {"vds", "hdf5"}
+    assert [r["code"] for r in said("search-crs", "32631")] == [32631]
+    assert said("query", "a18_project_summary", "/root/testdata/sf0.001")[0]["wells"] == 25
+    (tmp_path / "pressure.csv").write_text("md,pressure\n1,2\n")
+    assert said("ingest", str(tmp_path), str(tmp_path) + "-out")[0]["rows"] == 1
