@@ -166,6 +166,17 @@ def test_near_duplicates_recall_near_the_threshold(spark, repeats):
     assert all(got[2 * k] == 2 * k for k in range(200))
 
 
+def test_near_duplicates_in_a_crowd_that_shares_a_passage(spark):
+    """Three hundred texts with one passage in common, alike below the threshold, and some pairs above it among them."""
+    passage = [f"p{i}" for i in range(90)]
+    values = [(k, " ".join([*passage, *[f"w{k}_{i}" for i in range(26)]])) for k in range(300)]
+    values += [(1000 + k, " ".join([*passage, *[f"w{k}_{i}" for i in range(20)], *[f"v{k}_{i}" for i in range(3)]])) for k in range(0, 300, 7)]
+    want = classes(values)
+    assert all(want[1000 + k] == k for k in range(0, 300, 7)) and want[1] == 1
+    got = near_duplicates.near_duplicate_classes(frame(spark, [(i, t, "en", "s") for i, t in values])).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == want
+
+
 def test_near_duplicates_crowded_buckets_of_short_texts(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "SMALL_BUCKET", 2)
     monkeypatch.setattr(near_duplicates, "LEADERS", 0)
