@@ -18,6 +18,8 @@ EVIDENCE = 60
 SUFFIX_MASS, HOST_MASS, DECLARED_MASS = 50.0, 10.0, 5.0
 #: Languages whose window counts the driver turns into a table at a time.
 LANGUAGES_AT_ONCE = 128
+#: Languages up to which the likelihoods of declarations, their square in numbers, are broadcast; more are joined as planned.
+BROADCAST_LANGUAGES = 1024
 NONE = ""
 
 
@@ -144,7 +146,8 @@ def identify(rows: DataFrame, languages: list[str], table: np.ndarray, scratch:
     suffixes = sums(hosts, "__host_n", "suffix", name="__suffix_n")
     priors = scratch.keep(hosts.join(suffixes, "suffix"), "hosts")
     out = scored.join(priors.withColumnsRenamed({"host": "__host", "suffix": "__suffix"}), (F.col("host") == F.col("__host")) & (F.col("suffix") == F.col("__suffix")))
-    out = out.join(F.broadcast(constants), F.col("declared") == F.col("__declared"))  # languages + 2 rows
+    constants = F.broadcast(constants) if size <= BROADCAST_LANGUAGES else constants  # languages + 2 rows of so many numbers
+    out = out.join(constants, F.col("declared") == F.col("__declared"))
 
     def total(x):
         return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
