@@ -67,7 +67,7 @@ def nmo(df: DataFrame, interval_ms: float, velocity, start_ms: float = 0.0) -> D
         t = start_ms + np.arange(x.shape[1]) * interval_ms
         return np.where(t <= 0, 0.0, samples_at(x, moveout(t, offset, velocities(t, velocity)), interval_ms))
 
-    return map_traces(df.withColumn("amplitude", as_doubles("amplitude")), work, "amplitude", ["offset"])
+    return map_traces(df, work, "amplitude", ["offset"])
 
 
 def stretch_mute(df: DataFrame, interval_ms: float, velocity, most: float, start_ms: float = 0.0) -> DataFrame:
@@ -81,7 +81,7 @@ def stretch_mute(df: DataFrame, interval_ms: float, velocity, most: float, start
         stretch = (moveout(t, offset, velocities(t, velocity)) - t) / later
         return np.where((t <= 0) | (stretch > most), 0.0, x)
 
-    return map_traces(df.withColumn("amplitude", as_doubles("amplitude")), work, "amplitude", ["offset"])
+    return map_traces(df, work, "amplitude", ["offset"])
 
 
 def offset_mute(df: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:

@@ -45,7 +45,7 @@ def resample_traces(df: DataFrame, interval_ms: float, times: Sequence[float], c
         low = p.astype(np.int64)
         return x[:, low] + (x[:, np.minimum(low + 1, x.shape[1] - 1)] - x[:, low]) * (p - low)
 
-    return map_traces(df.withColumn(column, as_doubles(column)), work, column)
+    return map_traces(df, work, column)
 
 
 def nearest_sample(axis: Column, x: Column) -> Column:
@@ -104,7 +104,7 @@ def integrate_traces(df: DataFrame, interval_ms: float, two_way: bool = True, co
         np.cumsum(0.5 * (v[:, 1:] + v[:, :-1]) * factor, axis=1, out=out[:, 1:])
         return out
 
-    return map_traces(df.withColumn(column, as_doubles(column)), work, column)
+    return map_traces(df, work, column)
 
 
 def trend(time_ms: Column, top: Column, base: Column, v0: float, gradient: float = 0.0, kind: str = "constant") -> Column:

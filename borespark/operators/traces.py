@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RMS_FLOOR, MOST_GAIN = 1e-8, 1e6
 SMALL = 1e-8
@@ -256,7 +257,7 @@ def run_pipeline(df: DataFrame, steps: Sequence[Step], interval_ms: float, colum
             x = kernel(x)
         return x
 
-    return map_traces(df.withColumn(column, as_doubles(column)), work, column)
+    return map_traces(df, work, column)
 
 
 def blocks(batch: pa.RecordBatch, column: str):
@@ -276,12 +277,22 @@ def _numbers(batch: pa.RecordBatch, names: Sequence[str], rows: np.ndarray) -> l
     return [batch.column(batch.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False)[rows] for c in names]
 
 
+_PLAIN = (T.FloatType, T.DoubleType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def plain(df: DataFrame, column: str) -> DataFrame:
+    """df whose traces NumPy takes as they are: plain numbers stay, as casting arrays in the JVM boxes every sample."""
+    return df if isinstance(df.schema[column].dataType.elementType, _PLAIN) else df.withColumn(column, as_doubles(column))
+
+
 def map_traces(df: DataFrame, work: Callable[..., np.ndarray], column: str, by: Sequence[str] = ()) -> DataFrame:
     """A kernel over the traces of each batch, grouped by length; NULL and empty traces pass.
 
-    ``work`` gets the samples [rows, length] and a float array per column of ``by``; its result may have
-    another length.
+    ``work`` gets the samples [rows, length] as doubles and a float array per column of ``by``; its result may have
+    another length.  The column holds doubles afterwards.
     """
+    df = plain(df, column)
+    schema = T.StructType([T.StructField(f.name, T.ArrayType(T.DoubleType())) if f.name == column else f for f in df.schema])
 
     def run(batches):
         for batch in batches:
@@ -299,7 +310,7 @@ def map_traces(df: DataFrame, work: Callable[..., np.ndarray], column: str, by:
             out = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values), mask=pa.array(~kept))
             yield pa.RecordBatch.from_arrays([out if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(run, schema)
 
 
 #: Bytes of sums that a task holds before it hands them on.
@@ -314,7 +325,7 @@ def sum_traces(df: DataFrame, keys: Sequence[str], column: str = "amplitude", by
     the shuffle carries a few sums per task, key and label, never a row per trace and sample.
     """
     work = work or (lambda x: x[None])
-    keyed = df.select(*keys, *[c for c in by if c not in keys], as_doubles(column).alias(column))
+    keyed = plain(df.select(*keys, *[c for c in by if c not in keys], column), column)
 
     def run(batches):
         held: dict[tuple, list] = {}
@@ -364,7 +375,7 @@ def amplitude_spectrum(df: DataFrame, interval_ms: float, keys: Sequence[str] =
     The mean of each trace is taken out and inner bins count twice.  Each task adds up its traces per key
     and length before anything moves, so the shuffle carries one spectrum per task and key.
     """
-    x = df.where(F.col("amplitude").isNotNull() & (F.size("amplitude") > 0)).withColumn("amplitude", as_doubles("amplitude")).select(*keys, "amplitude")
+    x = df.where(F.col("amplitude").isNotNull() & (F.size("amplitude") > 0)).select(*keys, "amplitude")
 
     def spectra(v: np.ndarray) -> np.ndarray:
         n = v.shape[1]

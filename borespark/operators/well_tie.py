@@ -70,7 +70,7 @@ def mean_step(times: Column) -> Column:
 
 def align_traces(df: DataFrame, interval_ms: float, stretch: float, shift: float, column: str = "amplitude") -> DataFrame:
     """df with its traces under a stretch about their middle time and a shift, in one Arrow pass; a stretch of 0.5 or less counts as 1."""
-    from borespark.operators.traces import as_doubles, map_traces
+    from borespark.operators.traces import map_traces
 
     def work(x: np.ndarray) -> np.ndarray:
         times = np.arange(x.shape[1]) * interval_ms
@@ -78,7 +78,7 @@ def align_traces(df: DataFrame, interval_ms: float, stretch: float, shift: float
             return x
         return align_rows(times, x, (times[0] + times[-1]) / 2, stretch if np.isfinite(stretch) and stretch > 0.5 else 1.0, shift)
 
-    return map_traces(df.withColumn(column, as_doubles(column)), work, column)
+    return map_traces(df, work, column)
 
 
 def corrected_time(time_ms: Column, middle: Column | float, stretch: Column | float, shift: Column | float) -> Column:
