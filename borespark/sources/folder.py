@@ -55,12 +55,18 @@ def read_tops_text(spark: SparkSession, path: str) -> DataFrame:
         found = F.get(F.filter("l", lambda x: F.trim(x).startswith(prefix)), F.lit(0))
         return F.nullif(F.trim(F.regexp_replace(F.trim(found), "^" + re.escape(prefix), "")), F.lit(""))
 
+    # what is looked for in a file has a step of its own: beside the generator it would be looked for once per row;
+    # explode_outer, as the filter that the planner derives from explode does all of it again
     start = F.array_position(F.transform("l", lambda x: F.trim(x).startswith("Top(m)").cast("string")), "true").cast("int")
-    body = F.when(start > 0, F.slice("l", start + 1, F.size("l")))
-    rows = lines.select("file", head("Well Name:").alias("well"), head("Depth Ref Point:").alias("depth_reference"), head("Source:").alias("source"), F.explode(body).alias("x"))
-    cells = F.transform(F.split("x", "\t"), lambda c: F.nullif(F.trim(c), F.lit("")))
-    rows = rows.withColumn("c", cells).where((F.trim("x") != "") & (F.size("c") >= 6))
-    rows = rows.select("file", "well", "depth_reference", "source", F.get("c", F.lit(2)).alias("name"), F.get("c", F.lit(0)).try_cast("double").alias("top_depth"), F.get("c", F.lit(1)).try_cast("double").alias("base_depth"))
+    files = lines.select("file", head("Well Name:").alias("well"), head("Depth Ref Point:").alias("depth_reference"), head("Source:").alias("source"), "l", start.alias("start"))
+    body = F.when(F.col("start") > 0, F.slice("l", F.col("start") + 1, F.size("l")))
+    rows = files.select("file", "well", "depth_reference", "source", F.explode_outer(body).alias("x"))
+    rows = rows.where(F.trim("x") != "").withColumn("c", F.split("x", "\t")).where(F.size("c") >= 6)
+
+    def cell(i: int):
+        return F.nullif(F.trim(F.get("c", F.lit(i))), F.lit(""))
+
+    rows = rows.select("file", "well", "depth_reference", "source", cell(2).alias("name"), cell(0).try_cast("double").alias("top_depth"), cell(1).try_cast("double").alias("base_depth"))
     return rows.withColumn("issue", F.when(F.col("name").isNull(), "name is missing").when(F.col("top_depth").isNull(), "top is missing"))
 
 

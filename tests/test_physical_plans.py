@@ -73,3 +73,15 @@ def test_traces_are_added_up_before_they_move(spark):
 def test_no_window_without_keys(spark):
     for name in ("o02_natural_order", "d09_merge_intervals", "w14_interpolate"):
         assert "SinglePartition" not in query(spark, name)
+
+
+def test_headers_of_tops_text_are_looked_for_once_per_file(spark, tmp_path):
+    """Beside the generator they are looked for once per row, and the time grows with the square of a file's rows."""
+    from borespark.sources import folder
+
+    (tmp_path / "a_tops.txt").write_text("Well Name: W-1\nTop(m)\tBase(m)\tUnit\n10\t20\tU1\t\t\tx\n")
+    (tmp_path / "b_tops.txt").write_text("Well Name: W-2\n10\t20\tU1\t\t\tx\n")  # without the line that rows follow
+    rows = folder.read_tops_text(spark, str(tmp_path))
+    above, below = plan(rows).split("Generate", 1)
+    assert "Well Name" in below and "Well Name" not in above and below.count("array_position") == 1
+    assert [(r["well"], r["name"], r["top_depth"]) for r in rows.collect()] == [("W-1", "U1", 10.0)]
