@@ -379,3 +379,33 @@ def test_depth_trends_of_traces(spark):
     assert got[3] is None
     for id_, args in ((1, (0.0, 20.0, 2000.0, 1.0)), (2, (5.0, 12.0, 1500.0, 0.5))):
         assert got[id_] == pytest.approx(time_depth.depth_trend([0.0, 10.0, 20.0, 30.0], *args))
+
+
+@pytest.mark.parametrize("step", [0.5, 3.0, 40.0])
+def test_centres_of_the_overlap_are_interpolated_in_every_channel(spark, step):
+    r = np.random.default_rng(4)
+    shared = np.round(r.uniform(0, 100, 12) * 4) / 4  # knots of several channels, and on centres
+    logs_ = {(w, c): dict(zip(np.concatenate([r.uniform(0, 100, 20), shared[: 6 + c]]).tolist(), r.normal(size=26 + c).tolist(), strict=True)) for w in range(3) for c in range(3)}
+    channels = {f"c{c}": spark.createDataFrame([(w, x, y) for w in range(3) for x, y in logs_[w, c].items()] + [(0, 5.0, None), (9, 1.0, 1.0)], "w int, x double, y double") for c in range(3)}
+    got = {(t["w"], t["x"]): [t["c0"], t["c1"], t["c2"]] for t in frames.resample_aligned(channels, ["w"], "x", "y", step).collect()}
+    want = {}
+    for w in range(3):
+        knots = [np.array(sorted(logs_[w, c].items())).T for c in range(3)]
+        top, end = max(k[0][0] for k in knots), min(k[0][-1] for k in knots)
+        for i in range(int((end - top) // step)):
+            at = top + (i + 0.5) * step
+            want[w, at] = [np.interp(at, *k) for k in knots]
+    assert len(want) > 3 and got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_rounding_as_the_sql_does(spark):
+    import duckdb
+
+    from borespark.plans.workload import rounded
+
+    values = [1038.9696564385, 693.9393617015, -693.9393617015, 63.1495703125, 0.5, -0.00000000049, 0.0, 1e300, float("nan"), None]
+    values += [float(v) for v in np.round(np.random.default_rng(1).uniform(-6000, 6000, 3000), 10)]
+    got = [t[0] for t in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").orderBy("i").select(rounded(F.col("x"), 9)).collect()]
+    con = duckdb.connect()
+    want = [con.execute("SELECT CAST(0 AS DOUBLE) + ROUND(CAST(? AS DOUBLE), 9)", [v]).fetchone()[0] for v in values]
+    assert [repr(v) for v in got] == [repr(v) for v in want]

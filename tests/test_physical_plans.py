@@ -85,3 +85,11 @@ def test_headers_of_tops_text_are_looked_for_once_per_file(spark, tmp_path):
     above, below = plan(rows).split("Generate", 1)
     assert "Well Name" in below and "Well Name" not in above and below.count("array_position") == 1
     assert [(r["well"], r["name"], r["top_depth"]) for r in rows.collect()] == [("W-1", "U1", 10.0)]
+
+
+def test_resampled_centres_are_neither_shuffled_nor_sorted(spark):
+    """Only the rows of the logs are; their centres are made behind the last exchange, window and join."""
+    text = query(spark, "j02_resample")
+    assert text.count("Generate") == 1
+    below = text[text.index("Generate") :]
+    assert not re.search("Exchange|Window|Sort|Join", text[: text.index("Generate")]) and below.count("Window") == 2
