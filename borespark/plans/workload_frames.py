@@ -128,6 +128,12 @@ def j02_resample(spark, sf_dir):
 _LAYERS = "iv AS (SELECT o_custkey AS k, o_orderkey AS layer, o_totalprice AS top, LEAD(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS base FROM orders)"
 
 
+def _layers(o):
+    """(k, layer, top, base): of several orders at one top the last holds the layer, the others have no thickness."""
+    tops = o.where("k is not null and depth is not null").groupBy("k", "depth").agg(F.max("o_orderkey").alias("layer"))
+    return frames.edges_to_intervals(tops, ["k"], "depth")
+
+
 @register("j03_interval_join", f"WITH {_LAYERS}, l AS (SELECT *, base = MAX(base) OVER (PARTITION BY k) AS is_last FROM iv WHERE base > top) SELECT o_custkey AS k, d.o_orderkey AS id, l.layer FROM (SELECT o_custkey, o_orderkey, o_totalprice * CAST(1.01 AS DOUBLE) AS depth FROM orders) d JOIN l ON l.k = d.o_custkey AND d.depth >= l.top AND (d.depth < l.base OR (is_last AND d.depth = l.base))")
 def j03_interval_join(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", F.col("o_totalprice").alias("depth"))
@@ -139,9 +145,9 @@ def j03_interval_join(spark, sf_dir):
 @register("a05_interval_means", f"WITH {_LAYERS}, l AS (SELECT *, base = MAX(base) OVER (PARTITION BY k) AS is_last FROM iv WHERE base > top) SELECT l.k, l.layer, COUNT(*) AS n, ROUND(AVG(d.depth), 6) AS mean FROM (SELECT o_custkey, o_totalprice * CAST(1.01 AS DOUBLE) AS depth FROM orders) d JOIN l ON l.k = d.o_custkey AND d.depth >= l.top AND (d.depth < l.base OR (is_last AND d.depth = l.base)) GROUP BY l.k, l.layer")
 def a05_interval_means(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", F.col("o_totalprice").alias("depth"))
-    layers = frames.edges_to_intervals(o.select("k", "depth", F.col("o_orderkey").alias("layer")).dropDuplicates(["k", "depth"]), ["k"], "depth")
+    layers = _layers(o)
     rows = frames.in_intervals(o.select("k", (F.col("depth") * F.lit(1.01)).alias("depth")), layers, ["k"], "depth", "top", "base")
-    return rows.groupBy("k", "layer").agg(F.count("*").alias("n"), r6(F.avg("depth"), 6).alias("mean"))
+    return rows.groupBy("k", "layer").agg(F.count("*").alias("n"), rounded(F.avg("depth"), 6).alias("mean"))
 
 
 @register("a04_layer_means", "WITH e AS (SELECT user_id AS well, CAST(event_id AS DOUBLE) AS d, value, MIN(CAST(event_id AS DOUBLE)) OVER (PARTITION BY user_id) AS d0 FROM events) SELECT well, CAST(FLOOR((d - d0) / 500.0) AS BIGINT) AS layer, COUNT(*) AS samples, ROUND(AVG(value), 6) AS value FROM e GROUP BY 1, 2 HAVING COUNT(*) >= 2")

@@ -52,3 +52,20 @@ def test_nearest_source_covers_the_lines_of_the_whole_table(spark, tmp_path):
     spark.range(180).selectExpr("id AS vec_id", "id div 61 AS label").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = workload.QUERIES["j10_nearest_source"](spark, str(tmp_path)).toPandas()
     assert len(got) == 8 * 25 and got.i.max() == 7  # the last label's first vector, 122, is on line 4
+
+
+@pytest.fixture(scope="module")
+def tied_tops(spark, tmp_path_factory):
+    """Orders of which several have one top, one is there twice, and some lack a customer or a price."""
+    path = str(tmp_path_factory.mktemp("tied"))
+    rows = [(i, i % 5, float(100 + i // 15)) for i in range(600)] + [(7, 2, 100.0), (601, None, 101.0), (602, None, 120.0), (603, 1, None), (604, 1, None)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").repartition(7).write.parquet(path + "/orders.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["a05_interval_means"])
+def test_of_several_orders_at_one_top_the_last_holds_the_layer(spark, tied_tops, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tied_tops}/orders.parquet/*.parquet'")
+    got, want = workload.QUERIES[name](spark, tied_tops).toPandas(), con.execute(workload.ORACLES[name]).fetchdf()
+    assert len(want) > 100 and plain(got) == plain(want)
