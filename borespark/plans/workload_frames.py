@@ -137,7 +137,7 @@ def _layers(o):
 @register("j03_interval_join", f"WITH {_LAYERS}, l AS (SELECT *, base = MAX(base) OVER (PARTITION BY k) AS is_last FROM iv WHERE base > top) SELECT o_custkey AS k, d.o_orderkey AS id, l.layer FROM (SELECT o_custkey, o_orderkey, o_totalprice * CAST(1.01 AS DOUBLE) AS depth FROM orders) d JOIN l ON l.k = d.o_custkey AND d.depth >= l.top AND (d.depth < l.base OR (is_last AND d.depth = l.base))")
 def j03_interval_join(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", F.col("o_totalprice").alias("depth"))
-    layers = frames.edges_to_intervals(o.select("k", "depth", F.col("o_orderkey").alias("layer")).dropDuplicates(["k", "depth"]), ["k"], "depth")
+    layers = _layers(o)
     samples = o.select("k", F.col("o_orderkey").alias("id"), (F.col("depth") * F.lit(1.01)).alias("depth"))
     return frames.in_intervals(samples, layers, ["k"], "depth", "top", "base").select("k", "id", "layer")
 

@@ -63,7 +63,7 @@ def tied_tops(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["a05_interval_means"])
+@pytest.mark.parametrize("name", ["a05_interval_means", "j03_interval_join"])
 def test_of_several_orders_at_one_top_the_last_holds_the_layer(spark, tied_tops, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tied_tops}/orders.parquet/*.parquet'")
