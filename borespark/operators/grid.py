@@ -132,9 +132,12 @@ def horizon_on_section(horizon: DataFrame, axis: str, index: int, interval_ms: f
     return horizon.where(F.col(axis) == index).withColumn("sample", F.when(inside, F.greatest(F.lit(0), F.least(F.lit(samples - 1), F.round(at))).cast("long")))
 
 
-def refine_linear(traces: DataFrame) -> DataFrame:
-    """A grid of (2n - 1) by (2m - 1) traces: midpoints are means of their two or four neighbours."""
-    return _refine(traces, False)
+def refine_linear(traces: DataFrame, present: bool = False) -> DataFrame:
+    """A grid of (2n - 1) by (2m - 1) traces: midpoints are means of their two or four neighbours.
+
+    Missing neighbours count as zeros; with ``present`` the mean is of those that there are.
+    """
+    return _refine(traces, False, present)
 
 
 def refine_cubic(traces: DataFrame) -> DataFrame:
@@ -142,12 +145,12 @@ def refine_cubic(traces: DataFrame) -> DataFrame:
     return _refine(traces, True)
 
 
-def _refine(traces: DataFrame, cubic: bool) -> DataFrame:
+def _refine(traces: DataFrame, cubic: bool, present: bool = False) -> DataFrame:
     """Tiles of lines and crosslines, with the lines that their midpoints lean on, refined as cubes.
 
     A trace goes to its own tile and to the one or two whose rim it belongs to, so little more than the volume
-    moves.  Missing traces count as zeros; a node on which no trace has a weight has no row.  Traces of one tile are
-    filled up to its longest.
+    moves.  Missing traces count as zeros, unless means are of the ``present`` ones; a node on which no trace has a weight
+    has no row.  Traces of one tile are filled up to its longest.
     """
     t = traces.where(F.col("amplitude").isNotNull()).select(F.col("il").cast("long").alias("il"), F.col("xl").cast("long").alias("xl"), as_doubles("amplitude").alias("a"))
     size = t.agg(F.max("il").alias("last_i"), F.max("xl").alias("last_x"))
@@ -162,7 +165,11 @@ def _refine(traces: DataFrame, cubic: bool) -> DataFrame:
         last_i, last_x = int(pdf["last_i"].iloc[0]), int(pdf["last_x"].iloc[0])
         cube, there = np.zeros((TILE + 3, TILE + 3, pdf["a"].map(len).max())), np.zeros((TILE + 3, TILE + 3, 1))
         for row, i, x in zip(pdf["a"], pdf["il"] - i0 + 1, pdf["xl"] - x0 + 1, strict=True):
-            cube[i, x, : len(row)], there[i, x] = row, 1
+            if present:  # also of several at one place
+                cube[i, x, : len(row)] += row
+                there[i, x] += 1
+            else:
+                cube[i, x, : len(row)], there[i, x] = row, 1
         lines, cross = i0 + np.arange(TILE), x0 + np.arange(TILE)
         edge_i, edge_x = ((at == 0) | (at + 1 >= last) for at, last in ((lines, last_i), (cross, last_x)))
 
@@ -184,7 +191,10 @@ def _refine(traces: DataFrame, cubic: bool) -> DataFrame:
             out[1::2, 1::2] = np.where(ends_i | ends_x, across(half, outer)[0], across(curve, outer)[1])
             return out
 
-        values, filled = refined(cube, -0.0625), refined(there, 0.0625)[:, :, 0] > 0  # with positive weights: has any trace a part
+        values, weights = refined(cube, -0.0625), refined(there, 0.0625)
+        filled = weights[:, :, 0] > 0  # with positive weights: has any trace a part
+        if present:
+            values /= np.where(weights > 0, weights, 1)
         i, x = 2 * i0 + np.arange(2 * TILE), 2 * x0 + np.arange(2 * TILE)
         filled &= ((i >= 0) & (i <= 2 * last_i))[:, None] & ((x >= 0) & (x <= 2 * last_x))[None, :]
         i, x = np.nonzero(filled)

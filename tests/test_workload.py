@@ -69,3 +69,17 @@ def test_of_several_orders_at_one_top_the_last_holds_the_layer(spark, tied_tops,
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tied_tops}/orders.parquet/*.parquet'")
     got, want = workload.QUERIES[name](spark, tied_tops).toPandas(), con.execute(workload.ORACLES[name]).fetchdf()
     assert len(want) > 100 and plain(got) == plain(want)
+
+
+def test_refinement_of_an_incomplete_line_equals_sql(spark, tmp_path):
+    """The last of 37 lines has six traces, a few others have gaps, and one place has two traces."""
+    embeddings = spark.range(906).where("id % 41 <> 3").selectExpr("id AS vec_id", "transform(sequence(0, 63), t -> cast(sin(id * 64 + t) as float)) AS embedding")
+    embeddings.union(spark.range(77, 78).selectExpr("id", "array_repeat(cast(0.25 as float), 64)")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    con.register("got", workload.QUERIES["u01_refine_linear"](spark, str(tmp_path)).toPandas())
+    con.execute(f"CREATE TABLE want AS {workload.ORACLES['u01_refine_linear']}")
+    columns = "il, xl, t, x"
+    for a, b in (("want", "got"), ("got", "want")):
+        assert con.execute(f"SELECT COUNT(*) FROM (SELECT {columns} FROM {a} EXCEPT ALL SELECT {columns} FROM {b})").fetchone()[0] == 0
+    assert con.execute("SELECT COUNT(*) FROM want").fetchone()[0] > 200000
