@@ -93,3 +93,9 @@ def test_resampled_centres_are_neither_shuffled_nor_sorted(spark):
     assert text.count("Generate") == 1
     below = text[text.index("Generate") :]
     assert not re.search("Exchange|Window|Sort|Join", text[: text.index("Generate")]) and below.count("Window") == 2
+
+
+def test_resampled_rows_are_shuffled_and_sorted_without_their_segments(spark):
+    """They move and are put in order as narrow as they come; what a row carries of the channels is added behind that."""
+    text = query(spark, "j02_resample")
+    assert "struct(" in text and "struct(" not in text[text.index("Sort [") :]
